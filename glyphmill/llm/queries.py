@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import decontaminate, line_dedup, substring_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": lambda spark, d: line_dedup.op5_line_dedup(table(spark, d, "documents")),
+    "op8_decontaminate": lambda spark, d: decontaminate.op8_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op9_substring_dedup": lambda spark, d: substring_dedup.op9_substring_dedup(table(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
     "op5_line_dedup": line_dedup.SQL,
+    "op8_decontaminate": decontaminate.SQL,
+    "op9_substring_dedup": substring_dedup.SQL,
 }
