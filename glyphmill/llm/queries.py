@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, substring_dedup
+from . import decontaminate, language_id, line_dedup, simhash, substring_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": lambda spark, d: language_id.op2_language_id(table(spark, d, "documents")),
+    "op3_simhash": lambda spark, d: simhash.op3_simhash(table(spark, d, "documents")),
     "op5_line_dedup": lambda spark, d: line_dedup.op5_line_dedup(table(spark, d, "documents")),
     "op8_decontaminate": lambda spark, d: decontaminate.op8_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_substring_dedup": lambda spark, d: substring_dedup.op9_substring_dedup(table(spark, d, "documents")),
