@@ -6,25 +6,24 @@ remainder modulo `period` lies in a difference cover. For any two places i, j of
 `period` puts both i + shift and j + shift on the cover, so each repeated window holds an aligned anchor that
 occurs twice. Windows that hold such an anchor are extended to full length and compared by 80-bit hashes.
 
-Rows between tasks are numpy arrays packed per (piece of the input, bucket of the hash): about nine bytes an
-anchor. Each piece sends a hash once however often it holds it, so a passage in a third of all texts costs
+Rows between tasks are numpy arrays packed per (piece of the input, bucket of the hash): about seven bytes an
+anchor; so do the answers. Each piece sends a hash once however often it holds it, so a passage in a third of all texts costs
 one entry per piece of 8 MB and never gathers in one task. A piece that sees a repeat itself settles it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import ship
 from .common import partitions, with_row_key
-from .wordblocks import Words, gram_hashes, pieces, planes, unplanes, within_text
+from .wordblocks import Words, gram_hashes, mix, pieces, planes, unplanes, within_text
 
-PACKED = "bucket int, settled boolean, tag binary, extra binary, owner binary, pos binary, known binary, ids binary"
-PLACES = "__id long, __key long, __pos binary"
+PLACES = "bucket int, ids binary, keys binary, sizes binary, gaps binary"
+PACKED = PLACES + ", tag binary, extra binary, known binary"
+FOUND = "__id long, __key long, __pos binary"
 LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -40,38 +39,53 @@ def _columns(b: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def _ids(b: pa.RecordBatch) -> np.ndarray:
-    return np.stack([_columns(b, "__id"), _columns(b, "__key")], axis=1).astype(np.int64)
+    """(id, low half of the text hash) by row."""
+    return np.stack([_columns(b, "__id"), _columns(b, "__key") & 0xFFFFFFFF], axis=1).astype(np.int64)
 
 
-class Packer:
-    """Rows of PACKED for one piece; ids: (id, key) of its texts."""
+def pack_places(ids: np.ndarray, owner: np.ndarray, pos: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """(ids, keys, sizes, gaps) of places that are sorted by owner (a row of ids) and position: differences, which compress."""
+    used, first, sizes = np.unique(owner, return_index=True, return_counts=True)
+    gaps = np.diff(pos, prepend=0)
+    gaps[first] = pos[first]
+    step = np.diff(ids[used, 0], prepend=0)
+    return planes(((step << 1) ^ (step >> 63)).view(np.uint64), 8), planes(ids[used, 1], 4), planes(sizes, 4), planes(gaps, 4)
 
-    def __init__(self, ids: np.ndarray, buckets: int):
-        self.ids, self.buckets = ids, buckets
-        self.rows: dict[str, list] = {k.split()[0]: [] for k in PACKED.split(", ")}
 
-    def _add(self, bucket: int, settled: bool, tag, extra, owner, pos, known) -> None:
-        used, local = np.unique(owner, return_inverse=True)
-        row = (bucket, settled, planes(tag, 8 if extra is not None else 5), None if extra is None else planes(extra, 2), planes(local, 3), planes(pos, 4), np.packbits(known).tobytes(), self.ids[used].tobytes())
-        for k, v in zip(self.rows, row, strict=True):
-            self.rows[k].append(v)
+def unpack_places(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, owner, position) of a packed row."""
+    step, sizes, gaps = unplanes(r["ids"], 8), unplanes(r["sizes"], 4).astype(np.int64), unplanes(r["gaps"], 4).astype(np.int64)
+    ids = np.cumsum((step >> np.uint64(1)).view(np.int64) ^ -(step & np.uint64(1)).view(np.int64))
+    first = np.cumsum(sizes) - sizes
+    total = np.cumsum(gaps)
+    return np.stack([ids, unplanes(r["keys"], 4).view(np.int64)], axis=1), np.repeat(np.arange(len(sizes)), sizes), total - np.repeat(total[first] - gaps[first], sizes)
 
-    def entries(self, bucket: np.ndarray, tag: np.ndarray, extra: np.ndarray | None, owner: np.ndarray, pos: np.ndarray, known: np.ndarray) -> None:
-        order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=self.buckets))
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            at = order[lo:hi]
-            self._add(int(bucket[at[0]]), False, tag[at], None if extra is None else extra[at], owner[at], pos[at], known[at])
 
-    def settle(self, owner: np.ndarray, pos: np.ndarray) -> None:
-        """Places that need no answer from elsewhere."""
-        if len(owner):
-            none = np.zeros(0, np.uint64)
-            self._add(int(self.ids[0, 0] % self.buckets), True, none, None, owner, pos, np.zeros(0, bool))
+def _edges(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by bucket, bounds of each bucket's run in it)."""
+    order = np.argsort(bucket, kind="stable")
+    return order, np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int32(), *[pa.binary()] * (len(names) - 1)]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+
+def _entries(ids: np.ndarray, buckets: int, bucket: np.ndarray, tag: np.ndarray, extra: np.ndarray | None, owner: np.ndarray, pos: np.ndarray, known: np.ndarray) -> list[tuple]:
+    """Packed rows of one piece, one for each bucket of the hashes; entries come sorted by owner and position."""
+    order, edges = _edges(bucket, buckets)
+    out = []
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        at = order[lo:hi]
+        out.append((int(bucket[at[0]]), *pack_places(ids, owner[at], pos[at]), planes(tag[at], 8 if extra is not None else 5), None if extra is None else planes(extra[at], 2), np.packbits(known[at]).tobytes()))
+    return out
+
 
-    def batch(self) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 6]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(self.rows.values(), kinds, strict=True)], names=list(self.rows))
+def _settled(ids: np.ndarray, buckets: int, owner: np.ndarray, pos: np.ndarray) -> list[tuple]:
+    """A row of places that need no answer from elsewhere (it has no tags)."""
+    return [(int(ids[0, 0] % buckets), *pack_places(ids, owner, pos), None, None, None)] if len(owner) else []
 
 
 def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,36 +97,79 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _places(ids: np.ndarray, owner: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """One row per text with its positions."""
-    order = np.argsort(owner, kind="stable")
-    owner, pos = owner[order], pos[order].astype("<u4")
-    edges = np.flatnonzero(np.diff(owner, prepend=-1, append=len(ids) + 1))
-    at = ids[owner[edges[:-1]]]
-    return pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array([pos[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["__id", "__key", "__pos"])
+def _answers(ids: np.ndarray, owner: np.ndarray, pos: np.ndarray, buckets: int) -> list[tuple]:
+    """Places packed by bucket of their ids."""
+    order = np.lexsort((pos, owner))
+    owner, pos = owner[order], pos[order]
+    bucket = (mix(ids[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)[owner]
+    order, edges = _edges(bucket, buckets)
+    return [(int(bucket[order[lo]]), *pack_places(ids, owner[order[lo:hi]], pos[order[lo:hi]])) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], tuple | None]:
-    """(settled places, columns of all other entries of the partition)."""
-    done, tags, extras, owners, poss, knowns, buckets, ids, n = [], [], [], [], [], [], [], [], 0
+def _reduce(decide, buckets: int):
+    """Answers of a partition: settled places, and the entries that decide picks, packed by bucket of their ids."""
+
+    def run(batches):
+        ids, owners, poss, entries, n = [], [], [], [], 0
+        for b in batches:
+            for r in b.to_pylist():
+                own, owner, pos = unpack_places(r)
+                owner = owner + n
+                n += len(own)
+                ids.append(own)
+                if r["tag"] is None:
+                    owners.append(owner)
+                    poss.append(pos)
+                    continue
+                size = len(owner)
+                extra = np.zeros(size, np.uint64) if r["extra"] is None else unplanes(r["extra"], 2)
+                known = np.unpackbits(np.frombuffer(r["known"], np.uint8), count=size).astype(bool)
+                entries.append((owner, pos, unplanes(r["tag"], 5 if r["extra"] is None else 8), extra, np.full(size, r["bucket"], np.uint64), known))
+        if not ids:
+            return
+        all_ids = np.concatenate(ids)
+        if entries:
+            owner, pos, *keys = (np.concatenate(x) for x in zip(*entries, strict=True))
+            hit = decide(all_ids[owner, 0], *keys)
+            owners.append(owner[hit])
+            poss.append(pos[hit])
+        owner, pos = np.concatenate(owners), np.concatenate(poss)
+        if len(owner):
+            yield _batch(_answers(all_ids, owner, pos, buckets), PLACES)
+
+    return run
+
+
+def _anchor_repeats(own, tag, extra, bucket, known) -> np.ndarray:
+    order, begin, run_of = _runs((bucket << np.uint64(40)) | tag)
+    return order[(np.diff(begin, append=len(order)) > 1)[run_of] & ~known[order]]
+
+
+def _window_repeats(own, tag, extra, bucket, known) -> np.ndarray:
+    order, begin, run_of = _runs(tag, (bucket << np.uint64(16)) | extra)
+    return order[own[order] > np.minimum.reduceat(own[order], begin)[run_of]]
+
+
+def _merge(batches):
+    """One row for each id and key of the partition, with its positions."""
+    ids, owners, poss, n = [], [], [], 0
     for b in batches:
         for r in b.to_pylist():
-            owner, pos = unplanes(r["owner"], 3).astype(np.int64), unplanes(r["pos"], 4).astype(np.int64)
-            own = np.frombuffer(r["ids"], np.int64).reshape(-1, 2)
-            if r["settled"]:
-                done.append(_places(own, owner, pos))
-                continue
-            tags.append(unplanes(r["tag"], 5 if r["extra"] is None else 8))
-            extras.append(np.zeros(len(owner), np.uint64) if r["extra"] is None else unplanes(r["extra"], 2))
-            buckets.append(np.full(len(owner), r["bucket"], np.uint64))
+            own, owner, pos = unpack_places(r)
+            ids.append(own)
             owners.append(owner + n)
             poss.append(pos)
-            knowns.append(np.unpackbits(np.frombuffer(r["known"], np.uint8), count=len(owner)).astype(bool))
-            ids.append(own)
             n += len(own)
     if not ids:
-        return done, None
-    return done, tuple(np.concatenate(x) for x in (tags, extras, buckets, owners, poss, knowns, ids))
+        return
+    all_ids, owner, pos = np.concatenate(ids), np.concatenate(owners), np.concatenate(poss)
+    order = np.lexsort((all_ids[owner, 1], all_ids[owner, 0]))
+    key, pos = all_ids[owner[order]], pos[order].astype("<u4")
+    begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+    for lo in range(0, len(begin), 4096):
+        at = begin[lo : lo + 4096]
+        ends = np.append(begin[lo + 1 : lo + 4097], len(key))[: len(at)]
+        yield pa.RecordBatch.from_arrays([pa.array(key[at, 0]), pa.array(key[at, 1]), pa.array([pos[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())], names=["__id", "__key", "__pos"])
 
 
 def _anchor_map(window: int, buckets: int):
@@ -131,26 +188,18 @@ def _anchor_map(window: int, buckets: int):
                 continue
             order, begin, run_of = _runs(h)
             many = np.diff(begin, append=len(h)) > 1
-            packer, one = Packer(_ids(piece), buckets), order[begin]
-            packer.entries(((h[one] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), h[one] & LOW40, None, of[one], pos[one], many)
-            here = order[many[run_of]]
-            packer.settle(of[here], pos[here])
-            yield packer.batch()
+            here = np.sort(order[many[run_of]])  # repeats that this piece sees itself
+            one = order[begin]
+            back = np.argsort(one)
+            one, many = one[back], many[back]
+            ids = _ids(piece)
+            ids[:, 1] = 0  # a place too many is harmless here: no need to tell rows of one id apart
+            rows = _entries(ids, buckets, ((h[one] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), h[one] & LOW40, None, of[one], pos[one], many)
+            yield _batch(rows + _settled(ids, buckets, of[here], pos[here]), PACKED)
 
     return run
 
 
-def _anchor_reduce(batches):
-    done, all_ = _gather(batches)
-    yield from done
-    if all_ is not None:
-        tag, _, bucket, owner, pos, known, ids = all_
-        order, begin, run_of = _runs((bucket << np.uint64(40)) | tag)
-        hit = order[(np.diff(begin, append=len(order)) > 1)[run_of] & ~known[order]]
-        if len(hit):
-            yield _places(ids, owner[hit], pos[hit])
-
-
 def _marked(words: Words, lists: list[list[bytes]], back: int, span: int) -> np.ndarray:
     """Per word, whether it lies in [p - back, p - back + span) of a listed position p of its text, cut to the text."""
     lo, hi = [], []
@@ -183,31 +232,18 @@ def _window_map(window: int, buckets: int):
             order, starts, run_of = _runs(w1, w2)
             own = ids[of[order], 0]
             least = np.minimum.reduceat(own, starts)[run_of]
-            packer, keep, gone = Packer(ids, buckets), order[own == least], order[own > least]
-            packer.entries(((w2[keep] >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64), w1[keep], w2[keep] & np.uint64(0xFFFF), of[keep], pos[keep], np.zeros(len(keep), bool))
-            packer.settle(of[gone], pos[gone])
-            yield packer.batch()
+            keep, gone = np.sort(order[own == least]), np.sort(order[own > least])
+            rows = _entries(ids, buckets, ((w2[keep] >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64), w1[keep], w2[keep] & np.uint64(0xFFFF), of[keep], pos[keep], np.zeros(len(keep), bool))
+            yield _batch(rows + _settled(ids, buckets, of[gone], pos[gone]), PACKED)
 
     return run
 
 
-def _window_reduce(batches):
-    done, all_ = _gather(batches)
-    yield from done
-    if all_ is not None:
-        tag, extra, bucket, owner, pos, _, ids = all_
-        order, begin, run_of = _runs(tag, (bucket << np.uint64(16)) | extra)
-        own = ids[owner[order], 0]
-        gone = order[own > np.minimum.reduceat(own, begin)[run_of]]
-        if len(gone):
-            yield _places(ids, owner[gone], pos[gone])
-
-
 def _cut_map(window: int):
     def run(batches):
         for piece in pieces(batches, "__text"):
             words = Words(piece.column("__text"), "space")
-            keys, lists = _columns(piece, "__key"), []
+            keys, lists = _ids(piece)[:, 1], []
             for key, found in zip(keys, piece.column("__gone").to_pylist(), strict=True):
                 lists.append([x["__pos"] for x in found or () if x["__key"] == key])
             gone = _marked(words, lists, 0, window)
@@ -237,12 +273,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = partitions(spark)
     base = with_row_key(docs, id_col, text_col).where(F.col("__id").isNotNull())
 
-    def exchange(rows: DataFrame, reduce) -> DataFrame:
-        return rows.repartitionById(buckets, F.col("bucket")).mapInArrow(reduce, PLACES)
+    def exchange(rows: DataFrame, decide) -> DataFrame:
+        answers = rows.repartitionById(buckets, F.col("bucket")).mapInArrow(_reduce(decide, buckets), PLACES)
+        return answers.repartitionById(buckets, F.col("bucket")).mapInArrow(_merge, FOUND)
 
-    found = exchange(base.mapInArrow(_anchor_map(window, buckets), PACKED), _anchor_reduce).groupBy("__id").agg(F.collect_list("__pos").alias("__found"))
+    found = exchange(base.mapInArrow(_anchor_map(window, buckets), PACKED), _anchor_repeats).groupBy("__id").agg(F.collect_list("__pos").alias("__found"))
     windows = base.join(found, "__id").mapInArrow(_window_map(window, buckets), PACKED)
-    gone = exchange(windows, _window_reduce).groupBy("__id").agg(F.collect_list(F.struct("__key", "__pos")).alias("__gone"))
+    gone = exchange(windows, _window_repeats).groupBy("__id").agg(F.collect_list(F.struct("__key", "__pos")).alias("__gone"))
     out = "__id long, n_words long, n_removed long, kept string"
     whole = base.join(gone, "__id", "left").mapInArrow(_cut_map(window), out)
     loose = with_row_key(docs, id_col, text_col).where(F.col("__id").isNull()).withColumn("__gone", F.lit(None).cast("array<struct<__key:bigint,__pos:binary>>"))
