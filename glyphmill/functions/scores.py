@@ -12,15 +12,14 @@ CONFIG = EngineConfig()
 
 
 def sigmoid(z: Column, limit: float | None = 50.0) -> Column:
-    """1 / (1 + e^-z), z clamped to [-limit, limit] unless limit is None."""
-    if limit is not None:
-        z = F.greatest(F.least(z, F.lit(limit)), F.lit(-limit))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+    """1 / (1 + e^-z), z clamped to [-limit, limit] unless limit is None; null for null (least and greatest skip nulls)."""
+    held = z if limit is None else F.greatest(F.least(z, F.lit(limit)), F.lit(-limit))
+    return F.when(z.isNotNull(), F.lit(1.0) / (F.lit(1.0) + F.exp(-held)))
 
 
 def logit(p: Column, eps: float = 1e-4) -> Column:
     q = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
-    return F.ln(q / (1 - q))
+    return F.when(p.isNotNull(), F.ln(q / (1 - q)))
 
 
 def exact_round(c: Column, digits: int) -> Column:
@@ -82,7 +81,7 @@ def combine(lm: Column, classifier: Column, style: Column, meta: Column | None =
 
 def sentence_score(p: Column, n_hits: Column) -> Column:
     """A sentence's probability with a bonus for up to two stock phrases."""
-    return F.least(F.lit(1.0), p + 0.05 * F.least(n_hits, F.lit(2)))
+    return F.when(p.isNotNull(), F.least(F.lit(1.0), p + 0.05 * F.least(n_hits, F.lit(2))))
 
 
 def capped(p: Column, paragraph_words: Column, doc_p: Column, c: EngineConfig = CONFIG) -> Column:
