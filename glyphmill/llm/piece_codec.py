@@ -10,6 +10,7 @@ the ids up to it are final, are given out, and their part of the window is dropp
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -22,8 +23,8 @@ from .wordblocks import pieces
 
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE, BPE = 1, 2, 6, 2
-#: Positions after which the window tries to commit, and entries that a worker's cache of encoded words may hold.
-STRIDE, CACHE = 64, 400_000
+#: Positions after which the window tries to commit, and entries that a worker's caches of pairs and of words may hold.
+STRIDE, PAIRS, CACHE = 64, 600_000, 1_200_000
 
 
 class Codec:
@@ -38,6 +39,7 @@ class Codec:
             raise ValueError("only BPE models without normalisation rules are supported")
         self.prefix = proto.normalizer_spec.add_dummy_prefix
         self.pieces = {p.piece: (i, p.score) for i, p in enumerate(proto.pieces) if p.type == NORMAL}
+        self.number = {p: i for p, (i, _) in self.pieces.items()}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
         self.longest = max(map(len, self.pieces))
@@ -48,11 +50,17 @@ class Codec:
         joined = any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         alone = "".join(c for c in "\n\t\r" if c not in inner)  # no piece crosses these: each is a unit
         self.units = re.compile(r"(?s).+") if joined else re.compile(f"[{alone}]|{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" if alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.reach: dict[str, int] = {}  # the longest piece that ends in these two characters
+        ends: dict[str, set[int]] = {}  # by last two or three characters: lengths of the pieces that end in them
         for p in self.pieces:
-            if len(p) > 1:
-                self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 0))
-        self.agree: dict[tuple[str, str], bool] = {}
+            for tail in {p[-2:], p[-3:]} - {p[-1:]}:
+                ends.setdefault(tail, {1}).add(len(p))
+        for tail in ends:
+            if len(tail) == 3:
+                ends[tail] |= {n for n in ends.get(tail[1:], ()) if n < 3}
+        self.ends = {tail: tuple(sorted(n, reverse=True)) for tail, n in ends.items()}
+        self.agree: dict[str, dict[str, bool]] = {p: {} for p in self.pieces}  # by piece: whether it may follow another
+        self.single: dict[str, dict[str, bool]] = {}  # the same for characters that are no piece
+        self.agreed = 0
         self.cache: dict[str, bytes] = {}
 
     def _merged(self, text: str) -> list[str]:
@@ -69,31 +77,42 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _fits(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        found = self.agree.get(key)
-        if found is None:
-            if len(self.agree) >= CACHE:
-                self.agree.clear()
-            found = self.agree[key] = self._merged(before + piece) == ([before, piece] if before else [piece])
+    def _fits(self, known: dict[str, bool], before: str, piece: str) -> bool:
+        if self.agreed >= PAIRS:
+            for found in self.agree.values():
+                found.clear()
+            self.single.clear()
+            self.agreed = 0
+        self.agreed += 1
+        found = known[before] = self._merged(before + piece) == ([before, piece] if before else [piece])
         return found
 
     def _stream(self, text: str) -> Iterator[str]:
         """Pieces of a text in order, committed as soon as they are final."""
+        agree, single, ends, fits, size = self.agree, self.single, self.ends, self._fits, len(text)
         done = 0  # everything before is given out
         back: list[int] = [0]  # start of the piece that ends at done + index; absolute
-        known, reach = self.pieces, self.reach
         last: list[str] = [""]  # that piece
-        for end in range(1, len(text) + 1):
-            for start in range(max(done, end - reach.get(text[max(done, end - 2) : end], 1)), end):
+        for end in range(1, size + 1):
+            for length in (ends.get(text[end - 3 : end]) if end > 2 else None) or (ends.get(text[end - 2 : end]) if end > 1 else None) or (1,):
+                start = end - length
+                if start < done:
+                    continue
                 piece = text[start:end]
-                if (end - start == 1 or piece in known) and self._fits(last[start - done], piece):
+                known = agree.get(piece)
+                if known is None:
+                    if length > 1:
+                        continue
+                    known = single.setdefault(piece, {})
+                before = last[start - done]
+                ok = known.get(before)
+                if ok or ok is None and fits(known, before, piece):
                     back.append(start)
                     last.append(piece)
                     break
             else:
                 raise AssertionError("a position has no encoding")
-            if end - done >= STRIDE and end < len(text):
+            if end - done >= STRIDE and end < size:
                 live = set(range(max(done, end - self.longest + 1), end + 1))
                 while len(live) > 1:
                     top = max(live)
@@ -104,7 +123,7 @@ class Codec:
                     yield from self._path(back, last, done, meet)
                     back, last = back[meet - done :], last[meet - done :]
                     done = meet
-        yield from self._path(back, last, done, len(text))
+        yield from self._path(back, last, done, size)
 
     @staticmethod
     def _path(back: list[int], last: list[str], done: int, end: int) -> list[str]:
@@ -116,15 +135,16 @@ class Codec:
 
     def _unit(self, unit: str) -> bytes:
         ids: list[int] = []
+        number = self.number
         for p in self._stream(unit):
-            found = self.pieces.get(p)
-            if found:
-                ids.append(found[0])
+            found = number.get(p)
+            if found is not None:
+                ids.append(found)
             elif self.bytes:
                 ids.extend(self.bytes[b] for b in p.encode())
             elif not ids or ids[-1] != self.unknown:
                 ids.append(self.unknown)
-        raw = np.array(ids, np.int32).tobytes()
+        raw = array("i", ids).tobytes()
         if len(unit) <= 4 * STRIDE:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
