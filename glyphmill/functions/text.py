@@ -45,7 +45,8 @@ def words(c: Column) -> Column:
 
 
 def lower_words(c: Column) -> Column:
-    return F.transform(words(c), F.lower)
+    """Lower-cased words; one call for all of a text's words, since each call is dear."""
+    return let(words(c), lambda w: F.when(F.size(w) > 0, F.split(F.lower(F.array_join(w, "\x01")), "\x01", -1)).otherwise(F.array().cast("array<string>")))
 
 
 def blank_words(c: Column) -> Column:
@@ -81,12 +82,17 @@ def ngrams(tokens: Column, n: int = 5) -> Column:
 def mattr(tokens: Column, window: int = 50) -> Column:
     """Moving-average type-token ratio; the plain ratio if there is one window at most; 0 without tokens."""
 
+    # a token counts in the windows that hold it but not its previous occurrence; sorting brings occurrences together
+    def distinct(r: Column, n: Column) -> Column:
+        before = lambda x, i: F.when((i > 0) & (F.get(r, i - 1)["w"] == x["w"]), F.get(r, i - 1)["i"]).otherwise(F.lit(-1))
+        windows = lambda x, i: F.greatest(F.lit(0), F.least(x["i"], n - window) - F.greatest(x["i"] - (window - 1), before(x, i) + 1, F.lit(0)) + 1)
+        return F.aggregate(F.transform(r, windows), F.lit(0).cast("long"), lambda a, x: a + x)
+
     def ratio(t: Column) -> Column:
         n = F.size(t)
-        steps = F.greatest(n - (window - 1), F.lit(1))
-        distinct = F.transform(F.sequence(F.lit(1), steps), lambda i: F.size(F.array_distinct(F.slice(t, i, window))))
-        total = F.aggregate(distinct, F.lit(0).cast("long"), lambda a, x: a + x)
-        return F.when(n == 0, F.lit(0.0)).when(n <= window, F.size(F.array_distinct(t)) / n).otherwise(total / (steps * F.lit(float(window))))
+        placed = F.sort_array(F.transform(t, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+        average = let(placed, lambda r: distinct(r, F.size(r))) / (F.greatest(n - (window - 1), F.lit(1)) * F.lit(float(window)))
+        return F.when(n == 0, F.lit(0.0)).when(n <= window, F.size(F.array_distinct(t)) / n).otherwise(average)
 
     return let(tokens, ratio)
 

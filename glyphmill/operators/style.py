@@ -19,14 +19,14 @@ def prepare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", con
 
 
 def sentence_details(sents: Column, lang: Column, lexicons: dict[str, L.Lexicon] | None = None) -> Column:
-    def one(s: Column) -> Column:
+    def one(s: Column, lang: Column) -> Column:
         t = s["text"]
         return F.struct(
             s["paragraph"].alias("paragraph"), s["start"].alias("start"), s["end"].alias("end"), t.alias("text"), F.size(T.words(t)).alias("n"),
             T.by_language(lang, lambda x: T.phrase_hits(t, x), lexicons).alias("hits"), T.by_language(lang, lambda x: T.connector(t, x), lexicons).alias("connector"), T.asks(t).alias("asks"),
         )
 
-    return F.transform(sents, one)
+    return T.let(lang, lambda x: F.transform(sents, lambda s: one(s, x)))
 
 
 def total(array: Column, value=lambda x: x) -> Column:

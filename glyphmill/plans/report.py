@@ -13,23 +13,24 @@ from ..operators import style as O
 def sentence_rows(sents: Column, probs: Column, doc_p: Column, config: EngineConfig) -> Column:
     """Sentences with `p`, the short-paragraph cap applied. probs: their probabilities, by position."""
     words_of = lambda all_, s: O.total(F.filter(all_, lambda x: x["paragraph"] == s["paragraph"]), lambda x: x["n"])
-    one = lambda all_, p, s, i: F.struct(*[s[k].alias(k) for k in ("paragraph", "start", "end", "text", "n", "hits", "connector")], S.capped(F.get(p, i), words_of(all_, s), doc_p, config).alias("p"))
-    return T.let(sents, lambda all_: T.let(probs, lambda p: F.transform(all_, lambda s, i: one(all_, p, s, i))))
+    one = lambda all_, p, d, s, i: F.struct(*[s[k].alias(k) for k in ("paragraph", "start", "end", "text", "n", "hits", "connector")], S.capped(F.get(p, i), words_of(all_, s), d, config).alias("p"))
+    return T.let(doc_p, lambda d: T.let(sents, lambda all_: T.let(probs, lambda p: F.transform(all_, lambda s, i: one(all_, p, d, s, i)))))
 
 
 def paragraph_rows(rows: Column, text: Column, config: EngineConfig) -> Column:
     """(paragraph, text, p, level, reasons, suggestions) of each paragraph; p weighs sentences by their words."""
 
-    def one(all_: Column, k: Column) -> Column:
+    def one(all_: Column, body_text: Column, k: Column) -> Column:
         def of(own: Column) -> Column:
             weight = O.total(own, lambda s: F.greatest(s["n"], F.lit(1)))
             p = F.aggregate(own, F.lit(0.0), lambda a, s: a + s["p"] * F.greatest(s["n"], F.lit(1))) / weight
-            body = T.slice_text(text, F.get(own, F.lit(0))["start"], F.element_at(own, -1)["end"])
+            body = T.slice_text(body_text, F.get(own, F.lit(0))["start"], F.element_at(own, -1)["end"])
             return T.let(p, lambda q: F.struct(k.alias("paragraph"), body.alias("text"), q.alias("p"), S.level(q, config).alias("level"), O.guidance(own, q).alias("guidance")))
 
         return T.let(F.filter(all_, lambda s: s["paragraph"] == k), of)
 
-    return T.let(rows, lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda s: s["paragraph"])), lambda k: one(all_, k)))
+    each = lambda all_, t: F.transform(F.array_distinct(F.transform(all_, lambda s: s["paragraph"])), lambda k: one(all_, t, k))
+    return T.let(text, lambda t: T.let(rows, lambda all_: each(all_, t)))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: EngineConfig = EngineConfig(), signals: DataFrame | None = None, lexicons: dict[str, L.Lexicon] | None = None) -> DataFrame:
@@ -48,7 +49,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", conf
     clf = F.when(F.col("lang") == "es", F.col("classifier_p"))
     rows = rows.withColumn("classifier_p", clf)
     rows = rows.withColumn("p", S.combine(F.col("lm_p"), F.col("classifier_p"), F.col("style"), F.col("meta_p")))
-    scored = F.transform(F.col("sents"), lambda s, i: F.coalesce(S.sentence_score(F.get(F.col("sentence_p"), i), F.size(s["hits"])), F.col("style")))
+    score = lambda s, i, own, style: F.coalesce(S.sentence_score(F.get(own, i), F.size(s["hits"])), style)
+    scored = T.let(F.col("style"), lambda style: T.let(F.col("sentence_p"), lambda own: F.transform("sents", lambda s, i: score(s, i, own, style))))
     rows = rows.withColumn("rows", sentence_rows(F.col("sents"), scored, F.col("p"), config))
     rows = rows.withColumn("paragraphs", paragraph_rows(F.col("rows"), F.col("text"), config))
     flagged = O.total(F.filter(F.col("rows"), lambda s: s["p"] >= config.level_high), lambda s: s["n"]) / F.greatest(O.total(F.col("rows"), lambda s: s["n"]), F.lit(1))

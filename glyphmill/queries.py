@@ -11,6 +11,7 @@ from .config import EngineConfig
 from .functions import scores as S, text as T
 from .lexicon import STOP_ES, Lexicon
 from .operators import corpus as C, evaluate as E, models as M, overlap as V, signals as G, style as O
+from .plans.partitioning import spread
 from .plans.report import rejected, report
 from .sources import files
 
@@ -21,7 +22,7 @@ FIXED_LM = {"model_id": "bigram", "slope": -12.0, "intercept": 11.0, "threshold_
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
     """documents with their lines as paragraphs, which the test texts lack."""
-    return spark.read.parquet(f"{d}/documents.parquet").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    return spread(spark.read.parquet(f"{d}/documents.parquet")).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
