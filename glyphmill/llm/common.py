@@ -16,12 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); a new one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_glyphmill_shared", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='glyphmill-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
+        found = sc._glyphmill_shared = f"file://{tempfile.mkdtemp(prefix='glyphmill-')}"
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(found)
     return found
 
 
