@@ -45,6 +45,40 @@ def ngram_statistics(docs: DataFrame, corpus: DataFrame | None = None, id_col: s
     return rows.select(id_col, "pos", "start", "end", (-F.ln(F.coalesce("q", smooth * p))).alias("ppl"), (F.col("h") + F.coalesce("dh", F.lit(0.0))).alias("xppl"))
 
 
+def token_provider(docs: DataFrame, load, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """TOKENS rows from a model: load() runs once per worker and returns a function from a text to (start, end, ppl, xppl) of its tokens.
+
+    Filter by length before this: no predicate passes a Python function.
+    """
+    import pandas as pd
+
+    def run(frames):
+        model = None
+        for frame in frames:
+            model = model or load()
+            rows = [(i, k, *t) for i, text in zip(frame["id"], frame["text"], strict=True) for k, t in enumerate(model(text or ""))]
+            yield pd.DataFrame(rows, columns=["doc_id", "pos", "start", "end", "ppl", "xppl"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, TOKENS)
+
+
+def text_provider(rows: DataFrame, load, out: str, kind: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, out) from a model: load() runs once per worker and returns a function from a list of texts to a list of values.
+
+    kind is the SQL type of out: a classifier gives double, a paraphraser or generator string.
+    """
+    import pandas as pd
+
+    def run(frames):
+        model = None
+        for frame in frames:
+            model = model or load()
+            yield pd.DataFrame({id_col: frame["id"], out: model([t or "" for t in frame["text"]])})
+
+    id_kind = rows.schema[id_col].dataType.simpleString()
+    return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"`{id_col}` {id_kind}, `{out}` {kind}")
+
+
 def with_offsets(c: Column) -> Column:
     """Array of (w, start, end) of a text's words: text split around words, its parts' lengths summed up."""
     found = T.words(c)

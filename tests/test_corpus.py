@@ -187,3 +187,21 @@ def test_stream(spark, tmp_path):
 def test_rewrite_change(spark):
     row = spark.createDataFrame([("uno dos tres", "uno dos cuatro cinco")], "a string, b string").select(C.rewrite_change("a", "b").alias("r")).first().r
     assert abs(row.kept - 2 / 3) < 1e-12 and abs(row.length_ratio - 4 / 3) < 1e-12
+
+
+def test_human_items_and_articles(spark):
+    es = "La casa de la que se habla en el texto no es una casa más, y por eso los que la ven como algo para su familia la quieren. " * 7
+    rows = spark.createDataFrame([("a", es, "t", "f", 2020), ("a", es, "t", "f", 2020), ("b", "the of and " * 60, "t", "f", 2020), ("c", "corto", "t", "f", 2020), ("d", None, "t", "f", 2020)], "id string, text string, title string, field string, year int")
+    assert [(r.id, r.domain) for r in C.human_items(rows, "academico", "dump", 5).collect()] == [("a", "academico")]
+    parts = spark.createDataFrame([("a", 0, "uno[1] dos"), ("a", 1, "tres cuatro"), ("a", 2, "cinco seis siete")], "id string, k int, text string")
+    assert C.article_text(parts, limit=4).first().text == "uno dos\n\ntres cuatro"
+
+
+def test_model_providers(spark):
+    from glyphmill.operators import signals as G
+
+    rows = spark.createDataFrame([(1, "uno dos"), (2, None)], "doc_id long, text string")
+    tokens = G.token_provider(rows, lambda: lambda t: [(0, len(w), 1.0, 2.0) for w in t.split()]).collect()
+    assert [(r.doc_id, r.pos) for r in tokens] == [(1, 0), (1, 1)]
+    scored = G.text_provider(rows, lambda: lambda ts: [len(t) / 10 for t in ts], "classifier_p", "double").collect()
+    assert {r.doc_id: r.classifier_p for r in scored} == {1: 0.7, 2: 0.0}
