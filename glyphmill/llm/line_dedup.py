@@ -58,17 +58,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = whole.join(dropped, ["__id", "__key"], "left")
     text = F.coalesce(F.col("__text"), F.lit(""))
     n = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    stay = F.array_except(F.sequence(F.lit(0), F.size(_lines(F.col("__text"))) - 1), F.col("__drop"))
-    kept = F.array_join(F.expr("transform(__stay, i -> __split[i])"), "\n")
-    return (
-        found.withColumn("__split", F.when(F.col("__drop").isNotNull(), _lines(F.col("__text"))))
-        .withColumn("__stay", F.when(F.col("__drop").isNotNull(), stay))
-        .select(
-            *[F.col(f"`{c}`") for c in old],
-            F.when(F.col("__drop").isNull(), text).otherwise(kept).alias("kept"),
-            n.cast("long").alias("n_lines"),
-            F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
-        )
+
+    def reassembled(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    # a one-element array binds the split lines: captured by the inner lambda they would be split again for each line
+    kept = F.get(F.transform(F.array(_lines(F.col("__text"))), reassembled), F.lit(0))
+    return found.select(
+        *[F.col(f"`{c}`") for c in old],
+        F.when(F.col("__drop").isNull(), text).otherwise(kept).alias("kept"),
+        n.cast("long").alias("n_lines"),
+        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
