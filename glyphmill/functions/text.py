@@ -23,6 +23,23 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(lengths: Column, block: int = 256) -> Column:
+    """Inclusive prefix sums of an array of ints. Appending copies an array, so sums go block by block and are then shifted."""
+
+    def plain(x: Column) -> Column:
+        return F.slice(F.aggregate(x, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v))), F.lit(2), F.size(x))
+
+    def blocks(x: Column) -> Column:
+        last = F.floor(F.greatest(F.size(x) - 1, F.lit(0)) / block).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: plain(F.slice(x, b * block + 1, F.lit(block))))
+
+    def shifted(parts: Column, totals: Column) -> Column:
+        return F.flatten(F.transform(parts, lambda y, i: let(F.coalesce(F.get(totals, i - 1), F.lit(0)), lambda base: F.transform(y, lambda v: v + base))))
+
+    total = lambda y: F.coalesce(F.get(y, F.size(y) - 1), F.lit(0))
+    return let(lengths, lambda x: let(blocks(x), lambda parts: let(plain(F.transform(parts, total)), lambda t: shifted(parts, t))))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+\z", "")
@@ -265,13 +282,11 @@ def sentences(c: Column) -> Column:
     marked = F.regexp_replace(clean, SENTENCE_END, f"$0{_SENTENCE}")
     marked = F.regexp_replace(marked, rf"(\n[{WS}]*\n)", f"{_PARAGRAPH}$1")
     parts = F.flatten(F.transform(F.split(marked, _PARAGRAPH, -1), lambda p, i: F.transform(F.split(p, _SENTENCE, -1), lambda s: F.struct(i.alias("paragraph"), s.alias("raw")))))
-    # arrays of prefix sums are copied per element; truncation bounds their size
-    ends = lambda p: F.aggregate(p, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x["raw"]))))
 
     def place(p: Column, end: Column) -> Column:
-        start = lambda x, i: F.get(end, i) + F.length(x["raw"]) - F.length(F.regexp_replace(x["raw"], rf"^[{WS}]+", ""))
+        start = lambda x, i: F.get(end, i) - F.length(F.regexp_replace(x["raw"], rf"^[{WS}]+", ""))
         placed = F.transform(p, lambda x, i: F.struct(x["paragraph"].alias("paragraph"), start(x, i).alias("start"), strip(x["raw"]).alias("text")))
         return F.filter(placed, lambda s: s["text"] != "")
 
-    kept = let(parts, lambda p: let(ends(p), lambda e: place(p, e)))
+    kept = let(parts, lambda p: let(running(F.transform(p, lambda x: F.length(x["raw"]))), lambda e: place(p, e)))
     return F.transform(kept, lambda s: F.struct(s["paragraph"].alias("paragraph"), s["start"].alias("start"), (s["start"] + F.length(s["text"])).alias("end"), s["text"].alias("text")))

@@ -85,8 +85,8 @@ def with_offsets(c: Column) -> Column:
     gaps = F.split(c, T.WORD, -1)
 
     def place(w: Column, g: Column) -> Column:
-        ends = F.aggregate(F.sequence(F.lit(0), F.size(w)), F.array(F.lit(0)), lambda a, i: F.concat(a, F.array(F.element_at(a, -1) + F.length(F.get(g, i)) + F.coalesce(F.length(F.get(w, i)), F.lit(0)))))
-        return T.let(ends, lambda e: F.transform(w, lambda x, i: F.struct(x.alias("w"), (F.get(e, i + 1) - F.length(x)).alias("start"), F.get(e, i + 1).alias("end"))))
+        ends = T.running(F.transform(w, lambda x, i: F.length(F.get(g, i)) + F.length(x)))
+        return T.let(ends, lambda e: F.transform(w, lambda x, i: F.struct(x.alias("w"), (F.get(e, i) - F.length(x)).alias("start"), F.get(e, i).alias("end"))))
 
     return T.let(found, lambda w: T.let(gaps, lambda g: F.when(F.size(w) > 0, place(w, g)).otherwise(F.array().cast("array<struct<w:string,start:int,end:int>>"))))
 

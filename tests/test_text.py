@@ -123,3 +123,10 @@ def test_references_are_dropped(spark):
 def test_inverted_index(spark):
     rows = spark.createDataFrame([({"hola": [0, 2], "mundo": [1]},), ({},)], "m map<string,array<int>>")
     assert [r[0] for r in rows.select(T.unindex(F.col("m"))).collect()] == ["hola mundo hola", ""]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 7, 16, 17])
+def test_running_sums(spark, n):
+    x = [(k * 7) % 5 for k in range(n)]
+    row = spark.createDataFrame([(x,)], "x array<int>").select(T.running(F.col("x"), 4).alias("r")).first()
+    assert row.r == [sum(x[: k + 1]) for k in range(n)]
