@@ -8,14 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphmill.llm import decontaminate, language_id, line_dedup, piece_codec, simhash
+from glyphmill.llm import decontaminate, language_id, line_dedup, near_copies, piece_codec, simhash
 from glyphmill.llm.common import cut, table
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Phrases a byte from which a text is no learned language: on average under two letters of it occur there together.
 MAX_PHRASE_RATE = 0.5
-#: Hash functions of the near-duplicate stage; texts link if the fingerprints of one are within 3 bits.
-LANES = 4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +32,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the smallest id."""
-    return simhash.near_dedup(docs, lanes=LANES).select(*docs.columns)
+    """One document of each group of near copies (five-word similarity of 0.8 or more), the smallest id."""
+    return simhash.first_of_groups(docs, near_copies.near_groups(docs)).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -134,7 +134,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat an id: the one whose text hashes lowest stays, once. Rows with a null id all stay.
     """
-    groups = near_groups(docs, id_col, text_col, shingle, max_bits, lanes)
+    return first_of_groups(docs, near_groups(docs, id_col, text_col, shingle, max_bits, lanes), id_col, text_col)
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group of groups (__id, __key, component_id), as near_dedup keeps it."""
     stay = groups.where("component_id = __id").groupBy("__id").agg(F.min("__key").alias("__key"))
     keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(text_col)})
     one = keyed.where(F.col("__id").isNotNull()).join(stay, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
