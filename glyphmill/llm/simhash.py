@@ -122,7 +122,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         edges = found_here if edges is None else edges.union(found_here)
         reps.append(at)
     if lanes == 1:  # an id may hold several fingerprints
-        edges = edges.union(own.join(reps[0], own["__f0"] == reps[0]["f"]).where("__id <> rep").groupBy("__id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v")))
+        held = own.join(reps[0], own["__f0"] == reps[0]["f"]).groupBy("__id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
+        edges = edges.union(held.select(F.col("__id").alias("u"), F.explode("reps").alias("v")))
     roots = components(edges)
     to_root = roots.select(F.col("u").alias("rep"), F.col("v").alias("root"))
     whole = reps[0].join(to_root, "rep", "left").select("f", F.coalesce("root", "rep").alias("component_id"))
