@@ -16,7 +16,9 @@ from .common import ascii_lower, cut
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 0.5
+DAMPING, THRESHOLD = 0.85, 0.5
+#: Propagation ends when no host's mass moves by more than this in a few steps; the bound lies past that for any seed mass under 1e7.
+TOLERANCE, ROUNDS = 1e-6, 200
 
 
 def url_host(url: Column) -> Column:
@@ -47,26 +49,35 @@ def host_edges(pages: DataFrame, host_col: str = "host", html_col: str = "html")
     return each.select("src", dst.alias("dst")).where("dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust, weight) after `rounds` steps of personalised PageRank.
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust, weight) of personalised PageRank, after steps until none moves by more than tolerance, `rounds` at most.
 
     edges: (src, dst, n). seeds: (host, trust, distrust, weight), the restart mass of each host. Trust and weight
     follow edges in proportion to n; distrust follows them backwards. Mass at a host without edges is lost.
+    A host's links to itself are solved in place (Jacobi steps), so they need no steps of their own.
     Sums are rounded to 12 digits, so the order of additions does not show.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("into"))
     flow = edges.join(out, "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("out")).alias("along"), F.lit(0.0).alias("against"))
     back = edges.join(into, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("along"), (F.col("n") / F.col("into")).alias("against"))
-    steps = cut(flow.union(back))
+    both = flow.union(back)
+    kept = lambda c: 1 - damping * F.coalesce(c, F.lit(0.0))
+    loops = cut(both.where(F.col("host") == F.col("to")).groupBy("to").agg(F.sum("along").alias("along_self"), F.sum("against").alias("against_self")))
+    share = {c: kept(F.col("against_self" if c == "distrust" else "along_self")) for c in ("trust", "distrust", "weight")}
+    steps = cut(both.where(F.col("host") != F.col("to")).join(loops, "to", "left").select("host", "to", (F.col("along") * damping / share["trust"]).alias("along"), (F.col("against") * damping / share["distrust"]).alias("against")))
     names = ("trust", "distrust", "weight")
-    rank = cut(seeds)
+    restart = cut(seeds.join(loops.withColumnRenamed("to", "host"), "host", "left").select("host", *[(F.col(c) * (1 - damping) / share[c]).alias(c) for c in names]))
+    rank = before = cut(seeds.select("host", *names))
     for k in range(rounds):
-        moved = steps.join(rank, "host").select(F.col("to").alias("host"), *[(F.col(c) * F.col("against" if c == "distrust" else "along") * damping).alias(c) for c in names])
-        restart = seeds.select("host", *[(F.col(c) * (1 - damping)).alias(c) for c in names])
+        moved = steps.join(rank, "host").select(F.col("to").alias("host"), *[(F.col(c) * F.col("against" if c == "distrust" else "along")).alias(c) for c in names])
         rank = moved.union(restart).groupBy("host").agg(*[F.round(F.sum(c), 12).alias(c) for c in names])
         if k % 3 == 2 or k == rounds - 1:
             rank = cut(rank)
+            moved = rank.union(before.select("host", *[(-F.col(c)).alias(c) for c in names])).groupBy("host").agg(*[F.abs(F.sum(c)).alias(c) for c in names])
+            if (moved.agg(F.max(F.greatest(*names))).first()[0] or 0.0) <= tolerance:
+                break
+            before = rank
     return rank
 
 
