@@ -203,9 +203,9 @@ def chunk_rows(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> Data
     first = own.where(F.col("page").isNotNull() & (F.col("size") >= min_bytes)).groupBy("sha").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first < last").select("sha", "first")
     rows = own.join(first, "sha", "left").withColumn("revisit", F.coalesce(F.col("page") > F.col("first"), F.lit(False)) & (F.col("size") >= min_bytes))
     n = F.when(F.col("revisit"), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("size") / chunk))).cast("long")
-    parts = F.expr(f"transform(sequence(0L, n_chunks - 1), i -> if(revisit, binary(''), substring(body, cast(i * {chunk} + 1 as int), {chunk})))")
-    split = rows.withColumn("n_chunks", n).select("page", "url", "size", "sha", F.col("first").alias("refers"), "revisit", "n_chunks", F.posexplode(parts).alias("chunk_no", "chunk"))
-    return split.select("page", "url", "size", F.col("sha").alias("digest"), "refers", "revisit", "n_chunks", F.col("chunk_no").cast("long").alias("chunk_no"), "chunk")
+    numbered = rows.withColumn("n_chunks", n).select("page", "url", "size", "sha", F.col("first").alias("refers"), "revisit", "n_chunks", "body", F.explode(F.expr("sequence(0L, n_chunks - 1)")).alias("chunk_no"))
+    part = F.expr(f"if(revisit, binary(''), substring(body, cast(chunk_no * {chunk} + 1 as int), {chunk}))")
+    return numbered.select("page", "url", "size", F.col("sha").alias("digest"), "refers", "revisit", "n_chunks", "chunk_no", part.alias("chunk"))
 
 
 def _base32_of_hex(batches_run):
