@@ -185,7 +185,7 @@ def _encode_map(model: bytes):
                 text = t.as_py()
                 got = codec.encode(text)
                 ids.append(got)
-                same.append(codec.decode(got) == (text or "").replace(SPACE, " ").encode())
+                same.append(codec.decode(got) == (text or "").encode())
             sizes = np.cumsum([0, *map(len, ids)])
             flat = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
             rest = {k: piece.column(k) for k in piece.schema.names if k != "__text"}
@@ -215,7 +215,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[
 
     model_path: a sentencepiece BPE model on the driver; its bytes go to the executors. keep: the columns that
     stay (all but the text by default; result columns replace input columns of the same name). Null or empty text:
-    no ids, which decode to the empty text. U+2581 is the model's own mark of a space and decodes to a space.
+    no ids, which decode to the empty text. U+2581 is the model's own mark of a space and decodes to a space,
+    so a text that holds it has round_trip false.
     Nulls, repeated rows and empty tables need no special case: each row is coded by itself.
     """
     ship(docs.sparkSession)
