@@ -15,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a new one where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a new one where it is unset and all run on one machine."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_glyphmill_shared", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = sc._glyphmill_shared = f"file://{tempfile.mkdtemp(prefix='glyphmill-')}"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(found)
@@ -43,3 +45,33 @@ def ascii_lower(c: Column) -> Column:
 def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, text) of each row. Rows of one id with different texts stay apart by the key, a hash of the text."""
     return docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text"))
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """names, lengthened until no column has them: columns that an operator makes for itself never meet the caller's."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+#: Rows of one key from which a join sends that key's other side to every task, and how many such keys there may be.
+HOT_ROWS, HOT_KEYS = 2_000, 1 << 16
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of rows with keyed, which has one row a key and in column n how many of the `total` rows have that key.
+
+    A key that holds HOT_ROWS rows and a HOT_KEYSth of all or more is broadcast, so its rows stay where they are; by
+    counting there are HOT_KEYS such keys at most. The others meet in a shuffle, where none is large.
+    """
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    others = [c for c in keyed.columns if c not in on]
+    hot = keyed.where(F.col(n) >= least).select(*on, F.struct(*others).alias("__hot"))
+    split = rows.join(F.broadcast(hot), on, "left")
+    still = split.where(F.col("__hot").isNotNull()).select(*rows.columns, *[F.col("__hot")[c].alias(c) for c in others])
+    moved = split.where(F.col("__hot").isNull()).select(*rows.columns).join(keyed.where(F.col(n) < least), on).select(*rows.columns, *others)
+    return still.union(moved)
