@@ -2,9 +2,13 @@
 
 Candidates come from SimHash fingerprints within 3 bits (see simhash) and from MinHash bands: a pair of similarity
 0.8 shares none of BANDS bands of ROWS minima with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million, and more
-similar pairs still less often. Every candidate is decided by its words. Buckets first meet their leader, one
-that a hash draws in each; then all pairs that are still in different groups meet. Members that leaders link
-cost no pairs; those of one bucket that stay apart do, with the square of their number.
+similar pairs still less often. Every candidate is decided by its words.
+
+Texts of a bucket first meet two leaders: the one that shares most buckets with others, which is near the middle of a
+group of copies, and one that a hash draws. Buckets whose texts are then still in different groups are of two kinds. In
+small ones all pairs across groups meet. Texts of large ones (heavily edited copies, or texts with one passage in
+common) are joined by prefix filter: shingles in order of rarity among these texts, a prefix that every similar pair
+must share a shingle of, and a bound on their overlap by the places of that shingle. No similar pair of a bucket escapes.
 """
 
 from __future__ import annotations
@@ -18,12 +22,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import ship
 from . import simhash
-from .common import cut, with_row_key
+from .common import cut, hot_join, with_row_key
 from .graph import components
 from .wordblocks import Words, gram_hashes, mix, pieces, within_text
 
 SHINGLE, PARTS, OF = 5, 4, 5  # similarity of at least PARTS / OF
 BANDS, ROWS = 24, 4
+#: Texts of a bucket up to which all pairs across groups meet.
+SMALL = 16
 
 
 def band_keys(texts: pa.Array) -> np.ndarray:
@@ -71,13 +77,45 @@ def _similar_map(batches):
     of = lru_cache(maxsize=8)(shingle_set)
     for b in batches:
         ok = [similar(of(x.as_py()), of(y.as_py())) for x, y in zip(b.column("ta"), b.column("tb"), strict=True)]
-        yield b.select(["a", "b", "u", "v"]).filter(pa.array(ok, pa.bool_()))
+        yield b.select(["a", "b", "p", "q"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose texts (d, u, text) are similar, with their nodes' ids u, v."""
-    left, right = texts.toDF("a", "u", "ta"), texts.toDF("b", "v", "tb")
-    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "u", "v", "ta", "tb").mapInArrow(_similar_map, "a binary, b binary, u long, v long"))
+    """(p, q) of those of pairs (a, b, p, q) whose texts (node, text) are similar."""
+    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "p", "q", "ta", "tb")
+    return cut(both.mapInArrow(_similar_map, "a long, b long, p long, q long").select("p", "q"))
+
+
+def _grams_map(batches):
+    """(node, root, n, grams): the distinct shingle hashes of each text."""
+    for piece in pieces(batches, "text"):
+        words = Words(piece.column("text"), "space_fold")
+        hashes, sets = words.hashes(), []
+        for lo, hi in zip(words.first[:-1], words.first[1:], strict=True):
+            own = hashes[lo:hi]
+            sets.append(np.unique(gram_hashes(own, min(SHINGLE, len(own)))).view(np.int64) if len(own) else np.zeros(0, np.int64))
+        sizes = np.cumsum([0, *map(len, sets)])
+        flat = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(sets)))
+        yield pa.RecordBatch.from_arrays([piece.column("node"), piece.column("root"), pa.array(np.diff(sizes), pa.int64()), flat], names=["node", "root", "n", "grams"])
+
+
+def prefix_pairs(wide: DataFrame) -> DataFrame:
+    """(a, b, p, q) of texts (node, root, text) in different groups p < q that may be similar: all that are, and few others."""
+    sets = cut(wide.mapInArrow(_grams_map, "node long, root long, n long, grams array<long>"))
+    occurs = sets.select("node", F.explode("grams").alias("g"))
+    held = cut(occurs.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"))
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    lists = hot_join(occurs, held, ["g"], "df", total).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("own"))
+    # shingles that no other text has come first in the order, so the k-th of the others stands at n - size(own) + k
+    spots = F.expr(f"filter(transform(own, (x, k) -> struct(x.g AS g, n - size(own) + k AS at)), x -> x.at <= n - ({PARTS} * n + {OF - 1}) div {OF})")
+    tokens = lists.join(sets.select("node", "root", "n"), "node").select("node", "root", "n", F.explode_outer(spots).alias("x")).where("x is not null").select("x.g", "node", "root", "n", "x.at")
+    tokens = cut(tokens)
+    mixed = tokens.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
+    tokens = tokens.join(mixed, "g", "left_semi")
+    left, right = tokens.toDF("g", "a", "p", "na", "ia"), tokens.toDF("g", "b", "q", "nb", "ib")
+    # of similar texts the first shingle in common leaves room for the overlap that they need
+    fits = (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (PARTS + OF)) >= (F.col("na") + F.col("nb")) * PARTS
+    return left.join(right, "g").where((F.col("p") < F.col("q")) & fits).select("a", "b", "p", "q").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,31 +129,40 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = with_row_key(docs, id_col, text_col)
     marks = cut(rows.mapInArrow(_marks_map, "__id long, __key long, d binary, f long, bands array<long>"))
     own = marks.where(F.col("__id").isNotNull())
-    nodes = cut(own.groupBy("d").agg(F.min("__id").alias("rep"), F.min_by("__key", "__id").alias("__key"), F.first("f").alias("f"), F.first("bands").alias("bands")))
-
-    keyed = nodes.select("d", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("d", F.xxhash64("d", "key")).alias("leader")).where("n > 1")
-    shared = cut(keyed.join(buckets, "key").select("key", "d", "leader"))
-    prints = nodes.groupBy("f").agg(F.min("d").alias("d"))
-    prints = cut(prints)
+    nodes = own.groupBy("d").agg(F.min("__id").alias("rep"), F.min_by("__key", "__id").alias("__key"), F.first("f").alias("f"), F.first("bands").alias("bands"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    held = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = cut(hot_join(keyed, held, ["key"], "n", nodes.count() * BANDS))
+    ranked = shared.join(shared.groupBy("node").agg(F.sum("n").alias("degree")), "node")
+    leaders = ranked.groupBy("key").agg(F.first("n").alias("n"), F.max_by("node", F.struct("degree", "node")).alias("central"), F.min_by("node", F.xxhash64("node", "key")).alias("drawn"))
+    led = hot_join(shared.select("key", "node"), cut(leaders), ["key"], "n", nodes.count() * BANDS)
+    prints = cut(nodes.groupBy("f").agg(F.min("node").alias("node")))
     close = simhash.links(prints.select("f")).join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select("x", "y")
-    alike = nodes.join(prints.toDF("f", "x"), "f").select("x", F.col("d").alias("y"))
+    alike = nodes.join(prints.toDF("f", "x"), "f").select("x", F.col("node").alias("y"))
     ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    stars = shared.select(*ordered("d", "leader")).union(close.select(*ordered("x", "y"))).union(alike.select(*ordered("x", "y")))
+    stars = led.select(*ordered("node", "central")).union(led.select(*ordered("node", "drawn"))).union(close.select(*ordered("x", "y"))).union(alike.select(*ordered("x", "y")))
     tried = cut(stars.where("a <> b").distinct())
-    need = shared.select("d").union(tried.select("a")).union(tried.select("b")).distinct()
-    wanted = nodes.join(need, "d", "left_semi").select("d", F.col("rep").alias("__id"), "__key")
-    texts = cut(rows.join(wanted, ["__id", "__key"]).dropDuplicates(["d"]).select("d", F.col("__id").alias("u"), "__text"))  # the only shuffle of texts
-    first = _verified(tried, texts)
-
-    edges = first.select("u", "v").union(own.join(nodes.select("d", "rep"), "d").select(F.col("__id").alias("u"), F.col("rep").alias("v")))
-    roots = components(edges)
-    at = lambda found: nodes.join(found.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("d", F.coalesce("root", "rep").alias("root"))
-    placed = shared.select("key", "d").join(at(roots), "d")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    placed = cut(placed.join(mixed, "key", "left_semi"))
-    rest = placed.toDF("key", "x", "p").join(placed.toDF("key", "y", "q"), "key").where("p < q").select(*ordered("x", "y")).distinct().join(tried, ["a", "b"], "left_anti")
-    second = _verified(cut(rest), texts)
-    whole = at(components(edges.union(second.select("u", "v"))))
-    found = marks.select("__id", "__key", "d").join(whole, "d", "left")
-    return found.select("__id", "__key", F.when(F.col("__id").isNotNull(), F.col("root")).alias("component_id"))
+    need = shared.select("node").union(tried.select("a")).union(tried.select("b")).distinct()
+    wanted = nodes.join(need, "node", "left_semi").select("node", F.col("rep").alias("__id"), "__key")
+    texts = cut(rows.join(wanted, ["__id", "__key"]).dropDuplicates(["__id", "__key"]).select("node", F.col("__text").alias("text")))  # the only shuffle of all texts
+    first = _verified(tried.select("a", "b", F.col("a").alias("p"), F.col("b").alias("q")), texts)
+
+    placed = cut(marks.join(nodes.select("d", "node"), "d", "left").select("__id", "__key", "node"))
+    several = placed.where(F.col("__id").isNotNull()).groupBy("__id").agg(F.min("node").alias("u"), F.max("node").alias("last"), F.collect_set("node").alias("all")).where("u < last")
+    roots = components(first.toDF("u", "v").union(several.select("u", F.explode("all").alias("v"))))
+    at = cut(nodes.select("node", "rep").join(roots.toDF("node", "root"), "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")))
+
+    entries = shared.join(at.select("node", "root"), "node")
+    mixed = entries.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    entries = cut(entries.join(mixed, "key", "left_semi").select("key", "node", "n", "root"))
+    few = entries.where(F.col("n") <= SMALL).select("key", "node", "root")
+    few = few.toDF("key", "a", "p").join(few.toDF("key", "b", "q"), "key").where("p < q").select("a", "b", "p", "q").distinct()
+    wide = prefix_pairs(entries.where(F.col("n") > SMALL).select("node", "root").distinct().join(texts, "node"))
+    rest = few.union(wide).select(*ordered("a", "b"), "p", "q").distinct().join(tried, ["a", "b"], "left_anti")
+    merged = components(_verified(cut(rest), texts).toDF("u", "v"))
+    final = at.join(merged.toDF("root", "last"), "root", "left").select("node", "rep", F.coalesce("last", "root").alias("root"))
+    least = final.groupBy("root").agg(F.min("rep").alias("component_id"))
+    found = placed.join(final.select("node", "root"), "node", "left").join(least, "root", "left")
+    return found.select("__id", "__key", F.when(F.col("__id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -133,7 +133,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, lanes: int = 1) -> DataFrame:
     """The rows of docs without all but one row of each group of near copies: the smallest id stays.
 
-    Rows that repeat an id: the one whose text hashes lowest stays, once. Rows with a null id all stay.
+    Rows that repeat an id: the one whose text hashes lowest stays, once. Rows with a null id all stay. Columns pass
+    through, whatever their names.
     """
     return first_of_groups(docs, near_groups(docs, id_col, text_col, shingle, max_bits, lanes), id_col, text_col)
 
@@ -141,9 +142,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each group of groups (__id, __key, component_id), as near_dedup keeps it."""
     stay = groups.where("component_id = __id").groupBy("__id").agg(F.min("__key").alias("__key"))
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(text_col)})
+    # the caller's columns travel as one, so their names meet none of those made here
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__key"))
     one = keyed.where(F.col("__id").isNotNull()).join(stay, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
-    return one.unionByName(keyed.where(F.col("__id").isNull())).drop("__id", "__key")
+    return one.unionByName(keyed.where(F.col("__id").isNull())).select("__row.*")
 
 
 def op3_simhash(docs: DataFrame) -> DataFrame:
