@@ -1,14 +1,14 @@
 """Line dedup: explode normalised lines, hash, count documents per hash, drop, reassemble by position.
 
-DataFrame functions only. Texts are never shuffled with their lines: what is exploded is (id, position,
-hash), about 30 bytes a line; the texts meet only their own list of dropped positions.
+DataFrame functions only. What is exploded is (id, position, hash), about 30 bytes a line, never a line itself.
+Texts are shuffled once, whole, to meet their own list of dropped positions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, hot_join
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -26,8 +26,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null id takes no part: its rows are returned whole. An empty table gives an empty table; other columns
     pass through, whatever their names (result columns replace input columns of the same name).
 
-    A hot line costs one row per map task after partial aggregation; the join back to a hot hash is an inner
-    equi-join that adaptive execution can split.
+    A frequent line costs one row per map task to count, and its lines stay where they are (see hot_join).
     """
     row = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text"))
     key = F.btrim(F.col("__line"), F.lit(BLANKS))
@@ -40,35 +39,31 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("__id", "__key", "__pos", ascii_lower(F.col("__norm")).alias("__norm"))
         .select("__id", "__key", "__pos", F.xxhash64("__norm").alias("__h"), F.hash("__norm").alias("__g"))
     )
-    lines = cut(lines)  # read twice below: the texts are split and hashed once
+    lines = cut(lines)  # read again below: the texts are split and hashed once
+    own, first, n = ["__h", "__g"], F.min("__id").alias("__first"), F.count("*").alias("__n")
     if min_docs == 2:
-        held = lines.groupBy("__h", "__g").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last"))
-        repeated = held.where(F.col("__first") < F.col("__last"))
+        held = lines.groupBy(*own).agg(first, F.max("__id").alias("__last"), n).where(F.col("__first") < F.col("__last"))
     else:
-        held = lines.select("__h", "__g", "__id").distinct().groupBy("__h", "__g").agg(F.min("__id").alias("__first"), F.count("*").alias("__docs"))
-        repeated = held.where(F.col("__docs") >= min_docs)
-    dropped = (
-        lines.join(repeated.select("__h", "__g", "__first"), ["__h", "__g"])
-        .where(F.col("__id") != F.col("__first"))
-        .groupBy("__id", "__key")
-        .agg(F.collect_set("__pos").alias("__drop"))
-    )
+        held = lines.groupBy(*own, "__id").agg(n).groupBy(*own).agg(first, F.count("*").alias("__docs"), F.sum("__n").alias("__n")).where(F.col("__docs") >= min_docs)
+    repeated = cut(held.select(*own, "__first", "__n"))
+    dropped = hot_join(lines, repeated, own, "__n", lines.count()).where(F.col("__id") != F.col("__first")).groupBy("__id", "__key").agg(F.collect_set("__pos").alias("__drop"))
     old = [c for c in docs.columns if c not in ("kept", "n_lines", "n_dropped")]
-    whole = docs.select(*[F.col(f"`{c}`") for c in old], F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text"))
+    # the caller's columns travel as one, so their names meet none of those made here
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__key"))
     found = whole.join(dropped, ["__id", "__key"], "left")
-    text = F.coalesce(F.col("__text"), F.lit(""))
-    n = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    text = F.coalesce(F.col("__row")[text_col], F.lit(""))
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 
     def reassembled(lines: Column) -> Column:
         stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
         return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
 
     # a one-element array binds the split lines: captured by the inner lambda they would be split again for each line
-    kept = F.get(F.transform(F.array(_lines(F.col("__text"))), reassembled), F.lit(0))
+    kept = F.get(F.transform(F.array(_lines(text)), reassembled), F.lit(0))
     return found.select(
-        *[F.col(f"`{c}`") for c in old],
+        *[F.col("__row")[c].alias(c) for c in old],
         F.when(F.col("__drop").isNull(), text).otherwise(kept).alias("kept"),
-        n.cast("long").alias("n_lines"),
+        n_lines.cast("long").alias("n_lines"),
         F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
