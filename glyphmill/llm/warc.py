@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import ship
-from .common import cut, shared_dir
+from .common import cut, hot_join, shared_dir
 
 CHUNK = 1 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -195,13 +195,15 @@ def _read_map(folder: str, with_data: bool, chunk: int):
 def chunk_rows(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
     """Payloads as rows of CHUNKS, one record's chunks in order in one partition; which records revisit which is settled.
 
-    Digests are taken first, from (page_id, digest) alone; a digest that a third of all pages share costs one row
-    per map task, and the join back to it is one that adaptive execution can split.
+    Which page is first is settled from (page_id, digest) alone; a digest that many pages share is no task's own (see
+    hot_join). Bodies then meet the rows of revisits by page_id and digest.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select(F.col("page_id").cast("long").alias("page"), F.col("url").cast("string").alias("url"), body.alias("body"), F.sha1(body).alias("sha"), F.octet_length(body).cast("long").alias("size"))
-    first = own.where(F.col("page").isNotNull() & (F.col("size") >= min_bytes)).groupBy("sha").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first < last").select("sha", "first")
-    rows = own.join(first, "sha", "left").withColumn("revisit", F.coalesce(F.col("page") > F.col("first"), F.lit(False)) & (F.col("size") >= min_bytes))
+    digests = cut(own.where(F.col("page").isNotNull() & (F.col("size") >= min_bytes)).select("page", "sha"))
+    first = cut(digests.groupBy("sha").agg(F.min("page").alias("first"), F.max("page").alias("last"), F.count("*").alias("n")).where("first < last").select("sha", "first", "n"))
+    again = hot_join(digests, first, ["sha"], "n", digests.count()).where("page > first").select("page", "sha", "first").distinct()
+    rows = own.join(again, ["page", "sha"], "left").withColumn("revisit", F.col("first").isNotNull())
     n = F.when(F.col("revisit"), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("size") / chunk))).cast("long")
     numbered = rows.withColumn("n_chunks", n).select("page", "url", "size", "sha", F.col("first").alias("refers"), "revisit", "n_chunks", "body", F.explode(F.expr("sequence(0L, n_chunks - 1)")).alias("chunk_no"))
     part = F.expr(f"if(revisit, binary(''), substring(body, cast(chunk_no * {chunk} + 1 as int), {chunk}))")
