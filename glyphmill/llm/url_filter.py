@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import let
 from .common import ascii_lower, cut
 
 #: (host, path, verdict)
@@ -41,12 +42,12 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 
 def host_edges(pages: DataFrame, host_col: str = "host", html_col: str = "html") -> DataFrame:
-    """(src, dst, n): pages of src that link to dst. A relative link goes to the page's own host."""
+    """(src, dst, n): how many pages of src link to dst, each counted once however many links it has. A relative link goes to the page's own host."""
     found = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""), 1)
-    hosts = F.array_distinct(F.transform(found, lambda x: F.when(x.startswith("//"), F.concat(F.lit("x:"), x)).when(x.contains("://"), x)))
-    each = pages.where(F.col(host_col) != "").select(F.col(host_col).alias("src"), F.explode(hosts).alias("x"))
-    dst = F.when(F.col("x").isNull(), F.col("src")).otherwise(url_host(F.col("x")))
-    return each.select("src", dst.alias("dst")).where("dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    host = lambda x, own: F.when(x.startswith("//"), url_host(F.concat(F.lit("x:"), x))).when(x.contains("://"), url_host(x)).otherwise(own)
+    each = pages.where(F.col(host_col) != "").select(F.col(host_col).alias("src"), found.alias("found"))
+    each = each.select("src", F.explode_outer(let(F.col("src"), lambda own: F.array_distinct(F.transform("found", lambda x: host(x, own))))).alias("dst"))
+    return each.where("dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
@@ -87,21 +88,22 @@ def url_filter(pages: DataFrame, url_col: str = "url", html_col: str = "html", r
     The longest rule that fits decides. Without one, the page's host decides: block if its distrust exceeds its
     trust and is `threshold` of its weight or more, else allow; an empty host is allowed. Null urls have empty host
     and path; null html has no links. Repeated rows count as pages of their own; an empty table gives an empty
-    table. Columns of pages pass through (result columns replace input columns of the same name).
+    table. Columns of pages pass through, whatever their names (result columns replace input columns of the same name).
     """
     made = ("host", "path", "rule", "verdict")
-    old = [c for c in pages.columns if c not in made]
     url = F.col(url_col)
-    judged = pages.select(*[F.col(f"`{c}`") for c in old], url_host(url).alias("host"), url_path(url).alias("path"))
+    # the caller's columns travel as one, so their names meet none of those made here
+    judged = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in made]).alias("row"), url_host(url).alias("host"), url_path(url).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = judged.withColumns({"rule": name, "__by_rule": verdict})
+    judged = judged.withColumns({"rule": name, "by_rule": verdict})
     links = cut(host_edges(pages.select(url_host(url).alias("host"), F.col(html_col).alias("html"))))
-    is_ = lambda v: F.sum(F.when(F.col("__by_rule") == v, 1.0).otherwise(0.0))
+    is_ = lambda v: F.sum(F.when(F.col("by_rule") == v, 1.0).otherwise(0.0))
     seeds = judged.where("host <> ''").groupBy("host").agg(is_("allow").alias("trust"), is_("block").alias("distrust"), F.count("*").cast("double").alias("weight"))
     rank = propagate(links, cut(seeds), rounds, damping)
-    bad = rank.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold * F.col("weight"))).select("host", F.lit("block").alias("__by_links"))
+    bad = rank.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold * F.col("weight"))).select("host", F.lit("block").alias("by_links"))
     rows = judged.join(bad, "host", "left")
-    return rows.select(*[F.col(f"`{c}`") for c in old], "host", "path", "rule", F.coalesce("__by_rule", "__by_links", F.lit("allow")).alias("verdict"))
+    old = [c for c in pages.columns if c not in made]
+    return rows.select(*[F.col("row")[c].alias(c) for c in old], "host", "path", "rule", F.coalesce("by_rule", "by_links", F.lit("allow")).alias("verdict"))
 
 
 def op4_url_filter(pages: DataFrame) -> DataFrame:
