@@ -1,10 +1,11 @@
 """License scans with a positional rare-token index.
 
-Templates are word sequences. How many documents hold each template word is counted over all documents first;
-each template is indexed by its rarest words with their offsets. In a document, the places of indexed words vote
-for (template, place - offset); an alignment with enough votes is a candidate, and its mandatory key phrase is
-compared word by word. Base phrases are templates whose key phrase is the whole of them and whose rarest word
-alone makes a candidate, so every place where they stand is found.
+Templates are word sequences: phrases, notices and whole texts of licences. How many documents hold each template
+word is counted over all documents first. All templates' words are posted with their offsets. Of a file, the template
+words of highest IDF that it holds itself are looked up; each place and posting votes for (template, place - offset), so
+postings are intersected by relative position. An alignment with enough votes is a candidate, whose mandatory key phrases
+are compared word by word. A template is looked up in a file only if the file holds all words of its key phrases. Base
+phrases are templates that are all key: their rarest word alone makes a candidate, so every place is found.
 """
 
 from __future__ import annotations
@@ -16,63 +17,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import ship
+from .common import free
 from .decontaminate import Lookup
+from .license_texts import PHRASES, TEXTS
 from .wordblocks import Words, pieces
 
-#: Rarest words by which a template is indexed, and the share of its index that must vote for one alignment.
-RARE, VOTES = 4, 0.5
+#: A file's words of highest IDF that a template is looked up by, and the share of them that must vote for one alignment.
+RARE, VOTES = 6, 0.5
+
+
+def _split(text: str) -> tuple[bytes, ...]:
+    words = Words(pa.array([text]), "alnum_fold")
+    return tuple(words.words(0, len(words)))
 
 
 @dataclass(frozen=True)
 class Template:
-    """label; its words; the key phrase that must stand at its place within them; whether it is a base phrase."""
+    """label; its words; the key phrases and where they must stand within them; whether it is a base phrase."""
 
     label: str
-    text: str
-    key: str
+    words: tuple[bytes, ...]
+    keys: tuple[tuple[int, tuple[bytes, ...]], ...]
     base: bool = False
 
-    @property
-    def words(self) -> tuple[bytes, ...]:
-        return tuple(self.text.encode().split())
-
-    @property
-    def key_at(self) -> int:
-        own, key = self.words, tuple(self.key.encode().split())
-        return next(i for i in range(len(own) - len(key) + 1) if own[i : i + len(key)] == key)
-
-
-BASE = (
-    Template("mit", "mit license", "mit license", True),
-    Template("apache", "apache license", "apache license", True),
-    Template("gpl", "general public license", "general public license", True),
-)
-#: Notices of public licences as they stand in files, in words.
-NOTICES = (
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    Template("mit", "released under the mit license", "mit license"),
-    Template("apache", "licensed under the apache license version 2 0", "apache license"),
-    Template("gpl", "this work is licensed under the gnu general public license version", "general public license"),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "general public license"),
-    Template("lgpl", "licensed under the terms of the gnu lesser general public license", "lesser general public license"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
-    Template("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
-)
-
-
-def _hash(words) -> np.ndarray:
+    @classmethod
+    def of(cls, label: str, text: str, keys: tuple[str, ...] = (), base: bool = False) -> Template:
+        own = _split(text)
+        parts = [_split(k) for k in keys] or [own]
+        return cls(label, own, tuple((next(i for i in range(len(own)) if own[i : i + len(k)] == k), k) for k in parts), base)
+
+
+BASE = tuple(Template.of(label, text, base=True) for label, text in PHRASES)
+NOTICES = tuple(Template.of(*x) for x in TEXTS)
+
+
+def _hashes(words: tuple[bytes, ...]) -> np.ndarray:
     return Words(pa.array([b" ".join(words).decode()]), "alnum_fold").hashes()
 
 
 def _count_map(vocabulary: np.ndarray):
     def run(batches):
         look, total = Lookup(vocabulary), np.zeros(len(vocabulary), np.int64)
-        for piece in pieces(batches, "__text"):
-            words = Words(piece.column("__text"), "alnum_fold")
+        for piece in pieces(batches, "text"):
+            words = Words(piece.column("text"), "alnum_fold")
             at, k = look(words.hashes())
             pairs = np.unique(words.text_of()[at].astype(np.int64) * len(vocabulary) + k)
             total += np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
@@ -83,50 +70,66 @@ def _count_map(vocabulary: np.ndarray):
     return run
 
 
-def build_index(templates: tuple[Template, ...], vocabulary: np.ndarray, docs: np.ndarray, rare: int = RARE, votes: float = VOTES):
-    """(sorted index words, start of each one's postings, template of each posting, its offset, votes that each template needs)."""
-    rows, need = [], []
-    for t, own in enumerate(templates):
-        hashes = _hash(own.words)
-        count = docs[np.searchsorted(vocabulary, hashes)]
-        order = sorted(range(len(hashes)), key=lambda j: (count[j], int(hashes[j]), j))
-        chosen = order[: 1 if own.base else rare]
-        need.append(1 if own.base else max(1, int(np.ceil(votes * len(chosen)))))
-        rows += [(int(hashes[j]), t, j) for j in chosen]
-    rows.sort()
-    h = np.array([r[0] for r in rows], np.uint64)
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[first], np.append(first, len(h)), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array(need)
-
-
-def _scan(words: Words, hashes: np.ndarray, templates: tuple[Template, ...], index, look: Lookup):
+class Index:
+    """Templates by the numbers of their words in a sorted vocabulary of hashes. docs: how many documents hold each."""
+
+    def __init__(self, templates: tuple[Template, ...], vocabulary: np.ndarray, docs: np.ndarray):
+        self.templates, self.vocabulary = templates, vocabulary
+        self.rank = np.empty(len(vocabulary), np.int64)  # by rarity; ties go to the smaller hash
+        self.rank[np.lexsort((vocabulary, docs))] = np.arange(len(vocabulary))
+        self.words = [np.searchsorted(vocabulary, _hashes(t.words)) for t in templates]
+        self.keys = [np.unique(np.concatenate([w[i : i + len(k)] for i, k in t.keys])) for t, w in zip(templates, self.words, strict=True)]
+        of_key = np.array([(k, t) for t, own in enumerate(self.keys) for k in own.tolist()])
+        of_key = of_key[np.argsort(of_key[:, 0], kind="stable")]
+        self.first, self.of_key = np.searchsorted(of_key[:, 0], np.arange(len(vocabulary) + 1)), of_key[:, 1]
+
+    def candidates(self, text: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """(text, template) wherever a text holds all key words; from the texts' distinct words k."""
+        many = self.first[k + 1] - self.first[k]
+        t = self.of_key[np.repeat(self.first[k], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)]
+        pair, count = np.unique(np.repeat(text, many).astype(np.int64) * len(self.templates) + t, return_counts=True)
+        text, t = np.divmod(pair, len(self.templates))
+        whole = count == np.array([len(x) for x in self.keys])[t]
+        return np.stack([text[whole], t[whole]], axis=1)
+
+    def starts(self, t: int, k: np.ndarray) -> np.ndarray:
+        """Starts (relative to the words k of a text, -1 for words outside the vocabulary) at which template t has enough votes."""
+        own = self.words[t]
+        held = np.intersect1d(own, k)
+        chosen = held[np.argsort(self.rank[held])[: 1 if self.templates[t].base else RARE]]
+        votes = np.concatenate([(np.flatnonzero(k == c)[:, None] - np.flatnonzero(own == c)).reshape(-1) for c in chosen])
+        start, count = np.unique(votes, return_counts=True)
+        return start[count >= max(1, int(np.ceil(VOTES * len(chosen))))]
+
+
+def _scan(words: Words, index: Index, look: Lookup):
     """(text, start word, template, share of the template's words in place) of every verified alignment."""
-    keys, first, of_template, offset, need = index
-    at, k = look(hashes)
-    many = first[k + 1] - first[k]
-    which = np.repeat(first[k], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    start, t = np.repeat(at, many) - offset[which], of_template[which]
-    of = words.text_of()[np.repeat(at, many)]
-    found, votes = np.unique(np.stack([t, start, of], axis=1), axis=0, return_counts=True)
-    for (t, start, text), v in zip(found.tolist(), votes.tolist(), strict=True):
-        own, lo, hi = templates[t], int(words.first[text]), int(words.first[text + 1])
-        key, at_key = own.key.encode().split(), start + own.key_at
-        if v < need[t] or at_key < lo or at_key + len(key) > hi:
-            continue
-        if all(words.word(at_key + j) == w for j, w in enumerate(key)):
-            inside = [lo <= start + j < hi and words.word(start + j) == w for j, w in enumerate(own.words)]
-            yield text, start - lo, t, sum(inside) / len(inside)
-
-
-def _scan_map(templates: tuple[Template, ...], index):
+    at, k = look(words.hashes())
+    of = words.text_of()[at].astype(np.int64)
+    text, word = np.divmod(np.unique(of * len(index.vocabulary) + k), len(index.vocabulary))
+    for text, t in index.candidates(text, word).tolist():
+        lo, hi = int(words.first[text]), int(words.first[text + 1])
+        a, b = np.searchsorted(at, [lo, hi])
+        own = np.full(hi - lo, -1, np.int64)
+        own[at[a:b] - lo] = k[a:b]
+        template = index.templates[t]
+        for start in index.starts(t, own).tolist():
+            spots = [(start + i, key) for i, key in template.keys]
+            if all(s >= 0 and s + len(key) <= hi - lo and tuple(words.words(lo + s, lo + s + len(key))) == key for s, key in spots):
+                inside = range(max(0, -start), min(len(template.words), hi - lo - start))
+                yield text, start, t, sum(words.word(lo + start + j) == template.words[j] for j in inside) / len(template.words)
+
+
+def _scan_map(index: Index, name: str):
     def run(batches):
-        look = Lookup(index[0])
-        for piece in pieces(batches, "__text"):
-            words = Words(piece.column("__text"), "alnum_fold")
+        look = Lookup(index.vocabulary)
+        for piece in pieces(batches, name):
+            words = Words(piece.column(name), "alnum_fold")
             found: list[list] = [[] for _ in range(piece.num_rows)]
-            for text, start, t, share in _scan(words, words.hashes(), templates, index, look):
-                found[text].append({"label": templates[t].label, "start": start, "words": len(templates[t].words), "base": templates[t].base, "share": share})
-            rest = {c: piece.column(c) for c in piece.schema.names if c != "__text"}
+            for text, start, t, share in _scan(words, index, look):
+                own = index.templates[t]
+                found[text].append({"label": own.label, "start": start, "words": len(own.words), "base": own.base, "share": share})
+            rest = {c: piece.column(c) for c in piece.schema.names if c != name}
             kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("words", pa.int64()), ("base", pa.bool_()), ("share", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*rest.values(), pa.array(words.counts, pa.int64()), pa.array([sorted(x, key=lambda m: (m["start"], m["label"], m["words"])) for x in found], kind)], names=[*rest, "n_words", "matches"])
 
@@ -137,21 +140,22 @@ def license_scan(docs: DataFrame, text_col: str = "text", base: tuple[Template,
     """Every row of docs without its text, with n_words and matches: array of (label, start word, words, base, share in place).
 
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z. Base phrases are found wherever they stand;
-    notices where enough of their rarest words agree on a place and the key phrase stands there. Null text has no
-    words; empty tables give empty tables; repeated rows are scanned each by itself. Columns of docs pass through
-    (result columns replace input columns of the same name). Ties in rarity go to the smaller hash.
+    notices where enough of the file's rarest words agree on a place and the key phrases stand there (their start
+    may lie before the file's first word, if only the rest is there). Null text has no words; empty tables give empty
+    tables; repeated rows are scanned each by itself. Columns of docs pass through, whatever their names (result
+    columns replace input columns of the same name). Ties in rarity go to the smaller hash.
     """
     ship(docs.sparkSession)
     templates = (*base, *notices)
-    vocabulary = np.unique(np.concatenate([_hash(t.words) for t in templates]))
+    vocabulary = np.unique(np.concatenate([_hashes(t.words) for t in templates]))
     counts = np.zeros(len(vocabulary), np.int64)
-    text = F.col(text_col).alias("__text")
-    for r in docs.select(text).mapInArrow(_count_map(vocabulary), "k long, docs long").groupBy("k").agg(F.sum("docs").alias("docs")).collect():  # a row per template word
+    for r in docs.select(F.col(text_col).alias("text")).mapInArrow(_count_map(vocabulary), "k long, docs long").groupBy("k").agg(F.sum("docs").alias("docs")).collect():  # a row per template word
         counts[r["k"]] = r["docs"]
     old = [c for c in (keep if keep is not None else docs.columns) if c not in (text_col, "n_words", "matches")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in old], text)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text"]
-    return rows.mapInArrow(_scan_map(templates, build_index(templates, vocabulary, counts)), ", ".join([*kinds, "n_words long", "matches array<struct<label:string,start:bigint,words:bigint,base:boolean,share:double>>"]))
+    (name,) = free(docs.columns, "__text")
+    rows = docs.select(*[F.col(f"`{c}`") for c in old], F.col(text_col).alias(name))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != name]
+    return rows.mapInArrow(_scan_map(Index(templates, vocabulary, counts), name), ", ".join([*kinds, "n_words long", "matches array<struct<label:string,start:bigint,words:bigint,base:boolean,share:double>>"]))
 
 
 def op6_license_scan(docs: DataFrame) -> DataFrame:
