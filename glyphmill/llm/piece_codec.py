@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import ship
+from .common import free
 from .wordblocks import pieces
 
 SPACE = "▁"
@@ -160,7 +161,7 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> bytes:
         out = self.out
-        raw = b"".join([out[i] for i in ids.tolist()])
+        raw = b"".join([out[i] for i in ids.tolist() if 0 <= i < len(out)])
         return raw[1:] if self.prefix and raw.startswith(b" ") else raw
 
 
@@ -176,30 +177,30 @@ def _codec(model: bytes) -> Codec:
     return _codecs[key]
 
 
-def _encode_map(model: bytes):
+def _encode_map(model: bytes, name: str):
     def run(batches):
         codec = _codec(model)
-        for piece in pieces(batches, "__text", 2 << 20):
+        for piece in pieces(batches, name, 2 << 20):
             ids, same = [], []
-            for t in piece.column("__text"):
+            for t in piece.column(name):
                 text = t.as_py()
                 got = codec.encode(text)
                 ids.append(got)
                 same.append(codec.decode(got) == (text or "").encode())
             sizes = np.cumsum([0, *map(len, ids)])
             flat = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-            rest = {k: piece.column(k) for k in piece.schema.names if k != "__text"}
+            rest = {k: piece.column(k) for k in piece.schema.names if k != name}
             yield pa.RecordBatch.from_arrays([*rest.values(), pa.array(np.diff(sizes), pa.int64()), flat, pa.array(same, pa.bool_())], names=[*rest, "n_ids", "ids", "round_trip"])
 
     return run
 
 
-def _decode_map(model: bytes):
+def _decode_map(model: bytes, name: str):
     def run(batches):
         codec = _codec(model)
         for b in batches:
-            text = [None if x is None else codec.decode(np.array([i for i in x if i is not None], np.int32)).decode("utf-8", "replace") for x in b.column("__ids").to_pylist()]
-            rest = {k: b.column(k) for k in b.schema.names if k != "__ids"}
+            text = [None if x is None else codec.decode(np.array([i for i in x if i is not None], np.int32)).decode("utf-8", "replace") for x in b.column(name).to_pylist()]
+            rest = {k: b.column(k) for k in b.schema.names if k != name}
             yield pa.RecordBatch.from_arrays([*rest.values(), pa.array(text, pa.string())], names=[*rest, "decoded"])
 
     return run
@@ -221,15 +222,17 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[
     """
     ship(docs.sparkSession)
     old = [c for c in (keep if keep is not None else docs.columns) if c not in (text_col, "n_ids", "ids", "round_trip")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in old], F.col(text_col).alias("__text"))
-    return _mapped(rows, "__text", _encode_map(Path(model_path).read_bytes()), "n_ids long, ids array<int>, round_trip boolean")
+    (name,) = free(docs.columns, "__text")
+    rows = docs.select(*[F.col(f"`{c}`") for c in old], F.col(text_col).alias(name))
+    return _mapped(rows, name, _encode_map(Path(model_path).read_bytes(), name), "n_ids long, ids array<int>, round_trip boolean")
 
 
 def decode(coded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
-    """Every row of coded with `decoded`, the text of its ids; null for null ids. Null elements are skipped."""
+    """Every row of coded with `decoded`, the text of its ids; null for null ids. Null elements and ids that the model lacks are skipped."""
     ship(coded.sparkSession)
-    rows = coded.select(*[F.col(f"`{c}`") for c in coded.columns if c != "decoded"], F.col(ids_col).alias("__ids"))
-    return _mapped(rows, "__ids", _decode_map(Path(model_path).read_bytes()), "decoded string")
+    (name,) = free(coded.columns, "__ids")
+    rows = coded.select(*[F.col(f"`{c}`") for c in coded.columns if c != "decoded"], F.col(ids_col).alias(name))
+    return _mapped(rows, name, _decode_map(Path(model_path).read_bytes(), name), "decoded string")
 
 
 def op7_piece_codec(docs: DataFrame, model_path: str) -> DataFrame:
