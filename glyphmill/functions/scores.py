@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from .. import lexicon as L
 from ..config import EngineConfig
+from .text import let
 
 CONFIG = EngineConfig()
 
@@ -23,13 +23,29 @@ def logit(p: Column, eps: float = 1e-4) -> Column:
 
 
 def exact_round(c: Column, digits: int) -> Column:
-    """Half-even on the exact binary value, as IEEE libraries print it; the built-in rounds the shortest decimal."""
-
-    @F.pandas_udf("double")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if pd.isna(v) else round(v, digits))
-
-    return run(c)
+    """Half-even on the exact binary value, as IEEE libraries print it; the built-in rounds the shortest decimal, half up.
+
+    Both agree unless the scaled value is next to a tie. There the value is an integer over a power of two, so
+    whole numbers decide. Values that take ten digits or more are left to the built-in.
+    """
+    unit = 10**digits
+
+    def exact(x: Column, e: Column) -> Column:
+        # x = m / 2 ** e with m an integer below 2 ** 54; 2 ** e in two factors, each exact
+        m = (x * F.pow(F.lit(2.0), e)).cast("long").cast("decimal(18,0)")
+        half = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k).cast("decimal(19,0)")
+        power = (half(F.shiftright(e, 1)) * half(e - F.shiftright(e, 1))).cast("decimal(25,0)")
+        whole = F.floor(x * unit)
+        over = (m * F.lit(2 * unit).cast("decimal(10,0)")).cast("decimal(38,0)") - ((whole * 2 + 1).cast("decimal(13,0)") * power).cast("decimal(38,0)")
+        return let(over, lambda o: (whole.cast("double") + F.when(o > 0, 1).when(o < 0, 0).otherwise((whole % 2).cast("int"))) / unit)
+
+    def one(v: Column) -> Column:
+        size = F.abs(v)
+        tie = (size > 1e-6) & (size * unit < float(1 << 31)) & (F.abs(size * unit - F.floor(size * unit) - 0.5) < 1e-6)
+        settled = let(F.greatest(F.lit(52) - F.floor(F.log2(size)).cast("int"), F.lit(0)), lambda e: F.signum(v) * exact(size, e))
+        return F.when(tie, settled).otherwise(F.round(v, digits))
+
+    return let(c.cast("double"), one)
 
 
 def style_logit(burst: Column, rate: Column, connectors: Column, paragraphs: Column, asks: Column, w: L.StyleWeights = L.StyleWeights()) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import html
+import unicodedata
+from collections.abc import Callable, Sequence
+from functools import lru_cache
+from html.entities import html5
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import lexicon as L
 
@@ -13,9 +17,39 @@ WS = r"\s\x1c-\x1f\x{85}\p{Z}"
 LETTER = r"[\p{L}\p{Nl}\p{No}]"
 WORD = rf"{LETTER}+(?:[-']{LETTER}+)*"
 WORD_CHAR = r"[\p{L}\p{N}_]"
-#: What folding maps to plain letters; enough for Latin scripts.
-ACCENTED = "áàäâãåéèëêíìïîóòöôõúùüûñçýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+#: Joins the two parts and the entries of a table that is one literal.
+_PART, _ENTRY = "\x01", "\x02"
+
+
+def _table(entries: dict[str, str]) -> Column:
+    """A map as one literal, which is parsed once when the query is planned."""
+    return F.str_to_map(F.lit(_ENTRY.join(f"{k}{_PART}{v}" for k, v in entries.items())), F.lit(_ENTRY), F.lit(_PART))
+
+
+@lru_cache(maxsize=1)
+def fold_table() -> tuple[str, str, dict[str, str]]:
+    """(characters, what each becomes, those that become several): compatibility decompositions without combining marks.
+
+    Characters beyond the end of what they become are dropped. Syllables of Hangul stay whole.
+    """
+    one, gone, several = {}, [], {}
+    for c in map(chr, (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x110000))):
+        if unicodedata.combining(c):
+            gone.append(c)
+        elif (plain := "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))) != c:
+            (one if len(plain) == 1 else several)[c] = plain
+    return "".join([*one, *gone]), "".join(one.values()), several
+
+
+def _class(chars: Sequence[str]) -> str:
+    """A regular expression's class of characters, as ranges."""
+    out, codes = [], sorted(map(ord, chars))
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out) + "]"
 
 
 def let(value: Column, body) -> Column:
@@ -23,23 +57,61 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def running(lengths: Column, block: int = 256) -> Column:
-    """Inclusive prefix sums of an array of ints. Appending copies an array, so sums go block by block and are then shifted."""
+def running(lengths: Column, block: int = 256, zero: float = 0) -> Column:
+    """Inclusive prefix sums of an array of numbers of zero's kind. Appending copies an array, so sums go block by block and are then shifted."""
 
     def plain(x: Column) -> Column:
-        return F.slice(F.aggregate(x, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v))), F.lit(2), F.size(x))
+        return F.slice(F.aggregate(x, F.array(F.lit(zero)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v))), F.lit(2), F.size(x))
 
     def blocks(x: Column) -> Column:
         last = F.floor(F.greatest(F.size(x) - 1, F.lit(0)) / block).cast("int")
         return F.transform(F.sequence(F.lit(0), last), lambda b: plain(F.slice(x, b * block + 1, F.lit(block))))
 
     def shifted(parts: Column, totals: Column) -> Column:
-        return F.flatten(F.transform(parts, lambda y, i: let(F.coalesce(F.get(totals, i - 1), F.lit(0)), lambda base: F.transform(y, lambda v: v + base))))
+        return F.flatten(F.transform(parts, lambda y, i: let(F.coalesce(F.get(totals, i - 1), F.lit(zero)), lambda base: F.transform(y, lambda v: v + base))))
 
-    total = lambda y: F.coalesce(F.get(y, F.size(y) - 1), F.lit(0))
+    total = lambda y: F.coalesce(F.get(y, F.size(y) - 1), F.lit(zero))
     return let(lengths, lambda x: let(blocks(x), lambda parts: let(plain(F.transform(parts, total)), lambda t: shifted(parts, t))))
 
 
+def bisect(n: Column, holds: Callable[[Column], Column]) -> Column:
+    """The least x in [0, n) for which holds(x), if it holds for all that follow; n if for none."""
+
+    def narrow(span: Column, _: Column) -> Column:
+        middle = F.shiftright(span["lo"] + span["hi"], 1)
+        found = F.when(holds(middle), F.struct(span["lo"].alias("lo"), middle.alias("hi"))).otherwise(F.struct((middle + 1).alias("lo"), span["hi"].alias("hi")))
+        return F.when(span["lo"] < span["hi"], found).otherwise(span)
+
+    whole = lambda size: F.aggregate(F.sequence(F.lit(0), F.length(F.bin(size.cast("long")))), F.struct(F.lit(0).alias("lo"), size.alias("hi")), narrow)["lo"]
+    return let(n.cast("int"), whole)
+
+
+def runs(array: Column, key: Callable[[Column], Column]) -> Column:
+    """An array cut where key changes: an array of arrays."""
+
+    def cut(x: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (key(F.get(x, i)) != key(F.get(x, i - 1))))
+        return let(starts, lambda at: F.transform(at, lambda a, k: F.slice(x, a + 1, F.coalesce(F.get(at, k + 1), F.size(x)) - a)))
+
+    return let(array, lambda x: F.when(F.size(x) > 0, cut(x)).otherwise(F.slice(F.array(x), 1, 0)))
+
+
+def exploded(rows: DataFrame, keep: Sequence[str], array: Column, name: str, place: str | None = None) -> DataFrame:
+    """A row per element of array, with the columns of keep and, if asked for, the element's place.
+
+    For an inner explode the optimizer infers a filter on the array and pushes it to the scan, where the array is
+    computed a second time; the outer one leaves it alone.
+    """
+    made = F.posexplode_outer(array).alias("__at", name) if place else F.explode_outer(array).alias(name)
+    out = rows.select(*keep, made).where(F.col(name).isNotNull())
+    return out.withColumnRenamed("__at", place) if place else out
+
+
+def computed(rows: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """The columns of keep and the named ones, each computed once: a filter on them is not pushed to where they would be computed again."""
+    return rows.select(*keep, F.inline_outer(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+\z", "")
@@ -76,8 +148,11 @@ def count_blank_words(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower case without the accents of Latin letters, composed or combining."""
-    return F.translate(F.regexp_replace(F.lower(c), r"\p{Mn}+", ""), ACCENTED, PLAIN)
+    """Lower case, compatibility forms and accents replaced by plain letters (see fold_table)."""
+    before, after, several = fold_table()
+    spell = lambda t: F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(_table(several), x), x)), "")
+    # the conditional comes last, so that a text without such characters costs one look at it
+    return let(F.translate(F.lower(c), before, after), lambda t: F.when(t.rlike(_class(list(several))), spell(t)).otherwise(t))
 
 
 def fold_tokens(c: Column) -> Column:
@@ -90,9 +165,9 @@ def word_chars(c: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int = 5) -> Column:
-    """The distinct n-grams of an array, in order of first appearance."""
+    """The distinct n-grams of an array, each joined by blanks, in order of first appearance."""
     steps = lambda t: F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1)))
-    grams = lambda t: F.when(F.size(t) >= n, F.array_distinct(F.transform(steps(t), lambda i: F.slice(t, i, n)))).otherwise(F.array().cast("array<array<string>>"))
+    grams = lambda t: F.when(F.size(t) >= n, F.array_distinct(F.transform(steps(t), lambda i: F.array_join(F.slice(t, i, n), " ")))).otherwise(F.array().cast("array<string>"))
     return let(tokens, grams)
 
 
@@ -179,12 +254,12 @@ def first_words(c: Column, n: int) -> Column:
 
 
 def cut_at_sentence(c: Column, n: int = 200) -> Column:
-    """The first n words; cut back to the last sentence end if that lies beyond half of them in characters."""
+    """The first n words, cut back to the last sentence end if that lies beyond half of them in characters; a text of n words or fewer as it is."""
     head = first_words(c, n)
     # from the back, the first " " that follows an end mark; its place from the front is the sentence's length
     back = F.least(*[F.when(F.instr(F.reverse(head), F.lit(e)) > 0, F.instr(F.reverse(head), F.lit(e))) for e in (" .", " ?", " !")])
     at = F.length(head) - back
-    return F.when(F.size(blank_words(c)) <= n, head).when(at - 1 > F.length(head) / 2, F.substring(head, F.lit(1), at)).otherwise(head)
+    return F.when(F.size(blank_words(c)) <= n, c).when(at - 1 > F.length(head) / 2, F.substring(head, F.lit(1), at)).otherwise(head)
 
 
 def clean_generated(c: Column) -> Column:
@@ -202,11 +277,44 @@ def clean_paraphrase(c: Column) -> Column:
     return strip(F.replace(F.regexp_replace(strip(c), L.PARAPHRASE_PREFIX, ""), F.lit("**"), F.lit("")))
 
 
+@lru_cache(maxsize=1)
+def _low_references() -> dict[str, str]:
+    """Numeric references below 160 whose character is not the numbered one, by number."""
+    return {str(k): html.unescape(f"&#{k};") for k in range(160) if html.unescape(f"&#{k};") != chr(k)}
+
+
 def unescape(c: Column) -> Column:
-    """The common character entities; &amp; last, so nothing is unescaped twice."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\xa0"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Character references, named and numeric, as browsers read them; each once, so nothing is unescaped twice."""
+    legacy = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True))
+
+    def numbered(n: Column) -> Column:
+        plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        none = n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        low = F.when(n < 160, F.try_element_at(_table(_low_references()), n.cast("string")))
+        return F.coalesce(low, F.when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd")).when(none, F.lit("")).otherwise(plain))
+
+    def reference(part: Column) -> Column:
+        after = lambda mark: F.substring(part, F.length(mark) + 1, F.length(part))
+        mark = F.regexp_extract(part, r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0)
+        digits = F.regexp_extract(part, r"^#[xX]?0*([0-9a-fA-F]{0,8})", 1)
+        number = F.when(part.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(F.regexp_extract(digits, "^[0-9]*", 0))
+        named = F.regexp_extract(part, r"^[^\t\n\f <&#;]{1,32};?", 0)
+        short = F.regexp_extract(part, f"^(?:{legacy})", 0)
+        by_name = lambda mark: F.concat(F.try_element_at(_table(dict(html5)), mark), after(mark))
+        by_number = F.concat(numbered(F.coalesce(number.try_cast("long"), F.lit(0).cast("long"))), after(mark))
+        return F.when(part.startswith("#"), F.when(mark != "", by_number)).otherwise(F.coalesce(F.when(named != "", by_name(named)), F.when(short != "", by_name(short))))
+
+    parts = F.transform(F.split(c, "&", -1), lambda part, k: F.when(k == 0, part).otherwise(F.coalesce(reference(part), F.concat(F.lit("&"), part))))
+    return F.when(c.contains("&"), F.array_join(parts, "")).otherwise(c)
+
+
+def contains_any(c: Column, *parts: str) -> Column:
+    """Whether a text holds any of parts, whatever its case; null is the empty text."""
+    text = F.lower(F.coalesce(c, F.lit("")))
+    out = F.lit(False)
+    for p in parts:
+        out = out | text.contains(p)
+    return out
 
 
 def squeeze(c: Column) -> Column:

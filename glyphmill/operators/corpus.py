@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -155,12 +154,11 @@ def rewrite_change(original: str, rewritten: str):
     """Struct (change, kept, length_ratio) of a rewrite against its original, over lower-case words; a Pandas UDF with difflib."""
     @F.pandas_udf("change double, kept double, length_ratio double")
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, y in zip(a, b, strict=True):
-            p, q = re.findall(r"\w+", (x or "").lower()), re.findall(r"\w+", (y or "").lower())
-            same = difflib.SequenceMatcher(None, p, q, autojunk=False)
-            kept = sum(m.size for m in same.get_matching_blocks())
-            rows.append((1 - same.ratio(), kept / max(len(p), 1), len(q) / max(len(p), 1)))
-        return pd.DataFrame(rows, columns=["change", "kept", "length_ratio"])
+        before, after = (c.fillna("").str.lower().str.findall(r"\w+") for c in (a, b))
+        sizes = pd.DataFrame({"before": before.str.len(), "after": after.str.len()})
+        matched = [sum(block.size for block in difflib.SequenceMatcher(None, *pair, autojunk=False).get_matching_blocks()) for pair in zip(before, after, strict=True)]
+        both, least = sizes.sum(axis=1), sizes["before"].clip(lower=1)
+        change = (1 - 2 * pd.Series(matched, index=sizes.index) / both.where(both > 0)).fillna(0.0)  # two empty texts are the same
+        return pd.DataFrame({"change": change.astype(float), "kept": matched / least, "length_ratio": sizes["after"] / least})
 
     return run(F.col(original), F.col(rewritten))

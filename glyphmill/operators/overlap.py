@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import lexicon as L
 from ..config import EngineConfig
-from ..functions import text as T
+from ..functions import scores as S, text as T
 
 
 def keywords(paragraph: Column, k: int = 6) -> Column:
     """The k most telling words: most frequent, then longest, then first; folded for counting, shown as first written."""
     letters = F.regexp_extract_all(F.coalesce(paragraph, F.lit("")), F.lit(rf"{T.LETTER}{{4,}}"), 0)
-    pairs = F.transform(letters, lambda w, i: F.struct(T.fold(w).alias("key"), w.alias("word"), i.alias("at")))
-    kept = F.filter(pairs, lambda x: ~x["key"].isin(*sorted(set(L.KEYWORD_STOP))))
+    stop = sorted(set(L.KEYWORD_STOP))
 
-    def ranked(own: Column) -> Column:
-        distinct = F.array_distinct(F.transform(own, lambda x: x["key"]))
+    def placed(words: Column) -> Column:
+        # folded and lower-cased in one call for all words
+        apart = lambda c: F.split(c, "\x01", -1)
+        pairs = lambda keys, low: F.transform(keys, lambda x, i: F.struct(x.alias("key"), i.alias("at"), F.get(low, i).alias("word")))
+        joined = F.array_join(words, "\x01")
+        return T.let(apart(F.lower(joined)), lambda low: F.filter(pairs(apart(T.fold(joined)), low), lambda x: ~x["key"].isin(*stop)))
 
-        def entry(key: Column) -> Column:
-            mine = F.filter(own, lambda x: x["key"] == key)
-            return F.struct((-F.size(mine)).alias("n"), (-F.length(key)).alias("len"), F.get(mine, F.lit(0))["at"].alias("at"), F.lower(F.get(mine, F.lit(0))["word"]).alias("word"))
+    def entry(own: Column) -> Column:
+        first = F.get(own, F.lit(0))
+        return F.struct((-F.size(own)).alias("n"), (-F.length(first["key"])).alias("len"), first["at"].alias("at"), first["word"].alias("word"))
 
-        return F.transform(F.slice(F.array_sort(F.transform(distinct, entry)), 1, k), lambda x: x["word"])
-
-    return T.let(kept, ranked)
+    # sorted by key and place, the occurrences of a word stand together
+    together = T.runs(F.sort_array(T.let(letters, placed)), lambda x: x["key"])
+    ranked = F.sort_array(F.transform(together, entry))
+    return F.when(F.size(letters) > 0, F.transform(F.slice(ranked, 1, k), lambda x: x["word"])).otherwise(F.array().cast("array<string>"))
 
 
 def queries(text: Column, config: EngineConfig = EngineConfig()) -> Column:
@@ -43,7 +47,12 @@ def unique_sources(sources: DataFrame) -> DataFrame:
 
 
 def grams(c: Column, n: int = 5) -> Column:
-    return F.transform(T.ngrams(T.fold_tokens(c), n), lambda g: F.array_join(g, " "))
+    return T.ngrams(T.fold_tokens(c), n)
+
+
+def compared(mine: Column, theirs: Column) -> Column:
+    """(shared, only_mine, share) of two arrays of distinct grams: what both hold, what only the first, and the first's share."""
+    return F.struct(F.array_intersect(mine, theirs).alias("shared"), F.array_except(mine, theirs).alias("only_mine"), (F.size(F.array_intersect(mine, theirs)) / F.nullif(F.size(mine), F.lit(0))).alias("share"))
 
 
 def matches(sentences: DataFrame, sources: DataFrame, id_col: str = "doc_id", config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -55,14 +64,14 @@ def matches(sentences: DataFrame, sources: DataFrame, id_col: str = "doc_id", co
     many sentences share is a skewed join key that adaptive execution splits.
     """
     own = sentences.withColumn("__t", T.fold_tokens(F.col("text"))).where(F.size("__t") >= config.overlap_min_words)
-    own = own.select(id_col, "sent_id", F.size("__t").alias("words"), F.transform(T.ngrams(F.col("__t"), config.ngram), lambda g: F.array_join(g, " ")).alias("__g"))
-    asked = own.select(id_col, "sent_id", "words", F.size("__g").alias("n"), F.explode("__g").alias("gram"))
-    held = unique_sources(sources).select("url", "ord", F.explode(grams(F.col("text"), config.ngram)).alias("gram"))
+    own = own.select(id_col, "sent_id", F.size("__t").alias("words"), T.ngrams(F.col("__t"), config.ngram).alias("__g"))
+    asked = T.exploded(own.withColumn("n", F.size("__g")), [id_col, "sent_id", "words", "n"], F.col("__g"), "gram")
+    held = T.exploded(unique_sources(sources), ["url", "ord"], grams(F.col("text"), config.ngram), "gram")
     shared = asked.join(held, "gram").groupBy(id_col, "sent_id", "words", "n", "url", "ord").agg(F.count("*").alias("k"))
     best = shared.groupBy(id_col, "sent_id", "words").agg(F.max(F.struct((F.col("k") / F.col("n")).alias("overlap"), (-F.col("ord")).alias("o"), F.col("url"))).alias("b"))
     best = best.where(F.col("b.overlap") >= config.overlap_threshold).select(id_col, "sent_id", "words", F.col("b.url").alias("url"), F.col("b.overlap").alias("overlap"))
     named = unique_sources(sources).select("url", "title", "kind")
-    return best.join(named, "url").join(sentences.select(id_col, "sent_id", "paragraph", "text"), [id_col, "sent_id"]).select(id_col, "sent_id", "paragraph", "text", "url", "title", "kind", F.round("overlap", 3).alias("overlap"), "words")
+    return best.join(named, "url").join(sentences.select(id_col, "sent_id", "paragraph", "text"), [id_col, "sent_id"]).select(id_col, "sent_id", "paragraph", "text", "url", "title", "kind", S.exact_round(F.col("overlap"), 3).alias("overlap"), "words")
 
 
 def totals(sentences: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -70,9 +79,9 @@ def totals(sentences: DataFrame, found: DataFrame, id_col: str = "doc_id") -> Da
     all_words = sentences.groupBy(id_col).agg(F.sum(F.size(T.fold_tokens(F.col("text")))).alias("all"))
     per = found.groupBy(id_col, "url", "title", "kind").agg(F.sum("words").alias("w"), F.min("sent_id").alias("first"))
     rows = per.join(all_words, id_col, "right")
-    share = F.round(F.col("w") / F.greatest("all", F.lit(1)), 4)
+    share = S.exact_round(F.col("w") / F.greatest("all", F.lit(1)), 4)
     listed = F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct((-F.col("w")).alias("o"), "first", "url", "title", "kind", share.alias("fraction")))))
-    return rows.groupBy(id_col).agg(F.round(F.coalesce(F.sum("w"), F.lit(0)) / F.greatest(F.max("all"), F.lit(1)), 4).alias("fraction"), F.transform(listed, lambda x: F.struct(x["url"].alias("url"), x["title"].alias("title"), x["kind"].alias("kind"), x["fraction"].alias("fraction"))).alias("sources"))
+    return rows.groupBy(id_col).agg(S.exact_round(F.coalesce(F.sum("w"), F.lit(0)) / F.greatest(F.max("all"), F.lit(1)), 4).alias("fraction"), F.transform(listed, lambda x: F.struct(x["url"].alias("url"), x["title"].alias("title"), x["kind"].alias("kind"), x["fraction"].alias("fraction"))).alias("sources"))
 
 
 def check(docs: DataFrame, search, id_col: str = "doc_id", text_col: str = "text", config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -83,14 +92,18 @@ def check(docs: DataFrame, search, id_col: str = "doc_id", text_col: str = "text
     """
     base = docs.where(T.count_blank_words(F.col(text_col)) >= config.similarity_min_words).select(id_col, T.normalize(T.truncate(F.col(text_col), config.max_chars)).alias("text"))
     asked = base.select(id_col, queries(F.col("text"), config).alias("queries"))
-    sources = search(asked.select(F.explode("queries").alias("query")).distinct()) if callable(search) else search
-    sents = base.select(id_col, F.posexplode(T.sentences(F.col("text"))).alias("sent_id", "s")).select(id_col, "sent_id", "s.paragraph", "s.text")
+    sources = search(T.exploded(asked, [], F.col("queries"), "query").distinct()) if callable(search) else search
+    sents = T.exploded(base, [id_col], T.sentences(F.col("text")), "s", "sent_id").select(id_col, "sent_id", "s.paragraph", "s.text")
     seen = unique_sources(sources).agg(F.count("*").alias("sources_seen"))
     return totals(sents, matches(sents, sources, id_col, config), id_col).join(asked, id_col).crossJoin(F.broadcast(seen)).withColumn("notice", F.lit(L.OVERLAP_NOTE))
 
 
 def failover(*searches):
-    """A search that asks each of several in turn and unites what those return that work; errors are logged."""
+    """A search that asks each of several in turn and unites what those return that work; errors are logged.
+
+    A search that cannot be planned is left out here. One that fails while it runs must catch that itself, query by
+    query, as the services of sources.web do.
+    """
 
     def run(asked: DataFrame) -> DataFrame:
         import logging

@@ -7,6 +7,7 @@ next to those of neural models.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import lexicon as L
@@ -21,28 +22,44 @@ def ngram_statistics(docs: DataFrame, corpus: DataFrame | None = None, id_col: s
 
     p(w | v) = (1 - s) n(v, w) / n(v) + s p(w), p(w) with one added to every count. ppl is -ln p(w | v); xppl is the
     cross entropy of the unigrams with the performer after v, which the bigrams of v alone decide.
+
+    Each word is paired with the one before it inside the row. Words are scanned twice: once to count pairs, from which
+    all else follows, and once to look pairs up; in between only tables of pairs move. Those are read several times and
+    so persisted on disk, as long as the session's cache is not cleared.
     """
-    def tokens(of: DataFrame) -> DataFrame:
-        return of.select(F.col(id_col), F.posexplode(T.lower_words(F.col(text_col))).alias("pos", "w"))
-
-    text = docs.select(id_col, F.col(text_col).alias("t"))
-    own = text.select(id_col, F.posexplode(with_offsets(F.col("t"))).alias("pos", "x")).select(id_col, "pos", F.lower("x.w").alias("w"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
-    train = tokens(docs if corpus is None else corpus)
-    order = W.partitionBy(id_col).orderBy("pos")
-    pairs = train.withColumn("v", F.lag("w").over(order)).where("v is not null")
-    uni = train.groupBy("w").agg(F.count("*").alias("n"))
+    kept = docs.select(F.col(id_col), F.col(text_col).alias("t"))
+    train = docs if corpus is None else corpus
+    first = T.exploded(train.select(paired(T.lower_words(F.col(text_col))).alias("x")), [], F.col("x"), "x").select("x.v", "x.w")
+    pairs = first.groupBy("v", "w").agg(F.count("*").alias("n")).persist(StorageLevel.DISK_ONLY)  # v is null before a text's first word
+    uni = pairs.groupBy("w").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
     size = uni.agg(F.sum("n").alias("all"), F.count("*").alias("types"))
-    uni = uni.crossJoin(F.broadcast(size)).select("w", ((F.col("n") + 1) / (F.col("all") + F.col("types"))).alias("p"))
-    bi = pairs.groupBy("v", "w").agg(F.count("*").alias("n"))
+    uni = uni.crossJoin(F.broadcast(size)).select("w", ((F.col("n") + 1) / (F.col("all") + F.col("types"))).alias("p")).persist(StorageLevel.DISK_ONLY)
+    bi = pairs.where("v is not null")
     after = bi.groupBy("v").agg(F.sum("n").alias("nv"))
-    perf = bi.join(after, "v").join(uni, "w").select("v", "w", ((1 - smooth) * F.col("n") / F.col("nv") + smooth * F.col("p")).alias("q"), "p")
+    perf = bi.join(after, "v").join(uni, "w").select("v", "w", ((1 - smooth) * F.col("n") / F.col("nv") + smooth * F.col("p")).alias("q"), "p").persist(StorageLevel.DISK_ONLY)
     # sum over all w of -p(w) ln(s p(w)), corrected where the bigram is known
     base = uni.agg(F.sum(-F.col("p") * F.ln(smooth * F.col("p"))).alias("h"))
     cross = perf.groupBy("v").agg(F.sum(-F.col("p") * (F.ln("q") - F.ln(smooth * F.col("p")))).alias("dh"))
-    rows = own.withColumn("v", F.lag("w").over(order)).where("v is not null")
-    rows = rows.join(perf.select("v", "w", "q"), ["v", "w"], "left").join(uni, "w", "left").join(cross, "v", "left").crossJoin(F.broadcast(base)).crossJoin(F.broadcast(size))
+    if corpus is None:
+        wanted = perf.join(cross, "v").select("v", "w", "q", "p", "dh")
+    else:
+        own = T.exploded(kept.select(paired(T.lower_words(F.col("t"))).alias("x")), [], F.col("x"), "x").select("x.v", "x.w").where("v is not null").distinct()
+        wanted = own.join(perf.select("v", "w", "q"), ["v", "w"], "left").join(uni, "w", "left").join(cross, "v", "left")
     p = F.coalesce("p", 1 / (F.col("all") + F.col("types")))
-    return rows.select(id_col, "pos", "start", "end", (-F.ln(F.coalesce("q", smooth * p))).alias("ppl"), (F.col("h") + F.coalesce("dh", F.lit(0.0))).alias("xppl"))
+    looked = wanted.crossJoin(F.broadcast(base)).crossJoin(F.broadcast(size)).select("v", "w", (-F.ln(F.coalesce("q", smooth * p))).alias("ppl"), (F.col("h") + F.coalesce("dh", F.lit(0.0))).alias("xppl"))
+    words = T.exploded(kept, [id_col], T.let(with_offsets(F.col("t")), lambda x: placed_pairs(x)), "x").select(id_col, "x.*").where("v is not null")
+    return words.join(looked, ["v", "w"]).select(id_col, "pos", "start", "end", "ppl", "xppl")
+
+
+def paired(words: Column) -> Column:
+    """Array of (v, w): each word with the one before it, null before the first."""
+    return T.let(words, lambda x: F.transform(x, lambda w, i: F.struct(F.get(x, i - 1).alias("v"), w.alias("w"))))
+
+
+def placed_pairs(words: Column) -> Column:
+    """Array of (pos, start, end, v, w) from (w, start, end): lower-cased words with the ones before them."""
+    low = T.let(F.array_join(F.transform(words, lambda x: x["w"]), "\x01"), lambda t: F.split(F.lower(t), "\x01", -1))
+    return T.let(low, lambda l: F.transform(words, lambda x, i: F.struct(i.alias("pos"), x["start"].alias("start"), x["end"].alias("end"), F.get(l, i - 1).alias("v"), F.get(l, i).alias("w"))))
 
 
 def token_provider(docs: DataFrame, load, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,27 +125,71 @@ def document_scores(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return tokens.groupBy(id_col).agg((F.avg("ppl") / F.nullif(F.avg("xppl"), F.lit(0.0))).alias("lm_score"))
 
 
+def row_score(tokens: Column) -> Column:
+    """document_scores of an array of (ppl, xppl) tokens, inside the row."""
+    total = lambda t, k: F.aggregate(t, F.lit(0.0), lambda a, x: a + x[k])
+    return T.let(tokens, lambda t: total(t, "ppl") / F.nullif(total(t, "xppl"), F.lit(0.0)))
+
+
+def row_sentence_scores(tokens: Column, sents: Column, config: EngineConfig = EngineConfig()) -> Column:
+    """Array of (sent_id, lo, hi, n_tokens, score), a sentence each, inside the row: for tokens that come from the row's own text.
+
+    tokens: array of (start, ppl, xppl) by start; sents: array of (start) by start. A token belongs to the last sentence
+    that starts at or before it. Each sentence is widened on both sides until it holds 30 tokens, or all. Sums of tokens
+    up to each place make every window a difference; where sentences begin among the tokens, and the least radius
+    that suffices, are found by bisection.
+    """
+    need = config.min_sentence_tokens
+    sums = lambda t, k: F.concat(F.array(F.lit(0.0)), T.running(F.transform(t, lambda x: x[k].cast("double")), zero=0.0))
+
+    def each(first: Column, a: Column, b: Column) -> Column:
+        m = F.size(first) - 1  # first: where each sentence's tokens begin, and how many tokens there are
+
+        def one(i: Column) -> Column:
+            held = lambda r: F.get(first, F.least(i + r, m - 1) + 1) - F.get(first, F.greatest(i - r, F.lit(0)))
+            return T.let(T.bisect(m, lambda r: held(r) >= need), lambda r: window(i, F.greatest(i - r, F.lit(0)), F.least(i + r, m - 1)))
+
+        def window(i: Column, lo: Column, hi: Column) -> Column:
+            n = F.get(first, hi + 1) - F.get(first, lo)
+            diff = lambda c: F.get(c, F.get(first, hi + 1)) - F.get(c, F.get(first, lo))
+            return F.struct(i.alias("sent_id"), lo.alias("lo"), hi.alias("hi"), n.cast("long").alias("n_tokens"), F.when(n > 0, diff(a) / F.nullif(diff(b), F.lit(0.0))).alias("score"))
+
+        return F.transform(F.sequence(F.lit(0), m - 1), one)
+
+    begins = lambda t, s: F.concat(F.transform(s, lambda x: T.bisect(F.size(t), lambda k: F.get(t, k)["start"] >= x["start"])), F.array(F.size(t)))
+    bound = lambda t, s: T.let(begins(t, s), lambda first: T.let(sums(t, "ppl"), lambda a: T.let(sums(t, "xppl"), lambda b: each(first, a, b))))
+    none = F.array().cast("array<struct<sent_id:int,lo:int,hi:int,n_tokens:bigint,score:double>>")
+    return T.let(tokens, lambda t: T.let(sents, lambda s: F.when(F.size(s) > 0, bound(t, s)).otherwise(none)))
+
+
 def sentence_scores(assigned: DataFrame, sentences: DataFrame, id_col: str = "doc_id", config: EngineConfig = EngineConfig()) -> DataFrame:
     """(id, sent_id, lo, hi, n_tokens, score): each sentence widened on both sides until it holds 30 tokens or all.
 
-    Per document, prefix sums over sentences make every window a difference; the radius is the least that suffices.
+    For tokens of a provider outside the row (see row_sentence_scores for others). Per document, sums up to each
+    sentence are gathered in one array, which every window is a difference of; only results leave the row.
     """
     per = assigned.where("sent_id >= 0").groupBy(id_col, "sent_id").agg(F.count("*").alias("n"), F.sum("ppl").alias("a"), F.sum("xppl").alias("b"))
     rows = sentences.select(id_col, "sent_id").join(per, [id_col, "sent_id"], "left").na.fill({"n": 0, "a": 0.0, "b": 0.0})
-    order = W.partitionBy(id_col).orderBy("sent_id")
-    up_to = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.select(id_col, "sent_id", F.row_number().over(order).alias("i"), *[F.sum(c).over(up_to).alias(c) for c in "nab"])
-    arrays = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("i", "sent_id", "n", "a", "b"))).alias("s"))
-    arrays = arrays.select(id_col, F.concat(F.array(F.struct(F.lit(0).alias("i"), F.lit(-1).alias("sent_id"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))), F.col("s")).alias("s"))
-    # index i runs from 1 to m; a window of radius r is the difference of entries min(i + r, m) and max(i - r, 1) - 1
-    each = arrays.select(id_col, "s", F.explode(F.sequence(F.lit(1), F.size("s") - 1)).alias("i")).where("i <= size(s) - 1")
-    m = F.size("s") - 1
-    enough = F.expr(f"filter(sequence(0, size(s) - 1), r -> s[least(i + r, size(s) - 1)].n - s[greatest(i - r, 1) - 1].n >= {config.min_sentence_tokens})")
-    each = each.withColumn("r", F.coalesce(F.get(enough, F.lit(0)), m))
-    lo, hi = F.greatest(F.col("i") - F.col("r"), F.lit(1)), F.least(F.col("i") + F.col("r"), m)
-    each = each.withColumns({"lo": lo, "hi": hi})
-    diff = lambda c: F.expr(f"s[hi].{c} - s[lo - 1].{c}")
-    return each.select(id_col, F.expr("s[i].sent_id").alias("sent_id"), (F.col("lo") - 1).alias("lo"), (F.col("hi") - 1).alias("hi"), diff("n").alias("n_tokens"), F.when(diff("n") > 0, diff("a") / F.nullif(diff("b"), F.lit(0.0))).alias("score"))
+    arrays = rows.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("sent_id", "n", "a", "b"))).alias("s"))
+    sums = lambda k, kind, zero: F.concat(F.array(F.lit(zero)), T.running(F.transform("s", lambda x: x[k].cast(kind)), zero=zero))
+    arrays = arrays.select(id_col, F.transform("s", lambda x: x["sent_id"]).alias("ids"), sums("n", "int", 0).alias("n"), sums("a", "double", 0.0).alias("a"), sums("b", "double", 0.0).alias("b"))
+    need = config.min_sentence_tokens
+
+    def windows(ids: Column, n: Column, a: Column, b: Column) -> Column:
+        m = F.size(ids)
+
+        def one(i: Column) -> Column:
+            held = lambda r: F.get(n, F.least(i + r, m - 1) + 1) - F.get(n, F.greatest(i - r, F.lit(0)))
+            return T.let(T.bisect(m, lambda r: held(r) >= need), lambda r: window(i, F.greatest(i - r, F.lit(0)), F.least(i + r, m - 1)))
+
+        def window(i: Column, lo: Column, hi: Column) -> Column:
+            diff = lambda c: F.get(c, hi + 1) - F.get(c, lo)
+            return F.struct(F.get(ids, i).alias("sent_id"), lo.alias("lo"), hi.alias("hi"), diff(n).cast("long").alias("n_tokens"), F.when(diff(n) > 0, diff(a) / F.nullif(diff(b), F.lit(0.0))).alias("score"))
+
+        return F.transform(F.sequence(F.lit(0), m - 1), one)
+
+    bound = T.let(F.col("ids"), lambda i: T.let(F.col("n"), lambda n: T.let(F.col("a"), lambda a: T.let(F.col("b"), lambda b: windows(i, n, a, b)))))
+    return T.exploded(arrays, [id_col], bound, "x").select(id_col, "x.*")
 
 
 def lm_windows(n: Column, config: EngineConfig = EngineConfig()) -> Column:

@@ -45,9 +45,8 @@ def variation(counts: Column) -> Column:
 
 
 def paragraph_totals(sents: Column) -> Column:
-    """Words of each paragraph that has sentences, in order: the differences of running totals where paragraphs change."""
-    of = lambda s: F.transform(F.array_distinct(F.transform(s, lambda x: x["paragraph"])), lambda p: total(F.filter(s, lambda x: x["paragraph"] == p), lambda x: x["n"]))
-    return T.let(sents, of)
+    """Words of each paragraph that has sentences, in order."""
+    return F.transform(T.runs(sents, lambda s: s["paragraph"]), lambda own: total(own, lambda s: s["n"]))
 
 
 def features(prepared: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -66,12 +65,12 @@ def features(prepared: DataFrame, config: EngineConfig = EngineConfig()) -> Data
         "__f": F.struct(
             F.col("n_words").alias("words"),
             F.size("__lens").alias("sentences"),
-            F.round(F.when(F.size("__lens") > 0, total(F.col("__lens")) / F.greatest(F.size("__lens"), F.lit(1))).otherwise(0.0), 2).alias("mean_length"),
-            F.round(variation(F.col("__lens")), 3).alias("burstiness"),
-            F.when(F.size("__paras") >= 3, F.round(variation(F.col("__paras")), 3)).alias("paragraph_variation"),
-            F.round(T.mattr(F.col("tokens"), config.mattr_window), 3).alias("mattr"),
-            F.round(F.col("__hits") * 100.0 / F.greatest(F.col("n_words"), F.lit(1)), 3).alias("phrase_rate"),
-            F.round(F.col("__starts") / n_sents, 3).alias("connector_share"),
+            S.exact_round(F.when(F.size("__lens") > 0, total(F.col("__lens")) / F.greatest(F.size("__lens"), F.lit(1))).otherwise(0.0), 2).alias("mean_length"),
+            S.exact_round(variation(F.col("__lens")), 3).alias("burstiness"),
+            F.when(F.size("__paras") >= 3, S.exact_round(variation(F.col("__paras")), 3)).alias("paragraph_variation"),
+            S.exact_round(T.mattr(F.col("tokens"), config.mattr_window), 3).alias("mattr"),
+            S.exact_round(F.col("__hits") * 100.0 / F.greatest(F.col("n_words"), F.lit(1)), 3).alias("phrase_rate"),
+            S.exact_round(F.col("__starts") / n_sents, 3).alias("connector_share"),
             F.col("__asks").alias("asks"),
         )
     })
@@ -84,7 +83,7 @@ def features(prepared: DataFrame, config: EngineConfig = EngineConfig()) -> Data
 def guidance(sents: Column, p: Column) -> Column:
     """(reasons, suggestions) of a paragraph from its sentences and its probability."""
     g = L.GUIDANCE
-    phrases = F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform(sents, lambda s: s["hits"])), F.lower)))
+    phrases = F.sort_array(F.array_distinct(F.transform(F.flatten(F.transform(sents, lambda s: s["hits"])), F.lower)))
     connectors = F.filter(F.transform(sents, lambda s: s["connector"]), lambda x: x.isNotNull())
     lens = F.transform(sents, lambda s: s["n"])
     # the mean counts as 1 at least here, and sentences without words count

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import lexicon as L
-from .functions.text import ACCENTED, PLAIN
+from .functions.text import fold_table
 
 WS = r"\s\x0b\x1c-\x1f\x{85}\pZ"
 LETTER = r"[\p{L}\p{Nl}\p{No}]"
@@ -38,7 +38,15 @@ def blanks(x: str) -> str:
 
 
 def fold(x: str) -> str:
-    return rf"translate(regexp_replace(lower({x}), '\p{{Mn}}+', '', 'g'), '{ACCENTED}', '{PLAIN}')"
+    before, after, _ = fold_table()
+    return f"translate(lower({x}), {q(before)}, {q(after)})"
+
+
+def rnd(x: str, digits: int) -> str:
+    """x rounded half-even on its exact binary value: a whole number over a power of two, in 128-bit integers."""
+    unit = 10**digits
+    whole = f"list_transform([abs(v)], lambda a: list_transform([greatest(52 - floor(log2(a))::INTEGER, 0)], lambda e: list_transform([[(a * 2.0::DOUBLE ** e)::HUGEINT * {unit}, 1::HUGEINT << e]], lambda m: list_transform([m[1] // m[2]], lambda k: (k + CASE WHEN 2 * (m[1] - k * m[2]) > m[2] OR (2 * (m[1] - k * m[2]) = m[2] AND k % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE / {unit})[1])[1])[1])[1]"
+    return f"(list_transform([({x})::DOUBLE], lambda v: CASE WHEN v IS NULL THEN NULL WHEN abs(v) < 1e-9 THEN 0.0::DOUBLE ELSE sign(v) * {whole} END)[1])"
 
 
 def tokens(x: str) -> str:
@@ -56,8 +64,8 @@ def lang(x: str) -> str:
 ABBREVIATIONS = ", ".join(q(a) for a in L.ABBREVIATIONS)
 DIGIT = "[\\p{Nd}²³¹⁰⁴-⁹₀-₉]"
 CLOSERS = """["''»”)\\]]*"""
-SENTENCES = rf"""
-norm AS (SELECT doc_id, length({D}) AS raw, substr({norm(D)}, 1, 300000) AS t FROM documents),
+WHOLE = rf"""
+norm AS (SELECT doc_id, length({D}) AS raw, {norm(D)} AS t FROM documents),
 cutup AS (SELECT doc_id, string_split_regex(t, '\n[{WS}]*\n') AS ps, regexp_extract_all(t, '\n[{WS}]*\n') AS seps FROM norm),
 pars AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k, ps, seps FROM cutup),
 placed AS (SELECT doc_id, p, k - 1 AS paragraph, coalesce(list_sum(list_transform(ps[1:k - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(seps[1:k - 1], lambda x: length(x))), 0) AS off FROM pars),
@@ -70,6 +78,8 @@ ided AS (SELECT *, coalesce(sum(cut::INTEGER) OVER (PARTITION BY doc_id, paragra
 joined AS (SELECT doc_id, paragraph, sid, string_agg(tok, '' ORDER BY pos) AS raw, min(off + toff) AS spot FROM ided GROUP BY ALL),
 sents AS (SELECT doc_id, paragraph, (row_number() OVER (PARTITION BY doc_id ORDER BY paragraph, sid) - 1) AS sent_id, spot + length(raw) - length(regexp_replace(raw, '^[{WS}]+', '')) AS start_at, {strip('raw')} AS text FROM joined WHERE {strip('raw')} <> '')
 """
+#: The report reads no more than this much of a text; all else reads whole texts.
+SENTENCES = WHOLE.replace(f"{norm(D)} AS t", f"substr({norm(D)}, 1, 300000) AS t")
 LABELLED = f"labelled AS (SELECT d.doc_id, d.source, d.lang, l.quality AS y, round((length(text) % 997) / 997, 6) AS p, round((len({words('text')}) % 101) / 101, 6) AS q FROM documents d JOIN labels l USING (doc_id))"
 
 
@@ -86,18 +96,18 @@ def lexicon(of: str, probe: dict[str, L.Lexicon], part: str) -> str:
     return f"CASE WHEN lang = 'en' THEN regexp_matches({of}, {en}) ELSE regexp_matches({of}, {es}) END"
 
 
-def features(probe: dict[str, L.Lexicon]) -> str:
-    """CTEs up to feats: a row per document with rounded features and z."""
-    return rf"""{SENTENCES},
+def features(probe: dict[str, L.Lexicon], sentences: str = SENTENCES) -> str:
+    """CTEs up to scored: a row per document with rounded features and the style score."""
+    return rf"""{sentences},
 base AS (SELECT doc_id, t, raw, {lower_words('t')} AS ws FROM norm),
 langs AS (SELECT doc_id, t, raw, ws, len(ws) AS n, {lang('ws')} AS lang FROM base),
 det AS (SELECT s.*, l.lang, len({words('s.text')}) AS n FROM sents s JOIN langs l USING (doc_id)),
 hits AS (SELECT *, {lexicon('text', probe, 'phrases')} AS h, {lexicon('text', probe, 'connectors')} AS c, length(text) - length(translate(text, '?!', '')) AS asks FROM det),
 per AS (SELECT doc_id, count(*) AS all_s, count(*) FILTER (WHERE n > 0) AS ns, coalesce(avg(n) FILTER (WHERE n > 0), 0) AS mean, coalesce(stddev_pop(n) FILTER (WHERE n > 0) / nullif(avg(n) FILTER (WHERE n > 0), 0), 0) AS cv, sum(h) AS h, sum(c::INTEGER) AS c, sum(asks) AS asks FROM hits GROUP BY doc_id),
 parn AS (SELECT doc_id, paragraph, sum(n) AS n FROM hits GROUP BY ALL),
-parv AS (SELECT doc_id, CASE WHEN count(*) >= 3 THEN round(coalesce(stddev_pop(n) / nullif(avg(n), 0), 0), 3) END AS pv FROM parn GROUP BY doc_id),
-feats AS (SELECT l.doc_id, l.lang, l.n, l.raw, l.t, coalesce(ns, 0) AS ns, coalesce(all_s, 0) AS all_s, round(coalesce(mean, 0), 2) AS mean, round(coalesce(cv, 0), 3) AS burst, pv, coalesce(h, 0) AS h, round(coalesce(h, 0) * 100.0::DOUBLE / greatest(l.n, 1), 3) AS rate, round(coalesce(c, 0)::DOUBLE / greatest(coalesce(all_s, 0), 1), 3) AS conn, coalesce(asks, 0) AS asks,
-  round(CASE WHEN l.n = 0 THEN 0 WHEN l.n <= 50 THEN len(list_distinct(ws)) / l.n ELSE list_sum(list_transform(range(1, l.n - 48), lambda i: len(list_distinct(ws[i:i + 49])))) / ((l.n - 49) * 50.0::DOUBLE) END, 3) AS mattr
+parv AS (SELECT doc_id, CASE WHEN count(*) >= 3 THEN {rnd('coalesce(stddev_pop(n) / nullif(avg(n), 0), 0)', 3)} END AS pv FROM parn GROUP BY doc_id),
+feats AS (SELECT l.doc_id, l.lang, l.n, l.raw, l.t, coalesce(ns, 0) AS ns, coalesce(all_s, 0) AS all_s, {rnd('coalesce(mean, 0)', 2)} AS mean, {rnd('coalesce(cv, 0)', 3)} AS burst, pv, coalesce(h, 0) AS h, {rnd('coalesce(h, 0) * 100.0::DOUBLE / greatest(l.n, 1)', 3)} AS rate, {rnd('coalesce(c, 0)::DOUBLE / greatest(coalesce(all_s, 0), 1)', 3)} AS conn, coalesce(asks, 0) AS asks,
+  {rnd('CASE WHEN l.n = 0 THEN 0 WHEN l.n <= 50 THEN len(list_distinct(ws)) / l.n ELSE list_sum(list_transform(range(1, l.n - 48), lambda i: len(list_distinct(ws[i:i + 49])))) / ((l.n - 49) * 50.0::DOUBLE) END', 3)} AS mattr
   FROM langs l LEFT JOIN per USING (doc_id) LEFT JOIN parv USING (doc_id)),
 scored AS (SELECT *, 1 / (1 + exp(-(-4.0::DOUBLE * (burst - 0.45::DOUBLE) + 1.2::DOUBLE * least(rate, 4.0) - 0.6::DOUBLE + 3.0::DOUBLE * (conn - 0.15::DOUBLE) + coalesce(-2.0::DOUBLE * (pv - 0.35::DOUBLE), 0) + CASE WHEN asks > 0 THEN -0.3::DOUBLE ELSE 0 END))) AS style FROM feats)"""
 
@@ -109,7 +119,7 @@ def build(probe: dict[str, L.Lexicon], lm: dict) -> dict[str, str]:
     o["text_fold"] = f"SELECT doc_id, len({tokens(D)})::INTEGER AS n_tokens, md5(array_to_string({tokens(D)}, ' ')) AS digest FROM documents"
     o["text_cuts"] = rf"""WITH a AS (SELECT *, {D} AS x, {blanks(D)} AS w FROM documents), b AS (SELECT *, array_to_string(w[1:60], ' ') AS h FROM a),
 c AS (SELECT *, greatest(coalesce(length(regexp_extract(h, '(?s)^.*[.?!] ')), 0) - 2, -1) AS spot FROM b)
-SELECT doc_id, md5(array_to_string(w[1:120], ' ')) AS head, md5(CASE WHEN len(w) <= 60 THEN h WHEN spot > length(h) / 2 THEN substr(h, 1, spot + 1) ELSE h END) AS cut, md5(regexp_replace(lang || ' / ' || source, '[^a-zA-Z0-9.-]+', '_', 'g')) AS slug,
+SELECT doc_id, md5(array_to_string(w[1:120], ' ')) AS head, md5(CASE WHEN len(w) <= 60 THEN x WHEN spot > length(h) / 2 THEN substr(h, 1, spot + 1) ELSE h END) AS cut, md5(regexp_replace(lang || ' / ' || source, '[^a-zA-Z0-9.-]+', '_', 'g')) AS slug,
 len(regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}_]+'))::INTEGER AS n_chars_words, md5(regexp_replace(x || '[12][cita requerida]', '\[\d+\]|\[cita requerida\]|\x{{200B}}', '', 'g')) AS plain, 'https://' || lang || '.wikipedia.org/wiki/' || replace(source || ' a b', ' ', '_') AS url FROM c"""
     o["language_rule"] = f"WITH a AS (SELECT doc_id, {lower_words(D)} AS w FROM documents) SELECT doc_id, {members('w', L.STOP_ES)}::INTEGER AS es, {lang('w')} AS lang FROM a"
 
@@ -118,12 +128,12 @@ b AS (SELECT *, greatest(len(w), 1) AS n, len(list_filter(ws, lambda v: lower(v)
 c AS (SELECT doc_id, x, len(w) >= 50 AND {members('w', L.CORPUS_ES)} / n > 0.2 AND {members('w', L.CORPUS_EN)} / n < 0.03 AND other / n < 0.01 AS spanish FROM b)
 SELECT doc_id, spanish, CASE WHEN len({blanks('x')}) < 100 THEN 'corto' WHEN NOT spanish THEN 'idioma' END AS reason FROM c"""
 
-    o["paragraphs"] = f"WITH {SENTENCES} SELECT doc_id, (k - 1)::INTEGER AS paragraph, length(p)::INTEGER AS chars, md5(p) AS digest FROM pars"
-    o["sentence_split"] = f"WITH {SENTENCES} SELECT doc_id, sent_id::INTEGER AS sent_id, paragraph::INTEGER AS paragraph, start_at::INTEGER AS start_at, (start_at + length(text))::INTEGER AS end_at, md5(text) AS digest FROM sents"
+    o["paragraphs"] = f"WITH {WHOLE} SELECT doc_id, (k - 1)::INTEGER AS paragraph, length(p)::INTEGER AS chars, md5(p) AS digest FROM pars"
+    o["sentence_split"] = f"WITH {WHOLE} SELECT doc_id, sent_id::INTEGER AS sent_id, paragraph::INTEGER AS paragraph, start_at::INTEGER AS start_at, (start_at + length(text))::INTEGER AS end_at, md5(text) AS digest FROM sents"
     o["mattr"] = f"WITH a AS (SELECT doc_id, {lower_words(D)} AS ws FROM documents) SELECT doc_id, round(CASE WHEN len(ws) = 0 THEN 0 WHEN len(ws) <= 50 THEN len(list_distinct(ws)) / len(ws) ELSE list_sum(list_transform(range(1, len(ws) - 48), lambda i: len(list_distinct(ws[i:i + 49])))) / ((len(ws) - 49) * 50.0::DOUBLE) END, 6) AS mattr FROM a"
     o["ngrams"] = f"""WITH a AS (SELECT doc_id, {tokens(D)} AS w FROM documents), e AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 3, 1))) AS i, w FROM a),
 g AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g, min(i) AS i FROM e GROUP BY ALL), r AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS k FROM g GROUP BY doc_id, g)
-SELECT a.doc_id, count(r.g)::INTEGER AS n_grams, md5(coalesce(string_agg(r.g, '|' ORDER BY k) FILTER (WHERE k <= 3), '')) AS first FROM a LEFT JOIN r USING (doc_id) GROUP BY a.doc_id"""
+SELECT a.doc_id, count(r.g)::INTEGER AS n_grams, md5(coalesce(string_agg(r.g, '|' ORDER BY k), '')) AS digest FROM a LEFT JOIN r USING (doc_id) GROUP BY a.doc_id"""
     f = features(probe)
     o["lexicon_hits"] = f"WITH {f} SELECT doc_id, lang, sum(h)::BIGINT AS hits, sum(c::INTEGER)::BIGINT AS starts, sum(asks)::BIGINT AS asks FROM hits GROUP BY ALL"
     level = lambda x: f"CASE WHEN {x} < 0.35 THEN 'bajo' WHEN {x} < 0.65 THEN 'medio' ELSE 'alto' END"
@@ -135,13 +145,13 @@ short AS (SELECT doc_id, paragraph, sum(n) AS pw, sum(greatest(n, 1)) AS w, coun
 g AS (SELECT s.*, sc.style AS p FROM short s JOIN scored sc USING (doc_id)),
 gr AS (SELECT *, (h > 0)::INTEGER + (nc >= 2)::INTEGER + (k >= 3 AND spread < 0.3)::INTEGER AS own FROM g),
 gs AS (SELECT doc_id, count(*) AS np, sum(CASE WHEN own = 0 AND p >= 0.65 THEN 1 ELSE own END) AS nr, sum(own + (p >= 0.35)::INTEGER) AS nt FROM gr GROUP BY doc_id)
-SELECT doc_id, lang, round(style, 3) AS p, {verdict('style')} AS verdict, 'baja' AS confidence, CASE WHEN style >= 0.65 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS flagged_fraction, n::INTEGER AS n_words, np::INTEGER AS n_paragraphs, all_s::INTEGER AS n_sentences,
+SELECT doc_id, lang, {rnd('style', 3)} AS p, {verdict('style')} AS verdict, 'baja' AS confidence, CASE WHEN style >= 0.65 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS flagged_fraction, n::INTEGER AS n_words, np::INTEGER AS n_paragraphs, all_s::INTEGER AS n_sentences,
 ((n < 250)::INTEGER + (raw > 300000)::INTEGER + (lang = 'en')::INTEGER + 1)::INTEGER AS n_warnings, nr::BIGINT AS n_reasons, nt::BIGINT AS n_suggestions FROM scored JOIN gs USING (doc_id) WHERE n >= 80"""
     before, after = L.TOO_SHORT.format(words="\0", least=80).split("\0")
     o["too_short"] = f"WITH a AS (SELECT doc_id, len({words(f'substr({norm(D)}, 1, 300000)')}) AS n FROM documents) SELECT doc_id, {q(before)} || n || {q(after)} AS message FROM a WHERE n < 80"
     o["short_turns"] = f"WITH a AS (SELECT role, len({blanks('text')}) AS n FROM conversations) SELECT role, count(*)::BIGINT AS n, sum((n BETWEEN 5 AND 400)::INTEGER)::BIGINT AS paraphrasable, sum((n >= 80)::INTEGER)::BIGINT AS comparable FROM a GROUP BY role"
     stop = ", ".join(q(w) for w in sorted(set(L.KEYWORD_STOP)))
-    o["keyword_queries"] = rf"""WITH {SENTENCES},
+    o["keyword_queries"] = rf"""WITH {WHOLE},
 sized AS (SELECT doc_id, k, p, len({blanks('p')}) AS n FROM pars),
 chosen AS (SELECT * FROM sized WHERE n >= 25 UNION ALL SELECT doc_id, 1, t, 0 FROM norm WHERE doc_id NOT IN (SELECT doc_id FROM sized WHERE n >= 25)),
 top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k) AS r FROM chosen QUALIFY r <= 8),
@@ -150,14 +160,14 @@ keyed AS (SELECT *, {fold('w')} AS key FROM ws), agg AS (SELECT doc_id, r, key,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, r ORDER BY n DESC, length(key) DESC, i) AS k FROM agg QUALIFY k <= 6),
 lists AS (SELECT t.doc_id, t.r, coalesce(string_agg(a.w, ' ' ORDER BY a.k), '') AS qs FROM top t LEFT JOIN ranked a USING (doc_id, r) GROUP BY ALL)
 SELECT doc_id, count(DISTINCT qs)::INTEGER AS n_queries, arg_min(qs, r) AS first FROM lists GROUP BY doc_id"""
-    overlap = f"""WITH {SENTENCES},
+    overlap = f"""WITH {WHOLE},
 st AS (SELECT doc_id, sent_id, paragraph, {tokens('text')} AS w FROM sents), sg AS (SELECT DISTINCT doc_id, sent_id, paragraph, len(w) AS words, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM st WHERE len(w) >= 8)),
 it AS (SELECT item_id, {tokens('text')} AS w FROM benchmark), ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM it)),
 n AS (SELECT doc_id, sent_id, paragraph, words, count(*) AS n FROM sg GROUP BY ALL), k AS (SELECT doc_id, sent_id, item_id, count(*) AS k FROM sg JOIN ig USING (g) GROUP BY ALL),
 best AS (SELECT n.*, k.item_id, k.k / n.n AS overlap FROM n JOIN k USING (doc_id, sent_id) QUALIFY row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY k.k DESC, k.item_id) = 1),
 found AS (SELECT * FROM best WHERE overlap >= 0.4)"""
-    o["overlap_matches"] = overlap + " SELECT doc_id, sent_id::INTEGER AS sent_id, paragraph::INTEGER AS paragraph, 'item:' || item_id AS url, round(overlap, 3) AS overlap, words::INTEGER AS words FROM found"
-    o["overlap_totals"] = overlap + ", tot AS (SELECT doc_id, sum(len(w)) AS a FROM st GROUP BY doc_id), m AS (SELECT doc_id, sum(words) AS w, count(DISTINCT item_id) AS s FROM found GROUP BY doc_id) SELECT doc_id, round(coalesce(w, 0) / greatest(a, 1), 4) AS fraction, coalesce(s, 0)::INTEGER AS n_sources FROM tot LEFT JOIN m USING (doc_id)"
+    o["overlap_matches"] = overlap + f" SELECT doc_id, sent_id::INTEGER AS sent_id, paragraph::INTEGER AS paragraph, 'item:' || item_id AS url, {rnd('overlap', 3)} AS overlap, words::INTEGER AS words FROM found"
+    o["overlap_totals"] = overlap + f", tot AS (SELECT doc_id, sum(len(w)) AS a FROM st GROUP BY doc_id), m AS (SELECT doc_id, sum(words) AS w, count(DISTINCT item_id) AS s FROM found GROUP BY doc_id) SELECT doc_id, {rnd('coalesce(w, 0) / greatest(a, 1)', 4)} AS fraction, coalesce(s, 0)::INTEGER AS n_sources FROM tot LEFT JOIN m USING (doc_id)"
     area = lambda g, t: f"SELECT {g}, round((sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2) / nullif((count(*) FILTER (WHERE y = 1))::DOUBLE * count(*) FILTER (WHERE y = 0), 0), 9) AS auroc, count(*)::BIGINT AS n FROM (SELECT {g}, y, rank() OVER (PARTITION BY {g} ORDER BY p) + (count(*) OVER (PARTITION BY {g}, p) - 1) / 2 AS r FROM {t}) GROUP BY {g}"
     o["auroc"] = f"WITH {LABELLED} {area('lang', 'labelled')}"
     o["one_against_rest"] = f"WITH {LABELLED}, g AS (SELECT DISTINCT lang AS against FROM labelled WHERE y = 1), r AS (SELECT g.against, y, p FROM labelled, g WHERE y = 0 UNION ALL SELECT lang, y, p FROM labelled WHERE y = 1) {area('against', 'r')}"
@@ -174,7 +184,7 @@ SELECT subset, method, count(*)::BIGINT AS n, round(avg((s >= 0.65)::INTEGER) FI
     o["stratified_sample"] = f"WITH {LABELLED} SELECT doc_id, y FROM labelled QUALIFY row_number() OVER (PARTITION BY y ORDER BY md5('42:' || doc_id), doc_id) <= 30"
     o["first_of_text"] = f"SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY {D} ORDER BY source, doc_id) = 1"
     draw = lambda x: f"(('0x' || substr(md5('42:' || {x}), 1, 8))::UBIGINT / 4294967296.0::DOUBLE)"
-    o["group_split"] = f"SELECT source, CASE WHEN {draw('source')} < 0.3 THEN 'test' ELSE 'train' END AS split, count(*)::BIGINT AS n FROM documents GROUP BY ALL"
+    o["group_split"] = f"SELECT source, CASE WHEN {draw('source')} < 0.3 OR source IN (SELECT source FROM documents WHERE contains(source, '7') AND lang = 'fr') THEN 'test' ELSE 'train' END AS split, count(*)::BIGINT AS n FROM documents GROUP BY ALL"
     o["size_folds"] = "WITH s AS (SELECT conv_id, row_number() OVER (ORDER BY count(*) DESC, conv_id) - 1 AS r FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id) SELECT c.conv_id, c.turn, (CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END)::INTEGER AS fold FROM conversations c JOIN s USING (conv_id)"
     u = draw("doc_id || ':task'")
     task = f"CASE WHEN {u} < 0.6 THEN 'redactar' WHEN {u} < 0.8 THEN 'parafrasear' ELSE 'humanizar' END"
@@ -186,7 +196,7 @@ SELECT subset, method, count(*)::BIGINT AS n, round(avg((s >= 0.65)::INTEGER) FI
     o["prompts"] = f"""WITH a AS (SELECT *, {D} AS x, len({blanks(D)}) AS n, {task} AS task FROM documents)
 SELECT doc_id, md5(CASE WHEN task = 'parafrasear' THEN replace({pick(L.PARAPHRASE_PROMPTS, 'variant')}, '{{words}}', {n}) || {NL} || {NL} || x ELSE (CASE WHEN lang = 'es' THEN {academic} ELSE {encyclopedic} END) || (CASE WHEN task = 'humanizar' THEN {q(L.PROMPT_HUMANISE)} ELSE '' END) || {q(L.PROMPT_END)} END) AS digest FROM a"""
     o["oversample"] = f"WITH {LABELLED} SELECT y, (count(*) * CASE WHEN y = 1 THEN 3 ELSE 1 END)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS ids FROM labelled GROUP BY y"
-    o["take_until"] = f"WITH {SENTENCES}, z AS (SELECT doc_id, k, len({blanks('p')}) AS n FROM pars), s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS t FROM z) SELECT doc_id, count(*)::BIGINT AS kept, sum(n)::BIGINT AS words FROM s WHERE t <= 650 GROUP BY doc_id"
+    o["take_until"] = f"WITH {WHOLE}, z AS (SELECT doc_id, k, len({blanks('p')}) AS n FROM pars), s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS t FROM z) SELECT doc_id, count(*)::BIGINT AS kept, sum(n)::BIGINT AS words FROM s WHERE t <= 650 GROUP BY doc_id"
     o["pending"] = "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)"
     o["aligned_union"] = f"SELECT doc_id, lang, length({D})::BIGINT AS size, NULL::INTEGER AS y FROM documents UNION ALL SELECT doc_id, NULL, NULL, quality FROM labels"
     o["joins"] = "SELECT lang, count(*)::BIGINT AS n, count(quality)::BIGINT AS labelled, count(*) FILTER (WHERE toxic = 1)::BIGINT AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang"
@@ -202,22 +212,25 @@ md5({strip("replace(d, '**', '')")}) AS paraphrase, md5({strip(rf"regexp_replace
 n AS (SELECT count(*) AS a, count(DISTINCT w) AS types FROM t), uni AS (SELECT w, (count(*) + 1) / (any_value(n.a) + any_value(n.types)) AS p FROM t, n GROUP BY w), bi AS (SELECT v, w, count(*) AS n FROM s WHERE v IS NOT NULL GROUP BY ALL), nv AS (SELECT v, sum(n) AS nv FROM bi GROUP BY v),
 perf AS (SELECT v, w, 0.5 * n / nv + 0.5 * p AS q, p FROM bi JOIN nv USING (v) JOIN uni USING (w)), h AS (SELECT sum(-p * ln(0.5 * p)) AS h FROM uni), cr AS (SELECT v, sum(-p * (ln(q) - ln(0.5 * p))) AS dh FROM perf GROUP BY v),
 r AS (SELECT s.doc_id, -ln(perf.q) AS ppl, h.h + cr.dh AS xppl FROM s JOIN perf USING (v, w) JOIN cr USING (v), h) SELECT doc_id, count(*)::BIGINT AS n, round(avg(ppl), 5) AS ppl, round(avg(xppl), 5) AS xppl FROM r GROUP BY doc_id"""
-    fixed = rf"""{SENTENCES},
+    fixed = rf"""{WHOLE},
 wl AS (SELECT doc_id, {words('t')} AS l, string_split_regex(t, '{WORD}') AS g FROM norm),
 wt AS (SELECT doc_id, unnest(l) AS w, unnest(g[1:len(l)]) AS gap, generate_subscripts(l, 1) - 1 AS pos FROM wl),
 tk AS (SELECT doc_id, pos, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id ORDER BY pos) - length(w) AS start_at, (1 + length(w) % 5)::DOUBLE AS ppl, (1 + length(w) % 7)::DOUBLE AS xppl FROM wt),
 asg AS (SELECT tk.*, coalesce(s.sent_id, -1) AS sent_id FROM tk ASOF LEFT JOIN sents s ON tk.doc_id = s.doc_id AND tk.start_at >= s.start_at)"""
     o["token_sentences"] = f"WITH {fixed} SELECT doc_id, sent_id::INTEGER AS sent_id, count(*)::BIGINT AS n_tokens, sum(ppl) AS ppl, min(start_at)::INTEGER AS first_at FROM asg GROUP BY ALL"
-    o["sentence_scores"] = f"""WITH {fixed},
+    windows = f"""WITH {fixed},
 per AS (SELECT s.doc_id, s.sent_id, count(a.pos) AS n, coalesce(sum(a.ppl), 0) AS a, coalesce(sum(a.xppl), 0) AS b FROM sents s LEFT JOIN asg a ON s.doc_id = a.doc_id AND s.sent_id = a.sent_id GROUP BY ALL),
 cum AS (SELECT doc_id, sent_id, row_number() OVER w AS i, count(*) OVER (PARTITION BY doc_id) AS m, sum(n) OVER w AS n, sum(a) OVER w AS a, sum(b) OVER w AS b FROM per WINDOW w AS (PARTITION BY doc_id ORDER BY sent_id)),
 zero AS (SELECT doc_id, i, n, a, b FROM cum UNION ALL SELECT DISTINCT doc_id, 0, 0, 0, 0 FROM cum),
 lists AS (SELECT doc_id, list(n ORDER BY i) AS n, list(a ORDER BY i) AS a, list(b ORDER BY i) AS b FROM zero GROUP BY doc_id),
 rad AS (SELECT c.doc_id, c.sent_id, c.i, c.m, l.n, l.a, l.b, coalesce(list_filter(range(0, c.m + 1), lambda r: l.n[least(c.i + r, c.m) + 1] - l.n[greatest(c.i - r, 1)] >= 30)[1], c.m) AS r FROM cum c JOIN lists l USING (doc_id)),
 win AS (SELECT *, greatest(i - r, 1) AS lo, least(i + r, m) AS hi FROM rad)
-SELECT doc_id, sent_id::INTEGER AS sent_id, (n[hi + 1] - n[lo])::BIGINT AS n_tokens, CASE WHEN n[hi + 1] - n[lo] > 0 THEN round((a[hi + 1] - a[lo]) / (b[hi + 1] - b[lo]), 6) END AS score FROM win"""
+"""
+    score = "(n[hi + 1] - n[lo])::BIGINT AS n_tokens, CASE WHEN n[hi + 1] - n[lo] > 0 THEN round((a[hi + 1] - a[lo]) / (b[hi + 1] - b[lo]), 6) END AS score"
+    o["sentence_scores"] = windows + f"SELECT doc_id, sent_id::INTEGER AS sent_id, {score} FROM win"
+    o["provided_sentence_scores"] = windows + f"SELECT doc_id, sent_id::INTEGER AS sent_id, (lo - 1)::INTEGER AS lo, (hi - 1)::INTEGER AS hi, {score} FROM win"
     sig = lambda z: f"1 / (1 + exp(-greatest(least({z}, 50), -50)))"
-    o["signal_report"] = f"""WITH {f}, {fixed.split(SENTENCES + ',')[1]},
+    o["signal_report"] = f"""WITH {features(probe, WHOLE)}, {fixed.split(WHOLE + ',')[1]},
 ls AS (SELECT doc_id, avg(ppl) / avg(xppl) AS s FROM tk GROUP BY doc_id),
 j AS (SELECT sc.doc_id, sc.style, ls.s, CASE WHEN lang = 'es' THEN (n % 100) / 100.0::DOUBLE END AS c, lang = 'es' AS cal FROM scored sc LEFT JOIN ls USING (doc_id)),
 k AS (SELECT *, {sig(f"{lm['slope']}::DOUBLE * s + {lm['intercept']}")} AS lp, {sig('-1.2::DOUBLE - 1.0::DOUBLE * (s - 0.9::DOUBLE) / 0.1::DOUBLE + 0.5::DOUBLE * (style - 0.4::DOUBLE) / 0.2::DOUBLE + 1.25::DOUBLE * (ln(least(greatest(c, 1e-4), 1 - 1e-4) / (1 - least(greatest(c, 1e-4), 1 - 1e-4))) - 0.5::DOUBLE) / 3.0::DOUBLE')} AS mp FROM j)

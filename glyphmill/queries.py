@@ -39,7 +39,7 @@ def md5(c: Column) -> Column:
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
     base = docs(spark, d).select("doc_id", T.normalize(F.col("text")).alias("t"))
-    return base.select("doc_id", F.posexplode(T.sentences(F.col("t"))).alias("sent_id", "s")).select("doc_id", "sent_id", "s.paragraph", "s.start", "s.end", "s.text")
+    return T.exploded(base, ["doc_id"], T.sentences(F.col("t")), "s", "sent_id").select("doc_id", "sent_id", "s.paragraph", "s.start", "s.end", "s.text")
 
 
 def text_normalize(spark, d):
@@ -74,7 +74,7 @@ def spanish_filter(spark, d):
 
 def paragraphs(spark, d):
     base = docs(spark, d).select("doc_id", T.normalize(F.col("text")).alias("t"))
-    return base.select("doc_id", F.posexplode(T.paragraphs(F.col("t"))).alias("paragraph", "text")).select("doc_id", "paragraph", F.length("text").alias("chars"), md5(F.col("text")).alias("digest"))
+    return T.exploded(base, ["doc_id"], T.paragraphs(F.col("t")), "text", "paragraph").select("doc_id", "paragraph", F.length("text").alias("chars"), md5(F.col("text")).alias("digest"))
 
 
 def sentence_split(spark, d):
@@ -87,13 +87,14 @@ def mattr(spark, d):
 
 def ngrams(spark, d):
     g = V.grams(F.col("text"))
-    return docs(spark, d).select("doc_id", F.size(g).alias("n_grams"), md5(F.array_join(F.slice(g, 1, 3), "|")).alias("first"))
+    return docs(spark, d).select("doc_id", F.size(g).alias("n_grams"), md5(F.array_join(g, "|")).alias("digest"))
 
 
 def lexicon_hits(spark, d):
     p = O.prepare(docs(spark, d), lexicons=PROBE)
-    s = F.explode("sents").alias("s")
-    return p.select("doc_id", "lang", s).groupBy("doc_id", "lang").agg(F.sum(F.size("s.hits")).alias("hits"), F.sum(F.col("s.connector").isNotNull().cast("int")).alias("starts"), F.sum("s.asks").alias("asks"))
+    s = F.col("sents")
+    sums = T.computed(p, "doc_id", "lang", n=F.size(s), hits=O.total(s, lambda x: F.size(x["hits"])), starts=O.total(s, lambda x: x["connector"].isNotNull().cast("int")), asks=O.total(s, lambda x: x["asks"]))
+    return sums.where("n > 0").drop("n")
 
 
 def style_features(spark, d):
@@ -186,7 +187,7 @@ def first_of_text(spark, d):
 
 
 def group_split(spark, d):
-    return C.group_split(docs(spark, d), "source", hold_out=F.col("lang") == "xx").groupBy("source", "split").count().withColumnRenamed("count", "n")
+    return C.group_split(docs(spark, d), "source", hold_out=F.col("source").contains("7") & (F.col("lang") == "fr")).groupBy("source", "split").count().withColumnRenamed("count", "n")
 
 
 def size_folds(spark, d):
@@ -208,7 +209,7 @@ def oversample(spark, d):
 
 def take_until(spark, d):
     base = docs(spark, d).select("doc_id", T.normalize(F.col("text")).alias("t"))
-    parts = base.select("doc_id", F.posexplode(T.paragraphs(F.col("t"))).alias("k", "text")).withColumn("n", T.count_blank_words(F.col("text")))
+    parts = T.exploded(base, ["doc_id"], T.paragraphs(F.col("t")), "text", "k").withColumn("n", T.count_blank_words(F.col("text")))
     return C.take_until(parts, "doc_id", "k", "n", 650).groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum("n").alias("words"))
 
 
@@ -248,11 +249,15 @@ def token_statistics(spark, d):
 
 
 def _fixed_tokens(spark, d) -> DataFrame:
-    """Words as tokens with made-up statistics that both engines can compute."""
+    """fixed_tokens as rows, as a provider outside the row would give them."""
     base = docs(spark, d).select("doc_id", T.normalize(F.col("text")).alias("t"))
-    rows = base.select("doc_id", F.posexplode(G.with_offsets(F.col("t"))).alias("pos", "x"))
-    n = F.length("x.w")
-    return rows.select("doc_id", "pos", F.col("x.start").alias("start"), F.col("x.end").alias("end"), (1 + n % 5).cast("double").alias("ppl"), (1 + n % 7).cast("double").alias("xppl"))
+    return T.exploded(base, ["doc_id"], fixed_tokens(F.col("t")), "x", "pos").select("doc_id", "pos", "x.*")
+
+
+def fixed_tokens(text: Column) -> Column:
+    """Words as tokens (start, end, ppl, xppl) with made-up statistics that both engines can compute."""
+    made = lambda n, k: (1 + n % k).cast("double")
+    return F.transform(G.with_offsets(text), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), made(F.length(x["w"]), 5).alias("ppl"), made(F.length(x["w"]), 7).alias("xppl")))
 
 
 def token_sentences(spark, d):
@@ -261,16 +266,23 @@ def token_sentences(spark, d):
 
 
 def sentence_scores(spark, d):
+    base = docs(spark, d).select("doc_id", T.normalize(F.col("text")).alias("t"))
+    r = T.exploded(base, ["doc_id"], G.row_sentence_scores(fixed_tokens(F.col("t")), T.sentences(F.col("t"))), "x").select("doc_id", "x.*")
+    return r.select("doc_id", "sent_id", "n_tokens", F.round("score", 6).alias("score"))
+
+
+def provided_sentence_scores(spark, d):
+    """sentence_scores of tokens from outside the row: an as-of join of tokens and sentences first."""
     s = sentences(spark, d)
     r = G.sentence_scores(G.assign(_fixed_tokens(spark, d), s), s)
-    return r.select("doc_id", "sent_id", "n_tokens", F.round("score", 6).alias("score"))
+    return r.select("doc_id", "sent_id", "lo", "hi", "n_tokens", F.round("score", 6).alias("score"))
 
 
 def signal_report(spark, d):
     """Every document with the fixed statistics' score, calibrated, mixed with style and a made-up classifier."""
     found = spark.createDataFrame([("es", FIXED_LM["model_id"], FIXED_LM["slope"], FIXED_LM["intercept"], FIXED_LM["threshold_low_fpr"])], "lang string, model_id string, slope double, intercept double, threshold_low_fpr double")
-    style = O.features(O.prepare(docs(spark, d), lexicons=PROBE)).select("doc_id", "lang", "n_words", "style")
-    rows = style.join(G.document_scores(_fixed_tokens(spark, d)), "doc_id", "left").withColumn("classifier_p", F.when(F.col("lang") == "es", (F.col("n_words") % 100) / 100.0))
+    whole = O.features(O.prepare(docs(spark, d), lexicons=PROBE, config=EngineConfig(max_chars=(1 << 31) - 1)))
+    rows = whole.select("doc_id", "lang", "n_words", "style", G.row_score(fixed_tokens(F.col("text"))).alias("lm_score")).withColumn("classifier_p", F.when(F.col("lang") == "es", (F.col("n_words") % 100) / 100.0))
     meta = spark.createDataFrame([("bigram", "clf", [-1.0, 0.5, 1.25], -1.2, [0.9, 0.4, 0.5], [0.1, 0.2, 3.0])], "binoculars string, clasificador string, coef array<double>, intercept double, mean array<double>, std array<double>")
     r = G.document_signals(rows, found, "bigram", meta, "clf")
     p = S.combine(F.col("lm_p"), F.col("classifier_p"), F.col("style"), F.col("meta_p"))
@@ -310,7 +322,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         style_features, text_normalize, text_words, text_fold, text_cuts, language_rule, spanish_filter, paragraphs, sentence_split, mattr, ngrams, lexicon_hits,
         report_rows, too_short, short_turns, keyword_queries, overlap_matches, overlap_totals, auroc, tpr_at_fpr, accuracy, method_rates, group_audit,
         one_against_rest, quantile_shift, class_guard, standardised, stratified_sample, first_of_text, group_split, size_folds, task_choice, prompts, oversample,
-        take_until, pending, aligned_union, joins, inverted_index, cleaning, token_statistics, token_sentences, sentence_scores, signal_report, model_windows,
+        take_until, pending, aligned_union, joins, inverted_index, cleaning, token_statistics, token_sentences, sentence_scores, provided_sentence_scores, signal_report, model_windows,
         html_paragraphs, html_paragraphs_native, rewrite_change, fold_scores,
     )
 }
