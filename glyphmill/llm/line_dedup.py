@@ -60,12 +60,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # a one-element array binds the split lines: captured by the inner lambda they would be split again for each line
     kept = F.get(F.transform(F.array(_lines(text)), reassembled), F.lit(0))
-    return found.select(
-        *[F.col("__row")[c].alias(c) for c in old],
+    made = found.select(
+        "__row",
         F.when(F.col("__drop").isNull(), text).otherwise(kept).alias("kept"),
         n_lines.cast("long").alias("n_lines"),
         F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )
+    return made.select(*[F.col("__row")[c].alias(c) for c in old], "kept", "n_lines", "n_dropped")
 
 
 def op5_line_dedup(docs: DataFrame) -> DataFrame:
