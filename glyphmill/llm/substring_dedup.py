@@ -6,9 +6,10 @@ remainder modulo `period` lies in a difference cover. For any two places i, j of
 `period` puts both i + shift and j + shift on the cover, so each repeated window holds an aligned anchor that
 occurs twice. Windows that hold such an anchor are extended to full length and compared by 80-bit hashes.
 
-Rows between tasks are numpy arrays packed per (piece of the input, bucket of the hash): about seven bytes an
-anchor; so do the answers. Each piece sends a hash once however often it holds it, so a passage in a third of all texts costs
-one entry per piece of 8 MB and never gathers in one task. A piece that sees a repeat itself settles it.
+Rows between tasks are numpy arrays packed per (piece of the input, bucket of the hash), about seven bytes an anchor;
+answers come back the same way. Each piece sends a hash once however often it holds it, so a passage in a third of all texts
+costs its bucket one entry per piece of 8 MB. A piece that sees a repeat itself settles it. There is a bucket for every
+BUCKET_BYTES of text, so what a task unpacks is bounded: about 60 bytes an anchor, or four times BUCKET_BYTES.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ PLACES = "bucket int, ids binary, keys binary, sizes binary, gaps binary"
 PACKED = PLACES + ", tag binary, extra binary, known binary"
 FOUND = "__id long, __key long, __pos binary"
 LOW40 = np.uint64((1 << 40) - 1)
+#: Bytes of text whose hashes make a bucket, on average.
+BUCKET_BYTES = 64 << 20
 
 
 def cover(window: int) -> tuple[int, tuple[int, ...]]:
@@ -270,8 +273,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     ship(spark)
-    buckets = partitions(spark)
     base = with_row_key(docs, id_col, text_col).where(F.col("__id").isNotNull())
+    size = base.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
 
     def exchange(rows: DataFrame, decide) -> DataFrame:
         answers = rows.repartitionById(buckets, F.col("bucket")).mapInArrow(_reduce(decide, buckets), PLACES)
