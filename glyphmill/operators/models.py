@@ -53,6 +53,21 @@ def out_of_fold(rows: DataFrame, cols: Sequence[str], label: str, fold: str = "f
     return out
 
 
+def fixed_weights(rows: DataFrame, lm_p: str, classifier_p: str, style: str, out: str = "fixed_p") -> DataFrame:
+    """rows with the probability of the fixed weights, the baseline that a stacked model is held against."""
+    return rows.withColumn(out, S.combine(F.col(lm_p), F.col(classifier_p), F.col(style)))
+
+
+def compare_features(rows: DataFrame, base: Sequence[str], extra: Sequence[str], label: str, fold: str = "fold", k: int = 5) -> DataFrame:
+    """(features, auroc, tpr, n) of out-of-fold scores of a stacked model with the base columns and with the extra ones too."""
+    out = None
+    for name, cols in (("base", base), ("with extra", [*base, *extra])):
+        scored = out_of_fold(rows, cols, label, fold, k)
+        line = auroc(scored, "meta_p", label).crossJoin(tpr_at_fpr(scored, "meta_p", label).select("tpr")).select(F.lit(name).alias("features"), "auroc", "tpr", "n")
+        out = line if out is None else out.unionByName(line)
+    return out
+
+
 def shifted(fitted: dict, scored: DataFrame, label: str, p: str = "meta_p", fpr: float = 0.01, at: float = 0.65) -> dict:
     """The fit with its intercept moved so that only fpr of people reach `at`."""
     shift = logit_shift(scored, p, label, fpr, at).first()["shift"]

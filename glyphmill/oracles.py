@@ -238,6 +238,61 @@ SELECT doc_id, round(s, 6) AS lm_score, CASE WHEN s IS NOT NULL THEN round(lp, 6
     o["model_windows"] = f"""WITH a AS (SELECT doc_id, len({words(D)}) AS n FROM documents), b AS (SELECT *, range(1, n, 512) AS w, range(0, greatest(n, 1), 382) AS c FROM a)
 SELECT doc_id, len(w)::INTEGER AS n_windows, coalesce(list_sum(list_transform(w, lambda s: least(s + 512, n) - s)), 0)::BIGINT AS scored, coalesce(list_sum(list_transform(w, lambda s: s - greatest(s - 64, 0))), 0)::BIGINT AS context, len(c)::INTEGER AS n_chunks,
 list_sum(list_transform(c, lambda s: least(s + 382, n) - CASE WHEN s > 0 AND n - s < 95 THEN greatest(n - 382, 0) ELSE s END))::BIGINT AS chunked FROM b"""
+    style_reason = ", ".join([
+        f"CASE WHEN burst < 0.35 AND ns >= 5 THEN {q(L.STYLE_REASONS['uniform_sentences'])} END",
+        "CASE WHEN rate >= 1 THEN " + " || h::VARCHAR || ".join(q(x) for x in L.STYLE_REASONS["phrases"].split("{n}")) + " END",
+        f"CASE WHEN conn >= 0.3 THEN {q(L.STYLE_REASONS['connectors'])} END",
+        f"CASE WHEN pv < 0.2 THEN {q(L.STYLE_REASONS['uniform_paragraphs'])} END",
+    ])
+    common = f"CASE WHEN n < 250 THEN {q(L.WARNINGS['short'].format(n=250))} END, CASE WHEN raw > 300000 THEN {q(L.WARNINGS['truncated'].format(n='300,000'))} END, CASE WHEN lang = 'en' THEN {q(L.WARNINGS['english'])} END"
+    o["report_files"] = f"WITH {f} SELECT doc_id, {rnd('style', 3)} AS p, {verdict('style')} AS verdict, md5(concat_ws('|', {style_reason})) AS reasons, md5(concat_ws('|', {common}, {q(L.WARNINGS['style_only'])})) AS warnings FROM scored WHERE n >= 80"
+    m, g = L.Mixing(), L.GUIDANCE
+    both = f"{m.lm_classifier_style[0]}::DOUBLE * lm + {m.lm_classifier_style[1]}::DOUBLE * clf + {m.lm_classifier_style[2]}::DOUBLE * style"
+    starts = lambda x: q(r"(?i)^(" + "|".join(x.connectors) + r")(?:[^\p{L}\p{N}_]|$)")
+    phrases = lambda x: q("(?i)(?:" + "|".join(f"(?:{p})" for p in x.phrases) + ")")
+    by_lang = lambda make: f"CASE WHEN lang = 'en' THEN {make(probe['en'])} ELSE {make(probe['es'])} END"
+    found = by_lang(lambda x: f"regexp_extract_all(text, {phrases(x)})")
+    first = by_lang(lambda x: f"nullif(regexp_extract(text, {starts(x)}, 1), '')")
+    listed = " || list_aggregate(list_transform(ph[1:6], lambda w: '«' || w || '»'), 'string_agg', ', ') || ".join(q(x) for x in g["phrases"][0].split("{list}"))
+    a, b = g["connectors"][0].removeprefix("{n}").split("{list}")
+    chained = f"len(co)::VARCHAR || {q(a)} || list_aggregate(co[1:4], 'string_agg', ', ') || {q(b)}"
+    o["signalled_report"] = f"""WITH {f},
+sig AS (SELECT *, (doc_id % 101) / 101 AS lm, CASE WHEN lang = 'es' THEN (doc_id % 97 + 3) / 100 END AS clf, (doc_id % 13) / 10 + 0.3::DOUBLE AS score FROM scored WHERE n >= 80),
+docp AS (SELECT *, CASE WHEN clf IS NOT NULL THEN {both} ELSE {m.lm_style[0]}::DOUBLE * lm + {m.lm_style[1]}::DOUBLE * style END AS p FROM sig),
+sp AS (SELECT x.doc_id, x.sent_id, x.paragraph, x.start_at, x.text, x.n, x.lang, d.p AS dp, CASE WHEN x.sent_id < 40 THEN least(1.0::DOUBLE, ((x.doc_id * 7 + x.sent_id * 37) % 100) / 100 + 0.05::DOUBLE * least(x.h, 2)) ELSE d.style END AS raw, sum(x.n) OVER (PARTITION BY x.doc_id, x.paragraph) AS pw FROM hits x JOIN docp d USING (doc_id)),
+cap AS (SELECT *, CASE WHEN pw < 8 THEN least(raw, dp) ELSE raw END AS p, {found} AS ph, {first} AS co FROM sp),
+par AS (SELECT doc_id, paragraph, list_reduce(list(p * greatest(n, 1) ORDER BY sent_id), lambda a, b: a + b) / sum(greatest(n, 1)) AS p, count(*) AS k, coalesce(sqrt(greatest(avg(n * n) - avg(n) * avg(n), 0)), 0) / greatest(avg(n), 1) AS spread, list_sort(list_distinct(list_transform(flatten(list(ph)), lambda w: lower(w)))) AS ph, coalesce(list(co ORDER BY sent_id) FILTER (WHERE co IS NOT NULL), []) AS co FROM cap GROUP BY ALL),
+own AS (SELECT *, len(ph) > 0 AS has, len(co) >= 2 AS many, k >= 3 AND spread < 0.3 AS even FROM par),
+gui AS (SELECT o.*, pr.p AS body, concat_ws(';', CASE WHEN has THEN {listed} END, CASE WHEN many THEN {chained} END, CASE WHEN even THEN {q(g['rhythm'][0])} END, CASE WHEN o.p >= 0.65 AND NOT has AND NOT many AND NOT even THEN {q(g['predictable'])} END) AS why,
+  concat_ws(';', CASE WHEN has THEN {q(g['phrases'][1])} END, CASE WHEN many THEN {q(g['connectors'][1])} END, CASE WHEN even THEN {q(g['rhythm'][1])} END, CASE WHEN o.p >= 0.35 THEN {q(g['voice'])} END) AS tips FROM own o JOIN pars pr ON o.doc_id = pr.doc_id AND o.paragraph = pr.k - 1),
+pd AS (SELECT doc_id, md5(string_agg({strip('body')} || '~' || round({rnd('p', 3)} * 1000)::BIGINT || '~' || {level('p')} || '~' || why || '~' || tips, '|' ORDER BY paragraph)) AS digest FROM gui GROUP BY doc_id),
+sd AS (SELECT doc_id, md5(string_agg(start_at || '~' || round({rnd('p', 3)} * 1000)::BIGINT || '~' || {level('p')}, '|' ORDER BY sent_id)) AS digest, sum(n) FILTER (WHERE p >= 0.65) AS flagged, sum(n) AS whole FROM cap GROUP BY doc_id)
+SELECT doc_id, {rnd('p', 3)} AS p, {verdict('p')} AS verdict, CASE WHEN n < 250 THEN 'baja' WHEN n >= 500 AND abs(p - 0.5) > 0.3 AND (p >= 0.5) = (style >= 0.5) THEN 'alta' ELSE 'media' END AS confidence, {rnd('coalesce(flagged, 0) / greatest(whole, 1)', 3)} AS flagged_fraction,
+md5(concat_ws('|', CASE WHEN clf >= 0.9 AND p >= 0.65 THEN {q(L.CLASSIFIER_REASON)} END, CASE WHEN score < 0.9 THEN {q(L.PREDICTABLE_REASON)} END, {style_reason})) AS reasons, md5(concat_ws('|', {common}, CASE WHEN doc_id % 2 <> 0 THEN {q(L.WARNINGS['uncalibrated'])} END)) AS warnings, pd.digest AS paragraphs, sd.digest AS sentences
+FROM docp JOIN pd USING (doc_id) JOIN sd USING (doc_id)"""
+    o["corpus_files"] = f"SELECT doc_id::VARCHAR AS id, source AS source_id, (doc_id % 2)::INTEGER AS label, lang AS domain, len({blanks(D)})::INTEGER AS words, md5({D}) AS digest FROM documents"
+    o["split_files"] = f"SELECT CASE WHEN {draw('source')} < 0.3 THEN 'test' ELSE 'train' END AS split, source, count(*)::BIGINT AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ALL"
+    o["score_files"] = f"WITH {LABELLED} SELECT doc_id::VARCHAR AS id, p AS score FROM labelled"
+    o["reject_files"] = o["spanish_filter"].replace("SELECT doc_id, spanish, CASE", "SELECT doc_id, CASE") + " WHERE len(" + blanks("x") + ") < 100 OR NOT spanish"
+    d = L.Calibration()
+    pick = lambda k, es: f"CASE WHEN lang = 'en' THEN {float(getattr(d, k))}::DOUBLE ELSE {es}::DOUBLE END AS {k}"
+    o["artefact_files"] = f"SELECT doc_id, lang, {pick('slope', -12.0)}, {pick('intercept', 11.0)}, {pick('threshold_low_fpr', 0.9)}, lang = 'es' AS calibrated FROM documents"
+    o["table_files"] = f"SELECT doc_id::VARCHAR AS id, (doc_id % 3 = 0)::INTEGER AS label, lang AS domain, md5({D}) AS digest FROM documents"
+    o["text_files"] = f"SELECT source, length(t)::INTEGER AS chars, md5(t) AS digest, NULL::VARCHAR AS error FROM (SELECT source, string_agg(text || {NL}, '' ORDER BY doc_id) AS t FROM documents GROUP BY source) UNION ALL SELECT '', NULL, NULL, 'unsupported format: .csv'"
+    o["works"] = rf"""WITH a AS (SELECT doc_id, source, array_to_string({blanks(D)}, ' ') AS t FROM documents WHERE length({D}) > 0)
+SELECT CASE WHEN doc_id % 2 = 0 THEN 'doi:' ELSE 'id:' END || doc_id AS url, CASE WHEN doc_id % 3 > 0 THEN source ELSE '(sin título)' END AS title, 'OpenAlex' AS kind,
+md5({strip(rf"regexp_replace(regexp_extract(regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '(?i)^\s*(resumen|introducci[oó]n)\s*[:.]?\s*', ''), '(?s)^(.*?)(?:\b(?:Abstract|ABSTRACT|Resumo|Palabras clave|Palabras-clave|Keywords|Descriptores)\b|$)', 1), '[{WS}]+', ' ', 'g')")}) AS digest FROM a"""
+    o["source_duplicates"] = f"SELECT 'u' || (doc_id % 50) AS url, arg_max(source, doc_id) AS title, arg_max(lang, doc_id) AS kind, md5(arg_max({D}, doc_id)) AS digest, min(doc_id) AS ord FROM documents GROUP BY 1"
+    gram = lambda w: f"list_distinct(list_transform(range(1, len({w}) - 3), lambda i: array_to_string({w}[i:i + 4], ' ')))"
+    o["gram_sets"] = f"""WITH a AS (SELECT doc_id, {tokens(D)} AS w, b.v FROM documents JOIN (SELECT item_id, {tokens('text')} AS v FROM benchmark) b ON doc_id % 50 = b.item_id),
+e AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 3, 1))) AS i, w FROM a), r AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g, min(i) AS i FROM e GROUP BY ALL), t AS (SELECT doc_id, {gram('v')} AS ts FROM a),
+c AS (SELECT a.doc_id, count(r.g) AS n, count(r.g) FILTER (WHERE list_contains(ts, g)) AS k, coalesce(string_agg(g, '|' ORDER BY i) FILTER (WHERE list_contains(ts, g)), '') AS s FROM a JOIN t USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY a.doc_id)
+SELECT doc_id, k::INTEGER AS n_shared, md5(s) AS shared, (n - k)::INTEGER AS n_only, round(k / nullif(n, 0), 6) AS share FROM c"""
+    o["contains_rules"] = "SELECT doc_id, contains(lower(coalesce(text, '')), 'license') OR contains(lower(coalesce(text, '')), 'copyright') AS licensed, doc_id % 2 = 0 AND (contains(lower(source), 'src1') OR contains(lower(source), '9')) AS picked FROM documents"
+    o["chunk_scores"] = f"""WITH a AS (SELECT doc_id, len({words(D)}) AS n FROM documents), b AS (SELECT doc_id, n, unnest(range(0, greatest(n, 1), 382)) AS s FROM a), c AS (SELECT doc_id, CASE WHEN s > 0 AND n - s < 95 THEN greatest(n - 382, 0) ELSE s END AS s, least(s + 382, n) AS e FROM b)
+SELECT doc_id, round(sum((s % 97) / 97 * (e - s)) / nullif(sum(e - s), 0), 6) AS classifier_p FROM c GROUP BY doc_id"""
+    o["length_order"] = f"SELECT doc_id, length({D})::INTEGER AS chars FROM documents"
+    o["fixed_weights"] = f"WITH {LABELLED} SELECT doc_id, round(CASE WHEN lang = 'en' THEN {m.lm_classifier_style[0]}::DOUBLE * p + {m.lm_classifier_style[1]}::DOUBLE * q + {m.lm_classifier_style[2]}::DOUBLE * p ELSE {m.lm_style[0]}::DOUBLE * p + {m.lm_style[1]}::DOUBLE * p END, 6) AS fixed_p FROM labelled"
     html = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<table\b[^>]*>.*?</table\s*>', '', 'g'), '(?is)<sup\b[^>]*>.*?</sup\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<figure\b[^>]*>.*?</figure\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
     plain = "regexp_replace(p, '<[^>]+>', '', 'g')"
     for name, char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&apos;", "''''"), ("&nbsp;", "chr(160)"), ("&hellip;", "'…'"), ("&ndash;", "'–'"), ("&mdash;", "'—'"), ("&amp;", "'&'")):

@@ -13,6 +13,7 @@ from .lexicon import STOP_ES, Lexicon
 from .operators import corpus as C, evaluate as E, models as M, overlap as V, signals as G, style as O
 from .plans.partitioning import spread
 from .plans.report import rejected, report
+from . import round_trips as R
 from .sources import files
 
 #: Frequent words of the test texts, so that lexicon operators have something to find.
@@ -316,6 +317,89 @@ def fold_scores(spark, d):
     return M.out_of_fold(rows, ["p", "q"], "y", k=3).select("doc_id", "fold", F.round("meta_p", 4).alias("meta_p"))
 
 
+def report_files(spark, d):
+    return R.report_files(docs(spark, d), PROBE)
+
+
+def corpus_files(spark, d):
+    return R.corpus_files(docs(spark, d))
+
+
+def split_files(spark, d):
+    return R.split_files(docs(spark, d))
+
+
+def score_files(spark, d):
+    return R.score_files(labelled(spark, d))
+
+
+def reject_files(spark, d):
+    return R.reject_files(docs(spark, d))
+
+
+def artefact_files(spark, d):
+    return R.artefact_files(docs(spark, d))
+
+
+def table_files(spark, d):
+    return R.table_files(docs(spark, d))
+
+
+def text_files(spark, d):
+    return R.text_files(spark.read.parquet(f"{d}/documents.parquet"))
+
+
+def works(spark, d):
+    return R.works(docs(spark, d))
+
+
+def signalled_report(spark, d):
+    """Reports of documents with made-up signals of both models, sentence by sentence for the first 40."""
+    i = F.col("doc_id")
+    signals = docs(spark, d).select(
+        "doc_id", ((i % 13) / 10 + 0.3).alias("lm_score"), ((i % 101) / 101).alias("lm_p"), F.lit(0.9).alias("threshold_low_fpr"), (i % 2 == 0).alias("calibrated"), ((i % 97 + 3) / 100).alias("classifier_p"),
+        F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: ((i * 7 + k * 37) % 100) / 100).alias("sentence_p"),
+    )
+    r = report(docs(spark, d), signals=signals, lexicons=PROBE)
+    thousandths = lambda p: F.round(p * 1000).cast("long").cast("string")
+    whole = lambda x: F.concat_ws("~", x["text"], thousandths(x["p"]), x["level"], F.array_join(x["reasons"], ";"), F.array_join(x["suggestions"], ";"))
+    parts = F.transform("paragraphs", whole)
+    sents = F.transform("sentences", lambda s: F.concat_ws("~", s["start"].cast("string"), thousandths(s["p"]), s["level"]))
+    return r.select("doc_id", "p", "verdict", "confidence", "flagged_fraction", R.digest("reasons").alias("reasons"), R.digest("warnings").alias("warnings"), R.digest(parts).alias("paragraphs"), R.digest(sents).alias("sentences"))
+
+
+def source_duplicates(spark, d):
+    rows = docs(spark, d).select(F.concat(F.lit("u"), F.col("doc_id") % 50).alias("url"), F.col("source").alias("title"), F.col("lang").alias("kind"), "text", F.col("doc_id").alias("ord"))
+    return V.unique_sources(rows).select("url", "title", "kind", md5(F.col("text")).alias("digest"), "ord")
+
+
+def gram_sets(spark, d):
+    """Each document's 5-grams against those of one benchmark item."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", V.grams(F.col("text")).alias("theirs"))
+    own = docs(spark, d).select("doc_id", (F.col("doc_id") % 50).alias("item_id"), V.grams(F.col("text")).alias("mine"))
+    return own.join(items, "item_id").select("doc_id", V.compared(F.col("mine"), F.col("theirs")).alias("c")).select("doc_id", F.size("c.shared").alias("n_shared"), md5(F.array_join("c.shared", "|")).alias("shared"), F.size("c.only_mine").alias("n_only"), F.round("c.share", 6).alias("share"))
+
+
+def contains_rules(spark, d):
+    return docs(spark, d).select("doc_id", T.contains_any(F.col("text"), "license", "copyright").alias("licensed"), T.contains_any(F.when(F.col("doc_id") % 2 == 0, F.col("source")), "SRC1".lower(), "9").alias("picked"))
+
+
+def chunk_scores(spark, d):
+    """Made-up probabilities of a classifier's chunks as one for each document."""
+    chunks = T.exploded(docs(spark, d), ["doc_id"], G.classifier_chunks(F.size(T.words(F.col("text")))), "x")
+    rows = chunks.select("doc_id", ((F.col("x.start") % 97) / 97).alias("p"), (F.col("x.end") - F.col("x.start")).alias("len"))
+    return G.chunk_probability(rows).select("doc_id", F.round("classifier_p", 6).alias("classifier_p"))
+
+
+def length_order(spark, d):
+    return C.by_length(docs(spark, d).select("doc_id", "text"), "text", 8).select("doc_id", F.length("text").alias("chars"))
+
+
+def fixed_weights(spark, d):
+    rows = labelled(spark, d).withColumn("q", F.when(F.col("lang") == "en", F.col("q")))
+    return M.fixed_weights(rows, "p", "q", "p").select("doc_id", F.round("fixed_p", 6).alias("fixed_p"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -323,7 +407,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         report_rows, too_short, short_turns, keyword_queries, overlap_matches, overlap_totals, auroc, tpr_at_fpr, accuracy, method_rates, group_audit,
         one_against_rest, quantile_shift, class_guard, standardised, stratified_sample, first_of_text, group_split, size_folds, task_choice, prompts, oversample,
         take_until, pending, aligned_union, joins, inverted_index, cleaning, token_statistics, token_sentences, sentence_scores, provided_sentence_scores, signal_report, model_windows,
-        html_paragraphs, html_paragraphs_native, rewrite_change, fold_scores,
+        html_paragraphs, html_paragraphs_native, rewrite_change, fold_scores, report_files, corpus_files, split_files, score_files, reject_files, artefact_files, table_files, text_files, works,
+        signalled_report, source_duplicates, gram_sets, contains_rules, chunk_scores, length_order, fixed_weights,
     )
 }
 ORACLES: dict[str, str] = oracles.build(PROBE, FIXED_LM)
