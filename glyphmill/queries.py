@@ -163,8 +163,7 @@ def group_audit(spark, d):
 
 
 def one_against_rest(spark, d):
-    r = E.one_against_rest(labelled(spark, d), "lang", "y")
-    return E.auroc(r, "p", "y", ["against"]).select("against", F.round("auroc", 9).alias("auroc"), "n")
+    return E.one_against_rest(labelled(spark, d), "p", "y", "lang").select("against", F.round("auroc", 9).alias("auroc"), "n")
 
 
 def quantile_shift(spark, d):
