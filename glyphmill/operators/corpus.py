@@ -92,21 +92,22 @@ def reject_reason(c: Column, least: int = 100) -> Column:
 def human_items(items: DataFrame, domain: str, source: str, target: int, least: int = 150, most: int | None = 600) -> DataFrame:
     """(id, text, domain, title, field, year, source, words): Spanish items of least to most words, one per id, `target` of them by hash.
 
-    items: (id, text, title, field, year), whatever crawl or dump they come from.
+    items: (id, text, title, field, year and, if it differs by item, source), whatever crawl or dump they come from.
     """
     n = T.count_blank_words(F.col("text"))
     rows = items.where(F.col("text").isNotNull()).dropDuplicates(["id"]).withColumn("words", n).where(F.col("words") >= least)
     if most is not None:
         rows = rows.where(F.col("words") <= most)
-    rows = rows.where(T.is_spanish(F.col("text"))).withColumns({"domain": F.lit(domain), "source": F.lit(source)})
+    rows = rows.where(T.is_spanish(F.col("text"))).withColumn("domain", F.lit(domain))
+    rows = rows.withColumn("source", F.coalesce("source", F.lit(source)) if "source" in rows.columns else F.lit(source))
     return rows.orderBy(key("id"), "id").limit(target).select("id", "text", "domain", "title", "field", "year", "source", "words")
 
 
 def article_text(parts: DataFrame, id_col: str = "id", limit: int = 650) -> DataFrame:
-    """(id, text) of articles from (id, k, text) paragraphs, residues stripped, up to the first that passes `limit` words."""
-    clean = parts.withColumn("text", T.wiki_residue(F.col("text"))).withColumn("n", T.count_blank_words(F.col("text")))
-    kept = take_until(clean, id_col, "k", "n", limit)
-    return kept.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    """(id, text) of articles from (id, k, text) paragraphs, up to the first that passes `limit` words; residues are stripped then."""
+    sized = parts.withColumn("n", T.count_blank_words(F.col("text")))
+    kept = take_until(sized, id_col, "k", "n", limit).withColumn("text", T.wiki_residue(F.col("text")))
+    return kept.groupBy(id_col).agg(T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "\n\n")).alias("text"))
 
 
 def oversample(rows: DataFrame, times: int, where: Column) -> DataFrame:

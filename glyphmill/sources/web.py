@@ -1,22 +1,52 @@
-"""Search services as a Spark data source: one partition per query, retried with growing pauses."""
+"""Search services and crawls as DataFrame steps: requests are rows, answers are parsed as JSON columns.
+
+Each request is tried several times with growing pauses. One that fails for good is logged and gives no rows, so a
+service that is down never stops a job, or the other services (see overlap.failover).
+"""
 
 from __future__ import annotations
 
 import json
+import logging
+import os
 import time
 import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterator
-
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from collections.abc import Callable, Iterator, Mapping
 
-SOURCES = "url string, title string, kind string, text string, ord bigint"
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions import text as T
+from ..operators import corpus as C
+from ..session import ship
+from . import files
 
-def fetch_json(url: str, params: dict, tries: int = 5, get: Callable[[str], bytes] | None = None, pause: Callable[[float], None] = time.sleep):
+Get = Callable[[str], bytes]
+SOURCES = "url string, title string, kind string, text string, ord bigint"
+# The services' addresses, what is asked of them, and how they answer.
+OPENALEX = "https://api.openalex.org/works"
+WIKIPEDIA = "https://{lang}.wikipedia.org/w/api.php"
+SEARCH_WORKS = {"per-page": 5, "filter": "has_abstract:true", "select": "id,doi,title,abstract_inverted_index"}
+SAMPLE_WORKS = {"filter": "language:es,has_abstract:true,publication_year:2010-2021,type:article", "sample": 200, "per_page": 200, "select": "id,title,publication_year,abstract_inverted_index,primary_topic"}
+SEARCH_PAGES = {"action": "query", "list": "search", "srlimit": 3, "format": "json"}
+EXTRACT = {"action": "query", "prop": "extracts", "explaintext": 1, "format": "json", "formatversion": 2}
+RANDOM_PAGES = {"action": "query", "generator": "random", "grnnamespace": 0, "grnlimit": 50, "prop": "info", "format": "json"}
+REVISION = {"action": "query", "prop": "revisions", "rvlimit": 1, "rvdir": "older", "rvprop": "ids|timestamp", "format": "json"}
+PARSED = {"action": "parse", "prop": "text", "format": "json", "formatversion": 2}
+WORKS = "results array<struct<id:string,doi:string,title:string,publication_year:int,abstract_inverted_index:map<string,array<int>>,primary_topic:struct<field:struct<display_name:string>>>>"
+HITS = "query struct<search:array<struct<title:string>>>"
+EXTRACTS = "query struct<pages:array<struct<extract:string>>>"
+PAGES = "query struct<pages:map<string,struct<title:string,length:bigint>>>"
+REVISIONS = "query struct<pages:map<string,struct<revisions:array<struct<revid:bigint,timestamp:string>>>>>"
+PARSES = "parse struct<text:string>"
+LEAST_PAGE, CUTOFF = 12_000, "2021-12-31T23:59:59Z"
+
+
+def fetch_json(url: str, params: Mapping, tries: int = 5, get: Get | None = None, pause: Callable[[float], None] = time.sleep):
     """A JSON answer; after each failure a pause twice as long; null after `tries` failures."""
-    get = get or (lambda u: urllib.request.urlopen(u, timeout=10).read())
+    agent = os.environ.get("GLYPHMILL_USER_AGENT", "glyphmill (set GLYPHMILL_USER_AGENT to how you can be reached)")  # services refuse requests without one
+    get = get or (lambda u: urllib.request.urlopen(urllib.request.Request(u, headers={"User-Agent": agent}), timeout=10).read())
     for attempt in range(tries):
         try:
             return json.loads(get(f"{url}?{urllib.parse.urlencode(params)}"))
@@ -25,33 +55,79 @@ def fetch_json(url: str, params: dict, tries: int = 5, get: Callable[[str], byte
     return None
 
 
-class SearchSource(DataSource):
-    """format("glyphmill_search") with options endpoint and queries (a JSON list); endpoint answers {"results": [{url, title, kind, text}]}."""
+def answers(asked: DataFrame, endpoint: str, params: Mapping, by: Mapping[str, str], get: Get | None = None, tries: int = 5) -> DataFrame:
+    """asked with `answer`, JSON as text, null after repeated failure. by: which parameter each column of asked fills.
+
+    Requests go out from the tasks, one after the other in each; how many partitions asked has bounds how many at once.
+    """
+    ship(asked.sparkSession)
+    columns = asked.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for row in frame.to_dict("records"):
+                own = dict(params) | {name: row[c] for name, c in by.items()}
+                try:
+                    got = fetch_json(endpoint, own, tries, get)
+                except Exception as e:  # whatever a service does must not stop the job
+                    logging.getLogger(__name__).warning("%s %s: %s", endpoint, own, e)
+                    got = None
+                found.append(None if got is None else json.dumps(got, ensure_ascii=False))
+            yield frame[columns].assign(answer=found)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields)
+    return asked.mapInPandas(run, f"{kinds}, answer string")
+
+
+def read(schema: str) -> Column:
+    """The answer as a struct; null fields where it has another form."""
+    return F.from_json("answer", schema)
+
+
+def openalex_search(get: Get | None = None):
+    """A search of works: from (query) to sources, by their abstracts."""
+
+    def search(asked: DataFrame) -> DataFrame:
+        found = T.exploded(answers(asked, OPENALEX, SEARCH_WORKS, {"search": "query"}, get), [], read(WORKS)["results"], "w").select("w.*")
+        return files.indexed_works(found.where(F.size("abstract_inverted_index") > 0))
 
-    @classmethod
-    def name(cls) -> str:
-        return "glyphmill_search"
+    return search
 
-    def schema(self) -> str:
-        return SOURCES
 
-    def reader(self, schema) -> DataSourceReader:
-        return SearchReader(self.options["endpoint"], json.loads(self.options["queries"]), int(self.options.get("limit", 5)))
+def wikipedia_search(lang: str = "es", get: Get | None = None):
+    """A search of articles: from (query) to sources, by their plain texts."""
 
+    def search(asked: DataFrame) -> DataFrame:
+        api = WIKIPEDIA.format(lang=lang)
+        titles = T.exploded(answers(asked, api, SEARCH_PAGES, {"srsearch": "query"}, get), [], read(HITS)["query"]["search"], "hit").select("hit.title").distinct()
+        texts = answers(titles, api, EXTRACT, {"titles": "title"}, get).select("title", F.get(read(EXTRACTS)["query"]["pages"], F.lit(0))["extract"].alias("text"))
+        url = T.wiki_url(F.col("title"), lang)
+        return texts.where(F.length("text") > 0).select(url.alias("url"), "title", F.lit("Wikipedia").alias("kind"), "text", F.xxhash64(url).alias("ord"))
 
-class SearchReader(DataSourceReader):
-    def __init__(self, endpoint: str, queries: list[str], limit: int):
-        self.endpoint, self.queries, self.limit = endpoint, queries, limit
+    return search
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition((k, q)) for k, q in enumerate(self.queries)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        k, query = partition.value
-        answer = fetch_json(self.endpoint, {"search": query, "per-page": self.limit}) or {}
-        for j, r in enumerate(answer.get("results", [])[: self.limit]):
-            yield r.get("url"), r.get("title"), r.get("kind"), r.get("text"), k * 1000 + j
+def openalex_items(spark: SparkSession, seeds: int = 200, get: Get | None = None) -> DataFrame:
+    """(id, text, title, field, year, source) of sampled works, one sample a seed; see corpus.human_items for what may stay."""
+    asked = spark.range(1, seeds + 1).select(F.col("id").alias("seed")).repartition(min(seeds, 16))
+    w = T.exploded(answers(asked, OPENALEX, SAMPLE_WORKS, {"seed": "seed"}, get), [], read(WORKS)["results"], "w").select("w.*")
+    text = T.clean_abstract(T.unindex(F.col("abstract_inverted_index")))
+    rows = w.where((F.size("abstract_inverted_index") > 0) & (F.length("title") > 0))
+    field = F.coalesce(F.col("primary_topic.field.display_name"), F.lit("desconocido"))
+    return rows.select(F.concat(F.lit("oa_"), F.substring_index("id", "/", -1)).alias("id"), text.alias("text"), T.strip(F.regexp_replace("title", "<[^>]+>", "")).alias("title"), field.alias("field"), F.col("publication_year").alias("year"), F.col("id").alias("source"))
 
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(SearchSource)
+def wikipedia_items(spark: SparkSession, batches: int, lang: str = "es", get: Get | None = None) -> DataFrame:
+    """(id, text, title, field, year, source) of random long articles as they stood at CUTOFF, up to about 600 words of each."""
+    api = WIKIPEDIA.format(lang=lang)
+    asked = spark.range(batches).select(F.col("id").alias("batch")).repartition(min(batches, 16))
+    pages = T.exploded(answers(asked, api, RANDOM_PAGES, {}, get), [], F.map_values(read(PAGES)["query"]["pages"]), "p").select("p.title", "p.length").where(F.col("length") >= LEAST_PAGE)
+    pages = pages.select("title").distinct()
+    revision = F.get(F.get(F.map_values(read(REVISIONS)["query"]["pages"]), F.lit(0))["revisions"], F.lit(0))
+    dated = answers(pages, api, REVISION | {"rvstart": CUTOFF}, {"titles": "title"}, get).select("title", revision.alias("r")).where("r.revid is not null").select("title", F.col("r.revid").alias("revid"), F.substring("r.timestamp", 1, 4).cast("int").alias("year"))
+    parsed = answers(dated, api, PARSED, {"oldid": "revid"}, get).select("revid", "title", "year", read(PARSES)["parse"]["text"].alias("html")).where("html is not null")
+    parts = T.exploded(files.html_paragraphs(parsed, "revid"), ["revid"], F.col("paragraphs"), "text", "k")
+    texts = C.article_text(parts, "revid")
+    source = F.concat(F.lit(f"https://{lang}.wikipedia.org/w/index.php?oldid="), "revid")
+    return texts.join(parsed.select("revid", "title", "year"), "revid").select(F.concat(F.lit("wk_"), "revid").alias("id"), "text", "title", F.lit("wikipedia").alias("field"), "year", source.alias("source"))

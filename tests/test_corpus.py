@@ -151,7 +151,7 @@ def test_append_is_resumable(spark, tmp_path):
     assert spark.read.json(path).count() == 2
 
 
-def test_search_source_retries(spark, tmp_path):
+def test_requests_are_retried():
     pauses, answers = [], [OSError("down"), OSError("down"), json.dumps({"results": [1]}).encode()]
 
     def get(_):
@@ -161,9 +161,6 @@ def test_search_source_retries(spark, tmp_path):
         return a
 
     assert web.fetch_json("http://x", {"q": 1}, get=get, pause=pauses.append) == {"results": [1]} and pauses == [1.0, 2.0]
-    (tmp_path / "answer").write_text(json.dumps({"results": [{"url": "u", "title": "t", "kind": "k", "text": PARA}]}))
-    reader = web.SearchReader(f"file://{tmp_path}/answer", ["a", "b"], 5)
-    assert len(reader.partitions()) == 2
 
 
 def test_config_from_environment():
