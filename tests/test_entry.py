@@ -11,7 +11,7 @@ from glyphmill import queries as own
 
 ROOT, DATA = Path(__file__).resolve().parents[1], "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ("style_features", "report_rows", "overlap_matches", "sentence_scores", "method_rates", "keyword_queries", "signal_report")
+SAMPLE = ("style_features", "report_rows", "overlap_matches", "sentence_scores", "method_rates", "keyword_queries", "signal_report", "signalled_report", "gram_sets")
 
 
 def test_no_module_outside_imports_the_subpackage():
