@@ -2,8 +2,9 @@
 
 Coarse centroids and the residual codebooks are fitted on a bounded sample; every row is indexed. How many lists
 a query probes is set by measurement: brute force over the sample tells how many lists hold its true neighbours.
-Lists meet their queries in blocks bounded on both sides, so a list that holds a third of all rows, or one that a
-third of all queries probe, is many small tasks.
+Lists are dealt into groups of about BLOCK_ROWS rows; a query travels once to each group that holds a list it probes,
+and only its best few rows of the whole group come back. Groups and their queries meet in blocks bounded on both sides, so
+a list that holds a third of all rows, or one that a third of all queries probe, is many small tasks.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from ..session import ship
 from .common import cut
 
-#: Rows that centroids and codebooks are fitted on at most, and rows and queries of the recall measurement.
-SAMPLE_ROWS, PROBE_ROWS, PROBE_QUERIES = 20_000, 8_000, 256
+#: Rows that centroids and codebooks are fitted on at most, bytes of their vectors at most (and of all centroids), and rows and queries of the recall measurement.
+SAMPLE_ROWS, SAMPLE_BYTES, PROBE_ROWS, PROBE_QUERIES = 20_000, 64 << 20, 8_000, 256
 #: Share of the sample's true neighbours that the probed lists must hold.
 PROBE_RECALL = 0.985
 SUBSPACES, CODES, ROUNDS = 16, 256, 8
-#: Rows of a list block, queries of a query block, and candidates that a block reranks for a query at least.
-BLOCK_ROWS, BLOCK_QUERIES, RERANK = 8_192, 2_048, 100
+#: Rows of a block, queries of a query block, and candidates that a block reranks for a query, beside those asked for.
+BLOCK_ROWS, BLOCK_QUERIES, RERANK = 8_192, 2_048, 400
 MAX_LISTS = 16_384
 
 
@@ -76,7 +77,7 @@ class Index:
 
 def fit(sample: np.ndarray, rows: int, k: int) -> Index:
     """sample: vectors in an order that says nothing about them; rows: how many rows the index will hold."""
-    lists = max(1, min(MAX_LISTS, round(math.sqrt(rows) / 4), len(sample)))
+    lists = max(1, min(MAX_LISTS, SAMPLE_BYTES // (8 * sample.shape[1]), round(math.sqrt(rows) / 4), len(sample)))
     centers = _kmeans(sample, lists, ROUNDS, 1)
     near = _nearest(sample, centers)
     rest = sample - centers[near]
@@ -107,14 +108,31 @@ def _assign_map(index: Index, dim: int):
     return run
 
 
-def _visit_map(index: Index, dim: int):
+def dealt(sizes: dict[int, int]) -> dict[int, int]:
+    """The group of each list: lists that follow each other, up to BLOCK_ROWS rows in all; a larger list is a group of its own."""
+    out, group, held = {}, 0, 0
+    for name in sorted(sizes):
+        if held and held + sizes[name] > BLOCK_ROWS:
+            group, held = group + 1, 0
+        out[name] = group
+        held += sizes[name]
+    return out
+
+
+def _visit_map(index: Index, dim: int, group_of: np.ndarray):
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
                 lists = index.visit(_vectors(part.column("v"), dim))
-                at = pa.array(np.repeat(np.arange(part.num_rows), lists.shape[1]))
-                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("v").take(at), pa.array(lists.reshape(-1).astype(np.int32))], names=["id", "v", "list"])
+                row, name = np.repeat(np.arange(len(lists)), lists.shape[1]), lists.reshape(-1)
+                row, name = row[group_of[name] >= 0], name[group_of[name] >= 0]  # lists that hold rows
+                order = np.lexsort((group_of[name], row))
+                row, name = row[order], name[order]
+                first = np.flatnonzero(np.diff(row * (len(group_of) + 1) + group_of[name], prepend=-1))
+                at, bounds = pa.array(row[first]), pa.array(np.append(first, len(name)), pa.int32())
+                probed = pa.ListArray.from_arrays(bounds, pa.array(name.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("v").take(at), pa.array(group_of[name[first]].astype(np.int32)), probed], names=["id", "v", "part", "lists"])
 
     return run
 
@@ -128,16 +146,23 @@ def _search(index: Index, dim: int, k: int):
             ids = ids[order]
             x = _vectors(rows.column("v").combine_chunks(), dim)[order]
             codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+            names, of = np.unique(rows.column("list").to_numpy()[order], return_inverse=True)
+            centers = index.centers[names]
             q_ids, q = asked.column("id").to_numpy(), _vectors(asked.column("v").combine_chunks(), dim)
+            probed = np.zeros((len(q), len(names)), bool)
+            lists = asked.column("lists").combine_chunks()
+            flat, of_query = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
+            spot = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+            probed[of_query[names[spot] == flat], spot[names[spot] == flat]] = True
             take = min(len(ids), RERANK + k)
             for lo in range(0, len(q), 64):
-                tables = index.tables(q[lo : lo + 64])
-                rough = np.repeat((q[lo : lo + 64] @ index.centers[key[0].as_py()])[:, None], len(ids), axis=1)
+                tables = index.tables(q[lo : lo + 64]).astype(np.float32)
+                rough = np.where(probed[lo : lo + 64], q[lo : lo + 64] @ centers.T, -np.inf).astype(np.float32)[:, of]
                 for m in range(codes.shape[1]):
                     rough += tables[:, m, :][:, codes[:, m]]
-                best = np.argsort(-rough, axis=1, kind="stable")[:, :take] if take < len(ids) else np.broadcast_to(np.arange(len(ids)), (len(rough), len(ids)))
+                best = np.argpartition(-rough, take - 1, axis=1)[:, :take] if take < len(ids) else np.broadcast_to(np.arange(len(ids)), rough.shape)
                 for j, own in enumerate(np.sort(best, axis=1)):
-                    own = own[ids[own] != q_ids[lo + j]]
+                    own = own[(ids[own] != q_ids[lo + j]) & (rough[j, own] > -np.inf)]
                     score = np.einsum("ij,j->i", x[own], q[lo + j])
                     top = np.argsort(-score, kind="stable")[:k]
                     out[0].append(np.full(len(top), q_ids[lo + j]))
@@ -149,6 +174,11 @@ def _search(index: Index, dim: int, k: int):
     return run
 
 
+def _kind(vectors: DataFrame, vec_col: str) -> str:
+    """The type that vectors travel in: single precision stays single, which is half the bytes; all sums are of doubles."""
+    return "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v) with one row per id: rows that have an id and a vector of finite components, not all zero, of the commonest dimension.
 
@@ -156,7 +186,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """
     v = F.col("v")
     good = F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull()).where(F.coalesce(good, F.lit(False)))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(_kind(vectors, vec_col)).alias("v")).where(F.col("id").isNotNull() & v.isNotNull()).where(F.coalesce(good, F.lit(False)))
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("v") == (size["n"] if size else -1)).groupBy("id").agg(F.min("v").alias("v"))
 
@@ -175,21 +205,27 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
-    share = min(1.0, 1.2 * SAMPLE_ROWS / n)
+    dim = len(rows.first()["v"])
+    most = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))
     part = F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") / float(1 << 53)
-    sample = sorted(rows.where(part <= share).select(F.xxhash64("id").alias("h"), "v").collect())[:SAMPLE_ROWS]
-    fitted = np.array([r["v"] for r in sample], np.float64) if sample else np.array([rows.first()["v"]], np.float64)
-    index, dim = fit(fitted, n, k), fitted.shape[1]
-    held = cut(rows.mapInArrow(_assign_map(index, dim), "id long, v array<double>, list int, codes binary"))
-    asked = cut(rows.where(is_query(F.col("id"))).mapInArrow(_visit_map(index, dim), "id long, v array<double>, list int"))
-    # a row per list: bounded by MAX_LISTS
-    blocks = {r[0]: -(-r[1] // BLOCK_ROWS) for r in held.groupBy("list").count().collect()}
-    turns = {r[0]: -(-r[1] // BLOCK_QUERIES) for r in asked.groupBy("list").count().collect()}
-    sizes = F.broadcast(spark.createDataFrame([(a, b, turns.get(a, 0)) for a, b in sorted(blocks.items())], "list int, blocks int, turns int"))
+    drawn = rows.where(part <= min(1.0, 1.2 * most / n)).select(F.xxhash64("id").alias("h"), "v").toArrow()
+    fitted = _vectors(drawn.column("v").combine_chunks(), dim)[np.argsort(drawn.column("h").to_numpy(), kind="stable")[:most]] if drawn.num_rows else np.array([rows.first()["v"]], np.float64)
+    index = fit(fitted, n, k)
+    kind = _kind(vectors, vec_col)
+    held = cut(rows.mapInArrow(_assign_map(index, dim), f"id long, v {kind}, list int, codes binary"))
+    sizes = {r[0]: r[1] for r in held.groupBy("list").count().collect()}  # a row per list: bounded by MAX_LISTS
+    group_of = np.full(len(index.centers), -1, np.int64)
+    for name, group in dealt(sizes).items():
+        group_of[name] = group
+    blocks = {int(g): -(-sum(sizes[x] for x in np.flatnonzero(group_of == g)) // BLOCK_ROWS) for g in np.unique(group_of[group_of >= 0])}
+    asked = cut(rows.where(is_query(F.col("id"))).mapInArrow(_visit_map(index, dim, group_of), f"id long, v {kind}, part int, lists array<int>"))
+    turns = {r[0]: -(-r[1] // BLOCK_QUERIES) for r in asked.groupBy("part").count().collect()}
+    parts = F.broadcast(spark.createDataFrame([(a, b, turns.get(a, 0)) for a, b in sorted(blocks.items())], "part int, blocks int, turns int"))
+    lists = F.broadcast(spark.createDataFrame([(x, int(group_of[x])) for x in sorted(sizes)], "list int, part int"))
     mine = lambda of: F.pmod(F.xxhash64(F.lit(7), "id"), F.col(of)).cast("int")
-    left = held.join(sizes, "list").where("turns > 0").select("list", mine("blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "id", "v", "codes")
-    right = asked.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), mine("turns").alias("turn"), "id", "v")
-    found = left.groupBy("list", "block", "turn").cogroup(right.groupBy("list", "block", "turn")).applyInArrow(_search(index, dim, k), "query_id long, vec_id long, score double")
+    left = held.join(lists, "list").join(parts, "part").where("turns > 0").select("part", mine("blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "id", "v", "list", "codes")
+    right = asked.join(parts, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), mine("turns").alias("turn"), "id", "v", "lists")
+    found = left.groupBy("part", "block", "turn").cogroup(right.groupBy("part", "block", "turn")).applyInArrow(_search(index, dim, k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
