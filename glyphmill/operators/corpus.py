@@ -23,7 +23,10 @@ def key(*parts: Column | str, seed: int = 42) -> Column:
 
 
 def stratified(rows: DataFrame, label: str, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """min(rows of the class, n / 2) rows of each of two classes, by hash; top rows are cut per task before they move."""
+    """min(rows of the class, n / 2) rows of each of two classes, by hash.
+
+    Up to the planner's limit for such windows (1,000 rows a class by default) each task sends its first rows only.
+    """
     order = W.partitionBy(label).orderBy(key(id_col, seed=seed), id_col)
     return rows.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n // 2).drop("__r")
 
