@@ -4,6 +4,7 @@ A fingerprint's halves are embedded as the bit counts of their two-bit segments.
 embeddings never exceeds the Hamming distance of the fingerprints. Of two fingerprints within 3 bits, one half
 differs in at most one bit, so its embeddings are the same grid cell or neighbours: a join on grid cells within
 Manhattan radius 1 meets every pair. The join tests the whole embedding in byte segments, then the exact distance.
+Fingerprints first meet the leader of each cell they reach; pairs are made only across what is then still apart.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import ship
 from .common import cut, with_row_key
 from .graph import components
-from .wordblocks import mix, pieces
+from .wordblocks import pieces
 
 SHINGLE, MAX_BITS = 3, 3
 CHUNK = 1 << 16
@@ -45,25 +46,19 @@ def majority(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * total > len(h)).tobytes(), "big")
 
 
-def _fingerprint_map(shingle: int, lanes: int):
+def _fingerprint_map(shingle: int):
     def run(batches):
         for piece in pieces(batches, "__text"):
-            out = [[] for _ in range(lanes)]
-            for text in piece.column("__text"):
-                h = shingle_hashes((text.as_py() or "").encode(), shingle)
-                for lane in range(lanes):  # lane 0 is the plain hash
-                    out[lane].append(majority(h if lane == 0 else mix(h + np.uint64(lane))))
-            found = np.array(out, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([piece.column("__id"), piece.column("__key"), *[pa.array(x) for x in found]], names=["__id", "__key", *[f"__f{k}" for k in range(lanes)]])
+            found = np.array([majority(shingle_hashes((t.as_py() or "").encode(), shingle)) for t in piece.column("__text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([piece.column("__id"), piece.column("__key"), pa.array(found)], names=["__id", "__key", "__f0"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, lanes: int = 1) -> DataFrame:
-    """(__id, __key, __f0 ...): the SimHash of each row's text, and of further hash functions if lanes > 1."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(__id, __key, __f0): the SimHash of each row's text."""
     ship(docs.sparkSession)
-    schema = "__id long, __key long, " + ", ".join(f"__f{k} long" for k in range(lanes))
-    return with_row_key(docs, id_col, text_col).mapInArrow(_fingerprint_map(shingle, lanes), schema)
+    return with_row_key(docs, id_col, text_col).mapInArrow(_fingerprint_map(shingle), "__id long, __key long, __f0 long")
 
 
 def _cell(half: Column) -> Column:
@@ -80,63 +75,95 @@ def _manhattan(a: str, b: str) -> Column:
     return total
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b), a <> b: every pair of distinct fingerprints of prints (f) within max_bits (3 at most) bits; each pair once."""
-    if not 0 <= max_bits <= 3:
-        raise ValueError("max_bits must be 0 to 3: one of two halves must differ in at most one bit")
-    mask = F.lit(0xFFFFFFFF)
+def _cells(prints: DataFrame) -> DataFrame:
+    """prints (f, and more) once for each half: with its number g and its grid cell."""
     f = F.col("f")
-    cells = prints.select("f", F.explode(F.array(F.struct(F.lit(0).alias("g"), _cell(f.bitwiseAND(mask)).alias("cell")), F.struct(F.lit(1).alias("g"), _cell(F.shiftrightunsigned(f, 32)).alias("cell")))).alias("at"))
-    cells = cells.select("f", F.col("at.g").alias("g"), F.col("at.cell").alias("cell"))
+    halves = F.array(F.struct(F.lit(0).alias("g"), _cell(f.bitwiseAND(F.lit(0xFFFFFFFF))).alias("cell")), F.struct(F.lit(1).alias("g"), _cell(F.shiftrightunsigned(f, 32)).alias("cell")))
+    return prints.select("*", F.explode(halves).alias("at")).select(*prints.columns, F.col("at.g").alias("g"), F.col("at.cell").alias("cell"))
+
+
+def _probes(cells: DataFrame) -> DataFrame:
+    """cells with each neighbouring cell whose counts are higher by one in one segment (up = 1) beside the own one (up = 0)."""
     steps = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.struct(F.expr("1L").alias("up"), F.call_function("shiftleft", F.lit(1).cast("long"), j * 2).alias("step"), F.call_function("shiftright", F.col("cell"), j * 2).bitwiseAND(F.lit(3)).alias("count"))),
         lambda s: s["count"] < 2,
     )
     near = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("up"), F.col("cell").alias("cell"))), F.transform(steps, lambda s: F.struct(s["up"].alias("up"), (F.col("cell") + s["step"]).alias("cell"))))
-    probes = cells.select(F.col("f").alias("a"), "g", F.explode(near).alias("at")).select("a", "g", F.col("at.up").alias("up"), F.col("at.cell").alias("cell"))
-    index = cells.select(F.col("f").alias("b"), "g", "cell")
-    close = (F.col("up") == 1) | (F.col("a") < F.col("b"))
-    exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    return probes.join(index, ["g", "cell"]).where(close & (F.col("a") != F.col("b")) & (_manhattan("a", "b") <= max_bits) & exact).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    others = [c for c in cells.columns if c != "cell"]
+    return cells.select(*others, F.explode(near).alias("at")).select(*others, F.col("at.up").alias("up"), F.col("at.cell").alias("cell"))
+
 
+def _within(max_bits: int):
+    """Whether a and b differ in max_bits bits at most: first by the bound on their embeddings, then exactly."""
+    return (_manhattan("a", "b") <= max_bits) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+
+
+def _checked(max_bits: int) -> None:
+    if not 0 <= max_bits <= 3:
+        raise ValueError("max_bits must be 0 to 3: one of two halves must differ in at most one bit")
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, lanes: int = 1) -> DataFrame:
+
+def links(prints: DataFrame, max_bits: int = MAX_BITS, group: str | None = None) -> DataFrame:
+    """(a, b), a <> b: every pair of distinct fingerprints of prints (f) within max_bits (3 at most) bits; each pair once.
+
+    With group, a column of prints, only pairs of different groups: a cell whose fingerprints are all of one group is
+    not visited by that group, so a large cluster that is one group already costs no pairs.
+    """
+    _checked(max_bits)
+    cells = _cells(prints.select("f", *([F.col(group).alias("p")] if group else [])))
+    probes = _probes(cells).withColumnRenamed("f", "a")
+    apart = (F.col("up") == 1) | (F.col("a") < F.col("b"))
+    if group:
+        held = cells.groupBy("g", "cell").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
+        probes = probes.join(held, ["g", "cell"]).where((F.col("lo") != F.col("p")) | (F.col("hi") != F.col("p"))).drop("lo", "hi")
+        apart = apart & (F.col("p") != F.col("q"))
+    index = cells.withColumnsRenamed({"f": "b", "p": "q"})
+    met = probes.join(index, ["g", "cell"]).where(apart & (F.col("a") != F.col("b")) & _within(max_bits))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def stars(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(a, b) of fingerprints a within max_bits bits of the leader b of a cell they reach: the one that most rows (n) have.
+
+    At most one link for each cell visited. Copies of one text lie around its fingerprint, which leads its cells.
+    """
+    _checked(max_bits)
+    cells = _cells(prints.select("f", "n"))
+    leaders = cells.groupBy("g", "cell").agg(F.max_by("f", F.struct("n", "f")).alias("b"))
+    return _probes(cells.drop("n")).withColumnRenamed("f", "a").join(leaders, ["g", "cell"]).where((F.col("a") != F.col("b")) & _within(max_bits)).select("a", "b").distinct()
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(__id, __key, fingerprint, component_id) of every row: component_id is the smallest id that links reach.
 
-    Rows with equal fingerprints are one node, so copies of any number never meet pair by pair; links are found
-    between distinct fingerprints. Null or empty texts have fingerprint 0 and link like any other. Rows that
-    repeat an id are one document, linked by it. A null id takes no part: its component is null. An empty table
-    gives an empty table. With lanes > 1 texts link if the fingerprints of any one hash function do.
+    Rows with equal fingerprints are one node, so copies of any number never meet pair by pair. Distinct fingerprints
+    first link to the leaders of cells; only those that are then still in different components meet pair by pair. Null
+    or empty texts have fingerprint 0 and link like any other. Rows that repeat an id are one document, linked by it. A
+    null id takes no part: its component is null. An empty table gives an empty table.
     """
-    found = cut(fingerprints(docs, id_col, text_col, shingle, lanes))
+    found = cut(fingerprints(docs, id_col, text_col, shingle))
     own = found.where(F.col("__id").isNotNull())
-    edges, reps = None, []
-    for lane in range(lanes):
-        rep = own.groupBy(F.col(f"__f{lane}").alias("f")).agg(F.min("__id").alias("rep"), F.max("__id").alias("last"))
-        rep = cut(rep)
-        pair = links(rep.select("f"), max_bits)
-        at = rep.select("f", "rep")
-        found_here = pair.join(at.withColumnsRenamed({"f": "a", "rep": "u"}), "a").join(at.withColumnsRenamed({"f": "b", "rep": "v"}), "b").select("u", "v")
-        if lane or lanes > 1:  # each id with its fingerprint's smallest id
-            found_here = found_here.union(own.join(at, own[f"__f{lane}"] == at["f"]).select(F.col("__id").alias("u"), F.col("rep").alias("v")))
-        edges = found_here if edges is None else edges.union(found_here)
-        reps.append(at)
-    if lanes == 1:  # an id may hold several fingerprints
-        held = own.join(reps[0], own["__f0"] == reps[0]["f"]).groupBy("__id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
-        edges = edges.union(held.select(F.col("__id").alias("u"), F.explode("reps").alias("v")))
-    roots = components(edges)
-    to_root = roots.select(F.col("u").alias("rep"), F.col("v").alias("root"))
-    whole = reps[0].join(to_root, "rep", "left").select("f", F.coalesce("root", "rep").alias("component_id"))
+    held = cut(own.groupBy(F.col("__f0").alias("f")).agg(F.min("__id").alias("rep"), F.count("*").alias("n")))
+    at = held.select("f", "rep")
+
+    def edges(pairs: DataFrame, node: DataFrame) -> DataFrame:
+        return pairs.join(node.toDF("a", "u"), "a").join(node.toDF("b", "v"), "b").select("u", "v")
+
+    several = own.join(at, own["__f0"] == at["f"]).groupBy("__id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
+    first = components(edges(stars(held, max_bits), at).union(several.select(F.col("__id").alias("u"), F.explode("reps").alias("v"))))
+    rooted = cut(held.join(first.toDF("rep", "root"), "rep", "left").select("f", F.coalesce("root", "rep").alias("root")))
+    last = components(edges(links(rooted, max_bits, "root"), rooted))
+    whole = rooted.join(last.toDF("root", "end"), "root", "left").select("f", F.coalesce("end", "root").alias("component_id"))
     return found.join(whole, found["__f0"] == whole["f"], "left").select("__id", "__key", F.col("__f0").alias("fingerprint"), F.when(F.col("__id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, lanes: int = 1) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of docs without all but one row of each group of near copies: the smallest id stays.
 
     Rows that repeat an id: the one whose text hashes lowest stays, once. Rows with a null id all stay. Columns pass
     through, whatever their names.
     """
-    return first_of_groups(docs, near_groups(docs, id_col, text_col, shingle, max_bits, lanes), id_col, text_col)
+    return first_of_groups(docs, near_groups(docs, id_col, text_col, shingle, max_bits), id_col, text_col)
 
 
 def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
