@@ -151,8 +151,10 @@ def fold(c: Column) -> Column:
     """Lower case, compatibility forms and accents replaced by plain letters (see fold_table)."""
     before, after, several = fold_table()
     spell = lambda t: F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(_table(several), x), x)), "")
-    # the conditional comes last, so that a text without such characters costs one look at it
-    return let(F.translate(F.lower(c), before, after), lambda t: F.when(t.rlike(_class(list(several))), spell(t)).otherwise(t))
+    plain = lambda t: F.octet_length(t) == F.length(t)
+    # the large tables are for texts that need them; a class of so many ranges is slow to test
+    folded = lambda low: let(F.translate(low, before, after), lambda t: F.when(plain(t), t).when(t.rlike(_class(list(several))), spell(t)).otherwise(t))
+    return let(F.lower(c), lambda low: F.when(plain(low), low).otherwise(folded(low)))
 
 
 def fold_tokens(c: Column) -> Column:
