@@ -41,17 +41,6 @@ def fold_table() -> tuple[str, str, dict[str, str]]:
     return "".join([*one, *gone]), "".join(one.values()), several
 
 
-def _class(chars: Sequence[str]) -> str:
-    """A regular expression's class of characters, as ranges."""
-    out, codes = [], sorted(map(ord, chars))
-    for c in codes:
-        if out and out[-1][1] == c - 1:
-            out[-1][1] = c
-        else:
-            out.append([c, c])
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out) + "]"
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once; a column that a lambda captures would be computed per element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -152,8 +141,8 @@ def fold(c: Column) -> Column:
     before, after, several = fold_table()
     spell = lambda t: F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(_table(several), x), x)), "")
     plain = lambda t: F.octet_length(t) == F.length(t)
-    # the large tables are for texts that need them; a class of so many ranges is slow to test
-    folded = lambda low: let(F.translate(low, before, after), lambda t: F.when(plain(t), t).when(t.rlike(_class(list(several))), spell(t)).otherwise(t))
+    # the large tables are for texts that need them; a regular expression of so many ranges is slower than a look-up
+    folded = lambda low: let(F.translate(low, before, after), lambda t: F.when(plain(t), t).when(F.translate(t, "".join(several), "") != t, spell(t)).otherwise(t))
     return let(F.lower(c), lambda low: F.when(plain(low), low).otherwise(folded(low)))
 
 
