@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, line_dedup, piece_codec, simhash, substring_dedup, url_filter, vector_search, warc
+from . import decontaminate, language_id, license_scan, line_dedup, merkle, piece_codec, simhash, substring_dedup, url_filter, vector_search, warc
 from .common import table
 
 #: A public sentencepiece BPE model; every operator takes its path as a parameter.
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": lambda spark, d: decontaminate.op8_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_substring_dedup": lambda spark, d: substring_dedup.op9_substring_dedup(table(spark, d, "documents")),
     "op10_warc": lambda spark, d: warc.op10_warc(table(spark, d, "pages")),
+    "op11_merkle": lambda spark, d: merkle.op11_merkle(table(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
@@ -30,4 +31,5 @@ ORACLES: dict[str, str] = {
     "op8_decontaminate": decontaminate.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
     "op10_warc": warc.SQL,
+    "op11_merkle": merkle.SQL,
 }
