@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, line_dedup, merkle, piece_codec, simhash, substring_dedup, url_filter, vector_search, warc, whitening
+from . import decontaminate, hmm, language_id, license_scan, line_dedup, merkle, piece_codec, simhash, substring_dedup, url_filter, vector_search, warc, whitening
 from .common import table
 
 #: A public sentencepiece BPE model; every operator takes its path as a parameter.
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": lambda spark, d: warc.op10_warc(table(spark, d, "pages")),
     "op11_merkle": lambda spark, d: merkle.op11_merkle(table(spark, d, "documents")),
     "op12_whitening": lambda spark, d: whitening.op12_whitening(table(spark, d, "embeddings")),
+    "op13_language_model": lambda spark, d: hmm.op13_language_model(table(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
