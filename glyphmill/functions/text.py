@@ -313,8 +313,13 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, rf"[{WS}]+", " "))
 
 
+def plain_abstract(c: Column) -> Column:
+    """An abstract without tags and entities; all of its words stay."""
+    return squeeze(unescape(F.regexp_replace(c, "<[^>]+>", " ")))
+
+
 def clean_abstract(c: Column) -> Column:
-    """An abstract without tags, entities, its heading, and what follows in other languages."""
+    """An abstract without tags, entities, its heading, and what follows in other languages: for a corpus."""
     plain = F.regexp_replace(unescape(F.regexp_replace(c, "<[^>]+>", " ")), L.ABSTRACT_HEADING, "")
     return squeeze(F.element_at(F.split(plain, L.ABSTRACT_TAIL, 2), 1))
 

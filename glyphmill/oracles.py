@@ -42,6 +42,14 @@ def fold(x: str) -> str:
     return f"translate(lower({x}), {q(before)}, {q(after)})"
 
 
+def fold_map() -> str:
+    """A CTE of characters and what each folds to, for folding distinct words by a join."""
+    before, after, several = fold_table()
+    one = f"SELECT substr(b, i, 1) AS c, substr(a, i, 1) AS f FROM (SELECT {q(before)} AS b, {q(after)} AS a, unnest(range(1, {len(before)} + 1)) AS i)"
+    more = ", ".join(f"({q(k)}, {q(v)})" for k, v in several.items())
+    return f"fold_map AS MATERIALIZED ({one} UNION ALL SELECT * FROM (VALUES {more}) v(c, f))"
+
+
 def rnd(x: str, digits: int) -> str:
     """x rounded half-even on its exact binary value: a whole number over a power of two, in 128-bit integers."""
     unit = 10**digits
@@ -116,7 +124,8 @@ def build(probe: dict[str, L.Lexicon], lm: dict) -> dict[str, str]:
     o: dict[str, str] = {}
     o["text_normalize"] = f"SELECT doc_id, length({norm(D)})::INTEGER AS chars, md5({norm(D)}) AS digest, length({D}) > 300000 AS truncated FROM documents"
     o["text_words"] = f"SELECT doc_id, len({words(D)})::INTEGER AS n_words, len({blanks(D)})::INTEGER AS n_blank, md5(array_to_string({lower_words(D)}, ' ')) AS digest, (length({D}) - length(translate({D}, '?!', '')))::INTEGER AS asks FROM documents"
-    o["text_fold"] = f"SELECT doc_id, len({tokens(D)})::INTEGER AS n_tokens, md5(array_to_string({tokens(D)}, ' ')) AS digest FROM documents"
+    spelled = f"{D} || ' fin flor xii dzep kg ffix no ijs'"  # what the query's ligatures must fold to
+    o["text_fold"] = f"SELECT doc_id, len({tokens(spelled)})::INTEGER AS n_tokens, md5(array_to_string({tokens(spelled)}, ' ')) AS digest FROM documents"
     o["text_cuts"] = rf"""WITH a AS (SELECT *, {D} AS x, {blanks(D)} AS w FROM documents), b AS (SELECT *, array_to_string(w[1:60], ' ') AS h FROM a),
 c AS (SELECT *, greatest(coalesce(length(regexp_extract(h, '(?s)^.*[.?!] ')), 0) - 2, -1) AS spot FROM b)
 SELECT doc_id, md5(array_to_string(w[1:120], ' ')) AS head, md5(CASE WHEN len(w) <= 60 THEN x WHEN spot > length(h) / 2 THEN substr(h, 1, spot + 1) ELSE h END) AS cut, md5(regexp_replace(lang || ' / ' || source, '[^a-zA-Z0-9.-]+', '_', 'g')) AS slug,
@@ -156,7 +165,10 @@ sized AS (SELECT doc_id, k, p, len({blanks('p')}) AS n FROM pars),
 chosen AS (SELECT * FROM sized WHERE n >= 25 UNION ALL SELECT doc_id, 1, t, 0 FROM norm WHERE doc_id NOT IN (SELECT doc_id FROM sized WHERE n >= 25)),
 top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k) AS r FROM chosen QUALIFY r <= 8),
 ws AS (SELECT doc_id, r, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT *, regexp_extract_all(p, '{LETTER}{{4,}}') AS l FROM top)),
-keyed AS (SELECT *, {fold('w')} AS key FROM ws), agg AS (SELECT doc_id, r, key, count(*) AS n, min(i) AS i, lower(arg_min(w, i)) AS w FROM keyed WHERE key NOT IN ({stop}) GROUP BY ALL),
+kinds AS (SELECT DISTINCT w, lower(w) AS l FROM ws), {fold_map()},
+letters AS (SELECT w, i, substr(l, i, 1) AS c FROM (SELECT w, l, unnest(range(1, length(l) + 1)) AS i FROM kinds WHERE strlen(l) > length(l))),
+folds AS (SELECT w, l AS key FROM kinds WHERE strlen(l) = length(l) UNION ALL SELECT w, string_agg(coalesce(f, c), '' ORDER BY i) FROM letters LEFT JOIN fold_map USING (c) GROUP BY w),
+keyed AS (SELECT ws.*, key FROM ws JOIN folds USING (w)), agg AS (SELECT doc_id, r, key, count(*) AS n, min(i) AS i, lower(arg_min(w, i)) AS w FROM keyed WHERE key NOT IN ({stop}) GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, r ORDER BY n DESC, length(key) DESC, i) AS k FROM agg QUALIFY k <= 6),
 lists AS (SELECT t.doc_id, t.r, coalesce(string_agg(a.w, ' ' ORDER BY a.k), '') AS qs FROM top t LEFT JOIN ranked a USING (doc_id, r) GROUP BY ALL)
 SELECT doc_id, count(DISTINCT qs)::INTEGER AS n_queries, arg_min(qs, r) AS first FROM lists GROUP BY doc_id"""
@@ -279,9 +291,9 @@ FROM docp JOIN pd USING (doc_id) JOIN sd USING (doc_id)"""
     o["artefact_files"] = f"SELECT doc_id, lang, {pick('slope', -12.0)}, {pick('intercept', 11.0)}, {pick('threshold_low_fpr', 0.9)}, lang = 'es' AS calibrated FROM documents"
     o["table_files"] = f"SELECT doc_id::VARCHAR AS id, (doc_id % 3 = 0)::INTEGER AS label, lang AS domain, md5({D}) AS digest FROM documents"
     o["text_files"] = f"SELECT source, length(t)::INTEGER AS chars, md5(t) AS digest, NULL::VARCHAR AS error FROM (SELECT source, string_agg(text || {NL}, '' ORDER BY doc_id) AS t FROM documents GROUP BY source) UNION ALL SELECT '', NULL, NULL, 'unsupported format: .csv'"
-    o["works"] = rf"""WITH a AS (SELECT doc_id, source, array_to_string({blanks(D)}, ' ') AS t FROM documents WHERE length({D}) > 0)
+    o["works"] = rf"""WITH a AS (SELECT doc_id, source, array_to_string({blanks(f"'Resumen: Un &lt;b&gt; <i>texto</i> Abstract ' || {D} || ' Keywords a, b'")}, ' ') AS t FROM documents WHERE length({D}) > 0)
 SELECT CASE WHEN doc_id % 2 = 0 THEN 'doi:' ELSE 'id:' END || doc_id AS url, CASE WHEN doc_id % 3 > 0 THEN source ELSE '(sin título)' END AS title, 'OpenAlex' AS kind,
-md5({strip(rf"regexp_replace(regexp_extract(regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '(?i)^\s*(resumen|introducci[oó]n)\s*[:.]?\s*', ''), '(?s)^(.*?)(?:\b(?:Abstract|ABSTRACT|Resumo|Palabras clave|Palabras-clave|Keywords|Descriptores)\b|$)', 1), '[{WS}]+', ' ', 'g')")}) AS digest FROM a"""
+md5({strip(rf"regexp_replace(replace(replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '[{WS}]+', ' ', 'g')")}) AS digest FROM a"""
     o["source_duplicates"] = f"SELECT 'u' || (doc_id % 50) AS url, arg_max(source, doc_id) AS title, arg_max(lang, doc_id) AS kind, md5(arg_max({D}, doc_id)) AS digest, min(doc_id) AS ord FROM documents GROUP BY 1"
     gram = lambda w: f"list_distinct(list_transform(range(1, len({w}) - 3), lambda i: array_to_string({w}[i:i + 4], ' ')))"
     o["gram_sets"] = f"""WITH a AS (SELECT doc_id, {tokens(D)} AS w, b.v FROM documents JOIN (SELECT item_id, {tokens('text')} AS v FROM benchmark) b ON doc_id % 50 = b.item_id),
@@ -292,7 +304,21 @@ SELECT doc_id, k::INTEGER AS n_shared, md5(s) AS shared, (n - k)::INTEGER AS n_o
     o["chunk_scores"] = f"""WITH a AS (SELECT doc_id, len({words(D)}) AS n FROM documents), b AS (SELECT doc_id, n, unnest(range(0, greatest(n, 1), 382)) AS s FROM a), c AS (SELECT doc_id, CASE WHEN s > 0 AND n - s < 95 THEN greatest(n - 382, 0) ELSE s END AS s, least(s + 382, n) AS e FROM b)
 SELECT doc_id, round(sum((s % 97) / 97 * (e - s)) / nullif(sum(e - s), 0), 6) AS classifier_p FROM c GROUP BY doc_id"""
     o["length_order"] = f"SELECT doc_id, length({D})::INTEGER AS chars FROM documents"
-    o["fixed_weights"] = f"WITH {LABELLED} SELECT doc_id, round(CASE WHEN lang = 'en' THEN {m.lm_classifier_style[0]}::DOUBLE * p + {m.lm_classifier_style[1]}::DOUBLE * q + {m.lm_classifier_style[2]}::DOUBLE * p ELSE {m.lm_style[0]}::DOUBLE * p + {m.lm_style[1]}::DOUBLE * p END, 6) AS fixed_p FROM labelled"
+    mixed = f"CASE WHEN lang = 'en' THEN {m.lm_classifier_style[0]}::DOUBLE * p + {m.lm_classifier_style[1]}::DOUBLE * q + {m.lm_classifier_style[2]}::DOUBLE * r ELSE {m.lm_style[0]}::DOUBLE * p + {m.lm_style[1]}::DOUBLE * r END"
+    o["fixed_weights"] = f"WITH {LABELLED}, t AS (SELECT *, (doc_id % 89) / 89 AS r FROM labelled) SELECT doc_id, {rnd(mixed, 6)} AS fixed_p FROM t"
+    o["window_tokens"] = f"""WITH {fixed}, x AS (SELECT doc_id, w, pos, sum(length(gap) + length(w)) OVER o AS stop, length(w) AS n, coalesce(lag(length(w), 1) OVER o, 0) AS n1, coalesce(lag(length(w), 64) OVER o, 0) AS n64 FROM wt WINDOW o AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, count(*)::BIGINT AS n, sum(pos * (1 + (n + 2 * n1 + 3 * n64) % 11))::BIGINT AS by_place, sum((stop - n) * (1 + (n + n64) % 7) + stop)::BIGINT AS by_start FROM x WHERE pos > 0 GROUP BY doc_id"""
+    o["chunk_classifier"] = f"""WITH a AS (SELECT doc_id, list_transform({words(norm(D))}, lambda w: length(w)) AS l FROM documents), b AS (SELECT doc_id, l, len(l) AS n, unnest(range(0, greatest(len(l), 1), 382)) AS s FROM a), c AS (SELECT doc_id, l, CASE WHEN s > 0 AND n - s < 95 THEN greatest(n - 382, 0) ELSE s END AS s, least(s + 382, n) AS e FROM b),
+p AS (SELECT doc_id, e - s AS k, (coalesce(list_sum(list_transform(range(s, e), lambda i: l[i + 1] * (i - s + 1))), 0) % 97) / 97 AS p FROM c) SELECT doc_id, round(sum(p * k) / nullif(sum(k), 0), 6) AS classifier_p FROM p GROUP BY doc_id"""
+    o["backoff_statistics"] = f"""WITH a AS (SELECT doc_id, {lower_words(D)} AS l FROM documents), t AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS pos FROM a),
+s AS (SELECT doc_id, pos, w, coalesce(lag(w, 1) OVER o, '') AS v, coalesce(lag(w, 2) OVER o, '') AS u FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+tri AS (SELECT u, v, w, count(*) AS c FROM s GROUP BY ALL), bi AS (SELECT v, w, count(*) AS k FROM tri GROUP BY ALL), uni AS (SELECT w, count(*) AS m FROM bi GROUP BY w), z AS (SELECT sum(m) AS a, count(*) AS types FROM uni),
+one AS (SELECT w, (m - 0.75::DOUBLE) / a + 0.75::DOUBLE * types / a / (types + 1) AS p1 FROM uni, z), least AS (SELECT 0.75::DOUBLE * types / a / (types + 1) AS p FROM z), h1 AS (SELECT (SELECT sum(p1 * ln(p1)) FROM one) + p * ln(p) AS h FROM least),
+two AS (SELECT v, w, (k - 0.75::DOUBLE) / sum(k) OVER x + l2 * p1 AS p2, l2 * p1 AS rest, l2 FROM (SELECT *, 0.75::DOUBLE * count(*) OVER (PARTITION BY v) / sum(k) OVER (PARTITION BY v) AS l2 FROM bi) JOIN one USING (w) WINDOW x AS (PARTITION BY v)),
+h2 AS (SELECT v, any_value(l2) * (ln(any_value(l2)) + any_value(h)) + sum(p2 * ln(p2) - rest * ln(rest)) AS h FROM two, h1 GROUP BY v),
+three AS (SELECT u, v, w, p2, (c - 0.75::DOUBLE) / sum(c) OVER x + 0.75::DOUBLE * count(*) OVER x / sum(c) OVER x * p2 AS p3, 0.75::DOUBLE * count(*) OVER x / sum(c) OVER x AS l3 FROM tri JOIN two USING (v, w) WINDOW x AS (PARTITION BY u, v)),
+cr AS (SELECT u, v, -(ln(any_value(l3)) + any_value(h)) - sum(p2 * (ln(p3) - ln(l3 * p2))) AS x FROM three JOIN h2 USING (v) GROUP BY u, v)
+SELECT doc_id, count(*)::BIGINT AS n, round(avg(-ln(p3)), 5) AS ppl, round(avg(x), 5) AS xppl FROM s JOIN three USING (u, v, w) JOIN cr USING (u, v) WHERE pos > 1 GROUP BY doc_id"""
     html = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<table\b[^>]*>.*?</table\s*>', '', 'g'), '(?is)<sup\b[^>]*>.*?</sup\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<figure\b[^>]*>.*?</figure\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
     plain = "regexp_replace(p, '<[^>]+>', '', 'g')"
     for name, char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&apos;", "''''"), ("&nbsp;", "chr(160)"), ("&hellip;", "'…'"), ("&ndash;", "'–'"), ("&mdash;", "'—'"), ("&amp;", "'&'")):

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import oracles
 from .config import EngineConfig
 from .functions import scores as S, text as T
 from .lexicon import STOP_ES, Lexicon
-from .operators import corpus as C, evaluate as E, models as M, overlap as V, signals as G, style as O
+from .operators import backoff as B, corpus as C, evaluate as E, models as M, overlap as V, signals as G, style as O, windows as X
 from .plans.partitioning import spread
 from .plans.report import rejected, report
 from . import round_trips as R
@@ -53,8 +54,12 @@ def text_words(spark, d):
     return docs(spark, d).select("doc_id", F.size(w).alias("n_words"), T.count_blank_words(F.col("text")).alias("n_blank"), md5(F.array_join(w, " ")).alias("digest"), T.asks(F.col("text")).alias("asks"))
 
 
+#: Characters that fold to several letters, which the test texts lack.
+LIGATURES = " \ufb01n \ufb02or \u216b \u01c6ep \u338f \ufb03x n\u0303o \u0133s"
+
+
 def text_fold(spark, d):
-    t = T.fold_tokens(F.col("text"))
+    t = T.fold_tokens(F.concat(F.col("text"), F.lit(LIGATURES)))
     return docs(spark, d).select("doc_id", F.size(t).alias("n_tokens"), md5(F.array_join(t, " ")).alias("digest"))
 
 
@@ -295,6 +300,46 @@ def model_windows(spark, d):
     return docs(spark, d).select("doc_id", F.size(w).alias("n_windows"), O.total(w, lambda x: x["end"] - x["start"]).alias("scored"), O.total(w, lambda x: x["start"] - x["context_start"]).alias("context"), F.size(c).alias("n_chunks"), O.total(c, lambda x: x["end"] - x["start"]).alias("chunked"))
 
 
+def recent_lengths():
+    """A made-up pair of models, of word lengths now, one and 64 tokens back."""
+
+    def run(batch):
+        for x in batch:
+            x = x.astype(float)
+            back = lambda k: np.concatenate([np.zeros(k), x])[1 : len(x)]  # noqa: B023, E731
+            yield 1 + (x[1:] + 2 * back(1) + 3 * back(64)) % 11, 1 + (x[1:] + back(64)) % 7
+
+    return lambda batch: list(run(batch))
+
+
+def weighted_lengths():
+    """A made-up classifier, of word lengths and their places in the chunk."""
+    return lambda batch: [float((x.astype(int) * np.arange(1, len(x) + 1)).sum() % 97 / 97) for x in batch]
+
+
+def length_tokens(spark, d) -> DataFrame:
+    """(doc_id, tokens): words as tokens, numbered by their lengths."""
+    base = docs(spark, d).select("doc_id", T.normalize(F.col("text")).alias("t"))
+    return base.select("doc_id", F.transform(G.with_offsets(F.col("t")), lambda x: F.struct(F.length(x["w"]).alias("token"), x["start"].alias("start"), x["end"].alias("end"))).alias("tokens"))
+
+
+def window_tokens(spark, d):
+    """Texts of any length scored in windows by models of limited context."""
+    t = X.window_statistics(length_tokens(spark, d), recent_lengths)
+    whole = lambda c: F.sum(c.cast("long"))
+    return t.groupBy("doc_id").agg(F.count("*").alias("n"), whole(F.col("pos") * F.col("ppl")).alias("by_place"), whole(F.col("start") * F.col("xppl") + F.col("end")).alias("by_start"))
+
+
+def chunk_classifier(spark, d):
+    """Texts of any length judged in chunks by a classifier of limited length."""
+    return X.text_probability(length_tokens(spark, d), weighted_lengths).select("doc_id", F.round("classifier_p", 6).alias("classifier_p"))
+
+
+def backoff_statistics(spark, d):
+    t = B.backoff_statistics(docs(spark, d))
+    return t.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.avg("ppl"), 5).alias("ppl"), F.round(F.avg("xppl"), 5).alias("xppl"))
+
+
 def html_paragraphs(spark, d):
     p = files.html_paragraphs(spark.read.parquet(f"{d}/pages.parquet"))
     return p.select("page_id", F.size("paragraphs").alias("n"), md5(F.array_join("paragraphs", "|")).alias("digest"))
@@ -395,8 +440,9 @@ def length_order(spark, d):
 
 
 def fixed_weights(spark, d):
-    rows = labelled(spark, d).withColumn("q", F.when(F.col("lang") == "en", F.col("q")))
-    return M.fixed_weights(rows, "p", "q", "p").select("doc_id", F.round("fixed_p", 6).alias("fixed_p"))
+    """The fixed weights of three signals that differ; the second is known for English only."""
+    rows = labelled(spark, d).withColumns({"q": F.when(F.col("lang") == "en", F.col("q")), "r": F.col("doc_id") % 89 / 89})
+    return M.fixed_weights(rows, "p", "q", "r").select("doc_id", S.exact_round(F.col("fixed_p"), 6).alias("fixed_p"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -407,7 +453,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         one_against_rest, quantile_shift, class_guard, standardised, stratified_sample, first_of_text, group_split, size_folds, task_choice, prompts, oversample,
         take_until, pending, aligned_union, joins, inverted_index, cleaning, token_statistics, token_sentences, sentence_scores, provided_sentence_scores, signal_report, model_windows,
         html_paragraphs, html_paragraphs_native, rewrite_change, fold_scores, report_files, corpus_files, split_files, score_files, reject_files, artefact_files, table_files, text_files, works,
-        signalled_report, source_duplicates, gram_sets, contains_rules, chunk_scores, length_order, fixed_weights,
+        signalled_report, source_duplicates, gram_sets, contains_rules, chunk_scores, length_order, fixed_weights, window_tokens, chunk_classifier, backoff_statistics,
     )
 }
 ORACLES: dict[str, str] = oracles.build(PROBE, FIXED_LM)
