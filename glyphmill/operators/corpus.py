@@ -92,8 +92,8 @@ def reject_reason(c: Column, least: int = 100) -> Column:
     return F.when(T.count_blank_words(c) < least, "corto").when(~T.is_spanish(c), "idioma")
 
 
-def human_items(items: DataFrame, domain: str, source: str, target: int, least: int = 150, most: int | None = 600) -> DataFrame:
-    """(id, text, domain, title, field, year, source, words): Spanish items of least to most words, one per id, `target` of them by hash.
+def accepted_items(items: DataFrame, domain: str, source: str, least: int = 150, most: int | None = 600) -> DataFrame:
+    """(id, text, domain, title, field, year, source, words): Spanish items of least to most words, one per id.
 
     items: (id, text, title, field, year and, if it differs by item, source), whatever crawl or dump they come from.
     """
@@ -103,7 +103,12 @@ def human_items(items: DataFrame, domain: str, source: str, target: int, least:
         rows = rows.where(F.col("words") <= most)
     rows = rows.where(T.is_spanish(F.col("text"))).withColumn("domain", F.lit(domain))
     rows = rows.withColumn("source", F.coalesce("source", F.lit(source)) if "source" in rows.columns else F.lit(source))
-    return rows.orderBy(key("id"), "id").limit(target).select("id", "text", "domain", "title", "field", "year", "source", "words")
+    return rows.select("id", "text", "domain", "title", "field", "year", "source", "words")
+
+
+def human_items(items: DataFrame, domain: str, source: str, target: int, least: int = 150, most: int | None = 600) -> DataFrame:
+    """`target` of the accepted items, by hash."""
+    return accepted_items(items, domain, source, least, most).orderBy(key("id"), "id").limit(target)
 
 
 def article_text(parts: DataFrame, id_col: str = "id", limit: int = 650) -> DataFrame:

@@ -310,6 +310,8 @@ SELECT doc_id, round(sum((s % 97) / 97 * (e - s)) / nullif(sum(e - s), 0), 6) AS
 SELECT doc_id, count(*)::BIGINT AS n, sum(pos * (1 + (n + 2 * n1 + 3 * n64) % 11))::BIGINT AS by_place, sum((stop - n) * (1 + (n + n64) % 7) + stop)::BIGINT AS by_start FROM x WHERE pos > 0 GROUP BY doc_id"""
     o["chunk_classifier"] = f"""WITH a AS (SELECT doc_id, list_transform({words(norm(D))}, lambda w: length(w)) AS l FROM documents), b AS (SELECT doc_id, l, len(l) AS n, unnest(range(0, greatest(len(l), 1), 382)) AS s FROM a), c AS (SELECT doc_id, l, CASE WHEN s > 0 AND n - s < 95 THEN greatest(n - 382, 0) ELSE s END AS s, least(s + 382, n) AS e FROM b),
 p AS (SELECT doc_id, e - s AS k, (coalesce(list_sum(list_transform(range(s, e), lambda i: l[i + 1] * (i - s + 1))), 0) % 97) / 97 AS p FROM c) SELECT doc_id, round(sum(p * k) / nullif(sum(k), 0), 6) AS classifier_p FROM p GROUP BY doc_id"""
+    o["gram_features"] = f"""WITH a AS (SELECT doc_id, hex(encode(' ' || coalesce({D}, '') || ' ')) AS h FROM documents), g AS (SELECT doc_id, ('0x' || substr(h, unnest(range(1, length(h) - 4, 2)), 6))::BIGINT % 16381 AS b FROM a),
+k AS (SELECT doc_id, b, count(*) AS n FROM g GROUP BY ALL) SELECT a.doc_id, count(b)::INTEGER AS n_features, coalesce(sum(n), 0)::BIGINT AS n_grams, coalesce(sum(b * n), 0)::BIGINT AS weighted FROM a LEFT JOIN k USING (doc_id) GROUP BY a.doc_id"""
     o["backoff_statistics"] = f"""WITH a AS (SELECT doc_id, {lower_words(D)} AS l FROM documents), t AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS pos FROM a),
 s AS (SELECT doc_id, pos, w, coalesce(lag(w, 1) OVER o, '') AS v, coalesce(lag(w, 2) OVER o, '') AS u FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 tri AS (SELECT u, v, w, count(*) AS c FROM s GROUP BY ALL), bi AS (SELECT v, w, count(*) AS k FROM tri GROUP BY ALL), uni AS (SELECT w, count(*) AS m FROM bi GROUP BY w), z AS (SELECT sum(m) AS a, count(*) AS types FROM uni),

@@ -11,7 +11,7 @@ from . import oracles
 from .config import EngineConfig
 from .functions import scores as S, text as T
 from .lexicon import STOP_ES, Lexicon
-from .operators import backoff as B, corpus as C, evaluate as E, models as M, overlap as V, signals as G, style as O, windows as X
+from .operators import backoff as B, classifier as K, corpus as C, evaluate as E, models as M, overlap as V, signals as G, style as O, windows as X
 from .plans.partitioning import spread
 from .plans.report import rejected, report
 from . import round_trips as R
@@ -340,6 +340,22 @@ def backoff_statistics(spark, d):
     return t.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.avg("ppl"), 5).alias("ppl"), F.round(F.avg("xppl"), 5).alias("xppl"))
 
 
+def gram_features(spark, d):
+    """Every document's features of the trained classifier, as sums."""
+    f = K.featured(docs(spark, d), ["doc_id"])
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    pairs = F.zip_with("at", "count", lambda a, n: a.cast("long") * n)
+    return f.select("doc_id", F.size("at").alias("n_features"), total(F.col("count")).alias("n_grams"), total(pairs).alias("weighted"))
+
+
+def trained_classifier(spark, d):
+    """Documents of held-out sources, judged by a classifier of the others' texts."""
+    rows = C.group_split(spread(spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")), "source", 0.3)
+    model, _ = K.trained(rows.where("split = 'train'"), "quality", "source")
+    held = K.featured(rows.where("split = 'test'").select("doc_id", F.col("quality").alias("y"), "text"), ["doc_id", "y"])
+    return model.scored(held, ["doc_id", "y"]).select("doc_id", "y", F.round("p", 4).alias("p"))
+
+
 def html_paragraphs(spark, d):
     p = files.html_paragraphs(spark.read.parquet(f"{d}/pages.parquet"))
     return p.select("page_id", F.size("paragraphs").alias("n"), md5(F.array_join("paragraphs", "|")).alias("digest"))
@@ -453,7 +469,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         one_against_rest, quantile_shift, class_guard, standardised, stratified_sample, first_of_text, group_split, size_folds, task_choice, prompts, oversample,
         take_until, pending, aligned_union, joins, inverted_index, cleaning, token_statistics, token_sentences, sentence_scores, provided_sentence_scores, signal_report, model_windows,
         html_paragraphs, html_paragraphs_native, rewrite_change, fold_scores, report_files, corpus_files, split_files, score_files, reject_files, artefact_files, table_files, text_files, works,
-        signalled_report, source_duplicates, gram_sets, contains_rules, chunk_scores, length_order, fixed_weights, window_tokens, chunk_classifier, backoff_statistics,
+        signalled_report, source_duplicates, gram_sets, contains_rules, chunk_scores, length_order, fixed_weights, window_tokens, chunk_classifier, backoff_statistics, gram_features, trained_classifier,
     )
 }
 ORACLES: dict[str, str] = oracles.build(PROBE, FIXED_LM)

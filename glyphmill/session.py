@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,3 +33,10 @@ def ship(spark: SparkSession) -> None:
             z.write(p, f"glyphmill/{p.relative_to(root)}")
     sc.addPyFile(str(out))
     sc._glyphmill_shipped = True
+
+
+def stored(df, *by: str):
+    """df written to the shared folder, partitioned by the columns of by, and read again: computed once, safe from lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

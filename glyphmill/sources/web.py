@@ -10,6 +10,7 @@ import json
 import logging
 import os
 import time
+import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator, Mapping
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import corpus as C
-from ..session import ship
+from ..session import ship, stored
 from . import files
 
 Get = Callable[[str], bytes]
@@ -43,15 +44,41 @@ PARSES = "parse struct<text:string>"
 LEAST_PAGE, CUTOFF = 12_000, "2021-12-31T23:59:59Z"
 
 
-def fetch_json(url: str, params: Mapping, tries: int = 5, get: Get | None = None, pause: Callable[[float], None] = time.sleep):
-    """A JSON answer; after each failure a pause twice as long; null after `tries` failures."""
+#: Answers after which a request is worth repeating; all others are final.
+RETRIED = frozenset((408, 425, 429, 500, 502, 503, 504))
+
+
+def urlopen(url: str) -> bytes:
     agent = os.environ.get("GLYPHMILL_USER_AGENT", "glyphmill (set GLYPHMILL_USER_AGENT to how you can be reached)")  # services refuse requests without one
-    get = get or (lambda u: urllib.request.urlopen(urllib.request.Request(u, headers={"User-Agent": agent}), timeout=10).read())
-    for attempt in range(tries):
+    with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=10) as answer:
+        return answer.read()
+
+
+def _asked_to_wait(e: Exception) -> float | None:
+    """Seconds that a refusal names, if it names any."""
+    named = (getattr(e, "headers", None) or {}).get("Retry-After", "")
+    return float(named) if named.strip().isdigit() else None
+
+
+def fetch_json(url: str, params: Mapping, tries: int = 5, get: Get | None = None, pause: Callable[[float], None] = time.sleep, most: float = 60.0):
+    """A JSON answer, or null if there is none after `tries` attempts or the service says that it is final.
+
+    Between attempts it waits as long as the service asks for, else twice as long each time; `most` seconds at most.
+    """
+    request, wait = f"{url}?{urllib.parse.urlencode(params)}", 1.0
+    for left in range(tries - 1, -1, -1):
+        named = None
         try:
-            return json.loads(get(f"{url}?{urllib.parse.urlencode(params)}"))
+            return json.loads((get or urlopen)(request))
+        except urllib.error.HTTPError as e:
+            if e.code not in RETRIED:
+                return None
+            named = _asked_to_wait(e)
         except (OSError, ValueError):
-            pause(2.0**attempt)
+            pass  # no connection, or half an answer
+        if left:
+            pause(min(most, wait if named is None else named))
+            wait *= 2
     return None
 
 
@@ -108,26 +135,37 @@ def wikipedia_search(lang: str = "es", get: Get | None = None):
     return search
 
 
-def openalex_items(spark: SparkSession, seeds: int = 200, get: Get | None = None) -> DataFrame:
-    """(id, text, title, field, year, source) of sampled works, one sample a seed; see corpus.human_items for what may stay."""
-    asked = spark.range(1, seeds + 1).select(F.col("id").alias("seed")).repartition(min(seeds, 16))
-    w = T.exploded(answers(asked, OPENALEX, SAMPLE_WORKS, {"seed": "seed"}, get), [], read(WORKS)["results"], "w").select("w.*")
+def work_items(answered: DataFrame) -> DataFrame:
+    """(id, text, title, field, year, source) of the works in answers to a sample request."""
+    w = T.exploded(answered, [], read(WORKS)["results"], "w").select("w.*")
     text = T.clean_abstract(T.unindex(F.col("abstract_inverted_index")))
     rows = w.where((F.size("abstract_inverted_index") > 0) & (F.length("title") > 0))
     field = F.coalesce(F.col("primary_topic.field.display_name"), F.lit("desconocido"))
     return rows.select(F.concat(F.lit("oa_"), F.substring_index("id", "/", -1)).alias("id"), text.alias("text"), T.strip(F.regexp_replace("title", "<[^>]+>", "")).alias("title"), field.alias("field"), F.col("publication_year").alias("year"), F.col("id").alias("source"))
 
 
-def wikipedia_items(spark: SparkSession, batches: int, lang: str = "es", get: Get | None = None) -> DataFrame:
-    """(id, text, title, field, year, source) of random long articles as they stood at CUTOFF, up to about 600 words of each."""
+def openalex_items(spark: SparkSession, seeds: int = 200, get: Get | None = None) -> DataFrame:
+    """work_items of sampled works, one sample a seed; see corpus.human_items for what may stay, requests.crawl for one that stops in time."""
+    asked = spark.range(1, seeds + 1).select(F.col("id").alias("seed")).repartition(min(seeds, 16))
+    return work_items(answers(asked, OPENALEX, SAMPLE_WORKS, {"seed": "seed"}, get))
+
+
+def article_items(answered: DataFrame, lang: str = "es", get: Get | None = None) -> DataFrame:
+    """(id, text, title, field, year, source) of the long articles in answers to a random request, as they stood at CUTOFF, up to about 600 words of each."""
     api = WIKIPEDIA.format(lang=lang)
-    asked = spark.range(batches).select(F.col("id").alias("batch")).repartition(min(batches, 16))
-    pages = T.exploded(answers(asked, api, RANDOM_PAGES, {}, get), [], F.map_values(read(PAGES)["query"]["pages"]), "p").select("p.title", "p.length").where(F.col("length") >= LEAST_PAGE)
+    pages = T.exploded(answered, [], F.map_values(read(PAGES)["query"]["pages"]), "p").select("p.title", "p.length").where(F.col("length") >= LEAST_PAGE)
     pages = pages.select("title").distinct()
     revision = F.get(F.get(F.map_values(read(REVISIONS)["query"]["pages"]), F.lit(0))["revisions"], F.lit(0))
     dated = answers(pages, api, REVISION | {"rvstart": CUTOFF}, {"titles": "title"}, get).select("title", revision.alias("r")).where("r.revid is not null").select("title", F.col("r.revid").alias("revid"), F.substring("r.timestamp", 1, 4).cast("int").alias("year"))
     parsed = answers(dated, api, PARSED, {"oldid": "revid"}, get).select("revid", "title", "year", read(PARSES)["parse"]["text"].alias("html")).where("html is not null")
+    parsed = stored(parsed)  # read twice below, asked for once
     parts = T.exploded(files.html_paragraphs(parsed, "revid"), ["revid"], F.col("paragraphs"), "text", "k")
     texts = C.article_text(parts, "revid")
     source = F.concat(F.lit(f"https://{lang}.wikipedia.org/w/index.php?oldid="), "revid")
     return texts.join(parsed.select("revid", "title", "year"), "revid").select(F.concat(F.lit("wk_"), "revid").alias("id"), "text", "title", F.lit("wikipedia").alias("field"), "year", source.alias("source"))
+
+
+def wikipedia_items(spark: SparkSession, batches: int, lang: str = "es", get: Get | None = None) -> DataFrame:
+    """article_items of `batches` random requests."""
+    asked = spark.range(batches).select(F.col("id").alias("batch")).repartition(min(batches, 16))
+    return article_items(answers(asked, WIKIPEDIA.format(lang=lang), RANDOM_PAGES, {}, get), lang, get)
