@@ -46,21 +46,31 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def running(lengths: Column, block: int = 256, zero: float = 0) -> Column:
-    """Inclusive prefix sums of an array of numbers of zero's kind. Appending copies an array, so sums go block by block and are then shifted."""
+def scanned(values: Column, join: Callable[[Column, Column], Column], block: int = 256, zero: float = 0) -> Column:
+    """What an associative join makes of all elements up to each, zero first. Appending copies an array, so it goes block by block, and what precedes a block joins in then."""
 
     def plain(x: Column) -> Column:
-        return F.slice(F.aggregate(x, F.array(F.lit(zero)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v))), F.lit(2), F.size(x))
+        return F.slice(F.aggregate(x, F.array(F.lit(zero)), lambda a, v: F.concat(a, F.array(join(F.element_at(a, -1), v)))), F.lit(2), F.size(x))
 
     def blocks(x: Column) -> Column:
         last = F.floor(F.greatest(F.size(x) - 1, F.lit(0)) / block).cast("int")
         return F.transform(F.sequence(F.lit(0), last), lambda b: plain(F.slice(x, b * block + 1, F.lit(block))))
 
     def shifted(parts: Column, totals: Column) -> Column:
-        return F.flatten(F.transform(parts, lambda y, i: let(F.coalesce(F.get(totals, i - 1), F.lit(zero)), lambda base: F.transform(y, lambda v: v + base))))
+        return F.flatten(F.transform(parts, lambda y, i: let(F.coalesce(F.get(totals, i - 1), F.lit(zero)), lambda base: F.transform(y, lambda v: join(base, v)))))
 
     total = lambda y: F.coalesce(F.get(y, F.size(y) - 1), F.lit(zero))
-    return let(lengths, lambda x: let(blocks(x), lambda parts: let(plain(F.transform(parts, total)), lambda t: shifted(parts, t))))
+    return let(values, lambda x: let(blocks(x), lambda parts: let(plain(F.transform(parts, total)), lambda t: shifted(parts, t))))
+
+
+def running(lengths: Column, block: int = 256, zero: float = 0) -> Column:
+    """Inclusive prefix sums of an array of numbers of zero's kind."""
+    return scanned(lengths, lambda a, v: a + v, block, zero)
+
+
+def held_at_zero(steps: Column) -> Column:
+    """The depth after each of many steps up and down, where a step below zero stays at zero: sums less the least sum so far."""
+    return let(running(steps), lambda s: F.zip_with(s, scanned(s, F.least), lambda a, low: a - low))
 
 
 def bisect(n: Column, holds: Callable[[Column], Column]) -> Column:

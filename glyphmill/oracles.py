@@ -321,9 +321,20 @@ h2 AS (SELECT v, any_value(l2) * (ln(any_value(l2)) + any_value(h)) + sum(p2 * l
 three AS (SELECT u, v, w, p2, (c - 0.75::DOUBLE) / sum(c) OVER x + 0.75::DOUBLE * count(*) OVER x / sum(c) OVER x * p2 AS p3, 0.75::DOUBLE * count(*) OVER x / sum(c) OVER x AS l3 FROM tri JOIN two USING (v, w) WINDOW x AS (PARTITION BY u, v)),
 cr AS (SELECT u, v, -(ln(any_value(l3)) + any_value(h)) - sum(p2 * (ln(p3) - ln(l3 * p2))) AS x FROM three JOIN h2 USING (v) GROUP BY u, v)
 SELECT doc_id, count(*)::BIGINT AS n, round(avg(-ln(p3)), 5) AS ppl, round(avg(x), 5) AS xppl FROM s JOIN three USING (u, v, w) JOIN cr USING (u, v) WHERE pos > 1 GROUP BY doc_id"""
-    html = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<table\b[^>]*>.*?</table\s*>', '', 'g'), '(?is)<sup\b[^>]*>.*?</sup\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<figure\b[^>]*>.*?</figure\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
-    plain = "regexp_replace(p, '<[^>]+>', '', 'g')"
+    tag = r"""(?:[^>"='']|=\s*(?:"[^"]*"|''[^'']*'')|=|["''])*"""  # quotes are doubled for SQL
+    whole = "|".join(rf"<{k}(?:[\s/]{tag})?>.*?</{k}\s*>" for k in ("script", "style"))
+    plain = "substr(x, strpos(x, chr(2)) + 1)"
     for name, char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&apos;", "''''"), ("&nbsp;", "chr(160)"), ("&hellip;", "'…'"), ("&ndash;", "'–'"), ("&mdash;", "'—'"), ("&amp;", "'&'")):
         plain = f"replace({plain}, '{name}', {char})"
-    o["html_paragraphs_native"] = rf"WITH a AS (SELECT page_id, list_filter(list_transform(regexp_extract_all({html}, '(?is)<p(?:\s[^>]*)?>(.*?)</p\s*>', 1), lambda p: {strip(f"regexp_replace({plain}, '[{WS}]+', ' ', 'g')")}), lambda p: len({blanks('p')}) >= 15) AS ps FROM pages) SELECT page_id, len(ps)::INTEGER AS n, md5(array_to_string(ps, '|')) AS digest FROM a"
+    # markup in marks, then events by page and place; windows sum the steps and take the least sum so far
+    o["html_paragraphs"] = rf"""WITH a AS (SELECT page_id, string_split(regexp_replace(coalesce(html, ''), '(?is)(<!--.*?--\s*>|<[!?][^>]*>|{whole}|<[a-z]{tag}>|</\s*[a-z]{tag}>)', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS l FROM pages),
+e AS (SELECT page_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM a), n AS (SELECT *, string_split(x, chr(2))[1] AS t, lower(regexp_extract(string_split(x, chr(2))[1], '(?i)^</?([a-z][^\t\n\r\f />]*)', 1)) AS name FROM e WHERE i > 1),
+s AS (SELECT *, starts_with(t, '</') AS back, CASE WHEN starts_with(t, '</') THEN -1 WHEN ends_with(t, '/>') THEN 0 ELSE 1 END AS step FROM n),
+d AS (SELECT *, CASE WHEN name IN ('table', 'sup', 'figure') THEN step WHEN name IN ('script', 'style') AND back THEN -1 ELSE 0 END AS h, CASE WHEN name = 'p' THEN step ELSE 0 END AS p FROM s),
+c AS (SELECT *, sum(h) OVER w AS hs, sum(p) OVER w AS ps FROM d WINDOW w AS (PARTITION BY page_id ORDER BY i)), f AS (SELECT *, hs - least(0, min(hs) OVER w) AS hidden, ps - least(0, min(ps) OVER w) AS open FROM c WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+g AS (SELECT *, name = 'p' AND (back AND coalesce(lag(open) OVER w, 0) > 0 OR NOT back AND step = 0) AS cut FROM f WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+r AS (SELECT *, sum(cut::INTEGER) OVER (PARTITION BY page_id ORDER BY i) AS k FROM g), q AS (SELECT page_id, k, string_agg(CASE WHEN open > 0 AND hidden = 0 THEN {plain} ELSE '' END, '' ORDER BY i) AS raw FROM r GROUP BY page_id, k), o AS (SELECT * FROM q QUALIFY k < max(k) OVER (PARTITION BY page_id)),
+z AS (SELECT page_id, k, {strip(f"regexp_replace(raw, '[{WS}]+', ' ', 'g')")} AS t FROM o), y AS (SELECT page_id, list(t ORDER BY k) AS ps FROM z WHERE len({blanks('t')}) >= 15 GROUP BY page_id)
+SELECT page_id, coalesce(len(ps), 0)::INTEGER AS n, md5(coalesce(array_to_string(ps, '|'), '')) AS digest FROM pages LEFT JOIN y USING (page_id)"""
+    o["html_paragraphs_native"] = o["html_paragraphs"]
     return o
