@@ -34,8 +34,8 @@ from .common import shared_dir
 STATES, OWN, LOOKUP, ENDINGS, ENDING = 8, 1 << 17, 1 << 20, 4096, 3
 #: One training text in WARM starts the model, in WARM_PASSES passes; then PASSES over all. Share of the unigram distribution in each state's.
 WARM, WARM_PASSES, PASSES, SHARE = 32, 10, 2, 0.01
-#: Tokens of a chunk, tokens that a task works on at once, bytes of a text that are split at once, words counted before they are sent on.
-CHUNK, BATCH, PIECE, HELD_WORDS = 2048, 1_000_000, 1 << 20, 1_000_000
+#: Tokens of a chunk, tokens that a task works on at once in passes and in encoding, bytes of a text that are split at once, words counted before they are sent on.
+CHUNK, BATCH, ENCODED, PIECE, HELD_WORDS = 2048, 700_000, 200_000, 1 << 20, 700_000
 #: The end of a text as a token; no word holds a blank.
 END = b" "
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
@@ -163,7 +163,7 @@ def _own(total: int) -> Column:
 
 
 def encoded(docs: DataFrame, lex: Lexicon, train: Column, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, id, held_out, part, n_tokens, n_known, base, share, ids, rare): texts as symbols, what the lexicon knows summed up, the other words counted.
+    """(key, id, held_out, part, n_tokens, n_known, base, share, ids, rare): texts as symbols, what the lexicon knows summed up, the other words listed.
 
     part: warm or rest for training texts, else none; a folder each, so passes read no more than they use.
     """
@@ -171,31 +171,37 @@ def encoded(docs: DataFrame, lex: Lexicon, train: Column, held: Column, id_col:
     part = F.when(~F.coalesce(train, F.lit(False)), "none").when(warm, "warm").otherwise("rest")
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), F.coalesce(held, F.lit(False)).alias("held_out"), part.alias("part"), F.col(text_col).cast("binary").alias("text"))
 
+    def coded(own: pa.RecordBatch, words: list[bytes], sizes: list[int]) -> pa.RecordBatch:
+        """The texts of own, whose words stand one after the other in words."""
+        get, bounds = lex.place.get, np.concatenate([[0], np.cumsum(sizes)])
+        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        found, lost = at >= 0, np.flatnonzero(at < 0)
+        rare = [words[i] for i in lost.tolist()]
+        ids = np.empty(len(at), np.int32)
+        ids[found] = lex.symbol[at[found]]
+        ids[lost] = [ending(w) for w in rare]
+        # what the lexicon knows of each token, 0 for others; sums of texts are differences of sums so far
+        each = [np.where(found, x[at], 0) for x in (lex.count > 0, lex.base, lex.share)] if len(lex.count) else [np.zeros(len(at))] * 3
+        known, base, share = (np.add.reduceat(x, bounds[:-1]) for x in each)
+        rows = pa.ListArray.from_arrays(pa.array(np.searchsorted(lost, bounds), pa.int32()), pa.array(rare, pa.binary()))
+        columns = [pa.array(np.array(sizes, np.int64)), pa.array(known.astype(np.int64)), pa.array(base.astype(float)), pa.array(share.astype(float)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)), rows]
+        return pa.RecordBatch.from_arrays([*(own.column(c) for c in ("key", "id", "held_out", "part")), *columns], names=["key", "id", "held_out", "part", "n_tokens", "n_known", "base", "share", "ids", "rare"])
+
     def run(batches):
-        place, symbol, base, share, known = lex.place, lex.symbol, lex.base, lex.share, lex.count > 0
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "share", "ids", "rare")}
-            for text in b.column("text"):
-                ids, rare, sums, n_known = [], Counter(), np.zeros(2), 0
-                for words in tokens(text.as_py()):
-                    at = np.array([place.get(w, -1) for w in words], np.int64)
-                    found = at >= 0
-                    piece = np.zeros(len(at), np.int32)
-                    own = at[found]
-                    piece[found] = symbol[own]
-                    for i in np.flatnonzero(~found).tolist():
-                        piece[i] = ending(words[i])
-                        rare[words[i]] += 1
-                    ids.append(piece)
-                    sums += base[own].sum(), share[own].sum()
-                    n_known += int(known[own].sum())
-                whole = np.concatenate(ids)
-                for k, v in (("n_tokens", len(whole)), ("n_known", n_known), ("base", sums[0]), ("share", sums[1]), ("ids", whole), ("rare", [{"word": w, "k": k} for w, k in rare.items()])):
-                    out[k].append(v)
-            kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "share": pa.float64(), "ids": pa.list_(pa.int32()), "rare": pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))}
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "id", "held_out", "part")), *(pa.array(out[k], kind) for k, kind in kinds.items())], names=["key", "id", "held_out", "part", *kinds])
-
-    return rows.mapInArrow(run, "key long, id long, held_out boolean, part string, n_tokens long, n_known long, base double, share double, ids array<int>, rare array<struct<word:binary,k:int>>")
+            words, sizes, first = [], [], 0
+            for k, text in enumerate(b.column("text")):
+                before = len(words)
+                for part in tokens(text.as_py()):
+                    words += part
+                sizes.append(len(words) - before)
+                if len(words) > ENCODED:
+                    yield coded(b.slice(first, k + 1 - first), words, sizes)
+                    words, sizes, first = [], [], k + 1
+            if sizes:
+                yield coded(b.slice(first), words, sizes)
+
+    return rows.mapInArrow(run, "key long, id long, held_out boolean, part string, n_tokens long, n_known long, base double, share double, ids array<int>, rare array<binary>")
 
 
 @dataclass
@@ -208,7 +214,7 @@ class Model:
 
     def log10(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The log10 probability of each text: symbols ids[offsets[i]:offsets[i + 1]]."""
-        return Sweep(self, ids, offsets).likelihood / math.log(10)
+        return Sweep(self, ids, offsets).likelihoods() / math.log(10)
 
 
 @dataclass
@@ -225,124 +231,150 @@ class Expected:
         return cls(np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states)))
 
 
-@dataclass
 class Sweep:
-    """One batch of texts under a model: chunks side by side, longest first, so those that still run are always the first ones."""
+    """One batch of texts under a model, ids[offsets[i]:offsets[i + 1]] each, cut into chunks.
 
-    model: Model
-    ids: np.ndarray
-    offsets: np.ndarray
+    Chunks run side by side, longest first, so those that still run are always the first ones. Of a text of several
+    chunks the first and the last are run as they are; those between give a transfer matrix each, which tells what enters
+    the chunks after them.
+    """
 
-    def __post_init__(self):
-        size = np.diff(self.offsets)
+    def __init__(self, model: Model, ids: np.ndarray, offsets: np.ndarray):
+        size = np.diff(offsets)
         many = -(-size // CHUNK)
         of = np.repeat(np.arange(len(size)), many)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-        begin, long = self.offsets[:-1][of] + nth * CHUNK, many[of] > 1
-        length = np.minimum(CHUNK, self.offsets[1:][of] - begin)
+        begin = offsets[:-1][of] + nth * CHUNK
+        length = np.minimum(CHUNK, offsets[1:][of] - begin)
         order = np.argsort(-length, kind="stable")
-        self.of, self.nth, self.begin, self.length, self.long = of[order], nth[order], begin[order], length[order], long[order]
-        states = len(self.model.start)
-        self.entry = np.tile(self.model.start, (len(of), 1))
-        self.after: np.ndarray | None = None  # what the rest of the text says of the state after the chunk; ones where it ends
-        self.many, self.likelihood = many, np.zeros(len(size))
-        if self.long.any():
-            self._tie(states)
-        short = np.flatnonzero(~self.long)
-        if len(short):
-            self.likelihood[self.of[short]] = self._forward(short)[1]
-
-    def _steps(self, lanes: np.ndarray):
-        """(how many of the lanes still run, their symbols) step by step; lanes are in order of length."""
+        self.model, self.ids, self.texts = model, ids, len(size)
+        self.of, self.nth, self.begin, self.length = of[order], nth[order], begin[order], length[order]
+        self.last = self.nth == many[self.of] - 1
+        self.long = many[self.of] > 1
+        self.entry = np.tile(model.start, (len(of), 1))
+
+    def _steps(self, lanes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(how many of the lanes still run, where their symbols are) step by step; lanes are in order of length."""
         begin, length = self.begin[lanes], self.length[lanes]
         live = np.searchsorted(-length, -np.arange(length.max(initial=0)), side="left")
-        for t, b in enumerate(live.tolist()):
-            yield b, self.ids[begin[:b] + t]
+        return [(b, begin[:b] + t) for t, b in enumerate(live.tolist())]
 
     def _forward(self, lanes: np.ndarray, keep: bool = False):
         """(states expected after the lanes, log likelihoods, and if kept the filtered states and scales of each step)."""
-        emit, moves = self.model.emit, self.model.moves
+        emit, moves, ids = self.model.emit, self.model.moves, self.ids
         state, total, kept = self.entry[lanes].copy(), np.zeros(len(lanes)), []
-        for b, ids in self._steps(lanes):
-            now = state[:b] * emit[ids]
+        for b, at in self._steps(lanes):
+            now = state[:b] * emit[ids[at]]
             scale = now.sum(axis=1)
             now /= scale[:, None]
             total[:b] += np.log(scale)
             np.matmul(now, moves, out=state[:b])
             if keep:
-                kept.append((ids, now, scale))
+                kept.append((at, now, scale))
         return state, total, kept
 
-    def _tie(self, states: int) -> None:
-        """Entries, afters and likelihoods of texts of several chunks, from each chunk's transfer matrix."""
-        lanes = np.flatnonzero(self.long)
-        emit, moves = self.model.emit, self.model.moves
-        through = np.tile(np.eye(states), (len(lanes), 1, 1))
-        logs = np.zeros((len(lanes), states))
-        for b, ids in self._steps(lanes):
-            now = through[:b] * emit[ids][:, None, :]
+    def _backward(self, lanes: np.ndarray) -> np.ndarray:
+        """What whole lanes, each the end of its text, say of their first state, of sum 1."""
+        emit, moves, ids = self.model.emit, self.model.moves, self.ids
+        rest = np.ones((len(lanes), len(moves)))
+        done = 0
+        for b, at in reversed(self._steps(lanes)):
+            rest[:done] = rest[:done] @ moves.T
+            rest[:b] *= emit[ids[at]]
+            rest[:b] /= rest[:b].sum(axis=1, keepdims=True)
+            done = b
+        return rest
+
+    def _through(self, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(transfer matrices, logarithms of what they are to be multiplied by)."""
+        emit, moves, ids = self.model.emit, self.model.moves, self.ids
+        states = len(moves)
+        through, logs = np.tile(np.eye(states), (len(lanes), 1, 1)), np.zeros((len(lanes), states))
+        for b, at in self._steps(lanes):
+            now = through[:b] * emit[ids[at]][:, None, :]
             scale = now.sum(axis=2)
             now /= scale[:, :, None]
             logs[:b] += np.log(scale)
             through[:b] = (now.reshape(-1, states) @ moves).reshape(b, states, states)
         most = logs.max(axis=1)
-        through *= np.exp(logs - most[:, None])[:, :, None]
-        self.after = np.ones((len(self.of), states))
-        spot = np.lexsort((self.nth[lanes], self.of[lanes]))  # chunks text by text, in order
-        state = self.model.start
-        for k in spot.tolist():
-            lane = lanes[k]
-            if self.nth[lane] == 0:
-                state = self.model.start
-            self.entry[lane] = state
-            state = state @ through[k]
-            total = state.sum()
-            self.likelihood[self.of[lane]] += math.log(total) + most[k]
-            state = state / total
-        rest = None
-        for k in spot[::-1].tolist():
-            lane = lanes[k]
-            if self.nth[lane] == self.many[self.of[lane]] - 1:
-                rest = np.ones(states)
-            self.after[lane] = rest
-            rest = through[k] @ rest
-            rest = rest / rest.sum()
+        return through * np.exp(logs - most[:, None])[:, :, None], most
+
+    def _tie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What enters every chunk, into self.entry; (log likelihoods by text but for last chunks, lanes between, their matrices)."""
+        found = np.zeros(self.texts)
+        heads, between = np.flatnonzero(self.long & (self.nth == 0)), np.flatnonzero((self.nth > 0) & ~self.last)
+        state, total, _ = self._forward(heads)
+        found[self.of[heads]] = total
+        through, most = self._through(between)
+        after = np.zeros((self.texts, len(self.model.start)))
+        after[self.of[heads]] = state
+        place = np.full(len(self.of), -1)
+        place[between] = np.arange(len(between))
+        later = np.flatnonzero(self.nth > 0)
+        for lane in later[np.lexsort((self.nth[later], self.of[later]))].tolist():
+            text, k = self.of[lane], place[lane]
+            self.entry[lane] = after[text]
+            if k >= 0:
+                now = after[text] @ through[k]
+                total = now.sum()
+                found[text] += math.log(total) + most[k]
+                after[text] = now / total
+        return found, between, through
+
+    def likelihoods(self) -> np.ndarray:
+        """The log likelihood of each text."""
+        found = self._tie()[0] if self.long.any() else np.zeros(self.texts)
+        ends = np.flatnonzero(self.last)
+        found[self.of[ends]] += self._forward(ends)[1]
+        return found
 
     def count(self, into: Expected) -> None:
         """Forward and backward over all chunks; expected numbers are added to into."""
-        emit, moves = self.model.emit, self.model.moves
+        emit, moves, ids = self.model.emit, self.model.moves, self.ids
         lanes = np.arange(len(self.of))
-        _, _, kept = self._forward(lanes, keep=True)
-        last = self.nth == self.many[self.of] - 1
-        after = np.ones((len(lanes), len(self.model.start))) if self.after is None else self.after
-        turns, back, done, ids_of, held = np.zeros_like(moves), None, 0, [], []
+        after = np.ones((len(lanes), len(moves)))  # what the rest of the text says of the state after the chunk
+        if self.long.any():
+            _, between, through = self._tie()
+            ends = np.flatnonzero(self.long & self.last)
+            rest = np.zeros((self.texts, len(moves)))
+            rest[self.of[ends]] = self._backward(ends)
+            place = np.full(len(lanes), -1)
+            place[between] = np.arange(len(between))
+            earlier = np.flatnonzero(~self.last)
+            for lane in earlier[np.lexsort((-self.nth[earlier], self.of[earlier]))].tolist():
+                text, k = self.of[lane], place[lane]
+                after[lane] = rest[text]
+                if k >= 0:
+                    rest[text] = through[k] @ rest[text]
+                    rest[text] /= rest[text].sum()
+        _, total, kept = self._forward(lanes, keep=True)
+        turns, back, done, weights = np.zeros_like(moves), None, 0, []
         for t in range(len(kept) - 1, -1, -1):
-            ids, now, scale = kept[t]
-            b = len(ids)
+            at, now, scale = kept[t]
+            b = len(at)
             ahead = np.empty_like(now)
             if done:
                 ahead[:done] = back
             if b > done:  # chunks that end here
-                new = np.where(last[done:b, None], 1.0, after[done:b] @ moves.T)
-                weight = (now[done:b] * new).sum(axis=1)
-                ahead[done:b] = new / weight[:, None]
-                on = ~last[done:b]
-                turns += now[done:b][on].T @ (after[done:b][on] / weight[on, None])
+                end = self.last[done:b, None]
+                new = np.where(end, 1.0, after[done:b] @ moves.T)
+                weight = (now[done:b] * new).sum(axis=1, keepdims=True)
+                ahead[done:b] = new / weight
+                turns += now[done:b].T @ np.where(end, 0.0, after[done:b] / weight)
             both = now * ahead
-            ids_of.append(ids)
-            held.append(both)
+            weights.append(both)
             if t:
-                come = emit[ids] * ahead / scale[:, None]
+                come = emit[ids[at]] * ahead / scale[:, None]
                 turns += kept[t - 1][1][:b].T @ come
                 back = come @ moves.T
             else:
                 into.start += both[self.nth[:b] == 0].sum(axis=0)
             done = b
         into.moves += turns * moves
-        flat, weights = np.concatenate(ids_of), np.concatenate(held)
-        for k in range(weights.shape[1]):
-            into.emit[:, k] += np.bincount(flat, weights=weights[:, k], minlength=len(into.emit))
-        into.likelihood += float(self.likelihood.sum())
+        flat = ids[np.concatenate([k[0] for k in reversed(kept)])]
+        for k, column in enumerate(np.concatenate(weights).T):
+            into.emit[:, k] += np.bincount(flat, weights=column, minlength=len(into.emit))
+        into.likelihood += float(total.sum())
 
 
 def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -423,11 +455,11 @@ def scored(rows: DataFrame, counts: DataFrame, lex: Lexicon, model: Model) -> Da
     likely = rows.select("key", "ids").mapInArrow(run, "key long, hmm double")
     words = counts.where(F.col("a") * LOOKUP < F.lit(int(counts.agg(F.coalesce(F.sum("a"), F.lit(0))).first()[0]))).select("word", "c")
     endings = F.broadcast(rows.sparkSession.createDataFrame([(i, int(t), int(v)) for i, (t, v) in enumerate(zip(lex.ending_tokens, lex.ending_types, strict=True))], "e int, t long, v long"))
-    rare = rows.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.k")
+    rare = rows.select("key", F.explode("rare").alias("word"))
     met = rare.join(words.withColumn("e", _ending(F.col("word"))).join(endings, "e").hint("shuffle_hash"), "word")
-    ten = lambda top, below: F.col("k") * F.log10(top / below)
+    ten = lambda top, below: F.log10(top / below)
     sums = met.groupBy("key").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k0"),
+        F.sum((F.col("c") > 0).cast("long")).alias("k0"),
         F.sum(ten(F.col("c") + 1, F.lit(lex.tokens + lex.types + 1))).alias("b0"),
         F.sum(ten(F.col("c") + 1, F.col("t") + F.col("v") + 1)).alias("s0"),
     )
