@@ -24,7 +24,7 @@ SAMPLE_ROWS, SAMPLE_BYTES, PROBE_ROWS, PROBE_QUERIES = 20_000, 64 << 20, 8_000,
 #: Share of the sample's true neighbours that the probed lists must hold.
 PROBE_RECALL = 0.985
 SUBSPACES, CODES, ROUNDS = 16, 256, 8
-#: Rows of a block, queries of a query block, and candidates that a block reranks for a query, beside those asked for.
+#: Rows of a block, queries of a query block, and candidates that a block reranks for a query, beside those asked for and those that tie with the last.
 BLOCK_ROWS, BLOCK_QUERIES, RERANK = 8_192, 2_048, 400
 MAX_LISTS = 16_384
 
@@ -160,9 +160,10 @@ def _search(index: Index, dim: int, k: int):
                 rough = np.where(probed[lo : lo + 64], q[lo : lo + 64] @ centers.T, -np.inf).astype(np.float32)[:, of]
                 for m in range(codes.shape[1]):
                     rough += tables[:, m, :][:, codes[:, m]]
-                best = np.argpartition(-rough, take - 1, axis=1)[:, :take] if take < len(ids) else np.broadcast_to(np.arange(len(ids)), rough.shape)
-                for j, own in enumerate(np.sort(best, axis=1)):
-                    own = own[(ids[own] != q_ids[lo + j]) & (rough[j, own] > -np.inf)]
+                least = np.partition(rough, len(ids) - take, axis=1)[:, len(ids) - take]
+                for j in range(len(rough)):
+                    own = np.flatnonzero((rough[j] >= least[j]) & (rough[j] > -np.inf))  # all that tie with the last one too
+                    own = own[ids[own] != q_ids[lo + j]]
                     score = np.einsum("ij,j->i", x[own], q[lo + j])
                     top = np.argsort(-score, kind="stable")[:k]
                     out[0].append(np.full(len(top), q_ids[lo + j]))
