@@ -362,6 +362,12 @@ def without_references(paragraphs: Column) -> Column:
     return F.array_join(F.filter(paragraphs, lambda p: (p != "") & ~is_reference(p)), "\n\n")
 
 
+def index_words(c: Column) -> Column:
+    """The inverted index of a text: a map of what white space separates to its positions, in the row."""
+    places = F.sort_array(F.transform(blank_words(c), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    return F.map_from_entries(F.transform(runs(places, lambda x: x["w"]), lambda own: F.struct(F.get(own, F.lit(0))["w"].alias("key"), F.transform(own, lambda x: x["i"]).alias("value"))))
+
+
 def unindex(positions: Column) -> Column:
     """The text of an inverted index (map of word to positions); of words at one place the last in map order stays."""
     flat = F.flatten(F.transform(F.map_entries(positions), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Sequence
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .. import lexicon as L
 from ..functions import text as T
+from ..plans import ordering
+from ..session import ship, stored
+from . import matching
 
 
 def draw(*parts: Column | str, seed: int = 42) -> Column:
@@ -23,18 +26,14 @@ def key(*parts: Column | str, seed: int = 42) -> Column:
 
 
 def stratified(rows: DataFrame, label: str, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """min(rows of the class, n / 2) rows of each of two classes, by hash.
-
-    Up to the planner's limit for such windows (1,000 rows a class by default) each task sends its first rows only.
-    """
-    order = W.partitionBy(label).orderBy(key(id_col, seed=seed), id_col)
-    return rows.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n // 2).drop("__r")
+    """min(rows of the class, n / 2) rows of each of two classes, by hash."""
+    return ordering.smallest(rows, label, key(id_col, seed=seed), n // 2, [id_col])
 
 
 def first_of_text(rows: DataFrame, text: str, order: Sequence[str]) -> DataFrame:
-    """The first row of each text; the order says which is first."""
-    best = W.partitionBy(text).orderBy(*order)
-    return rows.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r")
+    """The first row of each text; the order says which is first. Texts meet as digests, and each task sends one row of a text."""
+    first = F.min_by(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in rows.columns]), F.struct(*order))
+    return rows.groupBy(F.md5(F.col(text).cast("binary")).alias("__digest")).agg(first.alias("__row")).select("__row.*")
 
 
 def group_split(rows: DataFrame, group: str, share: float = 0.3, seed: int = 42, hold_out: Column | None = None) -> DataFrame:
@@ -47,13 +46,39 @@ def group_split(rows: DataFrame, group: str, share: float = 0.3, seed: int = 42,
     return rows.withColumn("split", F.when(test, "test").otherwise("train")).drop("__g", "__h")
 
 
+#: Groups of a TOP-th of all rows or more are dealt one by one; there are no more than TOP of them.
+TOP = 10_000
+
+
 def folds(rows: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """rows with fold (0 to k - 1): groups by size, largest first, dealt back and forth, so folds come out even."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("__n"))
-    place = F.row_number().over(W.orderBy(F.desc("__n"), group)) - 1
-    turn, at = F.floor(place / k), F.pmod(place, F.lit(k))
-    dealt = sizes.select(F.col(group), F.when(turn % 2 == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"))
-    return rows.join(dealt, group)
+    """rows with fold (0 to k - 1), folds as even as whole groups allow. A null group is a group.
+
+    Large groups are dealt largest first, each to the fold that has least; the others fill up what room folds have left,
+    in an order by hash: which fold a group falls into follows from the rows of all groups before it.
+    """
+    sizes = stored(rows.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n")))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    loads, dealt = [0] * k, []
+    for r in sizes.where(F.col("n") * TOP >= total).orderBy(F.desc("n"), F.asc_nulls_first("g")).collect():
+        at = loads.index(min(loads))
+        loads[at] += r["n"]
+        dealt.append((r["g"], at))
+    kind = rows.schema[group].dataType.simpleString()
+    large = F.broadcast(rows.sparkSession.createDataFrame(dealt, f"`__g` {kind}, `__f` int"))
+    split = rows.join(large, F.col(group).eqNullSafe(F.col("__g")), "left")
+    out = split.where("__f is not null").select(*rows.columns, F.col("__f").alias("fold"))
+    left = total - sum(loads)
+    if not left:
+        return out
+    level = next((sum(low) + left) / len(low) for low in (sorted(loads)[:m] for m in range(k, 0, -1)) if (sum(low) + left) / len(low) >= low[-1])
+    ends = list(accumulate(max(0.0, level - x) for x in loads))
+    others = ordering.numbered(sizes.where(F.col("n") * TOP < total).withColumn("h", key("g")), ["h", "g"], value="n")
+    fold = F.lit(0)
+    for e in ends[:-1]:
+        fold = fold + (F.col("before") + F.col("n") / 2 >= e).cast("int")
+    small = others.select(F.col("g").alias("__h"), fold.alias("__s"))
+    more = split.where("__f is null").select(*rows.columns).join(small, F.col(group).eqNullSafe(F.col("__h"))).select(*rows.columns, F.col("__s").alias("fold"))
+    return out.unionByName(more)
 
 
 def hashed_folds(rows: DataFrame, group: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -159,15 +184,38 @@ def by_length(rows: DataFrame, text: str, partitions: int) -> DataFrame:
     return rows.repartitionByRange(partitions, F.length(text)).sortWithinPartitions(F.length(text))
 
 
+def length_class(size: Column) -> tuple[Column, Column]:
+    """(number, largest size) of the class of sizes that differ by an eighth at most; numbers rise with sizes."""
+    bits = F.length(F.bin(size.cast("long"))) - 1
+    shift = F.greatest(bits - 3, F.lit(0))
+    step = F.call_function("shiftright", size.cast("long"), shift)  # below 16
+    most = F.call_function("shiftleft", (step + 1).cast("long"), shift) - 1
+    return (shift * 16 + step).cast("int"), most
+
+
+def padded_batches(rows: DataFrame, size: Column, budget: int, order: str) -> DataFrame:
+    """rows with size, class, batch: batches of rows of similar size that a model pads to the longest, rows times longest within budget.
+
+    Batches never mix classes of sizes; within a class rows go by size, then by `order`, as many to a batch as the class's
+    largest size allows (one if even that is too much). Batches are numbered within their class.
+    """
+    number, most = length_class(F.col("size"))
+    sized = rows.withColumn("size", size).withColumn("class", number)
+    placed = ordering.numbered(sized, ["size", order], ["class"])
+    held = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(most, F.lit(1))))
+    return placed.withColumn("batch", F.floor(F.col("place") / held).cast("long")).drop("place")
+
+
 def rewrite_change(original: str, rewritten: str):
-    """Struct (change, kept, length_ratio) of a rewrite against its original, over lower-case words; a Pandas UDF with difflib."""
+    """Struct (change, kept, length_ratio) of a rewrite against its original, over lower-case words; a Pandas UDF, by matching.blocks."""
     @F.pandas_udf("change double, kept double, length_ratio double")
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         before, after = (c.fillna("").str.lower().str.findall(r"\w+") for c in (a, b))
         sizes = pd.DataFrame({"before": before.str.len(), "after": after.str.len()})
-        matched = [sum(block.size for block in difflib.SequenceMatcher(None, *pair, autojunk=False).get_matching_blocks()) for pair in zip(before, after, strict=True)]
+        matched = [matching.matched(*pair) for pair in zip(before, after, strict=True)]
         both, least = sizes.sum(axis=1), sizes["before"].clip(lower=1)
         change = (1 - 2 * pd.Series(matched, index=sizes.index) / both.where(both > 0)).fillna(0.0)  # two empty texts are the same
         return pd.DataFrame({"change": change.astype(float), "kept": matched / least, "length_ratio": sizes["after"] / least})
 
+    ship(SparkSession.active())
     return run(F.col(original), F.col(rewritten))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
+from ..plans import ordering
 
 
 def by_score(rows: DataFrame, score: str, label: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -108,9 +109,9 @@ def one_against_rest(rows: DataFrame, score: str, label: str, group: str) -> Dat
 
 def logit_shift(rows: DataFrame, p: str, label: str, fpr: float = 0.01, at: float = 0.65) -> DataFrame:
     """(quantile, shift): what to add to the intercept so that only fpr of the negatives reach `at`; quantile by linear interpolation."""
-    q = F.percentile(p, F.lit(1 - fpr))
+    q = ordering.quantile(rows.where(F.col(label) == 0), p, 1 - fpr)
     ln = lambda x: F.ln(x / (1 - x))
-    return rows.where((F.col(label) == 0) & F.col(p).isNotNull()).agg(q.alias("quantile")).withColumn("shift", ln(F.lit(at)) - ln(F.col("quantile")))
+    return rows.sparkSession.createDataFrame([(q,)], "quantile double").withColumn("shift", ln(F.lit(at)) - ln(F.col("quantile")))
 
 
 def class_guard(rows: DataFrame, group: str, label: str, least: int = 2) -> DataFrame:

@@ -197,7 +197,10 @@ SELECT subset, method, count(*)::BIGINT AS n, round(avg((s >= 0.65)::INTEGER) FI
     o["first_of_text"] = f"SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY {D} ORDER BY source, doc_id) = 1"
     draw = lambda x: f"(('0x' || substr(md5('42:' || {x}), 1, 8))::UBIGINT / 4294967296.0::DOUBLE)"
     o["group_split"] = f"SELECT source, CASE WHEN {draw('source')} < 0.3 OR source IN (SELECT source FROM documents WHERE contains(source, '7') AND lang = 'fr') THEN 'test' ELSE 'train' END AS split, count(*)::BIGINT AS n FROM documents GROUP BY ALL"
-    o["size_folds"] = "WITH s AS (SELECT conv_id, row_number() OVER (ORDER BY count(*) DESC, conv_id) - 1 AS r FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id) SELECT c.conv_id, c.turn, (CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END)::INTEGER AS fold FROM conversations c JOIN s USING (conv_id)"
+    least = "list_position(g.loads, list_min(g.loads))"
+    o["size_folds"] = f"""WITH RECURSIVE s AS (SELECT conv_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, conv_id) AS r FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+g AS (SELECT 0::BIGINT AS r, NULL::BIGINT AS conv_id, 0::BIGINT AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS loads UNION ALL SELECT s.r, s.conv_id, ({least} - 1)::BIGINT, list_transform(range(1, 6), lambda i: g.loads[i] + CASE WHEN i = {least} THEN s.n ELSE 0 END)::BIGINT[] FROM g JOIN s ON s.r = g.r + 1)
+SELECT c.conv_id, c.turn, fold::INTEGER AS fold FROM conversations c JOIN g USING (conv_id)"""
     u = draw("doc_id || ':task'")
     task = f"CASE WHEN {u} < 0.6 THEN 'redactar' WHEN {u} < 0.8 THEN 'parafrasear' ELSE 'humanizar' END"
     o["task_choice"] = f"SELECT doc_id, {task} AS task FROM documents"
@@ -295,11 +298,14 @@ FROM docp JOIN pd USING (doc_id) JOIN sd USING (doc_id)"""
 SELECT CASE WHEN doc_id % 2 = 0 THEN 'doi:' ELSE 'id:' END || doc_id AS url, CASE WHEN doc_id % 3 > 0 THEN source ELSE '(sin título)' END AS title, 'OpenAlex' AS kind,
 md5({strip(rf"regexp_replace(replace(replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '[{WS}]+', ' ', 'g')")}) AS digest FROM a"""
     o["source_duplicates"] = f"SELECT 'u' || (doc_id % 50) AS url, arg_max(source, doc_id) AS title, arg_max(lang, doc_id) AS kind, md5(arg_max({D}, doc_id)) AS digest, min(doc_id) AS ord FROM documents GROUP BY 1"
-    gram = lambda w: f"list_distinct(list_transform(range(1, len({w}) - 3), lambda i: array_to_string({w}[i:i + 4], ' ')))"
-    o["gram_sets"] = f"""WITH a AS (SELECT doc_id, {tokens(D)} AS w, b.v FROM documents JOIN (SELECT item_id, {tokens('text')} AS v FROM benchmark) b ON doc_id % 50 = b.item_id),
-e AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 3, 1))) AS i, w FROM a), r AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g, min(i) AS i FROM e GROUP BY ALL), t AS (SELECT doc_id, {gram('v')} AS ts FROM a),
-c AS (SELECT a.doc_id, count(r.g) AS n, count(r.g) FILTER (WHERE list_contains(ts, g)) AS k, coalesce(string_agg(g, '|' ORDER BY i) FILTER (WHERE list_contains(ts, g)), '') AS s FROM a JOIN t USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY a.doc_id)
-SELECT doc_id, k::INTEGER AS n_shared, md5(s) AS shared, (n - k)::INTEGER AS n_only, round(k / nullif(n, 0), 6) AS share FROM c"""
+    places = lambda t, k: f"SELECT {k}, array_to_string(w[i:i + 4], ' ') AS g, min(i) AS i FROM (SELECT {k}, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM (SELECT {k}, {tokens(t[1])} AS w FROM {t[0]})) GROUP BY ALL"
+    o["gram_sets"] = f"""WITH m AS ({places(('documents', D), 'doc_id')}), t AS ({places(('benchmark', 'text'), 'item_id')}), n AS (SELECT doc_id, count(*) AS n FROM m GROUP BY doc_id)
+SELECT doc_id, item_id, count(*)::INTEGER AS n_shared, md5(string_agg(g, '|' ORDER BY m.i)) AS shared, (any_value(n) - count(*))::INTEGER AS n_only, round(count(*) / any_value(n), 6) AS share FROM m JOIN t USING (g) JOIN n USING (doc_id) GROUP BY doc_id, item_id"""
+    o["padded_batches"] = f"""WITH a AS (SELECT doc_id, length({D})::INTEGER AS size FROM documents), b AS (SELECT *, greatest(length(bin(size)) - 4, 0) AS s FROM a), c AS (SELECT *, (s * 16 + (size >> s))::INTEGER AS class, (((size >> s) + 1)::BIGINT << s) - 1 AS most FROM b),
+d AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY size, doc_id) - 1 AS place FROM c), e AS (SELECT *, (place // greatest(1, 50000 // greatest(most, 1)))::BIGINT AS batch FROM d)
+SELECT class, batch, count(*)::BIGINT AS n, min(size) AS shortest, max(size) AS longest, (count(*) * max(size))::BIGINT AS cost, sum(doc_id)::BIGINT AS ids FROM e GROUP BY ALL"""
+    o["rewrite_change"] = rf"""WITH a AS (SELECT doc_id, len(regexp_extract_all(lower({D}), '[\p{{L}}\p{{N}}_]+')) AS a, len(regexp_extract_all(lower(array_to_string({blanks(D)}[1:40], ' ')), '[\p{{L}}\p{{N}}_]+')) AS b FROM documents)
+SELECT doc_id, CASE WHEN a + b > 0 THEN 1 - (2 * b) / (a + b) ELSE 0 END::DOUBLE AS change, b / greatest(a, 1) AS kept, b / greatest(a, 1) AS length_ratio FROM a"""
     o["contains_rules"] = "SELECT doc_id, contains(lower(coalesce(text, '')), 'license') OR contains(lower(coalesce(text, '')), 'copyright') AS licensed, doc_id % 2 = 0 AND (contains(lower(source), 'src1') OR contains(lower(source), '9')) AS picked FROM documents"
     o["chunk_scores"] = f"""WITH a AS (SELECT doc_id, len({words(D)}) AS n FROM documents), b AS (SELECT doc_id, n, unnest(range(0, greatest(n, 1), 382)) AS s FROM a), c AS (SELECT doc_id, CASE WHEN s > 0 AND n - s < 95 THEN greatest(n - 382, 0) ELSE s END AS s, least(s + 382, n) AS e FROM b)
 SELECT doc_id, round(sum((s % 97) / 97 * (e - s)) / nullif(sum(e - s), 0), 6) AS classifier_p FROM c GROUP BY doc_id"""

@@ -15,6 +15,7 @@ from .operators import backoff as B, classifier as K, corpus as C, evaluate as E
 from .plans.partitioning import spread
 from .plans.report import rejected, report
 from . import round_trips as R
+from .session import stored
 from .sources import files
 
 #: Frequent words of the test texts, so that lexicon operators have something to find.
@@ -134,12 +135,12 @@ def sources(spark, d):
 
 
 def overlap_matches(spark, d):
-    s = sentences(spark, d).select("doc_id", "sent_id", "paragraph", "text")
+    s = stored(sentences(spark, d).select("doc_id", "sent_id", "paragraph", "text"))
     return V.matches(s, sources(spark, d)).select("doc_id", "sent_id", "paragraph", "url", "overlap", "words")
 
 
 def overlap_totals(spark, d):
-    s = sentences(spark, d).select("doc_id", "sent_id", "paragraph", "text")
+    s = stored(sentences(spark, d).select("doc_id", "sent_id", "paragraph", "text"))
     t = V.totals(s, V.matches(s, sources(spark, d)))
     return t.select("doc_id", "fraction", F.size("sources").alias("n_sources"))
 
@@ -236,9 +237,7 @@ def joins(spark, d):
 
 
 def inverted_index(spark, d):
-    w = T.blank_words(F.col("text"))
-    rows = docs(spark, d).select("doc_id", F.posexplode(w).alias("p", "w")).groupBy("doc_id", "w").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    maps = rows.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("w", "ps")))).alias("index"))
+    maps = T.computed(docs(spark, d), "doc_id", index=T.index_words(F.col("text"))).where(F.size("index") > 0)
     return maps.select("doc_id", F.size("index").alias("n_words"), md5(T.unindex(F.col("index"))).alias("digest"))
 
 
@@ -434,10 +433,12 @@ def source_duplicates(spark, d):
 
 
 def gram_sets(spark, d):
-    """Each document's 5-grams against those of one benchmark item."""
-    items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", V.grams(F.col("text")).alias("theirs"))
-    own = docs(spark, d).select("doc_id", (F.col("doc_id") % 50).alias("item_id"), V.grams(F.col("text")).alias("mine"))
-    return own.join(items, "item_id").select("doc_id", V.compared(F.col("mine"), F.col("theirs")).alias("c")).select("doc_id", F.size("c.shared").alias("n_shared"), md5(F.array_join("c.shared", "|")).alias("shared"), F.size("c.only_mine").alias("n_only"), F.round("c.share", 6).alias("share"))
+    """Every document's 5-grams against those of every benchmark item that shares one."""
+    items = stored(spread(spark.read.parquet(f"{d}/benchmark.parquet")).select("item_id", V.grams(F.col("text")).alias("theirs")))
+    own = stored(docs(spark, d).select("doc_id", V.grams(F.col("text")).alias("mine")))
+    pairs = T.exploded(own, ["doc_id"], F.col("mine"), "g").join(T.exploded(items, ["item_id"], F.col("theirs"), "g"), "g").select("doc_id", "item_id").distinct()
+    met = T.computed(pairs.join(own, "doc_id").join(items, "item_id"), "doc_id", "item_id", c=V.compared(F.col("mine"), F.col("theirs")))
+    return met.select("doc_id", "item_id", F.size("c.shared").alias("n_shared"), md5(F.array_join("c.shared", "|")).alias("shared"), F.size("c.only_mine").alias("n_only"), F.round("c.share", 6).alias("share"))
 
 
 def contains_rules(spark, d):
@@ -455,6 +456,13 @@ def length_order(spark, d):
     return C.by_length(docs(spark, d).select("doc_id", "text"), "text", 8).select("doc_id", F.length("text").alias("chars"))
 
 
+def padded_batches(spark, d):
+    """Documents dealt into batches for a model that pads: each batch's rows and what it costs."""
+    b = C.padded_batches(docs(spark, d).select("doc_id", "text"), F.length("text"), 50_000, "doc_id")
+    cost = F.count("*") * F.max("size")
+    return b.groupBy("class", "batch").agg(F.count("*").alias("n"), F.min("size").alias("shortest"), F.max("size").alias("longest"), cost.alias("cost"), F.sum("doc_id").alias("ids"))
+
+
 def fixed_weights(spark, d):
     """The fixed weights of three signals that differ; the second is known for English only."""
     rows = labelled(spark, d).withColumns({"q": F.when(F.col("lang") == "en", F.col("q")), "r": F.col("doc_id") % 89 / 89})
@@ -469,7 +477,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         one_against_rest, quantile_shift, class_guard, standardised, stratified_sample, first_of_text, group_split, size_folds, task_choice, prompts, oversample,
         take_until, pending, aligned_union, joins, inverted_index, cleaning, token_statistics, token_sentences, sentence_scores, provided_sentence_scores, signal_report, model_windows,
         html_paragraphs, html_paragraphs_native, rewrite_change, fold_scores, report_files, corpus_files, split_files, score_files, reject_files, artefact_files, table_files, text_files, works,
-        signalled_report, source_duplicates, gram_sets, contains_rules, chunk_scores, length_order, fixed_weights, window_tokens, chunk_classifier, backoff_statistics, gram_features, trained_classifier,
+        signalled_report, source_duplicates, gram_sets, contains_rules, chunk_scores, length_order, fixed_weights, window_tokens, chunk_classifier, backoff_statistics, gram_features, trained_classifier, padded_batches,
     )
 }
 ORACLES: dict[str, str] = oracles.build(PROBE, FIXED_LM)

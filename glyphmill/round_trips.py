@@ -37,7 +37,7 @@ def corpus_files(docs: DataFrame) -> DataFrame:
     jobs = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_id"), "text", (F.col("doc_id") % 2).cast("int").alias("label"), F.col("lang").alias("domain"), F.lit("m").alias("model"), F.lit("t").alias("task"), T.count_blank_words(F.col("text")).alias("words"))
     for part in (jobs.where("label = 1"), jobs):
         sinks.append_missing(part, path, ["id"], lambda rows: rows, files.CORPUS)
-    return files.read_jsonl(docs.sparkSession, path).select("id", "source_id", "label", "domain", "words", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return files.read_jsonl(docs.sparkSession, sinks.committed(docs.sparkSession, path)).select("id", "source_id", "label", "domain", "words", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 def split_files(docs: DataFrame) -> DataFrame:
@@ -91,7 +91,6 @@ def text_files(docs: DataFrame) -> DataFrame:
 def works(docs: DataFrame) -> DataFrame:
     """Documents as works with an inverted index of their words, as a search service gives them, turned into sources."""
     abstract = F.concat(F.lit("Resumen: Un &lt;b&gt; <i>texto</i> Abstract "), "text", F.lit(" Keywords a, b"))
-    places = F.sort_array(F.transform(T.blank_words(abstract), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    index = F.map_from_entries(F.transform(T.runs(places, lambda x: x["w"]), lambda own: F.struct(F.get(own, F.lit(0))["w"].alias("key"), F.transform(own, lambda x: x["i"]).alias("value"))))
+    index = T.index_words(abstract)
     rows = docs.select(F.concat(F.lit("id:"), "doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("doi:"), "doc_id")).alias("doi"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("title"), F.when(F.length("text") > 0, index).alias("abstract_inverted_index"))
     return files.indexed_works(rows).select("url", "title", "kind", F.md5(F.col("text").cast("binary")).alias("digest"))
