@@ -35,7 +35,7 @@ STATES, OWN, LOOKUP, ENDINGS, ENDING = 8, 1 << 17, 1 << 20, 4096, 3
 #: One training text in WARM starts the model, in WARM_PASSES passes; then PASSES over all. Share of the unigram distribution in each state's.
 WARM, WARM_PASSES, PASSES, SHARE = 32, 10, 2, 0.01
 #: Tokens of a chunk, tokens that a task works on at once in passes and in encoding, bytes of a text that are split at once, words counted before they are sent on.
-CHUNK, BATCH, ENCODED, PIECE, HELD_WORDS = 2048, 700_000, 200_000, 1 << 20, 700_000
+CHUNK, BATCH, ENCODED, PIECE, HELD_WORDS = 2048, 400_000, 100_000, 1 << 20, 250_000
 #: The end of a text as a token; no word holds a blank.
 END = b" "
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
