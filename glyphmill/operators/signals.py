@@ -7,12 +7,12 @@ next to those of neural models.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import lexicon as L
 from ..config import EngineConfig
 from ..functions import scores as S, text as T
+from ..session import stored
 
 TOKENS = "doc_id long, pos int, start int, end int, ppl double, xppl double"
 
@@ -25,28 +25,30 @@ def ngram_statistics(docs: DataFrame, corpus: DataFrame | None = None, id_col: s
 
     Each word is paired with the one before it inside the row. Words are scanned twice: once to count pairs, from which
     all else follows, and once to look pairs up; in between only tables of pairs move. Those are read several times and
-    so persisted on disk, as long as the session's cache is not cleared.
+    so written to the shared folder, where a lost executor takes nothing away.
     """
     kept = docs.select(F.col(id_col), F.col(text_col).alias("t"))
     train = docs if corpus is None else corpus
     first = T.exploded(train.select(paired(T.lower_words(F.col(text_col))).alias("x")), [], F.col("x"), "x").select("x.v", "x.w")
-    pairs = first.groupBy("v", "w").agg(F.count("*").alias("n")).persist(StorageLevel.DISK_ONLY)  # v is null before a text's first word
-    uni = pairs.groupBy("w").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
-    size = uni.agg(F.sum("n").alias("all"), F.count("*").alias("types"))
-    uni = uni.crossJoin(F.broadcast(size)).select("w", ((F.col("n") + 1) / (F.col("all") + F.col("types"))).alias("p")).persist(StorageLevel.DISK_ONLY)
+    pairs = stored(first.groupBy("v", "w").agg(F.count("*").alias("n")))  # v is null before a text's first word
+    uni = stored(pairs.groupBy("w").agg(F.sum("n").alias("n")))
+    total = uni.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    both = F.lit(float(total[0] + total[1]))
+    uni = uni.select("w", ((F.col("n") + 1) / both).alias("p"))
     bi = pairs.where("v is not null")
     after = bi.groupBy("v").agg(F.sum("n").alias("nv"))
-    perf = bi.join(after, "v").join(uni, "w").select("v", "w", ((1 - smooth) * F.col("n") / F.col("nv") + smooth * F.col("p")).alias("q"), "p").persist(StorageLevel.DISK_ONLY)
+    perf = bi.join(after, "v").join(uni, "w").select("v", "w", ((1 - smooth) * F.col("n") / F.col("nv") + smooth * F.col("p")).alias("q"), "p")
+    perf = stored(perf)
     # sum over all w of -p(w) ln(s p(w)), corrected where the bigram is known
-    base = uni.agg(F.sum(-F.col("p") * F.ln(smooth * F.col("p"))).alias("h"))
+    base = uni.agg(F.sum(-F.col("p") * F.ln(smooth * F.col("p")))).first()[0] or 0.0
     cross = perf.groupBy("v").agg(F.sum(-F.col("p") * (F.ln("q") - F.ln(smooth * F.col("p")))).alias("dh"))
     if corpus is None:
         wanted = perf.join(cross, "v").select("v", "w", "q", "p", "dh")
     else:
         own = T.exploded(kept.select(paired(T.lower_words(F.col("t"))).alias("x")), [], F.col("x"), "x").select("x.v", "x.w").where("v is not null").distinct()
         wanted = own.join(perf.select("v", "w", "q"), ["v", "w"], "left").join(uni, "w", "left").join(cross, "v", "left")
-    p = F.coalesce("p", 1 / (F.col("all") + F.col("types")))
-    looked = wanted.crossJoin(F.broadcast(base)).crossJoin(F.broadcast(size)).select("v", "w", (-F.ln(F.coalesce("q", smooth * p))).alias("ppl"), (F.col("h") + F.coalesce("dh", F.lit(0.0))).alias("xppl"))
+    p = F.coalesce("p", 1 / both)
+    looked = wanted.select("v", "w", (-F.ln(F.coalesce("q", smooth * p))).alias("ppl"), (F.lit(base) + F.coalesce("dh", F.lit(0.0))).alias("xppl"))
     words = T.exploded(kept, [id_col], T.let(with_offsets(F.col("t")), lambda x: placed_pairs(x)), "x").select(id_col, "x.*").where("v is not null")
     return words.join(looked, ["v", "w"]).select(id_col, "pos", "start", "end", "ppl", "xppl")
 
