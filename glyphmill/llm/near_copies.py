@@ -4,8 +4,8 @@ Candidates come from SimHash fingerprints within 3 bits (see simhash) and from M
 0.8 shares none of BANDS bands of ROWS minima with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million, and more
 similar pairs still less often. Every candidate is decided by its words.
 
-Texts of a bucket first meet two leaders: the one that shares most buckets with others, which is near the middle of a
-group of copies, and one that a hash draws. Buckets whose texts are then still in different groups are of two kinds. In
+Fingerprints first meet the leaders of the cells that they reach, and texts of a bucket two leaders: the one that shares most buckets with others, which is near the middle of a
+group of copies, and one that a hash draws. Fingerprints whose texts are then still in different groups meet pair by pair. Buckets whose texts are, are of two kinds. In
 small ones all pairs across groups meet. Texts of large ones (heavily edited copies, or texts with one passage in
 common) are joined by prefix filter: shingles in order of rarity among these texts, a prefix that every similar pair
 must share a shingle of, and a bound on their overlap by the places of that shingle. No similar pair of a bucket escapes.
@@ -138,9 +138,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ranked = shared.join(shared.groupBy("node").agg(F.sum("n").alias("degree")), "node")
     leaders = ranked.groupBy("key").agg(F.first("n").alias("n"), F.max_by("node", F.struct("degree", "node")).alias("central"), F.min_by("node", F.xxhash64("node", "key")).alias("drawn"))
     led = hot_join(shared.select("key", "node"), cut(leaders), ["key"], "n", nodes.count() * BANDS)
-    prints = cut(nodes.groupBy("f").agg(F.min("node").alias("node")))
-    close = simhash.links(prints.select("f")).join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select("x", "y")
-    alike = nodes.join(prints.toDF("f", "x"), "f").select("x", F.col("node").alias("y"))
+    prints = cut(nodes.groupBy("f").agg(F.min("node").alias("node"), F.count("*").alias("n")))
+    at_print = prints.select("f", "node")
+    close = simhash.stars(prints.select("f", "n")).join(at_print.toDF("a", "x"), "a").join(at_print.toDF("b", "y"), "b").select("x", "y")
+    alike = nodes.join(at_print.toDF("f", "x"), "f").select("x", F.col("node").alias("y"))
     ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     stars = led.select(*ordered("node", "central")).union(led.select(*ordered("node", "drawn"))).union(close.select(*ordered("x", "y"))).union(alike.select(*ordered("x", "y")))
     tried = cut(stars.where("a <> b").distinct())
@@ -160,7 +161,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     few = entries.where(F.col("n") <= SMALL).select("key", "node", "root")
     few = few.toDF("key", "a", "p").join(few.toDF("key", "b", "q"), "key").where("p < q").select("a", "b", "p", "q").distinct()
     wide = prefix_pairs(entries.where(F.col("n") > SMALL).select("node", "root").distinct().join(texts, "node"))
-    rest = few.union(wide).select(*ordered("a", "b"), "p", "q").distinct().join(tried, ["a", "b"], "left_anti")
+    # fingerprints that are near, one pair of texts each, where their texts are in different groups
+    rooted = cut(at_print.join(at.select("node", "root"), "node"))
+    ends = lambda f, node, root: rooted.select(F.col("f").alias(f), F.col("node").alias(node), F.col("root").alias(root))
+    near = simhash.links(rooted.select("f", "root"), group="root").toDF("fa", "fb").join(ends("fa", "a", "p"), "fa").join(ends("fb", "b", "q"), "fb").select("a", "b", "p", "q")
+    rest = few.union(wide).union(near).select(*ordered("a", "b"), "p", "q").distinct().join(tried, ["a", "b"], "left_anti")
     merged = components(_verified(cut(rest), texts).toDF("u", "v"))
     final = at.join(merged.toDF("root", "last"), "root", "left").select("node", "rep", F.coalesce("last", "root").alias("root"))
     least = final.groupBy("root").agg(F.min("rep").alias("component_id"))
