@@ -42,15 +42,29 @@ def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text"))
 
 
-def free(columns: list[str], *names: str) -> list[str]:
-    """names, lengthened until no column has them: columns that an operator makes for itself never meet the caller's."""
-    taken = {c.lower() for c in columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        out.append(name)
-    return out
+def quoted(name: str) -> str:
+    """A column name as Spark parses it, whatever it holds."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def column(name: str) -> Column:
+    return F.col(quoted(name))
+
+
+def beside(columns: list[str], *made: str) -> list[str]:
+    """The columns that none of made replaces; like Spark, names that differ in case only are the same."""
+    gone = {m.lower() for m in made}
+    return [c for c in columns if c.lower() not in gone]
+
+
+def packed(rows: DataFrame, old: list[str], *more: Column):
+    """(rows with the columns of old under plain names and more beside them, how to get a result's own names back).
+
+    Functions over Arrow batches take no names that hold dots or backticks, and so never see the caller's.
+    """
+    names = {c: f"_{i}" for i, c in enumerate(old)}
+    plain = rows.select(*[column(c).alias(n) for c, n in names.items()], *more)
+    return plain, lambda out, *made: out.select(*[F.col(n).alias(c) for c, n in names.items()], *made)
 
 
 #: Rows of one key from which a join sends that key's other side to every task, and how many such keys there may be.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import ship
-from .common import free
+from .common import beside, packed
 from .wordblocks import Words, byte_classes, gram_hashes, pieces
 
 SHINGLE, WINDOW = 5, 10
@@ -240,10 +240,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         return item_windows(part.column("item").to_pylist(), part.column("text").combine_chunks() if part.num_rows else pa.array([], pa.string()))
 
     made = ("n_words", "n_hit", "spans", "items", "contaminated")
-    old = [c for c in docs.columns if c not in made]
-    names = free(docs.columns, "__text", "__words", "__items", "__spans")
+    old = beside(docs.columns, *made)
+    names = ("__text", "__words", "__items", "__spans")
     fresh = (F.lit(0).cast("long"), F.lit(None).cast(f"array<{kind}>"), F.lit(None).cast("array<struct<start:bigint,end:bigint>>"))
-    rows = docs.select(*[F.col(f"`{c}`") for c in old], F.col(text_col).alias(names[0]), *[x.alias(n) for x, n in zip(fresh, names[1:], strict=True)])
+    rows, back = packed(docs, old, F.col(text_col).alias(names[0]), *[x.alias(n) for x, n in zip(fresh, names[1:], strict=True)])
     group: list[int] = []
     keys: dict[int, np.ndarray] = {}
     for b in range(blocks):
@@ -259,8 +259,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 rows = rows.mapInArrow(_hit_map(shared, names), rows.schema)
             group, keys = [], {}
     hit = F.aggregate(names[3], F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return rows.select(
-        *[F.col(f"`{c}`") for c in old],
+    return back(
+        rows,
         F.col(names[1]).alias("n_words"),
         F.coalesce(hit, F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce(names[3], F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"),

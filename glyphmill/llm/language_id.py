@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import ship
-from .common import free
+from .common import beside, packed
 from .wordblocks import pieces, text_buffer
 
 #: Bytes of text per language that the automata hold at most, and rows per language that they come from at most.
@@ -256,11 +256,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     ship(docs.sparkSession)
     parser = parser or learn(docs, id_col, text_col, lang_col, sample_bytes, sample_rows)
     made = ("held_out", "lang_pred", "score", "phrase_rate")
-    old = [c for c in docs.columns if c not in made]
-    (text,) = free(docs.columns, "__text")
-    rows = docs.select(*[F.col(f"`{c}`") for c in old], held_out(id_col).alias("held_out"), F.col(text_col).alias(text))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != text]
-    return rows.mapInArrow(_predict_map(parser, text), ", ".join([*kinds, "lang_pred string", "score double", "phrase_rate double"]))
+    old = beside(docs.columns, *made)
+    rows, back = packed(docs, old, held_out(id_col).alias("held_out"), F.col(text_col).alias("__text"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text"]
+    return back(rows.mapInArrow(_predict_map(parser, "__text"), ", ".join([*kinds, "lang_pred string", "score double", "phrase_rate double"])), *made)
 
 
 def op2_language_id(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import ship
-from .common import free
+from .common import beside, packed
 from .decontaminate import Lookup
 from .license_texts import PHRASES, TEXTS
 from .wordblocks import Words, pieces
@@ -151,11 +151,11 @@ def license_scan(docs: DataFrame, text_col: str = "text", base: tuple[Template,
     counts = np.zeros(len(vocabulary), np.int64)
     for r in docs.select(F.col(text_col).alias("text")).mapInArrow(_count_map(vocabulary), "k long, docs long").groupBy("k").agg(F.sum("docs").alias("docs")).collect():  # a row per template word
         counts[r["k"]] = r["docs"]
-    old = [c for c in (keep if keep is not None else docs.columns) if c not in (text_col, "n_words", "matches")]
-    (name,) = free(docs.columns, "__text")
-    rows = docs.select(*[F.col(f"`{c}`") for c in old], F.col(text_col).alias(name))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != name]
-    return rows.mapInArrow(_scan_map(Index(templates, vocabulary, counts), name), ", ".join([*kinds, "n_words long", "matches array<struct<label:string,start:bigint,words:bigint,base:boolean,share:double>>"]))
+    old = beside(keep if keep is not None else docs.columns, text_col, "n_words", "matches")
+    rows, back = packed(docs, old, F.col(text_col).alias("__text"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text"]
+    found = rows.mapInArrow(_scan_map(Index(templates, vocabulary, counts), "__text"), ", ".join([*kinds, "n_words long", "matches array<struct<label:string,start:bigint,words:bigint,base:boolean,share:double>>"]))
+    return back(found, "n_words", "matches")
 
 
 def op6_license_scan(docs: DataFrame) -> DataFrame:

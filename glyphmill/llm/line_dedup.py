@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, cut, hot_join
+from .common import ascii_lower, beside, column, cut, hot_join
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -47,9 +47,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         held = lines.groupBy(*own, "__id").agg(n).groupBy(*own).agg(first, F.count("*").alias("__docs"), F.sum("__n").alias("__n")).where(F.col("__docs") >= min_docs)
     repeated = cut(held.select(*own, "__first", "__n"))
     dropped = hot_join(lines, repeated, own, "__n", lines.count()).where(F.col("__id") != F.col("__first")).groupBy("__id", "__key").agg(F.collect_set("__pos").alias("__drop"))
-    old = [c for c in docs.columns if c not in ("kept", "n_lines", "n_dropped")]
+    old = beside(docs.columns, "kept", "n_lines", "n_dropped")
     # the caller's columns travel as one, so their names meet none of those made here
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__key"))
+    whole = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__key"))
     found = whole.join(dropped, ["__id", "__key"], "left")
     text = F.coalesce(F.col("__row")[text_col], F.lit(""))
     n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1

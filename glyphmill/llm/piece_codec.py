@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import ship
-from .common import free
+from .common import beside, packed
 from .wordblocks import pieces
 
 SPACE = "▁"
@@ -207,7 +207,7 @@ def _decode_map(model: bytes, name: str):
 
 
 def _mapped(rows: DataFrame, inner: str, run, made: str) -> DataFrame:
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != inner]
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != inner]
     return rows.mapInArrow(run, ", ".join([*kinds, made]))
 
 
@@ -221,18 +221,17 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[
     Nulls, repeated rows and empty tables need no special case: each row is coded by itself.
     """
     ship(docs.sparkSession)
-    old = [c for c in (keep if keep is not None else docs.columns) if c not in (text_col, "n_ids", "ids", "round_trip")]
-    (name,) = free(docs.columns, "__text")
-    rows = docs.select(*[F.col(f"`{c}`") for c in old], F.col(text_col).alias(name))
-    return _mapped(rows, name, _encode_map(Path(model_path).read_bytes(), name), "n_ids long, ids array<int>, round_trip boolean")
+    old = beside(keep if keep is not None else docs.columns, text_col, "n_ids", "ids", "round_trip")
+    rows, back = packed(docs, old, F.col(text_col).alias("__text"))
+    coded = _mapped(rows, "__text", _encode_map(Path(model_path).read_bytes(), "__text"), "n_ids long, ids array<int>, round_trip boolean")
+    return back(coded, "n_ids", "ids", "round_trip")
 
 
 def decode(coded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     """Every row of coded with `decoded`, the text of its ids; null for null ids. Null elements and ids that the model lacks are skipped."""
     ship(coded.sparkSession)
-    (name,) = free(coded.columns, "__ids")
-    rows = coded.select(*[F.col(f"`{c}`") for c in coded.columns if c != "decoded"], F.col(ids_col).alias(name))
-    return _mapped(rows, name, _decode_map(Path(model_path).read_bytes(), name), "decoded string")
+    rows, back = packed(coded, beside(coded.columns, "decoded"), F.col(ids_col).alias("__ids"))
+    return back(_mapped(rows, "__ids", _decode_map(Path(model_path).read_bytes(), "__ids"), "decoded string"), "decoded")
 
 
 def op7_piece_codec(docs: DataFrame, model_path: str) -> DataFrame:

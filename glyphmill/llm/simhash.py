@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import ship
-from .common import cut, with_row_key
+from .common import column, cut, with_row_key
 from .graph import components
 from .wordblocks import pieces
 
@@ -170,7 +170,7 @@ def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id",
     """One row of docs for each group of groups (__id, __key, component_id), as near_dedup keeps it."""
     stay = groups.where("component_id = __id").groupBy("__id").agg(F.min("__key").alias("__key"))
     # the caller's columns travel as one, so their names meet none of those made here
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__key"))
+    keyed = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__key"))
     one = keyed.where(F.col("__id").isNotNull()).join(stay, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
     return one.unionByName(keyed.where(F.col("__id").isNull())).select("__row.*")
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import let
-from .common import ascii_lower, cut
+from .common import ascii_lower, beside, column, cut
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -93,7 +93,7 @@ def url_filter(pages: DataFrame, url_col: str = "url", html_col: str = "html", r
     made = ("host", "path", "rule", "verdict")
     url = F.col(url_col)
     # the caller's columns travel as one, so their names meet none of those made here
-    judged = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in made]).alias("row"), url_host(url).alias("host"), url_path(url).alias("path"))
+    judged = pages.select(F.struct(*[column(c) for c in beside(pages.columns, *made)]).alias("row"), url_host(url).alias("host"), url_path(url).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = judged.withColumns({"rule": name, "by_rule": verdict})
     links = cut(host_edges(pages.select(url_host(url).alias("host"), F.col(html_col).alias("html"))))
@@ -102,7 +102,7 @@ def url_filter(pages: DataFrame, url_col: str = "url", html_col: str = "html", r
     rank = propagate(links, cut(seeds), rounds, damping)
     bad = rank.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold * F.col("weight"))).select("host", F.lit("block").alias("by_links"))
     rows = judged.join(bad, "host", "left")
-    old = [c for c in pages.columns if c not in made]
+    old = beside(pages.columns, *made)
     return rows.select(*[F.col("row")[c].alias(c) for c in old], "host", "path", "rule", F.coalesce("by_rule", "by_links", F.lit("allow")).alias("verdict"))
 
 

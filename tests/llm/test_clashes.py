@@ -34,3 +34,23 @@ def test_inner_names_pass(spark, docs):
     assert len(passes(docs, simhash.first_of_groups(docs, near_copies.near_groups(docs)))) == 3
     pages = docs.withColumns({"url": F.lit("http://a.com/x"), "html": F.lit("<a href='/y'>")})
     assert len(passes(docs, url_filter.url_filter(pages))) == 4
+
+
+@pytest.mark.parametrize("extra", ["KEPT", "N_lines", "Lang_Pred", "HELD_OUT", "Score", "Matches", "N_WORDS", "Items", "Spans", "IDS", "Decoded", "Host", "Rule"])
+def test_result_columns_replace_those_that_differ_in_case(spark, extra):
+    docs = spark.createDataFrame([r for r in ROWS], "doc_id long, text string, lang string").withColumn(extra, F.lit("mine")).withColumns({"url": F.lit("http://a.com/x"), "html": F.lit("")})
+    bench = spark.createDataFrame([(1, "seven eight nine ten")], "item_id long, text string")
+    coded = piece_codec.encode(docs, TOKENIZER)
+    for out in (line_dedup.line_dedup(docs), language_id.identify(docs), license_scan.license_scan(docs), decontaminate.decontaminate(docs, bench), coded, piece_codec.decode(coded, TOKENIZER), url_filter.url_filter(docs)):
+        low = [c.lower() for c in out.columns]
+        assert len(low) == len(set(low)) and extra.lower() in low
+        made = extra not in out.columns
+        assert out.select(extra).schema.fields and (made or out.select(extra).first()[0] == "mine")
+
+
+def test_names_with_backticks_pass(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, lang string").withColumns({"a`b": F.lit(1), "c.d": F.lit(2), "url": F.lit("http://a.com/x"), "html": F.lit("")})
+    bench = spark.createDataFrame([(1, "seven eight nine ten")], "item_id long, text string")
+    coded = piece_codec.encode(docs, TOKENIZER)
+    for out in (line_dedup.line_dedup(docs), language_id.identify(docs), license_scan.license_scan(docs), decontaminate.decontaminate(docs, bench), coded, piece_codec.decode(coded, TOKENIZER), url_filter.url_filter(docs), simhash.near_dedup(docs), simhash.first_of_groups(docs, near_copies.near_groups(docs))):
+        assert {"a`b", "c.d"} <= set(out.columns) and {(r["a`b"], r["c.d"]) for r in out.collect()} == {(1, 2)}
