@@ -301,6 +301,13 @@ md5({strip(rf"regexp_replace(replace(replace(regexp_replace(t, '<[^>]+>', ' ', '
     places = lambda t, k: f"SELECT {k}, array_to_string(w[i:i + 4], ' ') AS g, min(i) AS i FROM (SELECT {k}, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM (SELECT {k}, {tokens(t[1])} AS w FROM {t[0]})) GROUP BY ALL"
     o["gram_sets"] = f"""WITH m AS ({places(('documents', D), 'doc_id')}), t AS ({places(('benchmark', 'text'), 'item_id')}), n AS (SELECT doc_id, count(*) AS n FROM m GROUP BY doc_id)
 SELECT doc_id, item_id, count(*)::INTEGER AS n_shared, md5(string_agg(g, '|' ORDER BY m.i)) AS shared, (any_value(n) - count(*))::INTEGER AS n_only, round(count(*) / any_value(n), 6) AS share FROM m JOIN t USING (g) JOIN n USING (doc_id) GROUP BY doc_id, item_id"""
+    squeezed = strip(f"regexp_replace(p, '[{WS}]+', ' ', 'g')")
+    o["docx_files"] = f"""WITH a AS (SELECT doc_id, list_filter(list_transform(string_split({D}, {NL} || {NL}), lambda p: {squeezed}), lambda p: p <> '' AND NOT regexp_matches(p, {q(L.REFERENCE_LINE)})) AS ps FROM documents), b AS (SELECT doc_id, array_to_string(ps || ['Cita (Ruiz)'], {NL} || {NL}) AS t FROM a)
+SELECT doc_id, length(t)::INTEGER AS chars, md5(t) AS digest, NULL::VARCHAR AS error FROM b"""
+    o["zip_files"] = f"SELECT doc_id, md5({D}) AS digest, NULL::VARCHAR AS home FROM documents WHERE doc_id % 5 > 0 AND {D} <> ''"
+    o["provided_texts"] = f"SELECT doc_id, length({D}) || ':' || substr({D}, 1, 12) AS answer FROM documents"
+    o["slices"] = f"""WITH {WHOLE}, g AS (SELECT doc_id, paragraph, min(start_at) AS a, max(start_at + length(text)) AS b FROM sents GROUP BY ALL), h AS (SELECT doc_id, paragraph, substr(t, (a + 1)::BIGINT, (b - a)::BIGINT) AS x FROM g JOIN norm USING (doc_id))
+SELECT doc_id, paragraph::INTEGER AS paragraph, md5(x) AS digest, regexp_matches('Ruiz, A. B. (20' || (doc_id % 30) || '). ' || x, {q(L.REFERENCE_LINE)}) AS reference, regexp_matches(x, {q(L.REFERENCE_LINE)}) AS own_reference FROM h"""
     o["padded_batches"] = f"""WITH a AS (SELECT doc_id, length({D})::INTEGER AS size FROM documents), b AS (SELECT *, greatest(length(bin(size)) - 4, 0) AS s FROM a), c AS (SELECT *, (s * 16 + (size >> s))::INTEGER AS class, (((size >> s) + 1)::BIGINT << s) - 1 AS most FROM b),
 d AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY size, doc_id) - 1 AS place FROM c), e AS (SELECT *, (place // greatest(1, 50000 // greatest(most, 1)))::BIGINT AS batch FROM d)
 SELECT class, batch, count(*)::BIGINT AS n, min(size) AS shortest, max(size) AS longest, (count(*) * max(size))::BIGINT AS cost, sum(doc_id)::BIGINT AS ids FROM e GROUP BY ALL"""
@@ -316,7 +323,7 @@ SELECT doc_id, round(sum((s % 97) / 97 * (e - s)) / nullif(sum(e - s), 0), 6) AS
 SELECT doc_id, count(*)::BIGINT AS n, sum(pos * (1 + (n + 2 * n1 + 3 * n64) % 11))::BIGINT AS by_place, sum((stop - n) * (1 + (n + n64) % 7) + stop)::BIGINT AS by_start FROM x WHERE pos > 0 GROUP BY doc_id"""
     o["chunk_classifier"] = f"""WITH a AS (SELECT doc_id, list_transform({words(norm(D))}, lambda w: length(w)) AS l FROM documents), b AS (SELECT doc_id, l, len(l) AS n, unnest(range(0, greatest(len(l), 1), 382)) AS s FROM a), c AS (SELECT doc_id, l, CASE WHEN s > 0 AND n - s < 95 THEN greatest(n - 382, 0) ELSE s END AS s, least(s + 382, n) AS e FROM b),
 p AS (SELECT doc_id, e - s AS k, (coalesce(list_sum(list_transform(range(s, e), lambda i: l[i + 1] * (i - s + 1))), 0) % 97) / 97 AS p FROM c) SELECT doc_id, round(sum(p * k) / nullif(sum(k), 0), 6) AS classifier_p FROM p GROUP BY doc_id"""
-    o["gram_features"] = f"""WITH a AS (SELECT doc_id, hex(encode(' ' || coalesce({D}, '') || ' ')) AS h FROM documents), g AS (SELECT doc_id, ('0x' || substr(h, unnest(range(1, length(h) - 4, 2)), 6))::BIGINT % 16381 AS b FROM a),
+    o["gram_features"] = f"""WITH a AS (SELECT doc_id, regexp_extract_all(hex(encode(' ' || coalesce({D}, '') || ' ')), '..') AS h FROM documents), g AS (SELECT doc_id, ('0x' || h[i] || h[i + 1] || h[i + 2])::BIGINT % 16381 AS b FROM (SELECT doc_id, h, unnest(range(1, len(h) - 1)) AS i FROM a)),
 k AS (SELECT doc_id, b, count(*) AS n FROM g GROUP BY ALL) SELECT a.doc_id, count(b)::INTEGER AS n_features, coalesce(sum(n), 0)::BIGINT AS n_grams, coalesce(sum(b * n), 0)::BIGINT AS weighted FROM a LEFT JOIN k USING (doc_id) GROUP BY a.doc_id"""
     o["backoff_statistics"] = f"""WITH a AS (SELECT doc_id, {lower_words(D)} AS l FROM documents), t AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS pos FROM a),
 s AS (SELECT doc_id, pos, w, coalesce(lag(w, 1) OVER o, '') AS v, coalesce(lag(w, 2) OVER o, '') AS u FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),

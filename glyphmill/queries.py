@@ -412,6 +412,32 @@ def works(spark, d):
     return R.works(docs(spark, d))
 
 
+def docx_files(spark, d):
+    return R.docx_files(docs(spark, d))
+
+
+def zip_files(spark, d):
+    return R.zip_files(docs(spark, d))
+
+
+def sized_texts():
+    """A made-up model that answers texts with texts."""
+    return lambda texts: [f"{len(t)}:{t[:12]}" for t in texts]
+
+
+def provided_texts(spark, d):
+    """Texts answered by a model that each worker loads once, as a paraphraser or generator would."""
+    return G.text_provider(docs(spark, d), sized_texts, "answer", "string")
+
+
+def slices(spark, d):
+    """Paragraphs as slices of the text from their first sentence to their last, without bibliography entries."""
+    s = T.exploded(docs(spark, d).select("doc_id", T.normalize(F.col("text")).alias("t")).select("doc_id", "t", T.sentences(F.col("t")).alias("s")), ["doc_id", "t"], T.runs(F.col("s"), lambda x: x["paragraph"]), "own")
+    first, last = F.element_at("own", 1), F.element_at("own", -1)
+    part = T.slice_text(F.col("t"), first["start"], last["end"])
+    return s.select("doc_id", first["paragraph"].alias("paragraph"), md5(part).alias("digest"), T.is_reference(F.concat(F.lit("Ruiz, A. B. (20"), F.col("doc_id") % 30, F.lit("). "), part)).alias("reference"), T.is_reference(part).alias("own_reference"))
+
+
 def signalled_report(spark, d):
     """Reports of documents with made-up signals of both models, sentence by sentence for the first 40."""
     i = F.col("doc_id")
@@ -477,7 +503,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         one_against_rest, quantile_shift, class_guard, standardised, stratified_sample, first_of_text, group_split, size_folds, task_choice, prompts, oversample,
         take_until, pending, aligned_union, joins, inverted_index, cleaning, token_statistics, token_sentences, sentence_scores, provided_sentence_scores, signal_report, model_windows,
         html_paragraphs, html_paragraphs_native, rewrite_change, fold_scores, report_files, corpus_files, split_files, score_files, reject_files, artefact_files, table_files, text_files, works,
-        signalled_report, source_duplicates, gram_sets, contains_rules, chunk_scores, length_order, fixed_weights, window_tokens, chunk_classifier, backoff_statistics, gram_features, trained_classifier, padded_batches,
+        signalled_report, source_duplicates, gram_sets, contains_rules, chunk_scores, length_order, fixed_weights, window_tokens, chunk_classifier, backoff_statistics, gram_features, trained_classifier, padded_batches, docx_files, zip_files, provided_texts, slices,
     )
 }
 ORACLES: dict[str, str] = oracles.build(PROBE, FIXED_LM)

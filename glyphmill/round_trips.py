@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text as T
 from .operators import corpus as C, signals as G
 from .plans.report import report
-from .session import shared_dir
+from .session import shared_dir, ship
 from .sources import files, sinks
 
 CALIBRATIONS = ({"lang": "es", "model_id": "bigram", "slope": -12.0, "intercept": 11.0, "threshold_low_fpr": 0.9}, {"lang": "en", "model_id": "other", "slope": -9.0, "intercept": 8.0, "threshold_low_fpr": 0.8})
@@ -88,6 +94,62 @@ def text_files(docs: DataFrame) -> DataFrame:
     return back.select(F.regexp_extract("path", "source=([^/]+)", 1).alias("source"), F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"), "error")
 
 
+W_NS = files.W_NS[1:-1]
+
+
+def _docx(paragraphs: list[str]) -> bytes:
+    """A document of paragraphs, a table that no one reads, a bibliography entry, and a citation in a content control."""
+    run = lambda t: f'<w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r>'
+    own = "".join(f"<w:p>{run(t[: len(t) // 2])}{run(t[len(t) // 2 :])}</w:p>" for t in paragraphs)
+    rest = f"<w:tbl><w:tr><w:tc><w:p>{run('celda')}</w:p></w:tc></w:tr></w:tbl><w:p>{run('Ruiz, A. B. (2020). Título.')}</w:p><w:p>{run('Cita')}<w:sdt><w:sdtContent>{run(' (Ruiz)')}</w:sdtContent></w:sdt></w:p>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{W_NS}"><w:body>{own}{rest}</w:body></w:document>')
+    return out.getvalue()
+
+
+def _written(rows: DataFrame, path: str, pack) -> int:
+    """How many files pack(frame), pairs of name and bytes, made of the rows in each batch; they go to the folder from the tasks."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = pafs.FileSystem.from_uri(path)
+        fs.create_dir(root, recursive=True)
+        for frame in frames:
+            made = pack(frame)
+            for name, raw in made:
+                with fs.open_output_stream(f"{root}/{name}") as f:
+                    f.write(raw)
+            yield pd.DataFrame({"n": [len(made)]})
+
+    ship(rows.sparkSession)
+    return rows.mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def docx_files(docs: DataFrame) -> DataFrame:
+    """A word processor's file for each document, read back: paragraphs without tables and bibliography entries."""
+    path = folder(docs.sparkSession)
+    _written(docs.select("doc_id", "text"), path, lambda frame: [(f"{i}.docx", _docx(t.split("\n\n"))) for i, t in zip(frame["doc_id"], frame["text"], strict=True)])
+    back = files.read_files(docs.sparkSession, path)
+    return back.select(F.regexp_extract("path", r"(\d+)\.docx$", 1).cast("long").alias("doc_id"), F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"), "error")
+
+
+def _zipped(frame: pd.DataFrame) -> list[tuple[str, bytes]]:
+    """One archive of a batch: a table of texts in two members, and a member elsewhere."""
+    out, half = io.BytesIO(), len(frame) // 2
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, part in (("data/csv/a.csv", frame[:half]), ("data/csv/b.csv", frame[half:].drop(columns="lang")), ("data/other.csv", frame)):
+            z.writestr(name, part.to_csv(index=False))
+    return [(f"{uuid.uuid4().hex}.zip", out.getvalue())]
+
+
+def zip_files(docs: DataFrame) -> DataFrame:
+    """Archives of tables, some without a column, read back; rows without a text go."""
+    path = folder(docs.sparkSession)
+    _written(docs.select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 5 > 0, F.col("text")).alias("essay"), "lang"), path, _zipped)
+    back = files.zipped_csv(docs.sparkSession, path, ["id", "essay", "lang", "home"], required="essay")
+    return back.select(F.col("id").cast("long").alias("doc_id"), F.md5(F.col("essay").cast("binary")).alias("digest"), "home")
+
+
 def works(docs: DataFrame) -> DataFrame:
     """Documents as works with an inverted index of their words, as a search service gives them, turned into sources."""
     abstract = F.concat(F.lit("Resumen: Un &lt;b&gt; <i>texto</i> Abstract "), "text", F.lit(" Keywords a, b"))
