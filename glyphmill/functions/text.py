@@ -17,6 +17,8 @@ WS = r"\s\x1c-\x1f\x{85}\p{Z}"
 LETTER = r"[\p{L}\p{Nl}\p{No}]"
 WORD = rf"{LETTER}+(?:[-']{LETTER}+)*"
 WORD_CHAR = r"[\p{L}\p{N}_]"
+#: The characters of WS, one by one.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85" or unicodedata.category(c).startswith("Z"))
 #: Joins the two parts and the entries of a table that is one literal.
 _PART, _ENTRY = "\x01", "\x02"
 
@@ -113,14 +115,14 @@ def computed(rows: DataFrame, *keep: str, **columns: Column) -> DataFrame:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def normalize(c: Column) -> Column:
     """Unix line ends, no non-breaking spaces, single blanks, at most one empty line, stripped. Null stays null."""
     for old, new in (("\r\n", "\n"), ("\r", "\n"), ("\xa0", " ")):
         c = F.replace(c, F.lit(old), F.lit(new))
-    return strip(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(c, r" [ \t]+|\t[ \t]*", " "), r"\n{3,}", "\n\n"))
 
 
 def truncate(c: Column, limit: int) -> Column:
@@ -404,7 +406,7 @@ def sentences(c: Column) -> Column:
     parts = F.flatten(F.transform(F.split(marked, _PARAGRAPH, -1), lambda p, i: F.transform(F.split(p, _SENTENCE, -1), lambda s: F.struct(i.alias("paragraph"), s.alias("raw")))))
 
     def place(p: Column, end: Column) -> Column:
-        start = lambda x, i: F.get(end, i) - F.length(F.regexp_replace(x["raw"], rf"^[{WS}]+", ""))
+        start = lambda x, i: F.get(end, i) - F.length(F.ltrim(x["raw"], F.lit(BLANKS)))
         placed = F.transform(p, lambda x, i: F.struct(x["paragraph"].alias("paragraph"), start(x, i).alias("start"), strip(x["raw"]).alias("text")))
         return F.filter(placed, lambda s: s["text"] != "")
 
