@@ -254,8 +254,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         if b == blocks - 1 or sum(map(len, keys.values())) >= counted:
             docs_of = _counted(docs, text_col, keys)
             for g in group:
-                block = block if g == b else block_of(g)  # one block at a time is held here
-                shared = spark.sparkContext.broadcast((block, _prefixes(block, keys, docs_of)))
+                held = block if g == b else block_of(g)  # two blocks at a time are held here at most
+                shared = spark.sparkContext.broadcast((held, _prefixes(held, keys, docs_of)))
                 rows = rows.mapInArrow(_hit_map(shared, names), rows.schema)
             group, keys = [], {}
     hit = F.aggregate(names[3], F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
