@@ -25,7 +25,7 @@ from .wordblocks import pieces
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE, BPE = 1, 2, 6, 2
 #: Positions after which the window tries to commit, and entries that a worker's caches of pairs and of words may hold.
-STRIDE, PAIRS, CACHE = 64, 400_000, 700_000
+STRIDE, PAIRS, CACHE = 64, 400_000, 500_000
 
 
 class Codec:
