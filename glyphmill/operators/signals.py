@@ -128,9 +128,9 @@ def document_scores(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def row_score(tokens: Column) -> Column:
-    """document_scores of an array of (ppl, xppl) tokens, inside the row."""
-    total = lambda t, k: F.aggregate(t, F.lit(0.0), lambda a, x: a + x[k])
-    return T.let(tokens, lambda t: total(t, "ppl") / F.nullif(total(t, "xppl"), F.lit(0.0)))
+    """document_scores of an array of (ppl, xppl) tokens, inside the row: a ratio of means, which next to a threshold may differ from that of sums."""
+    mean = lambda t, k: F.aggregate(t, F.lit(0.0), lambda a, x: a + x[k]) / F.nullif(F.size(t), F.lit(0))
+    return T.let(tokens, lambda t: mean(t, "ppl") / F.nullif(mean(t, "xppl"), F.lit(0.0)))
 
 
 def row_sentence_scores(tokens: Column, sents: Column, config: EngineConfig = EngineConfig()) -> Column:

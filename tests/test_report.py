@@ -114,3 +114,12 @@ def test_windows_and_chunks(spark, n):
     if len(want) > 1 and n - want[-1][0] < 95:
         want[-1] = (n - 382, n)
     assert [tuple(x) for x in c] == want
+
+
+def test_row_scores_are_ratios_of_means(spark):
+    t = [(k, k, k + 1, 3.0, x) for k, x in enumerate((3.0, 3.0, 4.0))]  # sums have the ratio 0.9, means one next to it
+    kind = "array<struct<pos:int,start:int,end:int,ppl:double,xppl:double>>"
+    rows = spark.createDataFrame([(0, t), (1, [])], f"doc_id long, t {kind}")
+    by_row = {r.doc_id: r.s for r in rows.select("doc_id", G.row_score(F.col("t")).alias("s")).collect()}
+    (other,) = G.document_scores(rows.select("doc_id", F.explode("t").alias("x")).select("doc_id", "x.*")).collect()
+    assert by_row == {0: other.lm_score, 1: None} and other.lm_score < 0.9
