@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -46,39 +45,50 @@ def group_split(rows: DataFrame, group: str, share: float = 0.3, seed: int = 42,
     return rows.withColumn("split", F.when(test, "test").otherwise("train")).drop("__g", "__h")
 
 
-#: Groups of a TOP-th of all rows or more are dealt one by one; there are no more than TOP of them.
+#: Rows of groups of a TOP-th of all rows or more stay where they are; there are no more than TOP such groups.
 TOP = 10_000
 
 
+def _turns(loads: list[int], size: int, groups: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, first, end, folds) of spans of groups of one size, by place: their folds follow each other in turn. loads takes them up.
+
+    Dealt each to the fold of least load, the first of equals, groups of one size go in the order of (load + j * size, fold): by
+    whole sizes in the load, in rounds of the folds that have reached that level, by what is left over within a round.
+    """
+    out, level = [], [x // size for x in loads]
+    order = sorted(range(len(loads)), key=lambda i: (loads[i] % size, i))
+    steps, first = sorted(set(level)), 0
+    for low, high in zip(steps, [*steps[1:], None], strict=True):
+        turn = [i for i in order if level[i] <= low]
+        end = groups if high is None else min(groups, first + (high - low) * len(turn))
+        rounds, rest = divmod(end - first, len(turn))
+        for k, i in enumerate(turn):
+            loads[i] += size * (rounds + (k < rest))
+        if end > first:
+            out.append((size, first, end, turn))
+        first = end
+    return out
+
+
 def folds(rows: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """rows with fold (0 to k - 1), folds as even as whole groups allow. A null group is a group.
+    """rows with fold (0 to k - 1): groups, largest first and then in order, go each to the fold that has least. A null group is a group.
 
-    Large groups are dealt largest first, each to the fold that has least; the others fill up what room folds have left,
-    in an order by hash: which fold a group falls into follows from the rows of all groups before it.
+    Groups of one size take turns that their places among each other decide (see _turns), so the driver sees a row for each
+    size that occurs, of which n rows make no more than the root of 2n, and all else is numbering and joins.
     """
     sizes = stored(rows.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n")))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    loads, dealt = [0] * k, []
-    for r in sizes.where(F.col("n") * TOP >= total).orderBy(F.desc("n"), F.asc_nulls_first("g")).collect():
-        at = loads.index(min(loads))
-        loads[at] += r["n"]
-        dealt.append((r["g"], at))
-    kind = rows.schema[group].dataType.simpleString()
-    large = F.broadcast(rows.sparkSession.createDataFrame(dealt, f"`__g` {kind}, `__f` int"))
-    split = rows.join(large, F.col(group).eqNullSafe(F.col("__g")), "left")
-    out = split.where("__f is not null").select(*rows.columns, F.col("__f").alias("fold"))
-    left = total - sum(loads)
-    if not left:
-        return out
-    level = next((sum(low) + left) / len(low) for low in (sorted(loads)[:m] for m in range(k, 0, -1)) if (sum(low) + left) / len(low) >= low[-1])
-    ends = list(accumulate(max(0.0, level - x) for x in loads))
-    others = ordering.numbered(sizes.where(F.col("n") * TOP < total).withColumn("h", key("g")), ["h", "g"], value="n")
-    fold = F.lit(0)
-    for e in ends[:-1]:
-        fold = fold + (F.col("before") + F.col("n") / 2 >= e).cast("int")
-    small = others.select(F.col("g").alias("__h"), fold.alias("__s"))
-    more = split.where("__f is null").select(*rows.columns).join(small, F.col(group).eqNullSafe(F.col("__h"))).select(*rows.columns, F.col("__s").alias("fold"))
-    return out.unionByName(more)
+    loads, spans = [0] * k, []
+    for r in sizes.groupBy("n").agg(F.count("*").alias("groups")).orderBy(F.desc("n")).collect():
+        spans += _turns(loads, r["n"], r["groups"])
+    turns = F.broadcast(rows.sparkSession.createDataFrame(spans, "n long, first long, end long, turn array<int>"))
+    at = F.col("place") - F.col("first")
+    placed = ordering.numbered(sizes, ["g"], ["n"]).join(turns, "n").where(F.col("place").between(F.col("first"), F.col("end") - 1))
+    placed = stored(placed.select(F.col("g").alias("__g"), F.get("turn", (at % F.size("turn")).cast("int")).alias("__f"), F.col("n").alias("__n")))
+    same, large = F.col(group).eqNullSafe(F.col("__g")), F.col("__n") * TOP >= sum(loads)
+    split = rows.join(F.broadcast(placed.where(large).select("__g", "__f")), same, "left")
+    more = split.where("__f is null").select(*rows.columns).join(placed.where(~large), same)
+    result = lambda met: met.select(*rows.columns, F.col("__f").alias("fold"))
+    return result(split.where("__f is not null")).unionByName(result(more))
 
 
 def hashed_folds(rows: DataFrame, group: str, k: int = 5, seed: int = 42) -> DataFrame:

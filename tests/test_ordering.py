@@ -83,6 +83,18 @@ def test_folds_are_even_and_keep_groups_together(spark, monkeypatch, top):
     assert all(abs(loads[k] - rest / 2) <= 0.01 * rest / 2 for k in (1, 2)) and dealt.columns == ["g", "i", "fold"]
 
 
+def test_folds_are_greedy(spark):
+    rng = random.Random(8)
+    sizes = {g: max(1, int(rng.paretovariate(1.1))) for g in range(12_000)} | {12_000: 900, 12_001: 901}
+    rows = spark.createDataFrame([(g, i) for g, n in sizes.items() for i in range(n if n < 1000 else 1000)], "g int, i int")
+    sizes = {g: min(n, 1000) for g, n in sizes.items()}
+    loads, want = [0] * 5, {}
+    for g in sorted(sizes, key=lambda g: (-sizes[g], g)):
+        want[g] = loads.index(min(loads))
+        loads[want[g]] += sizes[g]
+    assert {r.g: r.fold for r in C.folds(rows, "g").select("g", "fold").distinct().collect()} == want
+
+
 def test_batches_cost_no_more_than_allowed(spark):
     rng = random.Random(5)
     sizes = [0, 0, 1, 7, 8, 9, 100_000, *(int(rng.paretovariate(0.8) * 20) for _ in range(3000)), *[333] * 1000]
