@@ -3,7 +3,8 @@
 Both are interpolated Kneser-Ney models of one discount, trained by counting: words are scanned once to count the
 triples of each text, and all else are aggregates of the triples' table. The cross entropy of the observer with the
 performer is a sum over the whole vocabulary; all words that a context was never seen with share closed forms, so only
-words that followed it are visited. Nothing is collected, broadcast or cached but single rows.
+words that followed it are visited. Nothing is collected, broadcast or cached but single rows; tables of counts, which are read
+several times, are written to the shared folder, else each use would scan all words again.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+
+from ..session import stored
 from .signals import with_offsets
 
 #: What stands before a text's first word; no word is empty.
@@ -30,7 +33,9 @@ def triples(text: Column) -> Column:
 
 def counted(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(u, v, w, c): how often w follows u and v."""
-    found = T.exploded(texts.select(triples(F.col(text_col)).alias("x")), [], F.col("x"), "x")
+    before = lambda l, i: F.coalesce(F.get(l, i), F.lit(BEGIN))
+    plain = T.let(T.lower_words(F.col(text_col)), lambda l: F.transform(l, lambda w, i: F.struct(before(l, i - 2).alias("u"), before(l, i - 1).alias("v"), w.alias("w"))))
+    found = T.exploded(texts.select(plain.alias("x")), [], F.col("x"), "x")
     return found.groupBy("x.u", "x.v", "x.w").agg(F.count("*").alias("c"))
 
 
@@ -41,20 +46,21 @@ def fitted(tri: DataFrame, discount: float = 0.75) -> DataFrame:
     with the order below: ppl is -ln p3(w | u, v), xppl is -sum over all words of p2(. | v) ln p3(. | u, v).
     """
     d = F.lit(discount)
-    bi = tri.groupBy("v", "w").agg(F.count("*").cast("double").alias("k"))
-    uni = bi.groupBy("w").agg(F.count("*").cast("double").alias("m"))
+    tri = stored(tri)
+    bi = stored(tri.groupBy("v", "w").agg(F.count("*").cast("double").alias("k")))
+    uni = stored(bi.groupBy("w").agg(F.count("*").cast("double").alias("m")))
     size = uni.agg(F.sum("m").alias("all"), F.count("*").cast("double").alias("types"))
     spread1 = d * F.col("types") / F.col("all") / (F.col("types") + 1)  # what is taken off, for each word and the unseen one
     uni = uni.crossJoin(F.broadcast(size)).select("w", ((F.col("m") - d) / F.col("all") + spread1).alias("p1"), spread1.alias("least"))
     # sum over all words of p1 ln p1
     h1 = uni.agg((F.sum(F.col("p1") * F.ln("p1")) + F.max(F.col("least") * F.ln("least"))).alias("h1"))
     of_v = bi.groupBy("v").agg(F.sum("k").alias("kv"), (d * F.count("*") / F.sum("k")).alias("l2"))
-    second = bi.join(of_v, "v").join(uni, "w").select("v", "w", ((F.col("k") - d) / F.col("kv") + F.col("l2") * F.col("p1")).alias("p2"), (F.col("l2") * F.col("p1")).alias("rest"), "l2")
+    second = stored(bi.join(of_v, "v").join(uni, "w").select("v", "w", ((F.col("k") - d) / F.col("kv") + F.col("l2") * F.col("p1")).alias("p2"), (F.col("l2") * F.col("p1")).alias("rest"), "l2"))
     h2 = second.groupBy("v").agg(F.sum(F.col("p2") * F.ln("p2") - F.col("rest") * F.ln("rest")).alias("seen"), F.first("l2").alias("l2"))
     h2 = h2.crossJoin(F.broadcast(h1)).select("v", (F.col("seen") + F.col("l2") * (F.ln("l2") + F.col("h1"))).alias("h2"))
     of_uv = tri.groupBy("u", "v").agg(F.sum("c").alias("cuv"), (d * F.count("*") / F.sum("c")).alias("l3"))
     third = tri.join(second.select("v", "w", "p2").join(h2, "v"), ["v", "w"]).join(of_uv, ["u", "v"])
-    third = third.select("u", "v", "w", "p2", "h2", "l3", ((F.col("c") - d) / F.col("cuv") + F.col("l3") * F.col("p2")).alias("p3"))
+    third = stored(third.select("u", "v", "w", "p2", "h2", "l3", ((F.col("c") - d) / F.col("cuv") + F.col("l3") * F.col("p2")).alias("p3")))
     after = third.groupBy("u", "v").agg((-(F.ln(F.first("l3")) + F.first("h2")) - F.sum(F.col("p2") * (F.ln("p3") - F.ln(F.col("l3") * F.col("p2"))))).alias("xppl"))
     return third.join(after, ["u", "v"]).select("u", "v", "w", (-F.ln("p3")).alias("ppl"), "xppl")
 
