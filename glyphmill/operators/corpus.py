@@ -189,9 +189,18 @@ def aligned_union(*frames: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select(*columns)
 
 
+#: Bytes of texts in a range of lengths, about.
+RANGE_BYTES = 64 << 20
+
+
 def by_length(rows: DataFrame, text: str, partitions: int) -> DataFrame:
-    """Rows in ranges of similar length, sorted within, so batches of a model pad little."""
-    return rows.repartitionByRange(partitions, F.length(text)).sortWithinPartitions(F.length(text))
+    """Rows in ranges of similar length, sorted within, so batches of a model pad little.
+
+    There are as many ranges as asked for, and more where one would be larger than RANGE_BYTES; rows of one length may lie in several.
+    """
+    total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = max(partitions, -(-total // RANGE_BYTES))
+    return rows.repartitionByRange(n, F.length(text), F.xxhash64(*rows.columns)).sortWithinPartitions(F.length(text))
 
 
 def length_class(size: Column) -> tuple[Column, Column]:

@@ -141,3 +141,14 @@ def test_work_that_fails_commits_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="boom|raise_error|USER_RAISED"):
         sinks.append_missing(spark.range(4), path, ["id"], lambda rows: rows.select("id", F.when(F.col("id") == 3, F.raise_error(F.lit("boom"))).cast("string").alias("text")), "id long, text string")
     assert sinks.read_committed(spark, path, "id long, text string").count() == 0
+
+
+def test_ranges_of_lengths_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(C, "RANGE_BYTES", 1000, raising=False)
+    rows = spark.createDataFrame([(i, "x" * (7 if i % 2 else i % 50)) for i in range(2000)], "id int, text string")
+    placed = C.by_length(rows, "text", 4).select(F.spark_partition_id().alias("at"), "id", F.length("text").alias("n")).collect()
+    by = defaultdict(list)
+    for r in placed:
+        by[r.at].append(r.n)
+    assert sorted(r.id for r in placed) == list(range(2000)) and max(sum(v) for v in by.values()) < 4000
+    assert [n for k in sorted(by) for n in by[k]] == sorted(r.n for r in placed)
