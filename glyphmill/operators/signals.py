@@ -196,16 +196,16 @@ def sentence_scores(assigned: DataFrame, sentences: DataFrame, id_col: str = "do
 
 def lm_windows(n: Column, config: EngineConfig = EngineConfig()) -> Column:
     """Scoring windows of a text of n tokens: (context_start, start, end); token 0 is never scored."""
-    starts = F.when(n > 1, F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)), F.lit(config.lm_chunk))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(F.greatest(s - config.lm_context, F.lit(0)).alias("context_start"), s.alias("start"), F.least(s + config.lm_chunk, n).alias("end")))
+    starts = lambda n: F.when(n > 1, F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)), F.lit(config.lm_chunk))).otherwise(F.array().cast("array<int>"))
+    return T.let(n, lambda n: F.transform(starts(n), lambda s: F.struct(F.greatest(s - config.lm_context, F.lit(0)).alias("context_start"), s.alias("start"), F.least(s + config.lm_chunk, n).alias("end"))))
 
 
 def classifier_chunks(n: Column, config: EngineConfig = EngineConfig()) -> Column:
     """Chunks (start, end) of n tokens for a classifier; a last chunk under a quarter is replaced by the last full chunk's worth."""
     size = config.classifier_chunk
-    starts = F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1, F.lit(size))
-    short = lambda s: (s > 0) & (n - s < size // 4)
-    return F.transform(starts, lambda s: F.struct(F.when(short(s), F.greatest(n - size, F.lit(0))).otherwise(s).alias("start"), F.least(s + size, n).alias("end")))
+    starts = lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1, F.lit(size))
+    short = lambda s, n: (s > 0) & (n - s < size // 4)
+    return T.let(n, lambda n: F.transform(starts(n), lambda s: F.struct(F.when(short(s, n), F.greatest(n - size, F.lit(0))).otherwise(s).alias("start"), F.least(s + size, n).alias("end"))))
 
 
 def chunk_probability(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -7,7 +7,8 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
-from glyphmill.operators import backoff as B
+from glyphmill import queries as Q
+from glyphmill.operators import backoff as B, signals as G
 
 
 def plain(text: str) -> str:
@@ -34,3 +35,12 @@ def test_back_off_scans_words_for_their_places_only(spark):
     rows = spark.createDataFrame([(0, "uno dos tres dos uno"), (1, "dos tres uno")], "doc_id long, text string")
     plan = B.backoff_statistics(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_windows_count_words_once(spark, tmp_path):
+    spark.createDataFrame([(0, "uno dos")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = Q.model_windows(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    for cut in (G.lm_windows, G.classifier_chunks):
+        own = spark.range(1).select(cut(F.size(T.words(F.col("id").cast("string")))).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert own.count("regexp_extract_all") == 1
