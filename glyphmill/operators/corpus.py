@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -225,16 +227,17 @@ def padded_batches(rows: DataFrame, size: Column, budget: int, order: str) -> Da
     return placed.withColumn("batch", F.floor(F.col("place") / held).cast("long")).drop("place")
 
 
+def _changes(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """(change, kept, length_ratio) of pairs of texts, one by one: a worker holds the words of one pair, not of a batch."""
+    def one(*pair: str | None) -> tuple[float, float, float]:
+        before, after = (re.findall(r"\w+", t.lower()) if isinstance(t, str) else [] for t in pair)
+        n, both, least = matching.matched(before, after), len(before) + len(after), max(len(before), 1)
+        return (1 - 2 * n / both if both else 0.0), n / least, len(after) / least  # two empty texts are the same
+
+    return pd.DataFrame(np.array([one(*pair) for pair in zip(a, b, strict=True)], float).reshape(-1, 3), columns=["change", "kept", "length_ratio"])
+
+
 def rewrite_change(original: str, rewritten: str):
     """Struct (change, kept, length_ratio) of a rewrite against its original, over lower-case words; a Pandas UDF, by matching.blocks."""
-    @F.pandas_udf("change double, kept double, length_ratio double")
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        before, after = (c.fillna("").str.lower().str.findall(r"\w+") for c in (a, b))
-        sizes = pd.DataFrame({"before": before.str.len(), "after": after.str.len()})
-        matched = [matching.matched(*pair) for pair in zip(before, after, strict=True)]
-        both, least = sizes.sum(axis=1), sizes["before"].clip(lower=1)
-        change = (1 - 2 * pd.Series(matched, index=sizes.index) / both.where(both > 0)).fillna(0.0)  # two empty texts are the same
-        return pd.DataFrame({"change": change.astype(float), "kept": matched / least, "length_ratio": sizes["after"] / least})
-
     ship(SparkSession.active())
-    return run(F.col(original), F.col(rewritten))
+    return F.pandas_udf(_changes, "change double, kept double, length_ratio double")(F.col(original), F.col(rewritten))

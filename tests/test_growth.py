@@ -39,3 +39,12 @@ def test_many_small_files_share_tasks(spark):
     assert gathered(many).rdd.getNumPartitions() == 25 and gathered(many).count() == 100
     few = spark.range(10, numPartitions=6)
     assert gathered(few).rdd.getNumPartitions() == 6
+
+
+def test_rewrites_are_compared_pair_by_pair():
+    texts = pd.Series([" ".join(f"word{(i * j) % 997}" for j in range(2000)) for i in range(1, 121)])
+    tracemalloc.start()
+    C._changes(texts, texts.str.slice(0, 100))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20  # words of all pairs at once take over 12 MB
