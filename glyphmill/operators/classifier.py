@@ -23,6 +23,8 @@ from . import corpus as C, evaluate as E
 #: Buckets of trigrams; a prime, so that no byte decides a bucket alone.
 DIM = 16_381
 FEATURES = "array<int>", "array<float>"
+#: Features that a Python worker holds at once, whatever a batch's rows; those of one text go together.
+MOST = 1 << 19
 
 
 def trigrams(text: str | None, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
@@ -43,14 +45,29 @@ def featured(docs: DataFrame, keep: Sequence[str], text_col: str = "text", dim:
     rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = lambda b, lo, n, found: pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, n) for c in keep), *(pa.array(x, pa.list_(pa.int32())) for x in zip(*found, strict=True))], names=[*keep, "at", "count"])
         for b in batches:
-            found = [trigrams(x.as_py(), dim) for x in b.column("__text")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.list_(pa.int32()))], names=[*keep, "at", "count"])
+            found, held, lo = [], 0, 0
+            for k, x in enumerate(b.column("__text")):
+                found.append(tuple(v.astype(np.int32) for v in trigrams(x.as_py(), dim)))
+                held += len(found[-1][0])
+                if held >= MOST or k == b.num_rows - 1:
+                    yield whole(b, lo, k + 1 - lo, found)
+                    found, held, lo = [], 0, k + 1
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text")
     return rows.mapInArrow(run, f"{kinds}, at array<int>, count array<int>")
 
 
+def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of featured rows, of about MOST features."""
+    part = np.cumsum(b.column("at").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) // MOST
+    starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+    for lo, hi in zip(starts, starts[1:], strict=False):
+        if hi > lo:
+            yield b.slice(lo, hi - lo)
+
+
 def _rows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket, value) of every feature in a batch."""
     sizes = b.column("at").value_lengths().to_numpy()
@@ -85,7 +102,7 @@ class GramClassifier:
         weights, bias = self.weights, self.bias
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (part for batch in batches for part in _parts(batch)):
                 row, at, value = _rows(b)
                 z = np.bincount(row, weights=weights[at] * value, minlength=b.num_rows) + bias
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(_chance(z))], names=[*keep, out])
@@ -108,7 +125,7 @@ def gradient(rows: DataFrame, model: GramClassifier, label: str, smoothing: floa
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(dim + 3)
-        for b in batches:
+        for b in (part for batch in batches for part in _parts(batch)):
             row, at, value = _rows(b)
             y = b.column("y").to_numpy() * (1 - smoothing) + smoothing / 2
             p = _chance(np.bincount(row, weights=weights[at] * value, minlength=b.num_rows) + bias)

@@ -48,3 +48,17 @@ def test_rewrites_are_compared_pair_by_pair():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4 << 20  # words of all pairs at once take over 12 MB
+
+
+def test_features_go_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 31}" for j in range(i))) for i in range(40)] + [(99, None)], "i int, text string").coalesce(1)
+    rows = lambda df: sorted((r["i"], tuple(r["at"]), tuple(r["count"])) for r in df.collect())
+    whole, scored = rows(K.featured(docs, ["i"])), K.GramClassifier(np.arange(K.DIM) % 7 - 3.0, 0.5)
+    p = {r["i"]: r["p"] for r in scored.scored(K.featured(docs, ["i"]), ["i"]).collect()}
+    monkeypatch.setattr(K, "MOST", 50)
+    assert rows(K.featured(docs, ["i"])) == whole
+    again = {r["i"]: r["p"] for r in scored.scored(K.featured(docs, ["i"]), ["i"]).collect()}
+    assert p.keys() == again.keys() and all(abs(p[i] - again[i]) < 1e-12 for i in p)
+    b = pa.RecordBatch.from_pydict({"at": [[1] * n for n in (0, 10, 30, 20, 0, 120, 5, 0)]})
+    parts = list(K._parts(b))
+    assert sum(x.num_rows for x in parts) == 8 and len(parts) > 2 and pa.concat_tables([pa.Table.from_batches([x]) for x in parts]).column("at").to_pylist() == b.column("at").to_pylist()
