@@ -62,3 +62,15 @@ def test_features_go_in_parts(spark, monkeypatch):
     b = pa.RecordBatch.from_pydict({"at": [[1] * n for n in (0, 10, 30, 20, 0, 120, 5, 0)]})
     parts = list(K._parts(b))
     assert sum(x.num_rows for x in parts) == 8 and len(parts) > 2 and pa.concat_tables([pa.Table.from_batches([x]) for x in parts]).column("at").to_pylist() == b.column("at").to_pylist()
+
+
+def test_archives_are_of_bounded_size(spark, tmp_path):
+    frame = pd.DataFrame({"id": [str(i) for i in range(30)], "essay": [None if i % 5 == 0 else f"{i} " * 400 for i in range(30)], "lang": "en"})
+    made = list(R._archives(frame, most=3000))
+    assert len(made) > 5
+    for name, raw in made:
+        (tmp_path / name).write_bytes(raw)
+        with zipfile.ZipFile(tmp_path / name) as z:
+            assert len(z.namelist()) == 3
+    back = files.zipped_csv(spark, f"file://{tmp_path}", ["id", "essay", "home"], required="essay").collect()
+    assert {r["id"]: r["essay"] for r in back} == {i: e for i, e in zip(frame["id"], frame["essay"], strict=True) if e} and {r["home"] for r in back} == {None}
