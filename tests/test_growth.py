@@ -74,3 +74,11 @@ def test_archives_are_of_bounded_size(spark, tmp_path):
             assert len(z.namelist()) == 3
     back = files.zipped_csv(spark, f"file://{tmp_path}", ["id", "essay", "home"], required="essay").collect()
     assert {r["id"]: r["essay"] for r in back} == {i: e for i, e in zip(frame["id"], frame["essay"], strict=True) if e} and {r["home"] for r in back} == {None}
+
+
+def test_indices_of_works_are_computed_once(spark):
+    docs = spark.createDataFrame([(1, "a &lt;b a", "s"), (2, "", "s"), (3, None, "s")], "doc_id long, text string, source string")
+    made = R.works(docs)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_entries") == 1
+    assert [(r["url"], r["kind"]) for r in made.collect()] == [("id:1", "OpenAlex")]
