@@ -82,3 +82,10 @@ def test_indices_of_works_are_computed_once(spark):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("map_from_entries") == 1
     assert [(r["url"], r["kind"]) for r in made.collect()] == [("id:1", "OpenAlex")]
+
+
+def test_running_sums_of_any_length(spark):
+    sizes = [0, 1, 3, 4, 5, 63, 64, 65, 128, 1000, 70_000]
+    rows = spark.createDataFrame([(n, [i % 9 for i in range(n)]) for n in sizes], "n int, x array<int>")
+    for n, got, low in rows.select("n", T.running("x"), T.scanned(F.transform("x", lambda v: -v), F.least)).collect():
+        assert got == np.cumsum([i % 9 for i in range(n)]).tolist() and low == [-min(i, 8) for i in range(n)]
