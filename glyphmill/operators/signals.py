@@ -7,6 +7,8 @@ next to those of neural models.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import lexicon as L
@@ -133,35 +135,52 @@ def row_score(tokens: Column) -> Column:
     return T.let(tokens, lambda t: mean(t, "ppl") / F.nullif(mean(t, "xppl"), F.lit(0.0)))
 
 
+def least_radius(m: Column, enough: Callable[[Column], Column], tried: int = 4) -> Column:
+    """The least r in [0, m) for which enough(r), which holds for all that follow; m if for none. Most are small, so the first few are tried before bisection."""
+    out = T.bisect(m, enough)
+    for r in reversed(range(tried)):
+        out = F.when(enough(F.lit(r)) & (m > r), r).otherwise(out)
+    return out
+
+
 def row_sentence_scores(tokens: Column, sents: Column, config: EngineConfig = EngineConfig()) -> Column:
     """Array of (sent_id, lo, hi, n_tokens, score), a sentence each, inside the row: for tokens that come from the row's own text.
 
     tokens: array of (start, ppl, xppl) by start; sents: array of (start) by start. A token belongs to the last sentence
     that starts at or before it. Each sentence is widened on both sides until it holds 30 tokens, or all. Sums of tokens
-    up to each place make every window a difference; where sentences begin among the tokens, and the least radius
-    that suffices, are found by bisection.
+    up to each sentence make every window a difference; where sentences begin among the tokens follows from merging both
+    by their starts, and the least radius that suffices is found by bisection.
     """
     need = config.min_sentence_tokens
-    sums = lambda t, k: F.concat(F.array(F.lit(0.0)), T.running(F.transform(t, lambda x: x[k].cast("double")), zero=0.0))
+
+    def sums(t: Column, first: Column, k: str) -> Column:
+        own = lambda i: F.slice(t, F.get(first, i) + 1, F.get(first, i + 1) - F.get(first, i))
+        each = F.transform(F.sequence(F.lit(0), F.size(first) - 2), lambda i: F.aggregate(own(i), F.lit(0.0), lambda a, x: a + x[k].cast("double")))
+        return F.concat(F.array(F.lit(0.0)), T.running(each, zero=0.0))
 
     def each(first: Column, a: Column, b: Column) -> Column:
         m = F.size(first) - 1  # first: where each sentence's tokens begin, and how many tokens there are
 
         def one(i: Column) -> Column:
             held = lambda r: F.get(first, F.least(i + r, m - 1) + 1) - F.get(first, F.greatest(i - r, F.lit(0)))
-            return T.let(T.bisect(m, lambda r: held(r) >= need), lambda r: window(i, F.greatest(i - r, F.lit(0)), F.least(i + r, m - 1)))
+            return T.let(least_radius(m, lambda r: held(r) >= need), lambda r: window(i, F.greatest(i - r, F.lit(0)), F.least(i + r, m - 1)))
 
         def window(i: Column, lo: Column, hi: Column) -> Column:
             n = F.get(first, hi + 1) - F.get(first, lo)
-            diff = lambda c: F.get(c, F.get(first, hi + 1)) - F.get(c, F.get(first, lo))
+            diff = lambda c: F.get(c, hi + 1) - F.get(c, lo)
             return F.struct(i.alias("sent_id"), lo.alias("lo"), hi.alias("hi"), n.cast("long").alias("n_tokens"), F.when(n > 0, diff(a) / F.nullif(diff(b), F.lit(0.0))).alias("score"))
 
         return F.transform(F.sequence(F.lit(0), m - 1), one)
 
-    begins = lambda t, s: F.concat(F.transform(s, lambda x: T.bisect(F.size(t), lambda k: F.get(t, k)["start"] >= x["start"])), F.array(F.size(t)))
-    bound = lambda t, s: T.let(begins(t, s), lambda first: T.let(sums(t, "ppl"), lambda a: T.let(sums(t, "xppl"), lambda b: each(first, a, b))))
+    # twice the starts, tokens' odd: a sentence's place in the merged order is its number and the tokens that precede it; sorting two sorted runs is one pass
+    both = lambda t, s: F.sort_array(F.concat(F.transform(s, lambda x: x["start"].cast("long") * 2), F.transform(t, lambda x: x["start"].cast("long") * 2 + 1)))
+    places = lambda x: F.filter(F.transform(x, lambda v, i: F.when(v % 2 == 0, i)), lambda i: i.isNotNull())
+    begins = lambda t, s: F.concat(F.transform(places(both(t, s)), lambda at, k: at - k), F.array(F.size(t)))
+    both_sums = lambda t, first: F.struct(sums(t, first, "ppl").alias("a"), sums(t, first, "xppl").alias("b"))
+    bound = lambda t, s: T.let(begins(t, s), lambda first: T.let(both_sums(t, first), lambda c: each(first, c["a"], c["b"])))
     none = F.array().cast("array<struct<sent_id:int,lo:int,hi:int,n_tokens:bigint,score:double>>")
-    return T.let(tokens, lambda t: T.let(sents, lambda s: F.when(F.size(s) > 0, bound(t, s)).otherwise(none)))
+    # both in one binding: each level of nesting costs the analyzer passes, of which it makes a hundred
+    return T.let(F.struct(tokens.alias("t"), sents.alias("s")), lambda x: F.when(F.size(x["s"]) > 0, bound(x["t"], x["s"])).otherwise(none))
 
 
 def sentence_scores(assigned: DataFrame, sentences: DataFrame, id_col: str = "doc_id", config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -182,7 +201,7 @@ def sentence_scores(assigned: DataFrame, sentences: DataFrame, id_col: str = "do
 
         def one(i: Column) -> Column:
             held = lambda r: F.get(n, F.least(i + r, m - 1) + 1) - F.get(n, F.greatest(i - r, F.lit(0)))
-            return T.let(T.bisect(m, lambda r: held(r) >= need), lambda r: window(i, F.greatest(i - r, F.lit(0)), F.least(i + r, m - 1)))
+            return T.let(least_radius(m, lambda r: held(r) >= need), lambda r: window(i, F.greatest(i - r, F.lit(0)), F.least(i + r, m - 1)))
 
         def window(i: Column, lo: Column, hi: Column) -> Column:
             diff = lambda c: F.get(c, hi + 1) - F.get(c, lo)

@@ -89,3 +89,17 @@ def test_running_sums_of_any_length(spark):
     rows = spark.createDataFrame([(n, [i % 9 for i in range(n)]) for n in sizes], "n int, x array<int>")
     for n, got, low in rows.select("n", T.running("x"), T.scanned(F.transform("x", lambda v: -v), F.least)).collect():
         assert got == np.cumsum([i % 9 for i in range(n)]).tolist() and low == [-min(i, 8) for i in range(n)]
+
+
+def test_sentences_and_tokens_are_merged_not_searched(spark):
+    tokens, sents = [(k * 3, float(k % 5 + 1), float(k % 7 + 1)) for k in range(200)], [2, 2, 9, 30, 31, 32, 300, 900]
+    rows = spark.createDataFrame([(tokens, [(s,) for s in sents]), ([], [(0,)]), (tokens, [])], "t array<struct<start:int,ppl:double,xppl:double>>, s array<struct<start:int>>")
+    scored = rows.select(G.row_sentence_scores(F.col("t"), F.col("s")).alias("r"))
+    assert "sort_array(concat(" in scored._jdf.queryExecution().optimizedPlan().toString()
+    first, empty, none = (r["r"] for r in scored.collect())
+    own = [[t for t in tokens if max((k for k, s in enumerate(sents) if s <= t[0]), default=-1) == i] for i in range(len(sents))]
+    for i, r in enumerate(first):
+        radius = next((k for k in range(len(sents)) if sum(map(len, own[max(0, i - k) : i + k + 1])) >= 30), len(sents))
+        inside = [t for part in own[max(0, i - radius) : i + radius + 1] for t in part]
+        assert r["sent_id"] == i and r["n_tokens"] == len(inside) and abs(r["score"] - sum(t[1] for t in inside) / sum(t[2] for t in inside)) < 1e-12
+    assert [tuple(r) for r in empty] == [(0, 0, 0, 0, None)] and none == []
