@@ -29,6 +29,7 @@ def ngram_statistics(docs: DataFrame, corpus: DataFrame | None = None, id_col: s
     all else follows, and once to look pairs up; in between only tables of pairs move. Those are read several times and
     so written to the shared folder, where a lost executor takes nothing away.
     """
+    hashed = lambda table: table.hint("shuffle_hash")  # of unique keys, so parts stay even; sorting all words or pairs would cost more than the rest
     kept = docs.select(F.col(id_col), F.col(text_col).alias("t"))
     train = docs if corpus is None else corpus
     first = T.exploded(train.select(paired(T.lower_words(F.col(text_col))).alias("x")), [], F.col("x"), "x").select("x.v", "x.w")
@@ -39,20 +40,20 @@ def ngram_statistics(docs: DataFrame, corpus: DataFrame | None = None, id_col: s
     uni = uni.select("w", ((F.col("n") + 1) / both).alias("p"))
     bi = pairs.where("v is not null")
     after = bi.groupBy("v").agg(F.sum("n").alias("nv"))
-    perf = bi.join(after, "v").join(uni, "w").select("v", "w", ((1 - smooth) * F.col("n") / F.col("nv") + smooth * F.col("p")).alias("q"), "p")
+    perf = bi.join(hashed(after), "v").join(hashed(uni), "w").select("v", "w", ((1 - smooth) * F.col("n") / F.col("nv") + smooth * F.col("p")).alias("q"), "p")
     perf = stored(perf)
     # sum over all w of -p(w) ln(s p(w)), corrected where the bigram is known
     base = uni.agg(F.sum(-F.col("p") * F.ln(smooth * F.col("p")))).first()[0] or 0.0
     cross = perf.groupBy("v").agg(F.sum(-F.col("p") * (F.ln("q") - F.ln(smooth * F.col("p")))).alias("dh"))
     if corpus is None:
-        wanted = perf.join(cross, "v").select("v", "w", "q", "p", "dh")
+        wanted = perf.join(hashed(cross), "v").select("v", "w", "q", "p", "dh")
     else:
         own = T.exploded(kept.select(paired(T.lower_words(F.col("t"))).alias("x")), [], F.col("x"), "x").select("x.v", "x.w").where("v is not null").distinct()
         wanted = own.join(perf.select("v", "w", "q"), ["v", "w"], "left").join(uni, "w", "left").join(cross, "v", "left")
     p = F.coalesce("p", 1 / both)
     looked = wanted.select("v", "w", (-F.ln(F.coalesce("q", smooth * p))).alias("ppl"), (F.lit(base) + F.coalesce("dh", F.lit(0.0))).alias("xppl"))
     words = T.exploded(kept, [id_col], T.let(with_offsets(F.col("t")), lambda x: placed_pairs(x)), "x").select(id_col, "x.*").where("v is not null")
-    return words.join(looked, ["v", "w"]).select(id_col, "pos", "start", "end", "ppl", "xppl")
+    return words.join(hashed(looked), ["v", "w"]).select(id_col, "pos", "start", "end", "ppl", "xppl")
 
 
 def paired(words: Column) -> Column:

@@ -118,3 +118,14 @@ def test_switched_off_models_are_absent(spark):
     none = of(use_token_stats=False, use_classifier=False)
     assert none.p == none.signals["style"] and none.signals.lm_p is None and none.signals.classifier_p is None
     assert of(use_token_stats=False).signals.lm_score is None and of(use_classifier=False).signals.classifier_p is None
+
+
+
+def test_token_statistics_do_not_sort_words(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = own.token_statistics(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
