@@ -129,3 +129,21 @@ def test_token_statistics_do_not_sort_words(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+
+def test_mattr_sorts_numbers_and_words_only_where_hashes_meet(spark):
+    rng = random.Random(4)
+    texts = [[f"w{rng.randrange(k)}" for _ in range(n)] for n, k in ((1, 1), (50, 9), (51, 9), (400, 30), (3_000, 2_000))]
+    brute = lambda t: sum(len(set(t[i : i + 50])) for i in range(len(t) - 49)) / (len(t) - 49) / 50 if len(t) > 50 else len(set(t)) / len(t)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t array<string>").repartition(1)
+    made = rows.select("k", T.mattr(F.col("t")).alias("m"))
+    assert all(abs(r.m - brute(texts[r.k])) < 1e-12 for r in made.collect())
+    assert "xxhash64" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dear_lookbehinds_of_sentence_ends_come_after_cheap_lookaheads(spark):
+    assert T.SENTENCE_END.count(r"(?!(?=\.") == 2
+    texts = ["Vale 3. 4 y 5. Fin", "El Sr. Paz vino. ¿Sí?! Sí.", "a  b\t\tc.\n\n\n\nd\x01e\x02f. G", "Es así... Fin.\n2\n. 3 x. Y. z", "?!", ""]
+    old = spark.createDataFrame([(t,) for t in texts], "t string").select(F.translate("t", "?!", "").alias("p"), T.asks(F.col("t")).alias("n"), F.length("t").alias("len"), T.normalize(F.col("t")).alias("w"), F.regexp_replace(F.regexp_replace("t", r" [ \t]+|\t[ \t]*", " "), r"\n{3,}", "\n\n").alias("o"))
+    assert all(r.n == r.len - len(r.p) and r.w == r.o.strip() for r in old.collect())
