@@ -147,3 +147,17 @@ def test_dear_lookbehinds_of_sentence_ends_come_after_cheap_lookaheads(spark):
     texts = ["Vale 3. 4 y 5. Fin", "El Sr. Paz vino. ¿Sí?! Sí.", "a  b\t\tc.\n\n\n\nd\x01e\x02f. G", "Es así... Fin.\n2\n. 3 x. Y. z", "?!", ""]
     old = spark.createDataFrame([(t,) for t in texts], "t string").select(F.translate("t", "?!", "").alias("p"), T.asks(F.col("t")).alias("n"), F.length("t").alias("len"), T.normalize(F.col("t")).alias("w"), F.regexp_replace(F.regexp_replace("t", r" [ \t]+|\t[ \t]*", " "), r"\n{3,}", "\n\n").alias("o"))
     assert all(r.n == r.len - len(r.p) and r.w == r.o.strip() for r in old.collect())
+
+
+@pytest.mark.parametrize("name", ["report_rows"])
+def test_filters_do_not_compute_words_a_second_time(spark, name):
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 27))
+    plan = own.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan()
+    filters = [str(f.condition().toString()) for f in _nodes(plan) if f.nodeName() == "Filter"]
+    assert filters and not any("regexp" in f for f in filters)
+
+
+def _nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
