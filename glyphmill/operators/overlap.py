@@ -63,7 +63,7 @@ def matches(sentences: DataFrame, sources: DataFrame, id_col: str = "doc_id", co
     the grams of both sides are distinct per row, pairs are counted with map-side partial sums, and a gram that
     many sentences share is a skewed join key that adaptive execution splits.
     """
-    own = sentences.withColumn("__t", T.fold_tokens(F.col("text"))).where(F.size("__t") >= config.overlap_min_words)
+    own = T.computed(sentences, id_col, "sent_id", __t=T.fold_tokens(F.col("text"))).where(F.size("__t") >= config.overlap_min_words)
     own = own.select(id_col, "sent_id", F.size("__t").alias("words"), T.ngrams(F.col("__t"), config.ngram).alias("__g"))
     asked = T.exploded(own.withColumn("n", F.size("__g")), [id_col, "sent_id", "words", "n"], F.col("__g"), "gram")
     held = T.exploded(unique_sources(sources), ["url", "ord"], grams(F.col("text"), config.ngram), "gram")

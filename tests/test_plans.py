@@ -149,7 +149,7 @@ def test_dear_lookbehinds_of_sentence_ends_come_after_cheap_lookaheads(spark):
     assert all(r.n == r.len - len(r.p) and r.w == r.o.strip() for r in old.collect())
 
 
-@pytest.mark.parametrize("name", ["report_rows"])
+@pytest.mark.parametrize("name", ["report_rows", "overlap_matches"])
 def test_filters_do_not_compute_words_a_second_time(spark, name):
     spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 27))
     plan = own.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan()
