@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import ship
 from .common import beside, packed
-from .wordblocks import pieces
+from .wordblocks import KEPT, pieces
 
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE, BPE = 1, 2, 6, 2
@@ -165,22 +165,19 @@ class Codec:
         return raw[1:] if self.prefix and raw.startswith(b" ") else raw
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def _codec(model: bytes) -> Codec:
-    """One codec per worker process and model: its caches serve all tasks of the worker."""
-    key = hash(model)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(model)
-    return _codecs[key]
+    """One codec per worker process and model: its caches serve all tasks of the worker, until another operator's task comes."""
+    key = ("codec", hash(model))
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = Codec(model)
+    return KEPT[key]
 
 
 def _encode_map(model: bytes, name: str):
     def run(batches):
         codec = _codec(model)
-        for piece in pieces(batches, name, 2 << 20):
+        for piece in pieces(batches, name, 2 << 20, kept=True):
             ids, same = [], []
             for t in piece.column(name):
                 text = t.as_py()

@@ -6,6 +6,7 @@ BLOCK bytes, so temporary arrays stay bounded however long a text is; what is ke
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -126,8 +127,19 @@ def within_text(words: Words, n: int) -> np.ndarray:
     return of[: max(0, len(of) - n + 1)] == of[n - 1 :] if len(of) >= n else np.zeros(0, bool)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in pieces of about limit bytes of text (a longer text is a piece of its own)."""
+#: What one operator keeps in a worker process from task to task, by its key.
+KEPT: dict[object, object] = {}
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20, kept: bool = False) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in pieces of about limit bytes of text (a longer text is a piece of its own).
+
+    Workers outlive stages: unless the caller's own is kept, what an operator before left in this one is let go first.
+    """
+    if KEPT and not kept:
+        KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     for b in batches:
         if not b.num_rows:
             continue
