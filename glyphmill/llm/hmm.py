@@ -18,7 +18,6 @@ import math
 import re
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -29,27 +28,44 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import ship
 from .common import shared_dir
+from .wordblocks import Words, byte_classes, pieces
 
 #: Latent states; bounds of the words that are symbols and of those that tasks look up; symbols of word endings, and bytes of an ending.
 STATES, OWN, LOOKUP, ENDINGS, ENDING = 8, 1 << 17, 1 << 20, 4096, 3
 #: One training text in WARM starts the model, in WARM_PASSES passes; then PASSES over all. Share of the unigram distribution in each state's.
 WARM, WARM_PASSES, PASSES, SHARE = 32, 10, 2, 0.01
-#: Tokens of a chunk, tokens that a task works on at once in passes and in encoding, bytes of a text that are split at once, words counted before they are sent on.
-CHUNK, BATCH, ENCODED, PIECE, HELD_WORDS = 2048, 400_000, 100_000, 1 << 20, 250_000
+#: Tokens of a chunk, tokens that a task works on at once in passes, bytes of text that are split at once, distinct words counted before they are sent on.
+CHUNK, BATCH, PIECE, HELD_WORDS = 2048, 400_000, 1 << 21, 750_000
 #: The end of a text as a token; no word holds a blank.
 END = b" "
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
-def tokens(text: bytes | None) -> Iterator[list[bytes]]:
-    """The words of a text, A-Z lower-cased, in parts that are cut at white space; the end comes last."""
-    text, at = text or b"", 0
-    while len(text) - at > PIECE:
-        found = _BLANK.search(text, at + PIECE)
-        stop = found.start() if found else len(text)
-        yield text[at:stop].lower().split()
-        at = stop
-    yield [*text[at:].lower().split(), END]
+def _parts(texts: pa.Array) -> Iterator[tuple[pa.Array, bool]]:
+    """(texts, whether they end there): a text longer than PIECE alone in parts that are cut at white space, others as they are."""
+    text = texts[0].as_py() or b""
+    if len(texts) > 1 or len(text) <= PIECE:
+        yield texts, True
+        return
+    at = 0
+    while len(text) - at > PIECE and (found := _BLANK.search(text, at + PIECE)):
+        yield pa.array([text[at : found.start()]], pa.binary()), False
+        at = found.start()
+    yield pa.array([text[at:]], pa.binary()), True
+
+
+def tokens(texts: pa.Array, ends: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct tokens, the end of a text first; which of them is each token; tokens of each text): words, A-Z lower-cased, then the end."""
+    found = Words(texts, "space_fold")
+    is_word, fold = byte_classes("space_fold")
+    places = np.concatenate([[0], np.cumsum(found.ends - found.starts)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(places), pa.py_buffer(fold[found.data[is_word[found.data]]])]).dictionary_encode()
+    distinct = pa.concat_arrays([pa.array([END], pa.large_binary()), words.dictionary]).cast(pa.binary())
+    sizes = found.counts + int(ends)
+    which, is_end = np.zeros(int(sizes.sum()), np.int64), np.zeros(int(sizes.sum()), bool)
+    is_end[np.cumsum(sizes)[: len(sizes) * int(ends)] - 1] = True
+    which[~is_end] = words.indices.to_numpy() + 1
+    return distinct, which, sizes
 
 
 def ending(word: bytes) -> int:
@@ -74,23 +90,29 @@ def _stored(df: DataFrame, *by: str) -> DataFrame:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-
-    def sent() -> pa.RecordBatch:
-        words = list(seen[0].keys() | seen[1].keys())
-        learned = [seen[0][w] for w in words]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(learned, pa.int64()), pa.array([a + seen[1][w] for w, a in zip(words, learned, strict=True)], pa.int64())], names=["word", "c", "a"])
-
-    for b in batches:
-        for text, train in zip(b.column("text"), b.column("train").to_pylist(), strict=True):
-            for part in tokens(text.as_py()):
-                seen[0 if train else 1].update(part)
-                if len(seen[0]) + len(seen[1]) > HELD_WORDS:
-                    yield sent()
-                    for s in seen:
-                        s.clear()
-    if seen[0] or seen[1]:
-        yield sent()
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def summed() -> pa.Table:
+        out = pa.Table.from_batches(held)
+        return (out.group_by("word", use_threads=False).aggregate([("c", "sum"), ("a", "sum")]) if len(held) > 1 else out).rename_columns(["word", "c", "a"]).combine_chunks()
+
+    for own in pieces(batches, "text", PIECE):
+        train = own.column("train").to_numpy(zero_copy_only=False)
+        for texts, ends in _parts(own.column("text")):
+            words, which, sizes = tokens(texts, ends)
+            a, c = (np.bincount(x, minlength=len(words)) for x in (which, which[np.repeat(train, sizes)]))
+            some = np.flatnonzero(a)
+            held.append(pa.RecordBatch.from_arrays([words.take(pa.array(some)), pa.array(c[some]), pa.array(a[some])], names=["word", "c", "a"]))
+            size += len(some)
+            if size > HELD_WORDS:
+                held = summed().to_batches()
+                size = sum(x.num_rows for x in held)
+                if size > HELD_WORDS // 2:  # so that what is held is not summed up again with every piece
+                    yield from held
+                    held, size = [], 0
+    if held:
+        yield from summed().to_batches()
 
 
 def vocabulary(docs: DataFrame, train: Column, text_col: str = "text") -> DataFrame:
@@ -171,35 +193,26 @@ def encoded(docs: DataFrame, lex: Lexicon, train: Column, held: Column, id_col:
     part = F.when(~F.coalesce(train, F.lit(False)), "none").when(warm, "warm").otherwise("rest")
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), F.coalesce(held, F.lit(False)).alias("held_out"), part.alias("part"), F.col(text_col).cast("binary").alias("text"))
 
-    def coded(own: pa.RecordBatch, words: list[bytes], sizes: list[int]) -> pa.RecordBatch:
-        """The texts of own, whose words stand one after the other in words."""
+    def coded(own: pa.RecordBatch) -> pa.RecordBatch:
+        words, which, sizes = tokens(own.column("text"))
         get, bounds = lex.place.get, np.concatenate([[0], np.cumsum(sizes)])
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        # of distinct words first: their place in the lexicon, -1 for others, and their symbols
+        names = words.to_pylist()
+        at = np.fromiter((get(w, -1) for w in names), np.int64, len(names))
         found, lost = at >= 0, np.flatnonzero(at < 0)
-        rare = [words[i] for i in lost.tolist()]
-        ids = np.empty(len(at), np.int32)
-        ids[found] = lex.symbol[at[found]]
-        ids[lost] = [ending(w) for w in rare]
-        # what the lexicon knows of each token, 0 for others; sums of texts are differences of sums so far
+        symbols = np.empty(len(at), np.int32)
+        symbols[found] = lex.symbol[at[found]]
+        symbols[lost] = [ending(names[i]) for i in lost.tolist()]
+        # what the lexicon knows of each token, 0 for others; summed up by text
         each = [np.where(found, x[at], 0) for x in (lex.count > 0, lex.base, lex.share)] if len(lex.count) else [np.zeros(len(at))] * 3
-        known, base, share = (np.add.reduceat(x, bounds[:-1]) for x in each)
-        rows = pa.ListArray.from_arrays(pa.array(np.searchsorted(lost, bounds), pa.int32()), pa.array(rare, pa.binary()))
-        columns = [pa.array(np.array(sizes, np.int64)), pa.array(known.astype(np.int64)), pa.array(base.astype(float)), pa.array(share.astype(float)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)), rows]
+        known, base, share = (np.add.reduceat(x[which], bounds[:-1]) for x in each)
+        rare = np.flatnonzero(~found[which])
+        rows = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, bounds), pa.int32()), words.take(pa.array(which[rare])))
+        columns = [pa.array(sizes.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base.astype(float)), pa.array(share.astype(float)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(symbols[which])), rows]
         return pa.RecordBatch.from_arrays([*(own.column(c) for c in ("key", "id", "held_out", "part")), *columns], names=["key", "id", "held_out", "part", "n_tokens", "n_known", "base", "share", "ids", "rare"])
 
     def run(batches):
-        for b in batches:
-            words, sizes, first = [], [], 0
-            for k, text in enumerate(b.column("text")):
-                before = len(words)
-                for part in tokens(text.as_py()):
-                    words += part
-                sizes.append(len(words) - before)
-                if len(words) > ENCODED:
-                    yield coded(b.slice(first, k + 1 - first), words, sizes)
-                    words, sizes, first = [], [], k + 1
-            if sizes:
-                yield coded(b.slice(first), words, sizes)
+        yield from map(coded, pieces(batches, "text", PIECE))
 
     return rows.mapInArrow(run, "key long, id long, held_out boolean, part string, n_tokens long, n_known long, base double, share double, ids array<int>, rare array<binary>")
 
@@ -212,9 +225,9 @@ class Model:
     moves: np.ndarray
     emit: np.ndarray
 
-    def log10(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def log10(self, ids: np.ndarray, offsets: np.ndarray, columns: np.ndarray | None = None) -> np.ndarray:
         """The log10 probability of each text: symbols ids[offsets[i]:offsets[i + 1]]."""
-        return Sweep(self, ids, offsets).likelihoods() / math.log(10)
+        return Sweep(self, ids, offsets, columns).likelihoods() / math.log(10)
 
 
 @dataclass
@@ -236,10 +249,11 @@ class Sweep:
 
     Chunks run side by side, longest first, so those that still run are always the first ones. Of a text of several
     chunks the first and the last are run as they are; those between give a transfer matrix each, which tells what enters
-    the chunks after them.
+    the chunks after them. States are rows and lanes columns, so sums over states add whole rows. columns: the model's
+    emissions, a row a state, for callers with many batches.
     """
 
-    def __init__(self, model: Model, ids: np.ndarray, offsets: np.ndarray):
+    def __init__(self, model: Model, ids: np.ndarray, offsets: np.ndarray, columns: np.ndarray | None = None):
         size = np.diff(offsets)
         many = -(-size // CHUNK)
         of = np.repeat(np.arange(len(size)), many)
@@ -252,45 +266,58 @@ class Sweep:
         self.last = self.nth == many[self.of] - 1
         self.long = many[self.of] > 1
         self.entry = np.tile(model.start, (len(of), 1))
+        self.columns = np.ascontiguousarray(model.emit.T) if columns is None else columns
 
-    def _steps(self, lanes: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """(how many of the lanes still run, where their symbols are) step by step; lanes are in order of length."""
+    def _steps(self, lanes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """(places of the lanes' symbols, step after step; where in them each step's begin and end). Lanes are in order of length."""
         begin, length = self.begin[lanes], self.length[lanes]
         live = np.searchsorted(-length, -np.arange(length.max(initial=0)), side="left")
-        return [(b, begin[:b] + t) for t, b in enumerate(live.tolist())]
+        bounds = np.concatenate([[0], np.cumsum(live)])
+        step = np.repeat(np.arange(len(live)), live)
+        return begin[np.arange(bounds[-1]) - bounds[step]] + step, list(zip(bounds.tolist(), bounds[1:].tolist(), strict=False))
+
+    def _emitted(self, at: np.ndarray) -> np.ndarray:
+        """Probabilities of the symbols at these places, a row a state."""
+        symbols = self.ids[at]
+        return np.stack([column[symbols] for column in self.columns])
 
     def _forward(self, lanes: np.ndarray, keep: bool = False):
-        """(states expected after the lanes, log likelihoods, and if kept the filtered states and scales of each step)."""
-        emit, moves, ids = self.model.emit, self.model.moves, self.ids
-        state, total, kept = self.entry[lanes].copy(), np.zeros(len(lanes)), []
-        for b, at in self._steps(lanes):
-            now = state[:b] * emit[ids[at]]
-            scale = now.sum(axis=1)
-            now /= scale[:, None]
-            total[:b] += np.log(scale)
-            np.matmul(now, moves, out=state[:b])
-            if keep:
-                kept.append((at, now, scale))
-        return state, total, kept
+        """(states expected after the lanes, a row a state; log likelihoods; if kept the places and bounds of _steps, emissions, filtered states and scales)."""
+        at, steps = self._steps(lanes)
+        emit, back = self._emitted(at), np.ascontiguousarray(self.model.moves.T)
+        states, scales = emit.copy() if keep else emit, np.empty(len(at))
+        state = np.ascontiguousarray(self.entry[lanes].T)
+        for lo, hi in steps:
+            now = states[:, lo:hi]
+            now *= state[:, : hi - lo]
+            scale = np.add.reduce(now, axis=0, out=scales[lo:hi])
+            now /= scale
+            state[:, : hi - lo] = back @ now
+        total = np.bincount(np.arange(len(at)) - np.repeat([lo for lo, _ in steps], [hi - lo for lo, hi in steps]), weights=np.log(scales), minlength=len(lanes)) if steps else np.zeros(len(lanes))
+        return state, total, (at, steps, emit, states, scales)
 
     def _backward(self, lanes: np.ndarray) -> np.ndarray:
-        """What whole lanes, each the end of its text, say of their first state, of sum 1."""
-        emit, moves, ids = self.model.emit, self.model.moves, self.ids
-        rest = np.ones((len(lanes), len(moves)))
+        """What whole lanes, each the end of its text, say of their first state, of sum 1; a row a lane."""
+        at, steps = self._steps(lanes)
+        emit, moves = self._emitted(at), self.model.moves
+        rest = np.ones((len(moves), len(lanes)))
         done = 0
-        for b, at in reversed(self._steps(lanes)):
-            rest[:done] = rest[:done] @ moves.T
-            rest[:b] *= emit[ids[at]]
-            rest[:b] /= rest[:b].sum(axis=1, keepdims=True)
+        for lo, hi in reversed(steps):
+            b = hi - lo
+            rest[:, :done] = moves @ rest[:, :done]
+            rest[:, :b] *= emit[:, lo:hi]
+            rest[:, :b] /= rest[:, :b].sum(axis=0)
             done = b
-        return rest
+        return rest.T
 
     def _through(self, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(transfer matrices, logarithms of what they are to be multiplied by)."""
         emit, moves, ids = self.model.emit, self.model.moves, self.ids
         states = len(moves)
         through, logs = np.tile(np.eye(states), (len(lanes), 1, 1)), np.zeros((len(lanes), states))
-        for b, at in self._steps(lanes):
+        places, steps = self._steps(lanes)
+        for lo, hi in steps:
+            b, at = hi - lo, places[lo:hi]
             now = through[:b] * emit[ids[at]][:, None, :]
             scale = now.sum(axis=2)
             now /= scale[:, :, None]
@@ -307,7 +334,7 @@ class Sweep:
         found[self.of[heads]] = total
         through, most = self._through(between)
         after = np.zeros((self.texts, len(self.model.start)))
-        after[self.of[heads]] = state
+        after[self.of[heads]] = state.T
         place = np.full(len(self.of), -1)
         place[between] = np.arange(len(between))
         later = np.flatnonzero(self.nth > 0)
@@ -330,7 +357,7 @@ class Sweep:
 
     def count(self, into: Expected) -> None:
         """Forward and backward over all chunks; expected numbers are added to into."""
-        emit, moves, ids = self.model.emit, self.model.moves, self.ids
+        moves, ids = self.model.moves, self.ids
         lanes = np.arange(len(self.of))
         after = np.ones((len(lanes), len(moves)))  # what the rest of the text says of the state after the chunk
         if self.long.any():
@@ -347,39 +374,41 @@ class Sweep:
                 if k >= 0:
                     rest[text] = through[k] @ rest[text]
                     rest[text] /= rest[text].sum()
-        _, total, kept = self._forward(lanes, keep=True)
-        turns, back, done, weights = np.zeros_like(moves), None, 0, []
-        for t in range(len(kept) - 1, -1, -1):
-            at, now, scale = kept[t]
-            b = len(at)
-            ahead = np.empty_like(now)
+        _, total, (at, steps, emit, states, scales) = self._forward(lanes, keep=True)
+        come = emit / scales  # what a step says of what comes before it, once what comes after it is known
+        ended = np.where(self.last, 1.0, moves @ after.T)  # of each lane's last state
+        enters = np.where(self.last, 0.0, after.T)
+        weights, turns, back, done = states, np.zeros_like(moves), None, 0  # states become weights, last step first
+        for t in range(len(steps) - 1, -1, -1):
+            lo, hi = steps[t]
+            b, now = hi - lo, states[:, lo:hi]
+            ahead = np.empty((len(moves), b))
             if done:
-                ahead[:done] = back
+                ahead[:, :done] = back
             if b > done:  # chunks that end here
-                end = self.last[done:b, None]
-                new = np.where(end, 1.0, after[done:b] @ moves.T)
-                weight = (now[done:b] * new).sum(axis=1, keepdims=True)
-                ahead[done:b] = new / weight
-                turns += now[done:b].T @ np.where(end, 0.0, after[done:b] / weight)
-            both = now * ahead
-            weights.append(both)
+                weight = (now[:, done:] * ended[:, done:b]).sum(axis=0)
+                ahead[:, done:] = ended[:, done:b] / weight
+                turns += now[:, done:] @ (enters[:, done:b] / weight).T
             if t:
-                come = emit[ids[at]] * ahead / scale[:, None]
-                turns += kept[t - 1][1][:b].T @ come
-                back = come @ moves.T
-            else:
-                into.start += both[self.nth[:b] == 0].sum(axis=0)
+                before = steps[t - 1][0]
+                come[:, lo:hi] *= ahead
+                turns += states[:, before : before + b] @ come[:, lo:hi].T
+                back = moves @ come[:, lo:hi]
+            now *= ahead
+            if not t:
+                into.start += now[:, self.nth[:b] == 0].sum(axis=1)
             done = b
         into.moves += turns * moves
-        flat = ids[np.concatenate([k[0] for k in reversed(kept)])]
-        for k, column in enumerate(np.concatenate(weights).T):
-            into.emit[:, k] += np.bincount(flat, weights=column, minlength=len(into.emit))
+        flat = ids[at]
+        for k in range(len(moves)):
+            into.emit[:, k] += np.bincount(flat, weights=weights[k], minlength=len(into.emit))
         into.likelihood += float(total.sum())
 
 
 def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, their symbols, offsets), about BATCH tokens at a time."""
+    """(rows, their symbols, offsets), about BATCH tokens at a time; texts of like lengths go together, so that most run to the last step."""
     for b in batches:
+        b = b.take(pa.array(np.argsort(b.column("ids").value_lengths().to_numpy(zero_copy_only=False), kind="stable")))
         sizes = b.column("ids").value_lengths().to_numpy(zero_copy_only=False)
         part = np.cumsum(sizes) // BATCH
         for lo, hi in zip(first := np.flatnonzero(np.diff(part, prepend=-1)), [*first[1:], len(part)], strict=True):
@@ -392,9 +421,9 @@ def expected(rows: DataFrame, model: Model) -> Expected:
     states, symbols = len(model.start), len(model.emit)
 
     def run(batches):
-        total = Expected.none(states, symbols)
+        total, columns = Expected.none(states, symbols), np.ascontiguousarray(model.emit.T)
         for _, ids, offsets in _batched(batches):
-            Sweep(model, ids, offsets).count(total)
+            Sweep(model, ids, offsets, columns).count(total)
         # symbols from 0; below them the likelihood, the first states and the moves
         rest = np.vstack([np.full(states, total.likelihood), total.start, total.moves])
         some = np.flatnonzero(total.emit.any(axis=1))
@@ -449,8 +478,9 @@ def scored(rows: DataFrame, counts: DataFrame, lex: Lexicon, model: Model) -> Da
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of encoded texts."""
 
     def run(batches):
+        columns = np.ascontiguousarray(model.emit.T)
         for own, ids, offsets in _batched(batches):
-            yield pa.RecordBatch.from_arrays([own.column("key"), pa.array(model.log10(ids, offsets))], names=["key", "hmm"])
+            yield pa.RecordBatch.from_arrays([own.column("key"), pa.array(model.log10(ids, offsets, columns))], names=["key", "hmm"])
 
     likely = rows.select("key", "ids").mapInArrow(run, "key long, hmm double")
     words = counts.where(F.col("a") * LOOKUP < F.lit(int(counts.agg(F.coalesce(F.sum("a"), F.lit(0))).first()[0]))).select("word", "c")
