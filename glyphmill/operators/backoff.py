@@ -9,16 +9,16 @@ several times, are written to the shared folder, else each use would scan all wo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
 
 from ..session import stored
+from .contexts import BEGIN, dealt
 from .signals import with_offsets
 
-#: What stands before a text's first word; no word is empty.
-BEGIN = ""
-
 
 def triples(text: Column) -> Column:
     """Array of (pos, start, end, u, v, w): each lower-cased word with the two before it."""
@@ -70,3 +70,37 @@ def backoff_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     looked = fitted(counted(docs, text_col), discount)
     words = T.exploded(docs.select(F.col(id_col), triples(F.col(text_col)).alias("x")), [id_col], F.col("x"), "x").select(id_col, "x.*").where("pos > 0")
     return words.join(looked, ["u", "v", "w"]).select(id_col, "pos", "start", "end", "ppl", "xppl")
+
+
+def backoff_means(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", discount: float = 0.75) -> DataFrame:
+    """(id, n, ppl, xppl): how many rows `backoff_statistics` has of each text, and their means, with a part of the contexts on the way at a time."""
+    d = F.lit(discount)
+    at = dealt(docs, 2, id_col, text_col)
+    for i in range(at.parts):
+        # equal pairs come together with all that stood before them, so a pair counts once for each
+        triples = at.part(i).select("u", "v", "w").repartition("v", "w").distinct()
+        like = at.folder.put(f"pairs/part={i}", triples.groupBy("v", "w").agg(F.count("*").alias("k")))
+    together = at.folder.read("pairs", like)
+    uni = at.folder.put("uni", together.groupBy("w").agg(F.count("*").cast("double").alias("m")))
+    whole, types = uni.agg(F.coalesce(F.sum("m"), F.lit(1.0)), F.count("*")).first()
+    least = discount * types / whole / (types + 1)  # what is taken off, for each word and the unseen one
+    uni = uni.select("w", ((F.col("m") - d) / whole + least).alias("p1"))
+    h1 = (uni.agg(F.sum(F.col("p1") * F.ln("p1"))).first()[0] or 0.0) + (least * math.log(least) if least else 0.0)  # sum over all words of p1 ln p1
+
+    def looked(rows: DataFrame, i: int) -> DataFrame:
+        """What `fitted` has, for contexts of the part."""
+        of_v, of_uv = W.partitionBy("v", "s"), W.partitionBy("v", "s", "u")
+        second = at.folder.read(f"pairs/part={i}", like).join(uni.hint("shuffle_hash"), "w").join(F.broadcast(at.shares), "v", "left")
+        # each share of a word has all of the word's pairs
+        second = second.select("v", "w", "k", "p1", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("s"))
+        second = second.withColumn("kv", F.sum("k").over(of_v)).withColumn("l2", d * F.count("*").over(of_v) / F.col("kv"))
+        second = second.withColumn("rest", F.col("l2") * F.col("p1")).withColumn("p2", (F.col("k") - d) / F.col("kv") + F.col("rest"))
+        h2 = F.sum(F.col("p2") * F.ln("p2") - F.col("rest") * F.ln("rest")).over(of_v) + F.col("l2") * (F.ln("l2") + h1)
+        third = rows.groupBy("v", "s", "u", "w").agg(at.count().alias("c")).join(second.select("v", "s", "w", "p2", h2.alias("h2")).hint("shuffle_hash"), ["v", "s", "w"])
+        third = third.withColumn("cuv", F.sum("c").over(of_uv)).withColumn("l3", d * F.count("*").over(of_uv) / F.col("cuv"))
+        third = third.withColumn("p3", (F.col("c") - d) / F.col("cuv") + F.col("l3") * F.col("p2"))
+        after = -(F.ln("l3") + F.col("h2")) - F.sum(F.col("p2") * (F.ln("p3") - F.ln(F.col("l3") * F.col("p2")))).over(of_uv)
+        past = lambda c: F.when(F.col("v") != at.begin, c)  # noqa: E731  # a text's first word only counts
+        return third.select("v", "s", "u", "w", past(-F.ln("p3")).alias("ppl"), past(after).alias("xppl"))
+
+    return at.means(looked, ["v", "s"], ["v", "s", "u", "w"])
