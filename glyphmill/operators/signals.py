@@ -15,6 +15,7 @@ from .. import lexicon as L
 from ..config import EngineConfig
 from ..functions import scores as S, text as T
 from ..session import stored
+from .contexts import dealt
 
 TOKENS = "doc_id long, pos int, start int, end int, ppl double, xppl double"
 
@@ -56,6 +57,23 @@ def ngram_statistics(docs: DataFrame, corpus: DataFrame | None = None, id_col: s
     return words.join(hashed(looked), ["v", "w"]).select(id_col, "pos", "start", "end", "ppl", "xppl")
 
 
+def ngram_means(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smooth: float = 0.5) -> DataFrame:
+    """(id, n, ppl, xppl): how many rows `ngram_statistics` has of each text under its own counts, and their means, with a part of the contexts on the way at a time."""
+    at = dealt(docs, 1, id_col, text_col)
+    both = float(at.total + at.types)
+    uni = at.words.select("w", ((F.col("n") + 1) / both).alias("p"))
+    base = uni.agg(F.sum(-F.col("p") * F.ln(smooth * F.col("p")))).first()[0] or 0.0
+
+    def looked(rows: DataFrame, _: int) -> DataFrame:
+        """What a pair costs the performer, and the cross entropy after its first word."""
+        of_v = W.partitionBy("v")
+        perf = rows.groupBy("v", "w").agg(at.count().alias("n")).join(uni.hint("shuffle_hash"), "w")
+        perf = perf.withColumn("q", (1 - smooth) * F.col("n") / F.sum("n").over(of_v) + smooth * F.col("p"))
+        return perf.select("v", "w", (-F.ln("q")).alias("ppl"), (F.lit(base) + F.sum(-F.col("p") * (F.ln("q") - F.ln(smooth * F.col("p")))).over(of_v)).alias("xppl"))
+
+    return at.means(looked, ["v", "w"], ["v", "w"])
+
+
 def paired(words: Column) -> Column:
     """Array of (v, w): each word with the one before it, null before the first."""
     return T.let(words, lambda x: F.transform(x, lambda w, i: F.struct(F.get(x, i - 1).alias("v"), w.alias("w"))))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill import queries as Q
-from glyphmill.operators import backoff, contexts
+from glyphmill.operators import backoff, contexts, signals
 
 
 def texts(spark, path):
@@ -37,6 +37,13 @@ def test_means_of_back_off_are_those_of_its_rows(spark, tmp_path, monkeypatch, p
     same(backoff.backoff_means(docs), by_words(backoff.backoff_statistics(docs)))
 
 
+@pytest.mark.parametrize("part", [1 << 22, 400])
+def test_means_of_pairs_are_those_of_their_rows(spark, tmp_path, monkeypatch, part):
+    monkeypatch.setattr(contexts, "PART", part)
+    docs = texts(spark, tmp_path)
+    same(signals.ngram_means(docs), by_words(signals.ngram_statistics(docs)))
+
+
 def test_words_of_one_number_get_others(spark, tmp_path, monkeypatch):
     docs = texts(spark, tmp_path)
     real, seeds = contexts.code, []
@@ -52,7 +59,7 @@ def test_words_of_one_number_get_others(spark, tmp_path, monkeypatch):
 
 def test_an_empty_corpus_has_no_means(spark):
     none = spark.createDataFrame([(0, None), (1, "")], "doc_id long, text string")
-    assert backoff.backoff_means(none).collect() == []
+    assert backoff.backoff_means(none).collect() == [] and signals.ngram_means(none).collect() == []
 
 
 def files(spark, name=""):
@@ -60,12 +67,13 @@ def files(spark, name=""):
     return [f for f in found.mkString("\n").split("\n") if "shuffle_" in f and name in f]
 
 
-def test_back_off_leaves_no_rows_of_words_on_disk(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("name", ["backoff_statistics", "token_statistics"])
+def test_no_rows_of_words_stay_on_disk(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(contexts, "PART", 400)
     texts(spark, tmp_path)
     before = set(files(spark))
     kept = set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("*"))
-    plan = Q.backoff_statistics(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    plan = Q.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan  # words are not what the result moves
     made = [p for top in set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("*")) - kept for p in top.rglob("*.parquet")]
     assert made and not any("/rows/part=" in str(p) or "/lists/" in str(p) for p in made)
