@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import text as T
 from ..session import shared_dir
 
-#: Words of a part, while parts are few enough, and parts at most: each one costs a few jobs.
-PART, PARTS = 1 << 22, 32
+#: Words of a part times the words before each, while parts are few enough, and parts at most: each one costs a few jobs.
+PART, PARTS = 1 << 23, 32
 #: A word that is more than one in so many is a context of several shares.
 SHARES = 256
 #: What stands before a text's first word; no word is empty.
@@ -57,7 +57,7 @@ class Folder:
         """table, written and read again; what its exchanges left on disk goes. some_keys: rows that are together by some of a join's keys stay where they are."""
         more = {"spark_sql_requireAllClusterKeysForCoPartition": "false"} if some_keys else {}
         with settings(self.spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true", spark_sql_maxConcurrentOutputFileWriters=str(2 * PARTS if by else 0), **more):
-            table.write.option("compression", "zstd").partitionBy(*by).parquet(f"{self.path}/{name}")
+            table.write.option("compression", "lz4_raw").partitionBy(*by).parquet(f"{self.path}/{name}")
         return self.read(name, table)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def dealt(docs: DataFrame, before: int, id_col: str = "doc_id", text_col: str =
             break
         folder.drop(f"words-{seed}")
     words = words.drop("clash")
-    parts = max(1, min(PARTS, -(-total // PART)))
+    parts = max(1, min(PARTS, -(-total * before // PART)))
     shares = folder.put("shares", words.where(F.col("n") * SHARES > total).select(F.col("w").alias("v"), F.ceil(F.col("n") * SHARES / total).cast("int").alias("shares")).coalesce(1))
     shifted = [F.concat(F.array(*[F.lit(BEGIN)] * k), F.col("l")) for k in range(before, 0, -1)]
     names = ["u", "v", "w"][2 - before :]
